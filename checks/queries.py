@@ -74,28 +74,36 @@ class Source:
 class Query:
     run: Callable[[Source], DataFrame]
     oracle: str | None
+    digits: dict[str, int]
 
 
 REGISTRY: dict[str, Query] = {}
 
 
-def query(name: str, oracle: str | None = None, doubles=()):
-    """Register the decorated function under `name`."""
+def query(name: str, oracle: str | None = None, doubles=(), digits=None):
+    """Register the decorated function under `name`.
+
+    `doubles` are the floating-point results; `digits` sets other places for some.
+    """
+    places = digits or {}
+
     def add(run: Callable[[Source], DataFrame]):
-        REGISTRY[name] = Query(run, oracle and sql.rounded(oracle, doubles))
+        REGISTRY[name] = Query(run, oracle and sql.rounded(oracle, doubles, places), places)
         return run
     return add
 
 
-def tidy(df: DataFrame) -> DataFrame:
+def tidy(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     """Round floating-point columns; -0.0 becomes 0.0."""
-    return df.select(*[(F.round(F.col(f"`{f.name}`"), 6) + F.lit(0.0)).alias(f.name)
+    return df.select(*[(F.round(F.col(f"`{f.name}`"), digits.get(f.name, 6)) + F.lit(0.0)
+                        ).alias(f.name)
                        if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
                        for f in df.schema.fields])
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(REGISTRY[name].run(Source(spark, sf_dir)))
+    chosen = REGISTRY[name]
+    return tidy(chosen.run(Source(spark, sf_dir)), chosen.digits)
 
 
 PCT = ("null_pct", "completeness")
@@ -282,7 +290,7 @@ _STATS = ["mean", "std", "var", "min", "max", "range", "skew", "kurtosis", "q1",
 
 for _view in ("lineitem", "d_orders", "events", "d_customer"):
     @query(f"numeric_stats_{_view.removeprefix('d_')}", sql.with_views(_numeric_stats(_view)),
-           _STATS)
+           _STATS, {"var": 0, "std": 3, "mean": 4})
     def _(s, view=_view):
         return stats.numeric_stats(s.t(view))
 
@@ -824,12 +832,9 @@ def _(s):
 
 
 @query("weak_entities", sql.with_views(
-    """SELECT "table", count(*) AS key_columns FROM pk GROUP BY "table" HAVING bool_and(EXISTS
-    (SELECT 1 FROM fks f WHERE f.child_table = pk."table" AND f.child_column = pk."column"))
-    """.replace("HAVING bool_and(EXISTS", "HAVING bool_and((").replace(
-        'SELECT 1 FROM fks f WHERE f.child_table = pk."table" AND f.child_column = pk."column"',
-        'pk."table" || \'.\' || pk."column") IN (SELECT child_table || \'.\' || child_column FROM '
-        'fks'), *CATALOG))
+    """SELECT pk."table", count(*) AS key_columns FROM pk LEFT JOIN (SELECT DISTINCT child_table,
+    child_column FROM fks) f ON f.child_table = pk."table" AND f.child_column = pk."column"
+    GROUP BY pk."table" HAVING count(f.child_table) = count(*)""", *CATALOG))
 def _(s):
     return cat.weak_entities(s.catalog())
 
@@ -874,7 +879,7 @@ def _(s):
     """SELECT child_table AS from_node, parent_table AS to_node, min(child_column) AS from_column,
     CASE child_table WHEN 'labels' THEN '||--||' ELSE '||--o{' END AS symbol,
     array_to_string(list_transform(string_split(replace(replace(min(child_column), '_id', ''),
-      '_', ' '), ' '), w -> upper(w[1]) || lower(w[2:])), ' ') AS label
+      '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label
     FROM fks GROUP BY child_table, parent_table""", *CATALOG))
 def _(s):
     measured = rel.cardinality(rel.relationship_stats(s.tables(), [*DECLARED, BY_NAME]))
@@ -1263,7 +1268,7 @@ def _(s):
 
 # --- issues ----------------------------------------------------------------------
 
-_P2 = "format('{{:.2f}}%', {0})".format
+_P2 = "format('{{:.2f}}%', round({0}, 2))".format
 _FK_MESSAGE = (f"'FK integrity ' || {_P2('integrity_pct')} || ', ' || orphaned_count || "
                "' orphaned -> ' || parent_table || '.' || parent_column")
 _ISSUES_APP = f"""issues AS (

@@ -16,10 +16,11 @@ def with_views(body: str, *ctes: str) -> str:
     return f"WITH RECURSIVE {views_sql()}" + "".join(f",\n{c}" for c in ctes) + f"\n{body}"
 
 
-def rounded(sql: str, doubles: Sequence[str]) -> str:
+def rounded(sql: str, doubles: Sequence[str], digits: Mapping[str, int]) -> str:
     if not doubles:
         return sql
-    changed = ", ".join(f'round(cast("{c}" AS double), 6) + 0.0 AS "{c}"' for c in doubles)
+    changed = ", ".join(f'round(cast("{c}" AS double), {digits.get(c, 6)}) + 0.0 AS "{c}"'
+                        for c in doubles)
     return f"SELECT * REPLACE ({changed}) FROM (\n{sql}\n)"
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Columns handled by one wide aggregate. Wider tables are split: each part reads
 # only its own columns, so the bytes scanned stay the same.
@@ -78,6 +79,50 @@ def melt(df: DataFrame, exprs: dict[str, Column], keep: Sequence[str] = ()) -> D
     return wide.unpivot([col(k) for k in keep], [col(n) for n in names], "column", "value")
 
 
+class Series(NamedTuple):
+    """One column of one table, known by a number while its values travel."""
+
+    table: str
+    field: T.StructField
+
+
+def series_of(tables: Mapping[str, DataFrame], pick) -> list[Series]:
+    """The columns `pick(df)` chooses in each table."""
+    return [Series(name, f) for name, df in tables.items() for f in pick(df)]
+
+
+def melt_series(tables: Mapping[str, DataFrame], series: Mapping[int, Series], value
+                ) -> DataFrame:
+    """(series, value) over several tables; `value(field)` gives the one-typed value.
+
+    One relation for all tables means one shuffle for all of them, and a number is
+    shorter in it than two names.
+    """
+    by_table: dict[str, dict[str, Column]] = {}
+    for number, one in series.items():
+        by_table.setdefault(one.table, {})[str(number)] = value(one.field)
+    return union_all([melt(tables[t], exprs) for t, exprs in by_table.items()]).select(
+        F.col("column").alias("series"), "value")
+
+
+def named(series: Sequence[Series]) -> list[Column]:
+    """Columns `table` and `column` for the numbers in column `series`."""
+    names = F.array(*[F.struct(F.lit(s.table).alias("t"), F.lit(s.field.name).alias("c"))
+                      for s in series])
+    number = F.col("series").cast("int")
+    return [names[number]["t"].alias("table"), names[number]["c"].alias("column")]
+
+
+def small_relation(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A relation of schema size written as literals, so its size is known when planning."""
+    fields = T._parse_datatype_string(schema).fields
+    if not rows:
+        return spark.createDataFrame([], schema)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
+                          for v, f in zip(row, fields, strict=True)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
 def long_rows(wide: DataFrame, rows: Sequence[Sequence[tuple[str, Column]]]) -> DataFrame:
     """Turn one wide row per input row into several narrow ones."""
     structs = [F.struct(*[expr.alias(name) for name, expr in row]) for row in rows]

@@ -12,7 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.exprs import col, union_all
+from ..functions.exprs import col, small_relation, union_all
 from ..policy import AMBIGUOUS_NAMES
 from .profile import row_counts
 
@@ -36,14 +36,14 @@ def extract_columns(tables: Tables) -> DataFrame:
     """Columns as the sources declare them; keys unmarked."""
     rows = [(name, i, f.name, f.dataType.simpleString(), f.nullable, False, False, None)
             for name, df in tables.items() for i, f in enumerate(df.schema.fields, start=1)]
-    return next(iter(tables.values())).sparkSession.createDataFrame(rows, COLUMN_SCHEMA)
+    return small_relation(next(iter(tables.values())).sparkSession, rows, COLUMN_SCHEMA)
 
 
 def extract_tables(tables: Tables) -> DataFrame:
     """Row and column count per table, in load order."""
     order = [(name, i, len(df.columns)) for i, (name, df) in enumerate(tables.items(), start=1)]
     spark = next(iter(tables.values())).sparkSession
-    known = spark.createDataFrame(order, "table string, position int, column_count int")
+    known = small_relation(spark, order, "table string, position int, column_count int")
     return row_counts(tables).join(known, "table").select(
         "table", "position", "row_count", "column_count")
 

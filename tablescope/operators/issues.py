@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import ladder, pct, severity_rank, union_all
+from ..functions.exprs import ladder, pct, severity_rank, small_relation, union_all
 from ..policy import (COMPLETENESS_BANDS, FK_APP, FK_MODULE, NULL_CRITICAL_PCT, NULL_WARNING_PCT,
                       SEVERITY_ORDER, STALE_AFTER_DAYS, FkPolicy)
 
@@ -120,7 +120,7 @@ def completeness_buckets(profile: DataFrame) -> DataFrame:
     counted = rows.groupBy(heat_band(F.col("completeness")).alias("band")).agg(
         F.count(F.lit(1)).alias("n"))
     labels = [(i, label) for i, (_, label) in enumerate(COMPLETENESS_BANDS, start=1)]
-    bands = profile.sparkSession.createDataFrame(labels, "position int, band string")
+    bands = small_relation(profile.sparkSession, labels, "position int, band string")
     total = rows.agg(F.count(F.lit(1)).alias("total"), F.lit(1).alias("k"))
     n = F.coalesce("n", F.lit(0))
     return (bands.join(counted, "band", "left").withColumn("k", F.lit(1))

@@ -13,8 +13,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.exprs import (FAMILY_SQL_TYPE, chunks, col, family, long_rows, melt, pct, present,
-                               scalar_fields, union_all)
+from ..functions.exprs import (FAMILY_SQL_TYPE, Series, chunks, col, family, long_rows, melt,
+                               melt_series, named, pct, present, scalar_fields, series_of,
+                               small_relation, union_all)
 from ..policy import DEFAULT_POLICY, QualityPolicy
 
 Tables = Mapping[str, DataFrame]
@@ -95,26 +96,54 @@ def least_frequent(value: str = "value", n: str = "n") -> Column:
     return F.min(F.struct(F.col(n).alias("rank"), F.col(value).alias("value")))["value"]
 
 
-def distinct_counts(tables: Tables, approx: bool = False) -> DataFrame:
-    """(table, column, distinct_count) over scalar columns.
+def frequency_summary(tables: Tables, approx: bool = False) -> DataFrame:
+    """(table, column, row_count, null_count, distinct_count) of every column.
 
-    `approx` swaps the value shuffle for a fixed-size sketch per column: one scan
-    and no shuffle of values, at about 5 % relative error.
+    All columns of a type family, over all tables, are counted by value in one shuffle.
+    Nested columns have no distinct count. `approx` swaps the value shuffle for a
+    fixed-size sketch per column, at about 5 % relative error.
     """
+    series = series_of(tables, lambda df: df.schema.fields)
+    by_family: dict[str | None, dict[int, Series]] = {}
+    for number, one in enumerate(series):
+        by_family.setdefault(family(one.field.dataType), {})[number] = one
+
+    def value(kind: str | None):
+        if kind is None:
+            return lambda f: F.when(col(f.name).isNotNull(), F.lit(True))
+        return lambda f: present(f).cast(FAMILY_SQL_TYPE[kind])
+
     parts = []
-    for name, df in tables.items():
-        if approx:
-            for chunk in chunks(scalar_fields(df)):
-                wide = df.agg(*[F.approx_count_distinct(present(f)).alias(f"c{i}")
-                                for i, f in enumerate(chunk)])
-                parts.append(long_rows(wide, [[
-                    ("table", F.lit(name)), ("column", F.lit(f.name)),
-                    ("distinct_count", F.col(f"c{i}"))] for i, f in enumerate(chunk)]))
+    for kind, members in by_family.items():
+        melted = melt_series(tables, members, value(kind))
+        if approx or kind is None:
+            distinct = F.approx_count_distinct("value") if kind else F.lit(None).cast("bigint")
+            parts.append(melted.groupBy("series").agg(
+                F.count(F.lit(1)).alias("row_count"), F.count("value").alias("filled"),
+                distinct.alias("distinct_count")))
             continue
-        for freq in typed_frequencies(df).values():
-            parts.append(freq.groupBy("column").agg(F.count("value").alias("distinct_count"))
-                         .select(F.lit(name).alias("table"), "column", "distinct_count"))
-    return union_all(parts)
+        parts.append(melted.groupBy("series", "value").agg(F.count(F.lit(1)).alias("n"))
+                     .groupBy("series").agg(
+            F.sum("n").alias("row_count"),
+            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias(
+                "filled"), F.count("value").alias("distinct_count")))
+    return union_all(parts).select(
+        *named(series), "row_count", (F.col("row_count") - F.col("filled")).alias("null_count"),
+        "distinct_count")
+
+
+def distinct_counts(tables: Tables, approx: bool = False) -> DataFrame:
+    """(table, column, distinct_count) over scalar columns."""
+    return frequency_summary(tables, approx).where(F.col("distinct_count").isNotNull()).select(
+        "table", "column", "distinct_count")
+
+
+def schema_relation(tables: Tables) -> DataFrame:
+    """(table, ordinal, column, type, scalar): the columns as declared."""
+    rows = [(t, i, f.name, f.dataType.simpleString(), family(f.dataType) is not None)
+            for t, df in tables.items() for i, f in enumerate(df.schema.fields, start=1)]
+    return small_relation(next(iter(tables.values())).sparkSession, rows,
+                          "table string, ordinal int, column string, type string, scalar boolean")
 
 
 def column_profile(tables: Tables, approx: bool = False,
@@ -123,21 +152,21 @@ def column_profile(tables: Tables, approx: bool = False,
 
     Nested columns keep their null profile and have no distinct count.
     """
-    nulls = completeness_status(null_profile(tables), policy)
-    scalars = [(t, f.name) for t, df in tables.items() for f in scalar_fields(df)]
-    spark = next(iter(tables.values())).sparkSession
-    known = spark.createDataFrame(scalars, "table string, column string").withColumn(
-        "scalar", F.lit(True))
-    profile = (nulls.join(distinct_counts(tables, approx), ["table", "column"], "left")
-               .join(known, ["table", "column"], "left")
+    zero = F.lit(0).cast("bigint")
+    profile = (schema_relation(tables).join(frequency_summary(tables, approx),
+                                            ["table", "column"], "left")
                # an empty table has no frequency rows: its scalar columns hold 0 values
-               .withColumn("distinct_count", F.coalesce(
-                   "distinct_count", F.when(F.col("scalar"), F.lit(0)).cast("bigint")))
-               .drop("scalar")
+               .select("table", "ordinal", "column", "type",
+                       F.coalesce("row_count", zero).alias("row_count"),
+                       F.coalesce("null_count", zero).alias("null_count"),
+                       F.coalesce("distinct_count", F.when(F.col("scalar"), zero)).alias(
+                           "distinct_count"))
+               .withColumn("null_pct", pct(F.col("null_count"), F.col("row_count"), empty=0.0))
+               .withColumn("completeness", F.lit(100.0) - F.col("null_pct"))
                .withColumn("uniqueness", pct(F.col("distinct_count"), F.col("row_count"), 0.0)))
     flag = F.when((F.col("type") == "string") & (F.col("row_count") > 0)
                   & (F.col("uniqueness") < policy.enum_cardinality_pct), "POSSIBLE_ENUM")
-    return profile.withColumn("flag", flag)
+    return completeness_status(profile, policy).withColumn("flag", flag)
 
 
 def distinct_profile(tables: Tables, approx: bool = False) -> DataFrame:

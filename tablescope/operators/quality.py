@@ -7,12 +7,14 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import (chunks, col, ladder, long_rows, melt, ntz, numeric_fields, present,
-                               temporal_fields, text_fields, union_all, whole_days)
+from ..functions.exprs import (FAMILY_SQL_TYPE, Series, chunks, col, family, ladder, long_rows,
+                               melt_series, named, ntz, numeric_fields, present,
+                               small_relation, temporal_fields, text_fields, union_all,
+                               whole_days)
 from ..policy import (BASELINE_DIMENSION, COLOR_CUTS, DEFAULT_POLICY, GRADE_CUTS, LADDER_APP,
                       LADDER_MODULE, OVERALL_COLOR_CUTS, WEIGHTS4, EnumRule, NameRule,
                       QualityPolicy, SequenceRule)
-from .stats import iqr_outliers
+from .stats import outlier_counts
 
 Tables = Mapping[str, DataFrame]
 Moment = datetime | str
@@ -35,22 +37,40 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
             .where(F.col("n") > 1))
 
 
+_GROUPS = (("duplicate_groups", "count(1)"), ("surplus_rows", "sum(n - 1)"))
+
+
 def key_violations(tables: Tables, keys: Mapping[str, Sequence[str]],
                    per_column: bool = False) -> DataFrame:
-    """(table, key, duplicate_groups, severity) for each key that repeats.
+    """(table, key, duplicate_groups, surplus_rows, severity) for each key that repeats.
 
-    The whole tuple is tested; `per_column` tests each key column on its own.
+    The whole tuple is tested; `per_column` tests each key column on its own. Keys of one
+    column are counted together, one shuffle per type family for all tables.
     """
+    wanted = [(t, c) for t, key in keys.items()
+              for c in ([[k] for k in key] if per_column else [list(key)])]
+    fields = {t: {f.name: f for f in tables[t].schema.fields} for t, _ in wanted}
+    single = [Series(t, fields[t][c[0]]) for t, c in wanted if len(c) == 1]
     parts = []
-    for table, key in keys.items():
-        for columns in ([[k] for k in key] if per_column else [list(key)]):
-            parts.append(duplicate_keys(tables[table], columns).agg(
-                F.count(F.lit(1)).alias("duplicate_groups"),
-                F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows")).select(
-                F.lit(table).alias("table"), F.lit(",".join(columns)).alias("key"),
-                "duplicate_groups", "surplus_rows"))
-    return union_all(parts).where(F.col("duplicate_groups") > 0).withColumn(
-        "severity", F.lit("CRITICAL"))
+    by_family: dict[str, dict[int, Series]] = {}
+    for number, one in enumerate(single):
+        kind = family(one.field.dataType)
+        if kind is None:
+            raise ValueError(f"{one.table}.{one.field.name}: nested columns cannot be keys")
+        by_family.setdefault(kind, {})[number] = one
+    for kind, members in by_family.items():
+        repeated = (melt_series(tables, members, lambda f: present(f).cast(FAMILY_SQL_TYPE[kind]))
+                    .groupBy("series", "value").agg(F.count(F.lit(1)).alias("n"))
+                    .where(F.col("n") > 1))
+        table, column = named(single)
+        parts.append(repeated.groupBy("series").agg(*[F.expr(e).alias(name) for name, e in _GROUPS]).select(
+            table, column.alias("key"), "duplicate_groups", "surplus_rows"))
+    for t, columns in wanted:
+        if len(columns) > 1:
+            parts.append(duplicate_keys(tables[t], columns).agg(*[F.expr(e).alias(name) for name, e in _GROUPS]).select(
+                F.lit(t).alias("table"), F.lit(",".join(columns)).alias("key"),
+                "duplicate_groups", "surplus_rows").where(F.col("duplicate_groups") > 0))
+    return union_all(parts).withColumn("severity", F.lit("CRITICAL"))
 
 
 def uniqueness_score(counts: DataFrame, violations: DataFrame) -> DataFrame:
@@ -68,7 +88,7 @@ def date_columns(tables: Tables) -> DataFrame:
     """(table, column, kind): temporal columns, and text whose every value starts like a date."""
     spark = next(iter(tables.values())).sparkSession
     typed = [(t, f.name, "type") for t, df in tables.items() for f in temporal_fields(df)]
-    parts = [spark.createDataFrame(typed, "table string, column string, kind string")]
+    parts = [small_relation(spark, typed, "table string, column string, kind string")]
     for name, df in tables.items():
         for chunk in chunks(text_fields(df)):
             wide = df.agg(*[F.bool_and(F.coalesce(col(f.name).rlike(r"^\d{4}-\d{2}-\d{2}"),
@@ -275,17 +295,13 @@ def sequence_violations_across(child: DataFrame, later: str, key: str, parent: D
 def outlier_violations(tables: Tables, policy: QualityPolicy = DEFAULT_POLICY,
                        approx: bool = False) -> DataFrame:
     """Numeric columns whose share of outliers passes the warning limit."""
-    parts = []
-    for name, df in tables.items():
-        if numeric_fields(df):
-            parts.append(iqr_outliers(df, None, policy.iqr_multiplier, policy.outlier_warning_pct,
-                                      approx).where("warning").select(
-                F.lit(name).alias("table"), "column", F.lit("OUTLIER_WARNING").alias("code"),
-                F.col("outlier_count").alias("n")))
-    if not parts:
+    if not any(numeric_fields(df) for df in tables.values()):
         spark = next(iter(tables.values())).sparkSession
         return spark.createDataFrame([], VIOLATION_SCHEMA)
-    return union_all(parts)
+    return outlier_counts(tables, None, policy.iqr_multiplier, policy.outlier_warning_pct,
+                          approx).where("warning").select(
+        "table", "column", F.lit("OUTLIER_WARNING").alias("code"),
+        F.col("outlier_count").alias("n"))
 
 
 def penalty_score(counts: DataFrame, violations: DataFrame, penalty: float,

@@ -18,27 +18,29 @@ What reaches the driver is one row per column and order statistic.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import (chunks, long_rows, melt, numeric_fields, present, union_all)
-from .profile import typed_frequencies
+from ..functions.exprs import (Series, melt_series, named, numeric_fields, present, series_of,
+                               small_relation, union_all)
+
+Tables = Mapping[str, DataFrame]
 
 QUARTILES = (0.25, 0.5, 0.75)
 MAX_SORTED_VALUES = 200_000
 SLICES = 65_536
 LOG_STEPS = 4_096
-# more columns per aggregate would exceed what the JVM compiles to machine code
-COLUMNS_PER_AGGREGATE = 4
+BOX_SCHEMA = ("series string, box int, low double, high double, below bigint, "
+              "ranks array<bigint>")
 
 
 @dataclass
 class _Box:
-    """A value range known to hold some order statistics (0-based ranks)."""
+    """A value range known to hold some order statistics (0-based ranks) of a series."""
 
-    column: str
+    series: int
     low: float
     high: float
     below: int
@@ -47,25 +49,18 @@ class _Box:
     whole: bool = True
 
 
-def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    fields = numeric_fields(df, columns)
-    return melt(df, {f.name: present(f).cast("double") for f in fields}).where(
-        F.col("value").isNotNull())
+def values(tables: Tables, series: Mapping[int, Series]) -> DataFrame:
+    """(series, value) of numeric columns as doubles."""
+    return melt_series(tables, series, lambda f: present(f).cast("double"))
 
 
-def _bounds(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, int, float, float, int]]:
-    """(column, count, min, max, estimated distinct) from fixed-size aggregates."""
-    parts = []
-    for chunk in chunks(numeric_fields(df, columns), COLUMNS_PER_AGGREGATE):
-        value = [present(f).cast("double") for f in chunk]
-        wide = df.agg(*[agg for i, v in enumerate(value)
-                        for agg in (F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"),
-                                    F.max(v).alias(f"hi{i}"),
-                                    F.approx_count_distinct(v).alias(f"d{i}"))])
-        parts.append(long_rows(wide, [[
-            ("column", F.lit(f.name)), ("n", F.col(f"n{i}")), ("lo", F.col(f"lo{i}")),
-            ("hi", F.col(f"hi{i}")), ("d", F.col(f"d{i}"))] for i, f in enumerate(chunk)]))
-    return [(r["column"], r["n"], r["lo"], r["hi"], r["d"]) for r in union_all(parts).collect()]
+def _bounds(tables: Tables, series: Mapping[int, Series]) -> list[tuple]:
+    """(series, count, min, max, estimated distinct): fixed-size buffers, one shuffle of them."""
+    v = F.col("value")
+    rows = values(tables, series).where(v.isNotNull()).groupBy("series").agg(
+        F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+        F.approx_count_distinct(v).alias("d")).collect()
+    return sorted((int(r["series"]), r["n"], r["lo"], r["hi"], r["d"]) for r in rows)
 
 
 def _log_slice(value: Column) -> Column:
@@ -80,28 +75,31 @@ def _even_slice(value: Column, low: Column, high: Column) -> Column:
     return F.least(F.floor(share * SLICES), F.lit(SLICES - 1)).cast("bigint")
 
 
-def _box_frame(df: DataFrame, boxes: Sequence[_Box]) -> DataFrame:
+def _box_frame(tables: Tables, boxes: Sequence[_Box]) -> DataFrame:
     """One row per open box: at most columns times wanted ranks, so it is broadcast."""
-    return F.broadcast(df.sparkSession.createDataFrame(
-        [(b.column, i, b.low, b.high, b.below, b.ranks) for i, b in enumerate(boxes)],
-        "column string, box int, low double, high double, below bigint, ranks array<bigint>"))
+    spark = next(iter(tables.values())).sparkSession
+    return F.broadcast(small_relation(spark, [
+        (str(b.series), i, b.low, b.high, b.below, b.ranks) for i, b in enumerate(boxes)],
+        BOX_SCHEMA))
 
 
-def _in_boxes(df: DataFrame, boxes: Sequence[_Box]) -> DataFrame:
+def _in_boxes(tables: Tables, series: Mapping[int, Series], boxes: Sequence[_Box]) -> DataFrame:
     """(box, value, low, high) of the rows that fall inside a box."""
-    frame = _box_frame(df, boxes).select("column", "box", "low", "high")
-    return (_values(df, sorted({b.column for b in boxes})).join(F.broadcast(frame), "column")
-            .where(F.col("value").between(F.col("low"), F.col("high"))))
+    frame = F.broadcast(_box_frame(tables, boxes).select("series", "box", "low", "high"))
+    wanted = {b.series: series[b.series] for b in boxes}
+    return values(tables, wanted).join(frame, "series").where(
+        F.col("value").between(F.col("low"), F.col("high")))
 
 
-def _narrow(df: DataFrame, boxes: Sequence[_Box], first: bool) -> list[_Box]:
+def _narrow(tables: Tables, series: Mapping[int, Series], boxes: Sequence[_Box],
+            first: bool) -> list[_Box]:
     """Replace each box by the slices of it that hold its ranks."""
     value = F.col("value")
     piece = _log_slice(value) if first else _even_slice(value, F.col("low"), F.col("high"))
-    counts = (_in_boxes(df, boxes).withColumn("piece", piece).groupBy("box", "piece")
+    counts = (_in_boxes(tables, series, boxes).withColumn("piece", piece).groupBy("box", "piece")
               .agg(F.count(F.lit(1)).alias("rows"), F.min("value").alias("slice_low"),
                    F.max("value").alias("slice_high"))
-              .join(_box_frame(df, boxes), "box"))
+              .join(_box_frame(tables, boxes), "box"))
     # at most SLICES (or the log scale's) rows per box: a bounded running sum
     running = Window.partitionBy("box").orderBy("piece").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -110,100 +108,99 @@ def _narrow(df: DataFrame, boxes: Sequence[_Box], first: bool) -> list[_Box]:
             .withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("from"))
                                           & (r < F.col("upto"))))
             .where(F.size("ranks") > 0))
-    return [_Box(r["column"], r["slice_low"], r["slice_high"], r["from"], r["rows"],
+    return [_Box(int(r["series"]), r["slice_low"], r["slice_high"], r["from"], r["rows"],
                  list(r["ranks"]), whole=False) for r in hits.collect()]
 
 
-def _rank_values(df: DataFrame, boxes: Sequence[_Box]) -> DataFrame:
-    """(column, rank, value) for the ranks of boxes narrow enough to sort.
+def _rank_values(tables: Tables, series: Mapping[int, Series], boxes: Sequence[_Box]
+                 ) -> DataFrame:
+    """(series, rank, value) for the ranks of boxes narrow enough to sort.
 
     Values are counted before anything is sorted, so a box sorts distinct values.
     """
-    frame = _box_frame(df, boxes)
+    frame = _box_frame(tables, boxes)
+    number = {id(b): i for i, b in enumerate(boxes)}
     parts = []
-    whole = sorted({b.column for b in boxes if b.whole})
+    whole = {b.series: series[b.series] for b in boxes if b.whole}
     if whole:
-        for freq in typed_frequencies(df, whole).values():
-            parts.append(freq.where(F.col("value").isNotNull())
-                         .withColumn("value", F.col("value").cast("double"))
-                         .join(F.broadcast(frame.select("column", "box")), "column")
-                         .select("box", "value", "n"))
+        parts.append(values(tables, whole).where(F.col("value").isNotNull())
+                     .groupBy("series", "value").agg(F.count(F.lit(1)).alias("n"))
+                     .join(F.broadcast(frame.select("series", "box")), "series")
+                     .select("box", "value", "n"))
     part = [b for b in boxes if not b.whole]
     if part:
-        offset = {id(b): i for i, b in enumerate(boxes)}
-        numbering = F.array(*[F.lit(offset[id(b)]) for b in part])
-        parts.append(_in_boxes(df, part).groupBy("box", "value").agg(F.count(F.lit(1)).alias("n"))
-                     .withColumn("box", numbering[F.col("box")]))
+        renumber = F.array(*[F.lit(number[id(b)]) for b in part])
+        parts.append(_in_boxes(tables, series, part).groupBy("box", "value")
+                     .agg(F.count(F.lit(1)).alias("n"))
+                     .withColumn("box", renumber[F.col("box")]))
     running = Window.partitionBy("box").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (union_all(parts).withColumn("upto", F.sum("n").over(running))
             .join(frame, "box").withColumn("upto", F.col("upto") + F.col("below"))
-            .select("column", "value", F.explode(F.filter(
+            .select("series", "value", F.explode(F.filter(
                 "ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto"))
             )).alias("rank")))
 
 
-def quantiles(df: DataFrame, columns: Sequence[str] | None = None,
-              probs: Sequence[float] = QUARTILES, approx: bool = False,
-              max_sorted_values: int = MAX_SORTED_VALUES) -> DataFrame:
-    """(column, n, q0, q1, ...): linearly interpolated quantiles of numeric columns.
+def series_quantiles(tables: Tables, series: Mapping[int, Series],
+                     probs: Sequence[float] = QUARTILES, approx: bool = False,
+                     max_sorted_values: int = MAX_SORTED_VALUES) -> DataFrame:
+    """(series, n, q0, q1, ...): linearly interpolated quantiles of numeric series.
 
-    Exact by default; builds its boxes with small jobs while being called.
-    `approx` uses one `percentile_approx` aggregate instead. Columns without values
-    give no row.
+    Exact by default; builds its boxes with small jobs while being called. `approx` uses
+    one `percentile_approx` aggregate instead. Series without values give no row.
     """
-    fields = numeric_fields(df, columns)
-    names = [f.name for f in fields]
+    names = [f"q{i}" for i in range(len(probs))]
     if approx:
-        parts = []
-        for chunk in chunks(fields):
-            wide = df.agg(*[agg for i, f in enumerate(chunk)
-                            for v in [present(f).cast("double")]
-                            for agg in (F.count(v).alias(f"n{i}"), F.percentile_approx(
-                                v, list(probs)).alias(f"q{i}"))])
-            rows = [F.struct(F.lit(f.name).alias("column"), F.col(f"n{i}").alias("n"),
-                             F.col(f"q{i}").alias("q")) for i, f in enumerate(chunk)]
-            parts.append(wide.select(F.inline(F.array(*rows))))
-        return union_all(parts).where(F.col("n") > 0).select(
-            "column", "n", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
-
-    wanted, small, large = [], [], []
-    for name, n, low, high, distinct in _bounds(df, names):
-        if not n:
-            continue
+        sketch = values(tables, series).where(F.col("value").isNotNull()).groupBy("series").agg(
+            F.count("value").alias("n"), F.percentile_approx("value", list(probs)).alias("q"))
+        return sketch.select("series", "n", *[F.col("q")[i].alias(q) for i, q in
+                                              enumerate(names)])
+    wanted, ready, large = [], [], []
+    for number, n, low, high, distinct in _bounds(tables, series):
         cuts = [(math.floor(p * (n - 1)), math.ceil(p * (n - 1)), p * (n - 1)) for p in probs]
-        wanted.append((name, n, [c[0] for c in cuts], [c[1] for c in cuts],
+        wanted.append((str(number), n, [c[0] for c in cuts], [c[1] for c in cuts],
                        [c[2] - c[0] for c in cuts]))
-        ranks = sorted({r for c in cuts for r in c[:2]})
-        box = _Box(name, low, high, 0, n, ranks)
+        box = _Box(number, low, high, 0, n, sorted({r for c in cuts for r in c[:2]}))
         # the estimate may be off by a few percent, hence the margin
-        (small if min(n, 1.2 * distinct) <= max_sorted_values else large).append(box)
-
+        (ready if min(n, 1.2 * distinct) <= max_sorted_values else large).append(box)
     first = True
     while large:
-        narrowed = _narrow(df, large, first)
-        first = False
-        large = []
+        narrowed = _narrow(tables, series, large, first)
+        first, large = False, []
         for box in narrowed:
             done = box.rows <= max_sorted_values or box.low == box.high
-            (small if done else large).append(box)
-
-    spark = df.sparkSession
-    plan = spark.createDataFrame(
-        wanted, "column string, n bigint, lo array<bigint>, hi array<bigint>, frac array<double>")
-    if not small:
-        return plan.select("column", "n", *[F.lit(None).cast("double").alias(f"q{i}")
-                                            for i in range(len(probs))])
+            (ready if done else large).append(box)
+    spark = next(iter(tables.values())).sparkSession
+    if not ready:
+        return spark.createDataFrame([], "series string, n bigint, " + ", ".join(
+            f"{q} double" for q in names))
+    plan = small_relation(spark, wanted, "series string, n bigint, lo array<bigint>, "
+                                         "hi array<bigint>, frac array<double>")
     # at most two ranks per probability: the map stays tiny
-    found = _rank_values(df, small).groupBy("column").agg(
+    found = _rank_values(tables, series, ready).groupBy("series").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
-    joined = found.join(F.broadcast(plan), "column")
 
     def at(i: int) -> Column:
         low, high = F.col("at")[F.col("lo")[i]], F.col("at")[F.col("hi")[i]]
         return low + (high - low) * F.col("frac")[i]
 
-    return joined.select("column", "n", *[at(i).alias(f"q{i}") for i in range(len(probs))])
+    return found.join(F.broadcast(plan), "series").select(
+        "series", "n", *[at(i).alias(q) for i, q in enumerate(names)])
+
+
+def numeric_series(tables: Tables, columns: Sequence[str] | None = None) -> list[Series]:
+    return series_of(tables, lambda df: numeric_fields(df, columns))
+
+
+def quantiles(df: DataFrame, columns: Sequence[str] | None = None,
+              probs: Sequence[float] = QUARTILES, approx: bool = False,
+              max_sorted_values: int = MAX_SORTED_VALUES) -> DataFrame:
+    """(column, n, q0, q1, ...) of the numeric columns of one table."""
+    tables = {"": df}
+    series = numeric_series(tables, columns)
+    found = series_quantiles(tables, dict(enumerate(series)), probs, approx, max_sorted_values)
+    return found.select(named(series)[1], "n", *[f"q{i}" for i in range(len(probs))])
 
 
 def quartiles(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
@@ -214,9 +211,20 @@ def quartiles(df: DataFrame, columns: Sequence[str] | None = None, approx: bool
         F.col("q2").alias("q3"), (F.col("q2") - F.col("q0")).alias("iqr"))
 
 
+def _limits(multiplier: float) -> list[Column]:
+    reach = F.lit(multiplier) * (F.col("q3") - F.col("q1"))
+    return [(F.col("q1") - reach).alias("lower_fence"), (F.col("q3") + reach).alias("upper_fence")]
+
+
 def fences(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5,
            approx: bool = False) -> DataFrame:
     """Quartiles plus the two outlier limits."""
-    return (quartiles(df, columns, approx)
-            .withColumn("lower_fence", F.col("q1") - F.lit(multiplier) * F.col("iqr"))
-            .withColumn("upper_fence", F.col("q3") + F.lit(multiplier) * F.col("iqr")))
+    return quartiles(df, columns, approx).select("*", *_limits(multiplier))
+
+
+def series_fences(tables: Tables, series: Mapping[int, Series], multiplier: float = 1.5,
+                  approx: bool = False) -> DataFrame:
+    """(series, q1, q3, lower_fence, upper_fence); one row per series."""
+    return series_quantiles(tables, series, (0.25, 0.75), approx).select(
+        "series", F.col("q0").alias("q1"), F.col("q1").alias("q3")).select(
+        "*", *_limits(multiplier))

@@ -13,7 +13,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.exprs import FAMILY_SQL_TYPE, col, family, melt, pct, present, union_all
+from ..functions.exprs import (FAMILY_SQL_TYPE, col, family, melt, pct, present, small_relation,
+                               union_all)
 from ..policy import FK_BREACH_PCT
 
 Tables = Mapping[str, DataFrame]
@@ -37,7 +38,7 @@ FK_SCHEMA = ("child_table string, child_column string, parent_table string, "
 
 def fk_relation(spark: SparkSession, fks: Sequence[ForeignKey]) -> DataFrame:
     """Foreign keys as a relation; its size is that of the schema."""
-    return spark.createDataFrame([tuple(fk) for fk in fks], FK_SCHEMA)
+    return small_relation(spark, [tuple(fk) for fk in fks], FK_SCHEMA)
 
 
 def fk_list(fks: DataFrame) -> list[ForeignKey]:
@@ -105,7 +106,7 @@ def relationship_stats(tables: Tables, fks: Sequence[ForeignKey]) -> DataFrame:
         F.count_if(real & has_parent).alias("parent_distinct"),
         F.count_if(real & has_child & has_parent).alias("matched_distinct"))
     spark = next(iter(tables.values())).sparkSession
-    known = spark.createDataFrame([(fk.label, *fk) for fk in fks], f"fk string, {FK_SCHEMA}")
+    known = small_relation(spark, [(fk.label, *fk) for fk in fks], f"fk string, {FK_SCHEMA}")
     counts = [c for c in measured.columns if c != "fk"]
     # an FK between two empty tables has no key rows at all
     return known.join(measured, "fk", "left").select(

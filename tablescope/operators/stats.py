@@ -7,11 +7,10 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import (chunks, col, long_rows, melt, numeric_fields, pct, present,
-                               scalar_fields, temporal_fields, text_fields, union_all, whole_days,
-                               ntz)
-from .profile import most_frequent, least_frequent, typed_frequencies, value_freq
-from .quantiles import fences, quartiles
+from ..functions.exprs import (chunks, col, long_rows, melt, named, ntz, numeric_fields, pct,
+                               present, temporal_fields, text_fields, union_all, whole_days)
+from .profile import least_frequent, most_frequent, typed_frequencies
+from .quantiles import fences, numeric_series, quartiles, series_fences, values
 
 # wider aggregates exceed what the JVM compiles to machine code
 PAIRS_PER_AGGREGATE = 14
@@ -182,17 +181,28 @@ def _against_fences(df: DataFrame, limits: DataFrame, columns: Sequence[str] | N
         F.broadcast(limits), "column")
 
 
+def outlier_counts(tables: Mapping[str, DataFrame], columns: Sequence[str] | None = None,
+                   multiplier: float = 1.5, warning_pct: float = 5.0, approx: bool = False
+                   ) -> DataFrame:
+    """Values beyond the fences per numeric column of several tables, as a share of all rows."""
+    series = numeric_series(tables, columns)
+    numbered = dict(enumerate(series))
+    outside = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
+    # one row per column: a broadcast bounded by the schema
+    limits = F.broadcast(series_fences(tables, numbered, multiplier, approx))
+    counted = values(tables, numbered).join(limits, "series").groupBy(
+        "series", "q1", "q3", "lower_fence", "upper_fence").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(outside).alias("outlier_count"))
+    return counted.select(
+        *named(series), "q1", "q3", "lower_fence", "upper_fence", "row_count", "outlier_count",
+        pct(F.col("outlier_count"), F.col("row_count"), 0.0).alias("outlier_pct")).withColumn(
+        "warning", F.col("outlier_pct") > warning_pct)
+
+
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5,
                  warning_pct: float = 5.0, approx: bool = False) -> DataFrame:
-    """Values beyond the fences per numeric column, as a share of all rows."""
-    outside = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
-    limits = fences(df, columns, multiplier, approx)
-    counted = (_against_fences(df, limits, columns)
-               .groupBy("column", "q1", "q3", "lower_fence", "upper_fence")
-               .agg(F.count(F.lit(1)).alias("row_count"),
-                    F.count_if(outside).alias("outlier_count")))
-    return counted.withColumn("outlier_pct", pct(F.col("outlier_count"), F.col("row_count"), 0.0)
-                              ).withColumn("warning", F.col("outlier_pct") > warning_pct)
+    """Values beyond the fences per numeric column of one table."""
+    return outlier_counts({"": df}, columns, multiplier, warning_pct, approx).drop("table")
 
 
 def outlier_points(df: DataFrame, key: str, columns: Sequence[str] | None = None,
