@@ -7,7 +7,7 @@ which an engine adds decides the last digits.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -29,9 +29,12 @@ class Source:
 
     spark: SparkSession
     sf_dir: str
+    opened: dict[str, DataFrame] = field(default_factory=dict)
 
     def t(self, name: str) -> DataFrame:
-        return data.table(self.spark, self.sf_dir, name)
+        if name not in self.opened:
+            self.opened[name] = data.table(self.spark, self.sf_dir, name)
+        return self.opened[name]
 
     def tables(self, names=None) -> dict[str, DataFrame]:
         chosen = sql.same(SCHEMA) if names is None else names
@@ -164,9 +167,18 @@ def _(s):
     return prof.distinct_profile(s.tables())
 
 
-@query("distinct_profile_approx")
+# sketches are checked for their error, since no two sketches agree to the digit
+@query("distinct_profile_approx", sql.with_views(
+    'SELECT "table", "column", row_count, true AS close FROM prof',
+    *sql.profile_ctes(sql.same(["lineitem", "orders"]))))
 def _(s):
-    return prof.distinct_profile(s.tables(["lineitem", "orders"]), approx=True)
+    tables = s.tables(["lineitem", "orders"])
+    exact = prof.distinct_profile(tables).select("table", "column", F.col("distinct_count").alias(
+        "exact"))
+    return prof.distinct_profile(tables, approx=True).join(exact, ["table", "column"]).select(
+        "table", "column", "row_count",
+        (F.abs(F.col("distinct_count") - F.col("exact")) <= 0.2 * F.col("exact") + 1).alias(
+            "close"))
 
 
 @query("column_profile", sql.with_views(
@@ -295,9 +307,16 @@ for _view in ("lineitem", "d_orders", "events", "d_customer"):
         return stats.numeric_stats(s.t(view))
 
 
-@query("numeric_stats_approx")
+@query("numeric_stats_approx", sql.with_views(sql.union([
+    f"SELECT '{c}' AS \"column\", count({c}) AS \"count\", true AS close FROM lineitem"
+    for c in _numeric("lineitem")])))
 def _(s):
-    return stats.numeric_stats(s.t("lineitem"), approx=True)
+    near = stats.numeric_stats(s.t("lineitem"), approx=True)
+    exact = stats.quartiles(s.t("lineitem")).select("column", *[
+        F.col(c).alias(f"exact_{c}") for c in ("q1", "median", "q3")])
+    off = F.greatest(*[F.abs(F.col(c) - F.col(f"exact_{c}")) for c in ("q1", "median", "q3")])
+    return near.join(exact, "column").select(
+        "column", "count", (off <= F.lit(0.02) * F.col("range")).alias("close"))
 
 
 @query("basic_stats", sql.with_views(sql.union([

@@ -65,18 +65,53 @@ def text_fields(df: DataFrame, columns: Sequence[str] | None = None) -> list[T.S
     return [f for f in scalar_fields(df, columns) if isinstance(f.dataType, T.StringType)]
 
 
-def present(field: T.StructField) -> Column:
-    """The value, with NaN read as missing."""
+def quoted(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(value) -> str:
+    """A Python value as SQL text."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, int):
+        return f"{value}L" if abs(value) > 2**31 - 1 else str(value)
+    if isinstance(value, float):
+        return f"double('{value!r}')"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(literal(v) for v in value) + ")"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def present(field: T.StructField) -> str:
+    """SQL text of the value, with NaN read as missing."""
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        return F.nanvl(col(field.name), F.lit(None).cast(field.dataType))
-    return col(field.name)
+        return f"nanvl({quoted(field.name)}, NULL)"
+    return quoted(field.name)
 
 
-def melt(df: DataFrame, exprs: dict[str, Column], keep: Sequence[str] = ()) -> DataFrame:
+def cast(expr: str, kind: str) -> str:
+    """SQL text of an expression in the value type of a family."""
+    return f"cast({expr} AS {FAMILY_SQL_TYPE[kind]})"
+
+
+def number(field: T.StructField) -> str:
+    """SQL text of a numeric column as double, NaN as missing."""
+    return cast(present(field), "fractional")
+
+
+def measure(df: DataFrame, exprs: Mapping[str, str]) -> DataFrame:
+    """Aggregates or projections given as SQL text, in one call."""
+    return df.selectExpr(*[f"{e} AS {quoted(name)}" for name, e in exprs.items()])
+
+
+def melt(df: DataFrame, exprs: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
     """Long form (column, value) of the named expressions, all of one type."""
-    names = list(exprs)
-    wide = df.select(*[col(k) for k in keep], *[e.alias(n) for n, e in exprs.items()])
-    return wide.unpivot([col(k) for k in keep], [col(n) for n in names], "column", "value")
+    held = [quoted(k) for k in keep]
+    wide = df.selectExpr(*held, *[f"{e} AS {quoted(name)}" for name, e in exprs.items()])
+    return wide.unpivot(held, [quoted(name) for name in exprs], "column", "value")
 
 
 class Series(NamedTuple):
@@ -93,40 +128,42 @@ def series_of(tables: Mapping[str, DataFrame], pick) -> list[Series]:
 
 def melt_series(tables: Mapping[str, DataFrame], series: Mapping[int, Series], value
                 ) -> DataFrame:
-    """(series, value) over several tables; `value(field)` gives the one-typed value.
+    """(series, value) over several tables; `value(field)` is SQL text of one type.
 
     One relation for all tables means one shuffle for all of them, and a number is
     shorter in it than two names.
     """
-    by_table: dict[str, dict[str, Column]] = {}
+    by_table: dict[str, dict[str, str]] = {}
     for number, one in series.items():
         by_table.setdefault(one.table, {})[str(number)] = value(one.field)
-    return union_all([melt(tables[t], exprs) for t, exprs in by_table.items()]).select(
-        F.col("column").alias("series"), "value")
+    return union_all([melt(tables[t], exprs) for t, exprs in by_table.items()]
+                     ).withColumnRenamed("column", "series")
 
 
 def named(series: Sequence[Series]) -> list[Column]:
     """Columns `table` and `column` for the numbers in column `series`."""
-    names = F.array(*[F.struct(F.lit(s.table).alias("t"), F.lit(s.field.name).alias("c"))
-                      for s in series])
-    number = F.col("series").cast("int")
-    return [names[number]["t"].alias("table"), names[number]["c"].alias("column")]
+    names = ", ".join(f"struct({literal(s.table)}, {literal(s.field.name)})" for s in series)
+    entry = f"array({names})[cast(series AS int)]"
+    return [F.expr(f"{entry}.col1").alias("table"), F.expr(f"{entry}.col2").alias("column")]
 
 
 def small_relation(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
     """A relation of schema size written as literals, so its size is known when planning."""
-    fields = T._parse_datatype_string(schema).fields
     if not rows:
         return spark.createDataFrame([], schema)
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
-                          for v, f in zip(row, fields, strict=True)]) for row in rows]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+    fields = T._parse_datatype_string(schema).fields
+    names = [f"c{i}" for i in range(len(fields))]
+    body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    casts = ", ".join(f"cast({n} AS {f.dataType.simpleString()}) AS {quoted(f.name)}"
+                      for n, f in zip(names, fields))
+    return spark.sql(f"SELECT {casts} FROM VALUES {body} AS v({', '.join(names)})")
 
 
-def long_rows(wide: DataFrame, rows: Sequence[Sequence[tuple[str, Column]]]) -> DataFrame:
-    """Turn one wide row per input row into several narrow ones."""
-    structs = [F.struct(*[expr.alias(name) for name, expr in row]) for row in rows]
-    return wide.select(F.inline(F.array(*structs)))
+def long_rows(wide: DataFrame, rows: Sequence[Mapping[str, str]]) -> DataFrame:
+    """Turn one wide row per input row into several narrow ones; cells are SQL text."""
+    structs = ", ".join("named_struct(" + ", ".join(
+        f"{literal(name)}, {e}" for name, e in row.items()) + ")" for row in rows)
+    return wide.selectExpr(f"inline(array({structs}))")
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -160,14 +197,14 @@ def ntz(value: Column) -> Column:
     return value.cast("timestamp_ntz")
 
 
-def whole_days(start: Column, end: Column) -> Column:
-    """Elapsed whole days, rounded down, also when `end` lies before `start`."""
-    start, end = ntz(start), ntz(end)
+def whole_days(start: str, end: str) -> str:
+    """SQL text of the elapsed whole days, rounded down, also when `end` is before `start`."""
+    start, end = cast(start, "timestamp"), cast(end, "timestamp")
 
-    def clock(moment: Column) -> Column:
-        return moment - ntz(moment.cast("date"))
+    def clock(moment: str) -> str:
+        return f"({moment} - cast(cast({moment} AS date) AS timestamp_ntz))"
 
-    return F.datediff(end, start) - F.when(clock(end) < clock(start), 1).otherwise(0)
+    return f"(datediff({end}, {start}) - if({clock(end)} < {clock(start)}, 1, 0))"
 
 
 def severity_rank(severity: Column, order: Sequence[str]) -> Column:

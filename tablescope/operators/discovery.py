@@ -6,8 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import (FAMILY_SQL_TYPE, chunks, col, family, long_rows, melt, present,
-                               scalar_fields, union_all)
+from ..functions.exprs import (cast, chunks, col, family, literal, long_rows, measure, melt,
+                               present, scalar_fields, union_all)
 
 Tables = Mapping[str, DataFrame]
 
@@ -78,12 +78,10 @@ def _value_masks(tables: Tables, members: Sequence[tuple[str, str]], kind: str)
         if not mine:
             continue
         fields = {f.name: f for f in df.schema.fields}
-        long = melt(df, {str(i): present(fields[c]).cast(FAMILY_SQL_TYPE[kind]) for i, c in mine})
-        index = F.col("column").cast("int")
-        melted.append(long.where(F.col("value").isNotNull()).select("value", *[
-            F.when(F.floor(index / WORD_BITS) == w,
-                   F.expr(f"shiftleft(1L, cast(column as int) - {w * WORD_BITS})"))
-            .otherwise(F.lit(0)).cast("bigint").alias(f"w{w}") for w in range(words)]))
+        long = melt(df, {str(i): cast(present(fields[c]), kind) for i, c in mine})
+        melted.append(long.where("value IS NOT NULL").selectExpr("value", *[
+            f"if(int(column) DIV {WORD_BITS} = {w}, shiftleft(1L, int(column) - "
+            f"{w * WORD_BITS}), 0L) AS w{w}" for w in range(words)]))
     return union_all(melted).groupBy("value").agg(
         *[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)])
 
@@ -101,35 +99,34 @@ def inclusions(tables: Tables) -> DataFrame:
         masks = _value_masks(tables, members, kind)
         words = range((len(members) - 1) // WORD_BITS + 1)
         for chunk in chunks(list(range(len(members))), MASK_COLUMNS_PER_AGGREGATE):
-            aggs, rows = [], []
+            aggs, rows = {}, []
             for i in chunk:
                 word, bit = _bit(i)
-                holds = F.col(f"w{word}").bitwiseAND(F.lit(bit)) != 0
-                aggs.append(F.count_if(holds).alias(f"n{i}"))
-                aggs += [F.bit_and(F.when(holds, F.col(f"w{w}"))).alias(f"m{i}_{w}")
-                         for w in words]
-                rows.append([("left_id", F.lit(i)), ("left_distinct", F.col(f"n{i}")),
-                             ("masks", F.array(*[F.col(f"m{i}_{w}") for w in words]))])
-            parts.append(_containing(long_rows(masks.agg(*aggs), rows), members, kind))
+                holds = f"(w{word} & {bit}L) <> 0"
+                aggs[f"n{i}"] = f"count_if({holds})"
+                aggs |= {f"m{i}_{w}": f"bit_and(if({holds}, w{w}, NULL))" for w in words}
+                rows.append({"left_id": str(i), "left_distinct": f"n{i}", "masks": "array("
+                             + ", ".join(f"m{i}_{w}" for w in words) + ")"})
+            parts.append(_containing(long_rows(measure(masks, aggs), rows), members, kind))
     return union_all(parts)
 
 
 def _containing(found: DataFrame, members: Sequence[tuple[str, str]], kind: str) -> DataFrame:
     """Read the standing bits back into columns. One row per column of the schema."""
-    names = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c")) for t, c in members])
-    bits = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(_bit(i)[0]).alias("word"),
-                              F.lit(_bit(i)[1]).cast("bigint").alias("bit"))
-                     for i in range(len(members))])
-    return (found.where(F.col("left_distinct") > 0)
-            .withColumn("right", F.explode(F.filter(
-                bits, lambda b: (F.element_at("masks", b["word"] + 1).bitwiseAND(b["bit"]) != 0)
-                & (b["id"] != F.col("left_id")))))
-            .select(F.lit(kind).alias("family"),
-                    names[F.col("left_id")]["t"].alias("child_table"),
-                    names[F.col("left_id")]["c"].alias("child_column"),
-                    names[F.col("right.id")]["t"].alias("parent_table"),
-                    names[F.col("right.id")]["c"].alias("parent_column"),
-                    F.col("left_distinct").alias("child_distinct")))
+    names = "array(" + ", ".join(f"named_struct('t', {literal(t)}, 'c', {literal(c)})"
+                                 for t, c in members) + ")"
+    bits = "array(" + ", ".join(
+        f"named_struct('id', {i}, 'word', {_bit(i)[0]}, 'bit', {_bit(i)[1]}L)"
+        for i in range(len(members))) + ")"
+    return (found.where("left_distinct > 0")
+            .selectExpr("left_id", "left_distinct", f"""explode(filter({bits}, b ->
+                (masks[b.word] & b.bit) <> 0 AND b.id <> left_id)) AS hit""")
+            .withColumn("right_id", F.col("hit.id"))
+            .selectExpr(f"{literal(kind)} AS family",
+                        f"{names}[left_id].t AS child_table", f"{names}[left_id].c AS child_column",
+                        f"{names}[right_id].t AS parent_table",
+                        f"{names}[right_id].c AS parent_column",
+                        "left_distinct AS child_distinct"))
 
 
 def name_similarity(a: Column, b: Column) -> Column:

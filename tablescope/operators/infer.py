@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.exprs import chunks, col, long_rows, text_fields, union_all
+from ..functions.exprs import (chunks, literal, long_rows, measure, quoted, text_fields,
+                               union_all)
 
 # --- fixed values: patterns and shares -------------------------------------------
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -34,40 +35,47 @@ MOMENT_FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS
                   "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "MM/dd/yyyy")
 
 
-def _value(name: str) -> Column:
-    """The text of a cell; an empty cell is missing."""
-    return F.when(col(name) != "", col(name))
+def _value(name: str) -> str:
+    """SQL text of a cell; an empty cell is missing."""
+    return f"nullif({quoted(name)}, '')"
 
 
-def _number(value: Column) -> Column:
-    return F.when(value.rlike(NUMBER), F.trim(value)).try_cast("double")
+def _like(value: str, pattern: str) -> str:
+    return f"({value} RLIKE {literal(pattern)})"
 
 
-def _evidence(name: str, mode: str) -> list[Column]:
-    """Aggregates that decide the type of one column; booleans or shares."""
-    v = _value(name)
-    if mode == "strict":
-        number = _number(v)
-        return [F.bool_and(v.rlike(NUMBER)), F.bool_and(number == F.floor(number)),
-                F.greatest(*[F.avg(v.rlike(p).cast("double"))
-                             for p in (ISO_DATE, SLASH_DATE, ISO_MOMENT)])]
-    if mode == "regex100":
-        return [F.bool_and(v.rlike(PLAIN_INTEGER)), F.bool_and(v.rlike(PLAIN_DECIMAL)),
-                F.avg(v.rlike(ISO_DATE).cast("double"))]
-    dated = v.rlike(RECENT_MONTH) & v.try_cast("timestamp").isNotNull()
-    return [F.bool_and(F.lower(v).isin(*BOOLEAN_WORDS)), F.bool_and(dated),
-            F.bool_and(v.rlike(NUMBER) & ~F.contains(v, F.lit("."))), F.bool_and(v.rlike(NUMBER))]
+def _number(value: str) -> str:
+    return f"try_cast(if({_like(value, NUMBER)}, trim({value}), NULL) AS double)"
 
 
-def _verdict(seen: Column, e: list[Column], mode: str) -> Column:
+def _evidence(name: str, mode: str) -> list[str]:
+    """Aggregates that decide the type of one column: booleans or shares."""
+    v = _value(name)
     if mode == "strict":
-        return (F.when(seen == 0, "TEXT").when(e[0] & e[1], "INTEGER").when(e[0], "REAL")
-                .when(e[2] > DATE_SHARE, "DATETIME").otherwise("TEXT"))
+        shares = ", ".join(f"avg(int({_like(v, p)}))" for p in (ISO_DATE, SLASH_DATE, ISO_MOMENT))
+        return [f"bool_and({_like(v, NUMBER)})",
+                f"bool_and({_number(v)} = floor({_number(v)}))", f"greatest({shares})"]
     if mode == "regex100":
-        return (F.when(seen == 0, "TEXT").when(e[0], "INTEGER").when(e[1], "REAL")
-                .when(e[2] > DATE_SHARE, "DATETIME").otherwise("TEXT"))
-    return (F.when(seen == 0, "VARCHAR(255)").when(e[0], "BOOLEAN").when(e[1], "DATETIME")
-            .when(e[2], "INTEGER").when(e[3], "REAL").otherwise("VARCHAR(255)"))
+        return [f"bool_and({_like(v, PLAIN_INTEGER)})", f"bool_and({_like(v, PLAIN_DECIMAL)})",
+                f"avg(int({_like(v, ISO_DATE)}))"]
+    words = ", ".join(literal(w) for w in BOOLEAN_WORDS)
+    # a missing cell says nothing, so every test must stay NULL for it
+    dated = f"{_like(v, RECENT_MONTH)} AND (try_cast({v} AS timestamp) IS NOT NULL)"
+    return [f"bool_and(lower({v}) IN ({words}))", f"bool_and(if({v} IS NULL, NULL, {dated}))",
+            f"bool_and({_like(v, NUMBER)} AND NOT contains({v}, '.'))",
+            f"bool_and({_like(v, NUMBER)})"]
+
+
+def _verdict(i: int, mode: str) -> str:
+    """CASE over the evidence e{i}_0.. of column i, in the order of the mode."""
+    if mode == "sample5":
+        return (f"CASE WHEN n{i} = 0 THEN 'VARCHAR(255)' WHEN e{i}_0 THEN 'BOOLEAN' "
+                f"WHEN e{i}_1 THEN 'DATETIME' WHEN e{i}_2 THEN 'INTEGER' WHEN e{i}_3 THEN 'REAL' "
+                "ELSE 'VARCHAR(255)' END")
+    integer = f"e{i}_0 AND e{i}_1" if mode == "strict" else f"e{i}_0"
+    real = f"e{i}_0" if mode == "strict" else f"e{i}_1"
+    return (f"CASE WHEN n{i} = 0 THEN 'TEXT' WHEN {integer} THEN 'INTEGER' WHEN {real} THEN 'REAL' "
+            f"WHEN e{i}_2 > {DATE_SHARE} THEN 'DATETIME' ELSE 'TEXT' END")
 
 
 def infer_types(df: DataFrame, mode: str = "strict") -> DataFrame:
@@ -82,16 +90,13 @@ def infer_types(df: DataFrame, mode: str = "strict") -> DataFrame:
     parts = []
     order = {f.name: i for i, f in enumerate(df.schema.fields, start=1)}
     for chunk in chunks(text_fields(df), COLUMNS_PER_AGGREGATE):
-        aggs, rows = [], []
+        aggs, rows = {}, []
         for i, f in enumerate(chunk):
-            evidence = _evidence(f.name, mode)
-            aggs.append(F.count(_value(f.name)).alias(f"n{i}"))
-            aggs += [e.alias(f"e{i}_{j}") for j, e in enumerate(evidence)]
-            verdict = _verdict(F.col(f"n{i}"), [F.col(f"e{i}_{j}") for j in range(len(evidence))],
-                               mode)
-            rows.append([("column", F.lit(f.name)), ("ordinal", F.lit(order[f.name])),
-                         ("inferred_type", verdict)])
-        parts.append(long_rows(df.agg(*aggs), rows))
+            aggs[f"n{i}"] = f"count({_value(f.name)})"
+            aggs |= {f"e{i}_{j}": e for j, e in enumerate(_evidence(f.name, mode))}
+            rows.append({"column": literal(f.name), "ordinal": str(order[f.name]),
+                         "inferred_type": _verdict(i, mode)})
+        parts.append(long_rows(measure(df, aggs), rows))
     return union_all(parts)
 
 
@@ -100,32 +105,34 @@ def type_map(inferred: DataFrame) -> dict[str, str]:
     return {r["column"]: r["inferred_type"] for r in inferred.collect()}
 
 
-def typed_value(name: str, kind: str) -> Column:
-    """A text cell read as the given type; NULL when it does not fit."""
+def typed_value(name: str, kind: str) -> str:
+    """SQL text reading a text cell as the given type; NULL when it does not fit."""
     v = _value(name)
     if kind == "INTEGER":
-        return _number(v).try_cast("bigint")
+        return f"try_cast({_number(v)} AS bigint)"
     if kind == "REAL":
         return _number(v)
     if kind == "DATETIME":
-        return F.coalesce(v.try_cast("timestamp_ntz"), *[
-            F.try_to_timestamp(v, F.lit(f)).cast("timestamp_ntz") for f in MOMENT_FORMATS])
-    return v.try_cast(SQL_TYPES[kind])
+        formats = ", ".join(f"cast(try_to_timestamp({v}, {literal(f)}) AS timestamp_ntz)"
+                            for f in MOMENT_FORMATS)
+        return f"coalesce(try_cast({v} AS timestamp_ntz), {formats})"
+    return f"try_cast({v} AS {SQL_TYPES[kind]})"
 
 
 def apply_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Read text columns as the types found; values that do not fit become NULL."""
-    return df.select(*[typed_value(c, types[c]).alias(c) if c in types else col(c)
-                       for c in df.columns])
+    return measure(df, {c: typed_value(c, types[c]) if c in types else quoted(c)
+                        for c in df.columns})
 
 
 def cast_failures(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """(column, inferred_type, failures): values lost by `apply_types`, in one scan."""
     parts = []
     for chunk in chunks(list(types.items()), COLUMNS_PER_AGGREGATE):
-        wide = df.agg(*[F.count_if(_value(c).isNotNull() & typed_value(c, t).isNull()).alias(
-            f"c{i}") for i, (c, t) in enumerate(chunk)])
-        parts.append(long_rows(wide, [[
-            ("column", F.lit(c)), ("inferred_type", F.lit(t)), ("failures", F.col(f"c{i}"))]
+        wide = measure(df, {
+            f"c{i}": f"count_if({_value(c)} IS NOT NULL AND {typed_value(c, t)} IS NULL)"
+            for i, (c, t) in enumerate(chunk)})
+        parts.append(long_rows(wide, [{
+            "column": literal(c), "inferred_type": literal(t), "failures": f"c{i}"}
             for i, (c, t) in enumerate(chunk)]))
     return union_all(parts)

@@ -13,9 +13,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.exprs import (FAMILY_SQL_TYPE, Series, chunks, col, family, long_rows, melt,
-                               melt_series, named, pct, present, scalar_fields, series_of,
-                               small_relation, union_all)
+from ..functions.exprs import (Series, cast, chunks, col, family, literal, long_rows, measure,
+                               melt, melt_series, named, pct, present, quoted, scalar_fields,
+                               series_of, small_relation, union_all)
 from ..policy import DEFAULT_POLICY, QualityPolicy
 
 Tables = Mapping[str, DataFrame]
@@ -37,13 +37,12 @@ def null_profile(tables: Tables) -> DataFrame:
     for name, df in tables.items():
         fields = list(enumerate(df.schema.fields, start=1))
         for chunk in chunks(fields):
-            wide = df.agg(F.count(F.lit(1)).alias("n"),
-                          *[F.count(present(f)).alias(f"c{i}") for i, f in chunk])
-            parts.append(long_rows(wide, [[
-                ("table", F.lit(name)), ("ordinal", F.lit(i)), ("column", F.lit(f.name)),
-                ("type", F.lit(f.dataType.simpleString())), ("row_count", F.col("n")),
-                ("null_count", F.col("n") - F.col(f"c{i}")),
-            ] for i, f in chunk]))
+            wide = measure(df, {"n": "count(1)",
+                                **{f"c{i}": f"count({present(f)})" for i, f in chunk}})
+            parts.append(long_rows(wide, [{
+                "table": literal(name), "ordinal": str(i), "column": literal(f.name),
+                "type": literal(f.dataType.simpleString()), "row_count": "n",
+                "null_count": f"n - c{i}"} for i, f in chunk]))
     return (union_all(parts)
             .withColumn("null_pct", pct(F.col("null_count"), F.col("row_count"), empty=0.0))
             .withColumn("completeness", F.lit(100.0) - F.col("null_pct")))
@@ -74,7 +73,7 @@ def typed_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> di
     for field in scalar_fields(df, columns):
         by_family.setdefault(family(field.dataType), []).append(field)
     return {
-        kind: melt(df, {f.name: present(f).cast(FAMILY_SQL_TYPE[kind]) for f in fields})
+        kind: melt(df, {f.name: cast(present(f), kind) for f in fields})
         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         for kind, fields in by_family.items()
     }
@@ -110,8 +109,8 @@ def frequency_summary(tables: Tables, approx: bool = False) -> DataFrame:
 
     def value(kind: str | None):
         if kind is None:
-            return lambda f: F.when(col(f.name).isNotNull(), F.lit(True))
-        return lambda f: present(f).cast(FAMILY_SQL_TYPE[kind])
+            return lambda f: f"if({quoted(f.name)} IS NULL, NULL, true)"
+        return lambda f: cast(present(f), kind)
 
     parts = []
     for kind, members in by_family.items():

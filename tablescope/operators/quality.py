@@ -7,26 +7,37 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import (FAMILY_SQL_TYPE, Series, chunks, col, family, ladder, long_rows,
-                               melt_series, named, ntz, numeric_fields, present,
-                               small_relation, temporal_fields, text_fields, union_all,
-                               whole_days)
+from ..functions.exprs import (Series, cast, chunks, col, family, ladder, literal, long_rows,
+                               measure, melt_series, named, ntz, numeric_fields, present, quoted,
+                               small_relation, temporal_fields, text_fields, union_all, whole_days)
 from ..policy import (BASELINE_DIMENSION, COLOR_CUTS, DEFAULT_POLICY, GRADE_CUTS, LADDER_APP,
                       LADDER_MODULE, OVERALL_COLOR_CUTS, WEIGHTS4, EnumRule, NameRule,
                       QualityPolicy, SequenceRule)
 from .stats import outlier_counts
 
+# fixed value: how text starts that holds a date
+DATE_START = r"^\d{4}-\d{2}-\d{2}"
+
 Tables = Mapping[str, DataFrame]
 Moment = datetime | str
 AsOf = Moment | Mapping[str, Moment]
 
 
-def as_of_for(as_of: AsOf, table: str) -> Column:
-    """Reference time of a table: one for all, or per table with `*` as default."""
+def as_of_for(as_of: AsOf, table: str) -> str:
+    """SQL text of a table's reference time: one for all, or per table with `*` as default."""
     moment = as_of
     if isinstance(as_of, Mapping):
         moment = as_of[table] if table in as_of else as_of["*"]
-    return F.lit(str(moment)).cast("timestamp_ntz")
+    return cast(literal(str(moment)), "timestamp")
+
+
+def as_of_by_table(as_of: AsOf) -> str:
+    """SQL text choosing the reference time by column `table`."""
+    if not isinstance(as_of, Mapping):
+        return as_of_for(as_of, "")
+    cases = "".join(f" WHEN {literal(t)} THEN {as_of_for(as_of, t)}" for t in as_of if t != "*")
+    default = f" ELSE {as_of_for(as_of, '*')}" if "*" in as_of else ""
+    return f"CASE `table`{cases}{default} END" if cases else as_of_for(as_of, "*")
 
 
 # --- uniqueness --------------------------------------------------------------
@@ -59,7 +70,7 @@ def key_violations(tables: Tables, keys: Mapping[str, Sequence[str]],
             raise ValueError(f"{one.table}.{one.field.name}: nested columns cannot be keys")
         by_family.setdefault(kind, {})[number] = one
     for kind, members in by_family.items():
-        repeated = (melt_series(tables, members, lambda f: present(f).cast(FAMILY_SQL_TYPE[kind]))
+        repeated = (melt_series(tables, members, lambda f: cast(present(f), kind))
                     .groupBy("series", "value").agg(F.count(F.lit(1)).alias("n"))
                     .where(F.col("n") > 1))
         table, column = named(single)
@@ -91,13 +102,11 @@ def date_columns(tables: Tables) -> DataFrame:
     parts = [small_relation(spark, typed, "table string, column string, kind string")]
     for name, df in tables.items():
         for chunk in chunks(text_fields(df)):
-            wide = df.agg(*[F.bool_and(F.coalesce(col(f.name).rlike(r"^\d{4}-\d{2}-\d{2}"),
-                                                  F.lit(None))).alias(f"c{i}")
-                            for i, f in enumerate(chunk)])
-            parts.append(long_rows(wide, [[
-                ("table", F.lit(name)), ("column", F.lit(f.name)), ("kind", F.lit("text")),
-                ("dated", F.col(f"c{i}"))] for i, f in enumerate(chunk)])
-                .where("dated").drop("dated"))
+            wide = measure(df, {f"c{i}": f"bool_and({quoted(f.name)} RLIKE {literal(DATE_START)})"
+                                for i, f in enumerate(chunk)})
+            parts.append(long_rows(wide, [{
+                "table": literal(name), "column": literal(f.name), "kind": "'text'",
+                "dated": f"c{i}"} for i, f in enumerate(chunk)]).where("dated").drop("dated"))
     return union_all(parts)
 
 
@@ -109,13 +118,13 @@ def newest_dates(tables: Tables, text_dates: Mapping[str, Sequence[str]] | None
     """
     parts = []
     for name, df in tables.items():
-        exprs = {f.name: ntz(col(f.name)) for f in temporal_fields(df)}
+        exprs = {f.name: cast(quoted(f.name), "timestamp") for f in temporal_fields(df)}
         for c in (text_dates or {}).get(name, ()):
-            exprs[c] = F.try_to_timestamp(col(c)).cast("timestamp_ntz")
+            exprs[c] = _text_moment(c)
         for chunk in chunks(list(exprs.items())):
-            wide = df.agg(*[F.max(e).alias(f"c{i}") for i, (_, e) in enumerate(chunk)])
-            parts.append(long_rows(wide, [[
-                ("table", F.lit(name)), ("column", F.lit(c)), ("newest", F.col(f"c{i}"))]
+            wide = measure(df, {f"c{i}": f"max({e})" for i, (_, e) in enumerate(chunk)})
+            parts.append(long_rows(wide, [{
+                "table": literal(name), "column": literal(c), "newest": f"c{i}"}
                 for i, (c, _) in enumerate(chunk)]))
     if not parts:
         spark = next(iter(tables.values())).sparkSession
@@ -125,24 +134,21 @@ def newest_dates(tables: Tables, text_dates: Mapping[str, Sequence[str]] | None
 
 def with_age(newest: DataFrame, as_of: AsOf) -> DataFrame:
     """Adds days_ago, rounded down; dates after `as_of` give negative ages."""
-    if isinstance(as_of, Mapping):
-        known = [F.when(F.col("table") == t, as_of_for(as_of, t)) for t in as_of if t != "*"]
-        fallback = [as_of_for(as_of, "*")] if "*" in as_of else []
-        moment = F.coalesce(*known, *fallback)
-    else:
-        moment = as_of_for(as_of, "")
-    return newest.withColumn("days_ago", whole_days(F.col("newest"), moment))
+    return newest.withColumn("days_ago", F.expr(whole_days("newest", as_of_by_table(as_of))))
+
+
+def linear_decay(days: str, policy: QualityPolicy = DEFAULT_POLICY) -> str:
+    """SQL text of the score that falls from 100 to 0 with age."""
+    return f"greatest(double(0), double(100) - {days} * double(100) / double({policy.freshness_decay_days}))"
 
 
 def freshness_linear(newest: DataFrame, as_of: AsOf,
                      policy: QualityPolicy = DEFAULT_POLICY) -> DataFrame:
     """Per date column: age, DATA_STALE / FRESH, and a score that decays with age."""
-    days = F.col("days_ago")
-    return with_age(newest.where(F.col("newest").isNotNull()), as_of).select(
+    return with_age(newest.where(F.col("newest").isNotNull()), as_of).selectExpr(
         "table", "column", "newest", "days_ago",
-        F.when(days > policy.stale_after_days, "DATA_STALE").otherwise("FRESH").alias("status"),
-        F.greatest(F.lit(0.0), F.lit(100.0) - days * F.lit(100.0) / F.lit(
-            float(policy.freshness_decay_days))).alias("score"))
+        f"if(days_ago > {policy.stale_after_days}, 'DATA_STALE', 'FRESH') AS status",
+        f"{linear_decay('days_ago', policy)} AS score")
 
 
 def freshness_score(counts: DataFrame, linear: DataFrame) -> DataFrame:
@@ -160,11 +166,11 @@ def freshness_ladder_app(counts: DataFrame, newest: DataFrame, as_of: AsOf) -> D
     """
     latest = with_age(newest.groupBy("table").agg(F.max("newest").alias("newest"),
                                                   F.lit(True).alias("dated")), as_of)
-    # one whole day more unless the age is a whole number of days
-    exact = ntz(F.col("newest")) - ntz(F.col("newest").cast("date"))
-    moment = _moment(as_of)
-    part = exact != (ntz(moment) - ntz(moment.cast("date")))
-    age = F.col("days_ago") + F.when(part, 1).otherwise(0)
+    # one day more unless the age is a whole number of days
+    moment = as_of_by_table(as_of)
+    part = "(newest - cast(cast(newest AS date) AS timestamp_ntz)) <> " \
+           f"({moment} - cast(cast({moment} AS date) AS timestamp_ntz))"
+    age = F.expr(f"days_ago + if({part}, 1, 0)")
     stepped = latest.withColumn("step", ladder(age, LADDER_APP, at_most=True))
     return counts.join(stepped, "table", "left").select(
         "table", "newest",
@@ -172,13 +178,6 @@ def freshness_ladder_app(counts: DataFrame, newest: DataFrame, as_of: AsOf) -> D
         .when(F.col("newest").isNull(), 60.0).otherwise(F.col("step")).alias("freshness"))
 
 
-def _moment(as_of: AsOf) -> Column:
-    if not isinstance(as_of, Mapping):
-        return as_of_for(as_of, "")
-    known = [F.when(F.col("table") == t, as_of_for(as_of, t)) for t in as_of if t != "*"]
-    return F.coalesce(*known, *([as_of_for(as_of, "*")] if "*" in as_of else []))
-
-
 def freshness_ladder_module(newest: DataFrame, as_of: AsOf) -> DataFrame:
     """Step score per date column, by whole days."""
     return with_age(newest.where(F.col("newest").isNotNull()), as_of).select(
@@ -201,42 +200,46 @@ def freshness_timeline(linear: DataFrame) -> DataFrame:
 
 # --- validity and consistency --------------------------------------------------
 
-def _name_rule_counters(df: DataFrame, rules: Sequence[NameRule]) -> list[tuple[str, str, Column]]:
-    found = []
-    for f in numeric_fields(df):
-        for rule in rules:
-            if any(token in f.name.lower() for token in rule.tokens):
-                quoted = "`" + f.name.replace("`", "``") + "`"
-                found.append((f.name, rule.code, F.expr(rule.predicate.format(c=quoted))))
-    return found
+def _text_moment(name: str) -> str:
+    """Text read as a moment; unreadable text is no moment."""
+    return f"cast(try_to_timestamp({quoted(name)}) AS timestamp_ntz)"
 
 
-def _sequence_counters(df: DataFrame, rules: Sequence[SequenceRule]):
-    names = set(df.columns)
-    return [(r.later, r.code, _moment_of(df, r.later) < _moment_of(df, r.earlier))
-            for r in rules if {r.earlier, r.later} <= names]
+def _moment_of(df: DataFrame, name: str) -> str:
+    if any(f.name == name for f in text_fields(df)):
+        return _text_moment(name)
+    return cast(quoted(name), "timestamp")
 
 
-def _moment_of(df: DataFrame, name: str) -> Column:
-    """A column as a moment; text is parsed, unreadable text is no moment."""
-    if any(f.name == name for f in text_fields(df)):
-        return F.try_to_timestamp(col(name)).cast("timestamp_ntz")
-    return ntz(col(name))
+# counters are (column, code, SQL text of a test per row)
+
+def name_rule_counters(df: DataFrame, rules: Sequence[NameRule]) -> list[tuple[str, str, str]]:
+    return [(f.name, rule.code, rule.predicate.format(c=quoted(f.name)))
+            for f in numeric_fields(df) for rule in rules
+            if any(token in f.name.lower() for token in rule.tokens)]
+
+
+def sequence_counters(df: DataFrame, rules: Sequence[SequenceRule]) -> list[tuple[str, str, str]]:
+    names = set(df.columns)
+    return [(r.later, r.code, f"{_moment_of(df, r.later)} < {_moment_of(df, r.earlier)}")
+            for r in rules if {r.earlier, r.later} <= names]
 
 
-def enum_violation(rule: EnumRule) -> Column:
-    """True for a value outside the allowed set."""
-    return F.coalesce(~col(rule.column).isin(list(rule.allowed)), F.lit(rule.null_is_invalid))
+def enum_counters(df: DataFrame, rules: Sequence[EnumRule]) -> list[tuple[str, str, str]]:
+    """A NULL is outside the set when the rule says so."""
+    return [(r.column, r.code, f"coalesce({quoted(r.column)} NOT IN ("
+             + ", ".join(literal(v) for v in r.allowed) + f"), {literal(r.null_is_invalid)})")
+            for r in rules if r.column in df.columns]
 
 
 def _count_rules(name: str, df: DataFrame, counters) -> DataFrame | None:
-    """(table, column, code, n) for boolean counters, all in one scan."""
+    """(table, column, code, n) for the counters, all in one scan."""
     parts = []
     for chunk in chunks(counters):
-        wide = df.agg(*[F.count_if(test).alias(f"c{i}") for i, (_, _, test) in enumerate(chunk)])
-        parts.append(long_rows(wide, [[
-            ("table", F.lit(name)), ("column", F.lit(column)), ("code", F.lit(code)),
-            ("n", F.col(f"c{i}"))] for i, (column, code, _) in enumerate(chunk)]))
+        wide = measure(df, {f"c{i}": f"count_if({test})" for i, (_, _, test) in enumerate(chunk)})
+        parts.append(long_rows(wide, [{
+            "table": literal(name), "column": literal(column), "code": literal(code),
+            "n": f"c{i}"} for i, (column, code, _) in enumerate(chunk)]))
     return union_all(parts) if parts else None
 
 
@@ -254,26 +257,23 @@ def _violations(tables: Tables, make) -> DataFrame:
 
 def domain_rules(tables: Tables, policy: QualityPolicy = DEFAULT_POLICY) -> DataFrame:
     """Rows breaking a rule that a column's name calls for (price of 0, discount over 1)."""
-    return _violations(tables, lambda df: _name_rule_counters(df, policy.name_rules))
+    return _violations(tables, lambda df: name_rule_counters(df, policy.name_rules))
 
 
 def sequence_rule(tables: Tables, rules: Sequence[SequenceRule]) -> DataFrame:
     """Rows whose later date comes before the earlier one."""
-    return _violations(tables, lambda df: _sequence_counters(df, rules))
+    return _violations(tables, lambda df: sequence_counters(df, rules))
 
 
 def enum_rule(tables: Tables, rules: Sequence[EnumRule]) -> DataFrame:
     """Rows with a value outside the allowed set; NULL counts unless the rule says not."""
-    return _violations(tables, lambda df: [
-        (r.column, r.code, enum_violation(r)) for r in rules if r.column in df.columns])
+    return _violations(tables, lambda df: enum_counters(df, rules))
 
 
 def consistency_violations(tables: Tables, policy: QualityPolicy = DEFAULT_POLICY) -> DataFrame:
     """Sequence and enumeration rules of a table, counted in one scan."""
-    return _violations(tables, lambda df: [
-        *_sequence_counters(df, policy.sequence_rules),
-        *[(r.column, r.code, enum_violation(r)) for r in policy.enum_rules
-          if r.column in df.columns]])
+    return _violations(tables, lambda df: [*sequence_counters(df, policy.sequence_rules),
+                                           *enum_counters(df, policy.enum_rules)])
 
 
 def sequence_violations_across(child: DataFrame, later: str, key: str, parent: DataFrame,

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import (Series, melt_series, named, numeric_fields, present, series_of,
+from ..functions.exprs import (Series, melt_series, named, number, numeric_fields, series_of,
                                small_relation, union_all)
 
 Tables = Mapping[str, DataFrame]
@@ -51,7 +51,7 @@ class _Box:
 
 def values(tables: Tables, series: Mapping[int, Series]) -> DataFrame:
     """(series, value) of numeric columns as doubles."""
-    return melt_series(tables, series, lambda f: present(f).cast("double"))
+    return melt_series(tables, series, number)
 
 
 def _bounds(tables: Tables, series: Mapping[int, Series]) -> list[tuple]:

@@ -70,11 +70,11 @@ def _key_type(tables: Tables, fk: ForeignKey) -> str:
 
 def _counted(tables: Tables, fks: Sequence[ForeignKey], key_type: str, side: str) -> DataFrame:
     """(fk, value, n) of one side; every table is scanned once for all its keys."""
-    by_table: dict[str, dict[str, Column]] = {}
+    by_table: dict[str, dict[str, str]] = {}
     for fk in fks:
         table, column = ((fk.child_table, fk.child_column) if side == "child"
                          else (fk.parent_table, fk.parent_column))
-        value = present(_field(tables[table], column)).cast(key_type)
+        value = f"cast({present(_field(tables[table], column))} AS {key_type})"
         by_table.setdefault(table, {})[fk.label] = value
     return union_all([melt(tables[table], exprs) for table, exprs in by_table.items()]).groupBy(
         F.col("column").alias("fk"), "value").agg(F.count(F.lit(1)).alias(f"{side}_n"))

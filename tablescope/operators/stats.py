@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.exprs import (chunks, col, long_rows, melt, named, ntz, numeric_fields, pct,
-                               present, temporal_fields, text_fields, union_all, whole_days)
+from ..functions.exprs import (cast, chunks, literal, long_rows, measure, melt, named, number,
+                               numeric_fields, pct, quoted, temporal_fields, text_fields,
+                               union_all, whole_days)
 from .profile import least_frequent, most_frequent, typed_frequencies
 from .quantiles import fences, numeric_series, quartiles, series_fences, values
 
@@ -17,36 +18,27 @@ PAIRS_PER_AGGREGATE = 14
 MOMENT_COLUMNS_PER_AGGREGATE = 3
 
 
-def _sample_skew(skew: Column, n: Column) -> Column:
-    """Bias-corrected skewness from the population form."""
-    n = n.cast("double")
-    return F.when(n >= 3, skew * F.sqrt(n * (n - 1)) / (n - 2))
-
-
-def _sample_kurtosis(kurt: Column, n: Column) -> Column:
-    """Bias-corrected excess kurtosis from the population form."""
-    n = n.cast("double")
-    return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurt + 6))
-
-
 def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """count, mean, std, var, min, max, range, skew and kurtosis in one scan."""
+    """count, mean, std, var, min, max, range, skew and kurtosis in one scan.
+
+    Skewness and excess kurtosis are corrected from the population to the sample form.
+    """
     parts = []
     for chunk in chunks(numeric_fields(df, columns), MOMENT_COLUMNS_PER_AGGREGATE):
-        aggs = []
+        aggs, rows = {}, []
         for i, f in enumerate(chunk):
-            v = present(f).cast("double")
-            aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"),
-                     F.var_samp(v).alias(f"var{i}"),
-                     F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"),
-                     F.skewness(v).alias(f"skew{i}"), F.kurtosis(v).alias(f"kurt{i}")]
-        parts.append(long_rows(df.agg(*aggs), [[
-            ("column", F.lit(f.name)), ("count", F.col(f"n{i}")), ("mean", F.col(f"mean{i}")),
-            ("std", F.sqrt(F.col(f"var{i}"))), ("var", F.col(f"var{i}")), ("min", F.col(f"min{i}")),
-            ("max", F.col(f"max{i}")), ("range", F.col(f"max{i}") - F.col(f"min{i}")),
-            ("skew", _sample_skew(F.col(f"skew{i}"), F.col(f"n{i}"))),
-            ("kurtosis", _sample_kurtosis(F.col(f"kurt{i}"), F.col(f"n{i}"))),
-        ] for i, f in enumerate(chunk)]))
+            v, n = number(f), f"double(n{i})"
+            aggs |= {f"n{i}": f"count({v})", f"mean{i}": f"avg({v})", f"var{i}": f"var_samp({v})",
+                     f"min{i}": f"min({v})", f"max{i}": f"max({v})", f"skew{i}": f"skewness({v})",
+                     f"kurt{i}": f"kurtosis({v})"}
+            rows.append({
+                "column": literal(f.name), "count": f"n{i}", "mean": f"mean{i}",
+                "std": f"sqrt(var{i})", "var": f"var{i}", "min": f"min{i}", "max": f"max{i}",
+                "range": f"max{i} - min{i}",
+                "skew": f"if(n{i} >= 3, skew{i} * sqrt({n} * ({n} - 1)) / ({n} - 2), NULL)",
+                "kurtosis": f"if(n{i} >= 4, ({n} - 1) / (({n} - 2) * ({n} - 3)) * "
+                            f"(({n} + 1) * kurt{i} + 6), NULL)"})
+        parts.append(long_rows(measure(df, aggs), rows))
     return union_all(parts)
 
 
@@ -69,28 +61,21 @@ def basic_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     """min, max and average (4 places) of numeric columns."""
     parts = []
     for chunk in chunks(numeric_fields(df, columns)):
-        aggs = []
-        for i, f in enumerate(chunk):
-            v = present(f).cast("double")
-            aggs += [F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"),
-                     F.avg(v).alias(f"avg{i}")]
-        parts.append(long_rows(df.agg(*aggs), [[
-            ("column", F.lit(f.name)), ("min", F.col(f"min{i}")), ("max", F.col(f"max{i}")),
-            ("avg", F.round(F.col(f"avg{i}"), 4))] for i, f in enumerate(chunk)]))
+        aggs = {f"{fn}{i}": f"{fn}({number(f)})" for i, f in enumerate(chunk)
+                for fn in ("min", "max", "avg")}
+        parts.append(long_rows(measure(df, aggs), [{
+            "column": literal(f.name), "min": f"min{i}", "max": f"max{i}",
+            "avg": f"round(avg{i}, 4)"} for i, f in enumerate(chunk)]))
     return union_all(parts)
 
 
 def typed_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean over the values of text columns that read as numbers."""
-    values = [F.expr(f"try_cast({_quoted(c)} as double)") for c in columns]
-    wide = df.agg(*[agg for i, v in enumerate(values)
-                    for agg in (F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"))])
-    return long_rows(wide, [[("column", F.lit(c)), ("numeric_count", F.col(f"n{i}")),
-                             ("mean", F.col(f"mean{i}"))] for i, c in enumerate(columns)])
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    aggs = {f"{fn}{i}": f"{fn}(try_cast({quoted(c)} AS double))"
+            for i, c in enumerate(columns) for fn in ("count", "avg")}
+    return long_rows(measure(df, aggs), [{
+        "column": literal(c), "numeric_count": f"count{i}", "mean": f"avg{i}"}
+        for i, c in enumerate(columns)])
 
 
 def date_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -99,7 +84,7 @@ def date_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     One scan groups by (column, year, month); the rest works on those few rows.
     """
     fields = temporal_fields(df, columns)
-    months = (melt(df, {f.name: ntz(col(f.name)) for f in fields})
+    months = (melt(df, {f.name: cast(quoted(f.name), "timestamp") for f in fields})
               .where(F.col("value").isNotNull())
               .groupBy("column", F.year("value").alias("year"), F.month("value").alias("month"))
               .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first"),
@@ -114,7 +99,7 @@ def date_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
                     .groupBy("column").agg(most_frequent("month").alias("common_month")))
     return years.join(common_month, "column").select(
         "column", "earliest", "latest",
-        whole_days(F.col("earliest"), F.col("latest")).alias("range_days"),
+        F.expr(whole_days("earliest", "latest")).alias("range_days"),
         "common_year", "common_month")
 
 
@@ -128,15 +113,11 @@ def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
                                     F.count(F.lit(1)).alias("distinct_count")))
     parts = []
     for chunk in chunks(fields):
-        aggs = []
-        for i, f in enumerate(chunk):
-            size = F.char_length(col(f.name))
-            aggs += [F.avg(size).alias(f"avg{i}"), F.min(size).alias(f"min{i}"),
-                     F.max(size).alias(f"max{i}")]
-        parts.append(long_rows(df.agg(*aggs), [[
-            ("column", F.lit(f.name)), ("avg_len", F.col(f"avg{i}")),
-            ("min_len", F.col(f"min{i}")), ("max_len", F.col(f"max{i}"))]
-            for i, f in enumerate(chunk)]))
+        aggs = {f"{fn}{i}": f"{fn}(char_length({quoted(f.name)}))" for i, f in enumerate(chunk)
+                for fn in ("avg", "min", "max")}
+        parts.append(long_rows(measure(df, aggs), [{
+            "column": literal(f.name), "avg_len": f"avg{i}", "min_len": f"min{i}",
+            "max_len": f"max{i}"} for i, f in enumerate(chunk)]))
     return ranks.join(union_all(parts), "column")
 
 
@@ -149,19 +130,19 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 1
     fields = numeric_fields(df, columns)
     parts = []
     for chunk in chunks(fields):
-        aggs = [agg for i, f in enumerate(chunk) for v in [present(f).cast("double")]
-                for agg in (F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"))]
-        parts.append(long_rows(df.agg(*aggs), [[
-            ("column", F.lit(f.name)), ("lo", F.col(f"lo{i}")), ("hi", F.col(f"hi{i}"))]
+        aggs = {f"{fn}{i}": f"{fn}({number(f)})" for i, f in enumerate(chunk)
+                for fn in ("min", "max")}
+        parts.append(long_rows(measure(df, aggs), [{
+            "column": literal(f.name), "lo": f"min{i}", "hi": f"max{i}"}
             for i, f in enumerate(chunk)]))
     bounds = union_all(parts).where(F.col("lo").isNotNull())
     # one row per column of the table: a broadcast bounded by the schema
-    values = (melt(df, {f.name: present(f).cast("double") for f in fields})
+    points = (melt(df, {f.name: number(f) for f in fields})
               .where(F.col("value").isNotNull()).join(F.broadcast(bounds), "column"))
     share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     bin_no = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(
         F.least(F.floor(share * bins) + 1, F.lit(bins))).cast("int")
-    counted = values.withColumn("bin", bin_no).groupBy("column", "bin").agg(
+    counted = points.withColumn("bin", bin_no).groupBy("column", "bin").agg(
         F.count(F.lit(1)).alias("n"))
     step = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise(
         (F.col("hi") - F.col("lo")) / bins)
@@ -177,7 +158,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 1
 def _against_fences(df: DataFrame, limits: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     """(column, value, fences) for each value; `limits` has one row per column."""
     fields = numeric_fields(df, columns)
-    return melt(df, {f.name: present(f).cast("double") for f in fields}).join(
+    return melt(df, {f.name: number(f) for f in fields}).join(
         F.broadcast(limits), "column")
 
 
@@ -212,7 +193,7 @@ def outlier_points(df: DataFrame, key: str, columns: Sequence[str] | None = None
     fields = numeric_fields(df, columns)
     limits = fences(df, columns, multiplier, approx).select(
         "column", "lower_fence", "upper_fence")
-    points = (melt(df, {f.name: present(f).cast("double") for f in fields}, keep=[key])
+    points = (melt(df, {f.name: number(f) for f in fields}, keep=[key])
               .join(F.broadcast(limits), "column")
               .withColumn("is_outlier", (F.col("value") < F.col("lower_fence"))
                           | (F.col("value") > F.col("upper_fence"))))
@@ -237,19 +218,18 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """
     fields = numeric_fields(df, columns)
     pairs = list(combinations(range(len(fields)), 2))
-    value = [present(f).cast("double") for f in fields]
+    value = [number(f) for f in fields]
     parts = []
     for chunk in chunks(pairs, PAIRS_PER_AGGREGATE):
-        wide = df.agg(*[F.corr(value[a], value[b]).alias(f"p{a}_{b}") for a, b in chunk])
-        parts.append(long_rows(wide, [[
-            ("column_a", F.lit(fields[x].name)), ("column_b", F.lit(fields[y].name)),
-            ("correlation", F.col(f"p{min(x, y)}_{max(x, y)}"))]
-            for a, b in chunk for x, y in ((a, b), (b, a))]))
+        wide = measure(df, {f"p{a}_{b}": f"corr({value[a]}, {value[b]})" for a, b in chunk})
+        parts.append(long_rows(wide, [{
+            "column_a": literal(fields[x].name), "column_b": literal(fields[y].name),
+            "correlation": f"p{a}_{b}"} for a, b in chunk for x, y in ((a, b), (b, a))]))
     for chunk in chunks(list(range(len(fields)))):
-        wide = df.agg(*[F.var_samp(value[i]).alias(f"v{i}") for i in chunk])
-        parts.append(long_rows(wide, [[
-            ("column_a", F.lit(fields[i].name)), ("column_b", F.lit(fields[i].name)),
-            ("correlation", F.when(F.col(f"v{i}") > 0, F.lit(1.0)))] for i in chunk]))
+        wide = measure(df, {f"v{i}": f"var_samp({value[i]})" for i in chunk})
+        parts.append(long_rows(wide, [{
+            "column_a": literal(fields[i].name), "column_b": literal(fields[i].name),
+            "correlation": f"if(v{i} > 0, double(1), NULL)"} for i in chunk]))
     return union_all(parts)
 
 

@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.exprs import (cast, chunks, literal, measure, present, quoted, temporal_fields,
+                               union_all, whole_days)
 from ..operators import profile as prof, quality as q
-from ..operators.relationships import ForeignKey, fk_integrity, fk_report, relationship_stats, \
-    table_integrity
+from ..operators.relationships import ForeignKey, fk_integrity, table_integrity
 from ..policy import DEFAULT_POLICY, QualityPolicy
 
 Tables = Mapping[str, DataFrame]
@@ -28,6 +29,58 @@ def _integrity(counts: DataFrame, report: DataFrame | None) -> DataFrame:
         "table", "fk_integrity", F.coalesce("fk_breaches", F.lit(0)).alias("fk_breaches"))
 
 
+def table_measures(tables: Tables, as_of: q.AsOf, policy: QualityPolicy = DEFAULT_POLICY
+                   ) -> DataFrame:
+    """Everything a scorecard needs that one aggregate over the table can give.
+
+    One scan per table yields (table, row_count, completeness, freshness,
+    domain_violations, consistency_violations).
+    """
+    parts = []
+    for name, df in tables.items():
+        dates = {f.name for f in temporal_fields(df)}
+        domain = q.name_rule_counters(df, policy.name_rules)
+        logic = [*q.sequence_counters(df, policy.sequence_rules),
+                 *q.enum_counters(df, policy.enum_rules)]
+        rows = []
+        for chunk in chunks(df.schema.fields):
+            mine = {f.name for f in chunk}
+            aggs = {"n": "count(1)"}
+            aggs |= {f"c{i}": f"count({present(f)})" for i, f in enumerate(chunk)}
+            ages = {f"d{i}": f"max({cast(quoted(f.name), 'timestamp')})"
+                    for i, f in enumerate(chunk) if f.name in dates}
+            rules = {f"r{i}": f"count_if({test})" for i, (c, _, test) in enumerate(domain)
+                     if c in mine}
+            checks = {f"k{i}": f"count_if({test})" for i, (c, _, test) in enumerate(logic)
+                      if c in mine}
+            wide = measure(df, {**aggs, **ages, **rules, **checks})
+            score = [q.linear_decay(whole_days(d, q.as_of_for(as_of, name)), policy)
+                     for d in ages]
+            rows.append(wide.selectExpr(
+                "n AS row_count",
+                _plus(f"if(n > 0, double(n - c{i}) * 100 / n, 0)" for i in range(len(chunk)))
+                + " AS null_pct",
+                _plus(f"coalesce({e}, double(0))" for e in score) + " AS fresh",
+                _plus(f"int({d} IS NOT NULL)" for d in ages) + " AS dated",
+                _plus(f"int({r} > 0)" for r in rules) + " AS domain_violations",
+                _plus(f"int({k} > 0)" for k in checks) + " AS consistency_violations"))
+        one = union_all(rows)
+        if len(rows) > 1:
+            one = one.groupBy().agg(F.max("row_count").alias("row_count"), *[
+                F.sum(c).alias(c) for c in one.columns if c != "row_count"])
+        parts.append(one.selectExpr(
+            f"{literal(name)} AS `table`", "row_count",
+            f"if(row_count > 0, 100 - null_pct / {len(df.columns)}, double(0)) AS completeness",
+            "if(dated > 0, fresh / dated, double(100)) AS freshness",
+            "bigint(domain_violations) AS domain_violations",
+            "bigint(consistency_violations) AS consistency_violations"))
+    return union_all(parts)
+
+
+def _plus(terms) -> str:
+    return " + ".join(terms) or "0"
+
+
 def scorecard6(tables: Tables, keys: Mapping[str, Sequence[str]], fks: Sequence[ForeignKey],
                as_of: q.AsOf, policy: QualityPolicy = DEFAULT_POLICY,
                approx: bool = False) -> DataFrame:
@@ -36,27 +89,43 @@ def scorecard6(tables: Tables, keys: Mapping[str, Sequence[str]], fks: Sequence[
     `keys` names each table's primary key (a tuple is tested as a whole). `approx` swaps
     the exact quartiles behind the outlier test for sketches.
     """
-    nulls = prof.null_profile(tables)
-    counts = nulls.groupBy("table").agg(F.max("row_count").alias("row_count"))
-    completeness = prof.completeness_score(nulls)
-    violations = (q.key_violations(tables, keys) if keys else
-                  nulls.sparkSession.createDataFrame([], "table string"))
-    uniqueness = q.uniqueness_score(counts, violations)
-    integrity = _integrity(counts, _report(tables, fks, policy))
-    freshness = q.freshness_score(counts, q.freshness_linear(q.newest_dates(tables), as_of,
-                                                             policy))
-    validity = q.penalty_score(
-        counts, q.outlier_violations(tables, policy, approx).unionByName(
-            q.domain_rules(tables, policy)), policy.validity_penalty, "validity")
-    consistency = q.penalty_score(counts, q.consistency_violations(tables, policy),
-                                  policy.consistency_penalty, "consistency")
-    card = counts
-    for dimension in (completeness, uniqueness, integrity, freshness, validity, consistency):
-        card = card.join(dimension, "table")
-    score = q.weighted_score(policy.weights)
-    return card.select("table", "row_count", *policy.weights, "uniqueness_violations",
-                       "fk_breaches", "validity_violations", "consistency_violations",
-                       score.alias("score"))
+    card = table_measures(tables, as_of, policy)
+    outliers = q.outlier_violations(tables, policy, approx).groupBy("table").agg(
+        F.count(F.lit(1)).alias("outlier_violations"))
+    card = card.join(outliers, "table", "left")
+    if keys:
+        broken = q.key_violations(tables, keys).groupBy("table").agg(
+            F.count(F.lit(1)).alias("broken_keys"))
+        card = card.join(broken, "table", "left")
+    else:
+        card = card.withColumn("broken_keys", F.lit(0).cast("bigint"))
+    if fks:
+        report = fk_integrity(tables, fks, policy.fk_breach_pct)
+        links = report.groupBy(F.col("child_table").alias("table")).agg(
+            F.avg("integrity_pct").alias("integrity"), F.count_if("breach").alias("breaches"))
+        card = card.join(links, "table", "left")
+    else:
+        card = card.withColumns({"integrity": F.lit(100.0), "breaches": F.lit(0).cast("bigint")})
+
+    def penalty(found: str, points: float) -> str:
+        return (f"if(row_count = 0, double(0), greatest(double(0), double(100) - "
+                f"{found} * double({points})))")
+
+    return (card.selectExpr(
+        "table", "row_count", "completeness", "freshness",
+        "coalesce(broken_keys, 0) AS uniqueness_violations",
+        "if(row_count = 0 OR broken_keys > 0, double(0), double(100)) AS uniqueness",
+        "coalesce(integrity, double(100)) AS fk_integrity",
+        "coalesce(breaches, 0) AS fk_breaches",
+        "domain_violations + coalesce(outlier_violations, 0) AS validity_violations",
+        "consistency_violations")
+        .withColumns({
+            "validity": F.expr(penalty("validity_violations", policy.validity_penalty)),
+            "consistency": F.expr(penalty("consistency_violations",
+                                          policy.consistency_penalty))})
+        .select("table", "row_count", *policy.weights, "uniqueness_violations", "fk_breaches",
+                "validity_violations", "consistency_violations",
+                q.weighted_score(policy.weights).alias("score")))
 
 
 def scorecard4(tables: Tables, fks: Sequence[ForeignKey], as_of: q.AsOf,

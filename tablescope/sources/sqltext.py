@@ -36,7 +36,7 @@ def quote_mark(dialect: str) -> str:
     return "`" if dialect == "mysql" else '"'
 
 
-def quoted(name: Column, dialect: str) -> Column:
+def marked(name: Column, dialect: str) -> Column:
     mark = F.lit(quote_mark(dialect))
     return F.concat(mark, name, mark)
 
@@ -74,14 +74,14 @@ def table_ddl(cat: Catalog, dialect: str) -> DataFrame:
     The lines gathered per table are its columns, so their number is that of the schema.
     """
     key = F.col("primary_key")
-    line = F.concat(F.lit("  "), quoted(F.col("column"), dialect), F.lit(" "),
+    line = F.concat(F.lit("  "), marked(F.col("column"), dialect), F.lit(" "),
                     target_type(F.col("type"), dialect, key))
     if dialect != "postgres":
         line = F.concat(line, F.when(key, " NOT NULL").otherwise(""))
     entries = F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line"))))
     keys = F.array_sort(F.collect_list(F.when(key, F.struct(
-        "ordinal", quoted(F.col("column"), dialect).alias("name")))))
-    name = quoted(F.col("table"), dialect)
+        "ordinal", marked(F.col("column"), dialect).alias("name")))))
+    name = marked(F.col("table"), dialect)
     head = F.concat(F.lit(f"DROP TABLE IF EXISTS "), name, F.lit(";\n")) if dialect == "mysql" \
         else F.lit("")
     body = F.concat(
