@@ -1,17 +1,17 @@
 """Column types of text data, and loading with the types found.
 
-Every rule looks at all values of a column: one aggregate over the table, so the
-answer does not depend on which rows happen to come first.
+Every rule looks at all values of a column, so the answer does not depend on which
+rows happen to come first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.exprs import (chunks, literal, long_rows, measure, quoted, text_fields,
-                               union_all)
+from ..functions.exprs import (chunks, literal, long_rows, measure, melt, quoted, small_relation,
+                               text_fields, union_all)
 
 # --- fixed values: patterns and shares -------------------------------------------
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -48,34 +48,41 @@ def _number(value: str) -> str:
     return f"try_cast(if({_like(value, NUMBER)}, trim({value}), NULL) AS double)"
 
 
-def _evidence(name: str, mode: str) -> list[str]:
-    """Aggregates that decide the type of one column: booleans or shares."""
-    v = _value(name)
+def _kind(mode: str) -> str:
+    """SQL text of the class of one cell; each cell is tested until a test holds."""
+    v = "value"
     if mode == "strict":
-        shares = ", ".join(f"avg(int({_like(v, p)}))" for p in (ISO_DATE, SLASH_DATE, ISO_MOMENT))
-        return [f"bool_and({_like(v, NUMBER)})",
-                f"bool_and({_number(v)} = floor({_number(v)}))", f"greatest({shares})"]
+        whole = f"double(trim({v})) = floor(double(trim({v})))"
+        return (f"CASE WHEN {_like(v, NUMBER)} THEN if({whole}, 'whole', 'real') "
+                f"WHEN {_like(v, ISO_MOMENT)} THEN 'moment' WHEN {_like(v, ISO_DATE)} THEN 'date' "
+                f"WHEN {_like(v, SLASH_DATE)} THEN 'slash' ELSE 'text' END")
     if mode == "regex100":
-        return [f"bool_and({_like(v, PLAIN_INTEGER)})", f"bool_and({_like(v, PLAIN_DECIMAL)})",
-                f"avg(int({_like(v, ISO_DATE)}))"]
-    words = ", ".join(literal(w) for w in BOOLEAN_WORDS)
-    # a missing cell says nothing, so every test must stay NULL for it
-    dated = f"{_like(v, RECENT_MONTH)} AND (try_cast({v} AS timestamp) IS NOT NULL)"
-    return [f"bool_and(lower({v}) IN ({words}))", f"bool_and(if({v} IS NULL, NULL, {dated}))",
-            f"bool_and({_like(v, NUMBER)} AND NOT contains({v}, '.'))",
-            f"bool_and({_like(v, NUMBER)})"]
-
-
-def _verdict(i: int, mode: str) -> str:
-    """CASE over the evidence e{i}_0.. of column i, in the order of the mode."""
+        return (f"CASE WHEN {_like(v, PLAIN_INTEGER)} THEN 'whole' "
+                f"WHEN {_like(v, PLAIN_DECIMAL)} THEN 'real' "
+                f"WHEN {_like(v, ISO_DATE)} THEN 'date' ELSE 'text' END")
+    words = ", ".join(literal(w) for w in BOOLEAN_WORDS if not w.isdigit())
+    digits = ", ".join(literal(w) for w in BOOLEAN_WORDS if w.isdigit())
+    return (f"CASE WHEN {v} IN ({digits}) THEN 'bit' WHEN lower({v}) IN ({words}) THEN 'word' "
+            f"WHEN {_like(v, NUMBER)} THEN if(contains({v}, '.'), 'real', 'whole') "
+            f"WHEN {_like(v, RECENT_MONTH)} AND try_cast({v} AS timestamp) IS NOT NULL THEN 'date' "
+            "ELSE 'text' END")
+
+
+def _verdict(mode: str) -> str:
+    """SQL text of the type, from the number of cells per class."""
+    def only(*kinds: str) -> str:
+        return f"sum(if(kind IN ({', '.join(literal(k) for k in kinds)}), n, 0)) = sum(n)"
+
+    def share(*kinds: str) -> str:
+        return (f"sum(if(kind IN ({', '.join(literal(k) for k in kinds)}), n, 0)) / sum(n) "
+                f"> {DATE_SHARE}")
+
     if mode == "sample5":
-        return (f"CASE WHEN n{i} = 0 THEN 'VARCHAR(255)' WHEN e{i}_0 THEN 'BOOLEAN' "
-                f"WHEN e{i}_1 THEN 'DATETIME' WHEN e{i}_2 THEN 'INTEGER' WHEN e{i}_3 THEN 'REAL' "
-                "ELSE 'VARCHAR(255)' END")
-    integer = f"e{i}_0 AND e{i}_1" if mode == "strict" else f"e{i}_0"
-    real = f"e{i}_0" if mode == "strict" else f"e{i}_1"
-    return (f"CASE WHEN n{i} = 0 THEN 'TEXT' WHEN {integer} THEN 'INTEGER' WHEN {real} THEN 'REAL' "
-            f"WHEN e{i}_2 > {DATE_SHARE} THEN 'DATETIME' ELSE 'TEXT' END")
+        return (f"CASE WHEN {only('bit', 'word')} THEN 'BOOLEAN' WHEN {only('date')} THEN "
+                f"'DATETIME' WHEN {only('bit', 'whole')} THEN 'INTEGER' "
+                f"WHEN {only('bit', 'whole', 'real')} THEN 'REAL' ELSE 'VARCHAR(255)' END")
+    return (f"CASE WHEN {only('whole')} THEN 'INTEGER' WHEN {only('whole', 'real')} THEN 'REAL' "
+            f"WHEN {share('date', 'moment')} OR {share('slash')} THEN 'DATETIME' ELSE 'TEXT' END")
 
 
 def infer_types(df: DataFrame, mode: str = "strict") -> DataFrame:
@@ -84,20 +91,22 @@ def infer_types(df: DataFrame, mode: str = "strict") -> DataFrame:
     strict: numbers, else dates in more than 80 % of the values, else TEXT.
     sample5: booleans and recent dates come before numbers; VARCHAR(255) is the rest.
     regex100: plain digits only, signs and exponents in numbers are text.
+
+    One scan classes every cell and adds into a handful of counters per column.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    parts = []
     order = {f.name: i for i, f in enumerate(df.schema.fields, start=1)}
-    for chunk in chunks(text_fields(df), COLUMNS_PER_AGGREGATE):
-        aggs, rows = {}, []
-        for i, f in enumerate(chunk):
-            aggs[f"n{i}"] = f"count({_value(f.name)})"
-            aggs |= {f"e{i}_{j}": e for j, e in enumerate(_evidence(f.name, mode))}
-            rows.append({"column": literal(f.name), "ordinal": str(order[f.name]),
-                         "inferred_type": _verdict(i, mode)})
-        parts.append(long_rows(measure(df, aggs), rows))
-    return union_all(parts)
+    fields = text_fields(df)
+    counts = (melt(df, {f.name: _value(f.name) for f in fields}).where("value IS NOT NULL")
+              .selectExpr("column", f"{_kind(mode)} AS kind")
+              .groupBy("column", "kind").agg(F.count(F.lit(1)).alias("n")))
+    found = counts.groupBy("column").agg(F.expr(_verdict(mode)).alias("inferred_type"))
+    known = small_relation(df.sparkSession, [(f.name, order[f.name]) for f in fields],
+                           "column string, ordinal int")
+    empty = "VARCHAR(255)" if mode == "sample5" else "TEXT"
+    return known.join(found, "column", "left").select(
+        "column", "ordinal", F.coalesce("inferred_type", F.lit(empty)).alias("inferred_type"))
 
 
 def type_map(inferred: DataFrame) -> dict[str, str]:

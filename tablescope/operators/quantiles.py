@@ -29,7 +29,7 @@ from ..functions.exprs import (Series, melt_series, named, number, numeric_field
 Tables = Mapping[str, DataFrame]
 
 QUARTILES = (0.25, 0.5, 0.75)
-MAX_SORTED_VALUES = 200_000
+MAX_SORTED_VALUES = 100_000
 SLICES = 65_536
 LOG_STEPS = 4_096
 BOX_SCHEMA = ("series string, box int, low double, high double, below bigint, "
