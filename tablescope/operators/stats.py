@@ -14,7 +14,7 @@ from .profile import least_frequent, most_frequent, typed_frequencies
 from .quantiles import fences, numeric_series, quartiles, series_fences, values
 
 # wider aggregates exceed what the JVM compiles to machine code
-PAIRS_PER_AGGREGATE = 14
+PAIRS_PER_AGGREGATE = 8
 MOMENT_COLUMNS_PER_AGGREGATE = 3
 
 
@@ -221,10 +221,15 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     value = [number(f) for f in fields]
     parts = []
     for chunk in chunks(pairs, PAIRS_PER_AGGREGATE):
-        wide = measure(df, {f"p{a}_{b}": f"corr({value[a]}, {value[b]})" for a, b in chunk})
+        # `corr` fails on a constant column; r squared with the sign of the covariance does not
+        wide = measure(df, {
+            name: f"{fn}({value[a]}, {value[b]})" for a, b in chunk
+            for name, fn in ((f"r{a}_{b}", "regr_r2"), (f"s{a}_{b}", "covar_pop"))})
         parts.append(long_rows(wide, [{
             "column_a": literal(fields[x].name), "column_b": literal(fields[y].name),
-            "correlation": f"p{a}_{b}"} for a, b in chunk for x, y in ((a, b), (b, a))]))
+            "correlation": f"if(s{a}_{b} = 0 AND r{a}_{b} = 1, NULL, "
+                           f"signum(s{a}_{b}) * sqrt(r{a}_{b}))"}
+            for a, b in chunk for x, y in ((a, b), (b, a))]))
     for chunk in chunks(list(range(len(fields)))):
         wide = measure(df, {f"v{i}": f"var_samp({value[i]})" for i in chunk})
         parts.append(long_rows(wide, [{

@@ -44,8 +44,8 @@ def test_all_null_nan_and_nested_columns(spark):
 def test_columns_with_odd_names(spark):
     df = spark.createDataFrame([(1, "x'y"), (1, None)], "`a.b` int, `it's ``q``` string")
     profile = prof.column_profile({"t'1": df})
-    assert rows(profile.select("table", "column", "null_count")) == [
-        ("t'1", "a.b", 0), ("t'1", "it's `q`", 1)]
+    assert set(rows(profile.select("table", "column", "null_count"))) == {
+        ("t'1", "a.b", 0), ("t'1", "it's `q`", 1)}
     assert one(prof.column_modes(df), column="a.b")["mode"] == "1"
     assert stats.moments(df).first()["column"] == "a.b"
 
