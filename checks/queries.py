@@ -1202,6 +1202,45 @@ def _(s):
     return card6(s)
 
 
+@query("uniqueness_score", sql.with_views(
+    'SELECT "table", uniqueness_violations, uniqueness FROM card6', *_CARD6), ["uniqueness"])
+def _(s):
+    tables = s.card_tables()
+    return q.uniqueness_score(prof.row_counts(tables), q.key_violations(tables, CARD_KEYS))
+
+
+@query("freshness_score", sql.with_views('SELECT "table", freshness FROM card6', *_CARD6),
+       ["freshness"])
+def _(s):
+    return q.freshness_score(prof.row_counts(s.card_tables()), _linear(s))
+
+
+@query("validity_score", sql.with_views(
+    'SELECT "table", validity_violations, validity FROM card6', *_CARD6), ["validity"])
+def _(s):
+    tables = s.card_tables()
+    found = q.outlier_violations(tables).unionByName(q.domain_rules(tables))
+    return q.penalty_score(prof.row_counts(tables), found, POLICY.validity_penalty, "validity")
+
+
+@query("consistency_score", sql.with_views(
+    'SELECT "table", consistency_violations, consistency FROM card6', *_CARD6), ["consistency"])
+def _(s):
+    tables = s.card_tables()
+    return q.penalty_score(prof.row_counts(tables), q.consistency_violations(tables, POLICY),
+                           POLICY.consistency_penalty, "consistency")
+
+
+@query("heat_bands", sql.with_views(
+    """SELECT "table", "column", completeness, CASE WHEN completeness >= 95 THEN '95-100%'
+    WHEN completeness >= 80 THEN '80-95%' WHEN completeness >= 60 THEN '60-80%'
+    WHEN completeness >= 40 THEN '40-60%' WHEN completeness >= 0 THEN '0-40%' END AS band
+    FROM nulls""", sql.nulls_cte(CARD_TABLES)), ["completeness"])
+def _(s):
+    return prof.null_profile(s.card_tables()).select(
+        "table", "column", "completeness", issues.heat_band(F.col("completeness")).alias("band"))
+
+
 @query("quality_radar", sql.with_views(sql.union([
     f"SELECT \"table\", '{d}' AS dimension, {d}::double AS dimension_score FROM card6"
     for d in _SIX]), *_CARD6), ["dimension_score"])

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import (Series, cast, chunks, col, family, literal, long_rows, measure,
-                               melt, melt_series, named, pct, present, quoted, scalar_fields,
+                               melt_series, named, pct, present, quoted, scalar_fields,
                                series_of, small_relation, union_all)
 from ..policy import DEFAULT_POLICY, QualityPolicy
 
@@ -69,13 +69,16 @@ def typed_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> di
     Each family reads only its own columns, so together they read the table once.
     NULL is a value of its own here.
     """
-    by_family: dict[str, list[T.StructField]] = {}
-    for field in scalar_fields(df, columns):
-        by_family.setdefault(family(field.dataType), []).append(field)
+    tables = {"": df}
+    series = series_of(tables, lambda d: scalar_fields(d, columns))
+    by_family: dict[str, dict[int, Series]] = {}
+    for number, one in enumerate(series):
+        by_family.setdefault(family(one.field.dataType), {})[number] = one
     return {
-        kind: melt(df, {f.name: cast(present(f), kind) for f in fields})
-        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        for kind, fields in by_family.items()
+        kind: melt_series(tables, members, lambda f, kind=kind: cast(present(f), kind))
+        .groupBy("series", "value").agg(F.count(F.lit(1)).alias("n"))
+        .select(named(series)[1], "value", "n")
+        for kind, members in by_family.items()
     }
 
 

@@ -68,23 +68,30 @@ def _key_type(tables: Tables, fk: ForeignKey) -> str:
     return "string"
 
 
-def _counted(tables: Tables, fks: Sequence[ForeignKey], key_type: str, side: str) -> DataFrame:
-    """(fk, value, n) of one side; every table is scanned once for all its keys."""
+def _counted(tables: Tables, fks: Mapping[str, ForeignKey], key_type: str, side: str
+             ) -> DataFrame:
+    """(fk, value, n) of one side; every table is scanned once for all its keys.
+
+    A key travels as its number, which is shorter in the shuffle than its name.
+    """
     by_table: dict[str, dict[str, str]] = {}
-    for fk in fks:
+    for number, fk in fks.items():
         table, column = ((fk.child_table, fk.child_column) if side == "child"
                          else (fk.parent_table, fk.parent_column))
         value = f"cast({present(_field(tables[table], column))} AS {key_type})"
-        by_table.setdefault(table, {})[fk.label] = value
+        by_table.setdefault(table, {})[number] = value
     return union_all([melt(tables[table], exprs) for table, exprs in by_table.items()]).groupBy(
         F.col("column").alias("fk"), "value").agg(F.count(F.lit(1)).alias(f"{side}_n"))
 
 
 def key_matches(tables: Tables, fks: Sequence[ForeignKey]) -> DataFrame:
-    """(fk, is_null, child_n, parent_n) for every key value on either side."""
-    by_type: dict[str, list[ForeignKey]] = {}
-    for fk in fks:
-        by_type.setdefault(_key_type(tables, fk), []).append(fk)
+    """(fk, is_null, child_n, parent_n) for every key value on either side.
+
+    `fk` is the position in `fks`, as text.
+    """
+    by_type: dict[str, dict[str, ForeignKey]] = {}
+    for number, fk in enumerate(fks):
+        by_type.setdefault(_key_type(tables, fk), {})[str(number)] = fk
     return union_all([
         _counted(tables, group, key_type, "child")
         .join(_counted(tables, group, key_type, "parent"), ["fk", "value"], "full")
@@ -106,7 +113,8 @@ def relationship_stats(tables: Tables, fks: Sequence[ForeignKey]) -> DataFrame:
         F.count_if(real & has_parent).alias("parent_distinct"),
         F.count_if(real & has_child & has_parent).alias("matched_distinct"))
     spark = next(iter(tables.values())).sparkSession
-    known = small_relation(spark, [(fk.label, *fk) for fk in fks], f"fk string, {FK_SCHEMA}")
+    known = small_relation(spark, [(str(i), *fk) for i, fk in enumerate(fks)],
+                           f"fk string, {FK_SCHEMA}")
     counts = [c for c in measured.columns if c != "fk"]
     # an FK between two empty tables has no key rows at all
     return known.join(measured, "fk", "left").select(
