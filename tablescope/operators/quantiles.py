@@ -2,36 +2,35 @@
 
 `percentile` keeps every distinct value of a group in one buffer, which a large
 near-unique column does not survive. Here each wanted order statistic is boxed in
-a value range that is narrowed by counting scans until the range holds few
-distinct values; only those are then sorted.
+a value range that is narrowed by counting scans until the range holds few values;
+only those are then sorted.
 
-* The first narrowing uses logarithmic buckets, so widely spread magnitudes
-  separate at once; later ones cut the remaining range into equal slices. A double
-  has 52 mantissa bits, so a handful of scans is enough for any data.
+* The first scan counts into logarithmic slices, so widely spread magnitudes separate
+  at once; a column of few values is finished by it. Later scans cut the remaining
+  range into equal slices. A double has 52 mantissa bits, so a handful of scans is
+  enough for any data, and two are for most.
 * Each scan is one aggregate by (column, slice): its size is bounded by the number
   of slices, never by the rows, and one hot value only raises one counter.
-* Columns with few distinct values need no narrowing.
 
 What reaches the driver is one row per column and order statistic.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import (Series, melt_series, named, number, numeric_fields, series_of,
-                               small_relation, union_all)
+from ..functions.exprs import (Series, literal, melt_series, named, number, numeric_fields,
+                               series_of, small_relation, union_all)
 
 Tables = Mapping[str, DataFrame]
 
 QUARTILES = (0.25, 0.5, 0.75)
 MAX_SORTED_VALUES = 100_000
 SLICES = 65_536
-LOG_STEPS = 4_096
+LOG_STEPS = 512
 BOX_SCHEMA = ("series string, box int, low double, high double, below bigint, "
               "ranks array<bigint>")
 
@@ -46,7 +45,6 @@ class _Box:
     below: int
     rows: int
     ranks: list[int] = field(default_factory=list)
-    whole: bool = True
 
 
 def values(tables: Tables, series: Mapping[int, Series]) -> DataFrame:
@@ -54,15 +52,6 @@ def values(tables: Tables, series: Mapping[int, Series]) -> DataFrame:
     return melt_series(tables, series, number)
 
 
-def _bounds(tables: Tables, series: Mapping[int, Series]) -> list[tuple]:
-    """(series, count, min, max, estimated distinct): fixed-size buffers, one shuffle of them."""
-    v = F.col("value")
-    rows = values(tables, series).where(v.isNotNull()).groupBy("series").agg(
-        F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-        F.approx_count_distinct(v).alias("d")).collect()
-    return sorted((int(r["series"]), r["n"], r["lo"], r["hi"], r["d"]) for r in rows)
-
-
 def _log_slice(value: Column) -> Column:
     magnitude = F.least(F.greatest(F.log2(F.abs(value)), F.lit(-1075.0)), F.lit(1025.0))
     return (F.when(value == 0, F.lit(0))
@@ -91,55 +80,76 @@ def _in_boxes(tables: Tables, series: Mapping[int, Series], boxes: Sequence[_Box
         F.col("value").between(F.col("low"), F.col("high")))
 
 
-def _narrow(tables: Tables, series: Mapping[int, Series], boxes: Sequence[_Box],
-            first: bool) -> list[_Box]:
-    """Replace each box by the slices of it that hold its ranks."""
-    value = F.col("value")
-    piece = _log_slice(value) if first else _even_slice(value, F.col("low"), F.col("high"))
-    counts = (_in_boxes(tables, series, boxes).withColumn("piece", piece).groupBy("box", "piece")
-              .agg(F.count(F.lit(1)).alias("rows"), F.min("value").alias("slice_low"),
-                   F.max("value").alias("slice_high"))
-              .join(_box_frame(tables, boxes), "box"))
-    # at most SLICES (or the log scale's) rows per box: a bounded running sum
-    running = Window.partitionBy("box").orderBy("piece").rowsBetween(
+def _running(group: str, order: str):
+    return Window.partitionBy(group).orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    hits = (counts.withColumn("upto", F.col("below") + F.sum("rows").over(running))
-            .withColumn("from", F.col("upto") - F.col("rows"))
-            .withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("from"))
-                                          & (r < F.col("upto"))))
-            .where(F.size("ranks") > 0))
+
+
+def _holding(slices: DataFrame, group: str, below: Column) -> list:
+    """The slices that hold a wanted rank, with `from` rows before them.
+
+    A group has a bounded number of slices, so the running sum is bounded too.
+    """
+    upto = below + F.sum("rows").over(_running(group, "piece"))
+    return (slices.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("rows"))
+            .withColumn("held", F.filter("ranks", lambda r: (r >= F.col("from"))
+                                         & (r < F.col("upto"))))
+            .where(F.size("held") > 0)).collect()
+
+
+def _counted(rows: DataFrame, group: str) -> DataFrame:
+    return rows.groupBy(group, "piece").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("value").alias("slice_low"),
+        F.max("value").alias("slice_high"))
+
+
+def _first_boxes(tables: Tables, series: Mapping[int, Series], probs: Sequence[float]
+                 ) -> tuple[dict[int, int], list[_Box]]:
+    """Rows per series and the boxes of the wanted ranks, from one scan."""
+    value = F.col("value")
+    slices = _counted(values(tables, series).where(value.isNotNull()).withColumn(
+        "piece", _log_slice(value)), "series")
+    n = F.sum("rows").over(Window.partitionBy("series"))
+    ranks = F.array_distinct(F.flatten(F.array(*[
+        F.expr(f"array(bigint(floor({literal(float(p))} * (n - 1))), "
+               f"bigint(ceil({literal(float(p))} * (n - 1))))") for p in probs])))
+    hits = _holding(slices.withColumn("n", n).withColumn("ranks", ranks), "series",
+                    F.lit(0).cast("bigint"))
+    return ({int(r["series"]): r["n"] for r in hits},
+            [_Box(int(r["series"]), r["slice_low"], r["slice_high"], r["from"], r["rows"],
+                  list(r["held"])) for r in hits])
+
+
+def _narrow(tables: Tables, series: Mapping[int, Series], boxes: Sequence[_Box]) -> list[_Box]:
+    """Replace each box by the even slices of it that hold its ranks."""
+    piece = _even_slice(F.col("value"), F.col("low"), F.col("high"))
+    slices = _counted(_in_boxes(tables, series, boxes).withColumn("piece", piece), "box").join(
+        _box_frame(tables, boxes), "box")
     return [_Box(int(r["series"]), r["slice_low"], r["slice_high"], r["from"], r["rows"],
-                 list(r["ranks"]), whole=False) for r in hits.collect()]
+                 list(r["held"])) for r in _holding(slices, "box", F.col("below"))]
 
 
 def _rank_values(tables: Tables, series: Mapping[int, Series], boxes: Sequence[_Box]
                  ) -> DataFrame:
     """(series, rank, value) for the ranks of boxes narrow enough to sort.
 
-    Values are counted before anything is sorted, so a box sorts distinct values.
+    A box of a single value is its own answer. In the others values are counted before
+    anything is sorted.
     """
-    frame = _box_frame(tables, boxes)
-    number = {id(b): i for i, b in enumerate(boxes)}
-    parts = []
-    whole = {b.series: series[b.series] for b in boxes if b.whole}
-    if whole:
-        parts.append(values(tables, whole).where(F.col("value").isNotNull())
-                     .groupBy("series", "value").agg(F.count(F.lit(1)).alias("n"))
-                     .join(F.broadcast(frame.select("series", "box")), "series")
-                     .select("box", "value", "n"))
-    part = [b for b in boxes if not b.whole]
-    if part:
-        renumber = F.array(*[F.lit(number[id(b)]) for b in part])
-        parts.append(_in_boxes(tables, series, part).groupBy("box", "value")
-                     .agg(F.count(F.lit(1)).alias("n"))
-                     .withColumn("box", renumber[F.col("box")]))
-    running = Window.partitionBy("box").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return (union_all(parts).withColumn("upto", F.sum("n").over(running))
-            .join(frame, "box").withColumn("upto", F.col("upto") + F.col("below"))
-            .select("series", "value", F.explode(F.filter(
-                "ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto"))
-            )).alias("rank")))
+    spark = next(iter(tables.values())).sparkSession
+    settled = [(str(b.series), r, b.low) for b in boxes if b.low == b.high for r in b.ranks]
+    parts = [small_relation(spark, settled, "series string, rank bigint, value double")]
+    open_boxes = [b for b in boxes if b.low != b.high]
+    if open_boxes:
+        counts = _in_boxes(tables, series, open_boxes).groupBy("box", "value").agg(
+            F.count(F.lit(1)).alias("n"))
+        upto = F.col("below") + F.col("seen")
+        parts.append(counts.withColumn("seen", F.sum("n").over(_running("box", "value")))
+                     .join(_box_frame(tables, open_boxes), "box")
+                     .select("series", F.explode(F.filter(
+                         "ranks", lambda r: (r >= upto - F.col("n")) & (r < upto))).alias("rank"),
+                         "value"))
+    return union_all(parts)
 
 
 def series_quantiles(tables: Tables, series: Mapping[int, Series],
@@ -156,37 +166,28 @@ def series_quantiles(tables: Tables, series: Mapping[int, Series],
             F.count("value").alias("n"), F.percentile_approx("value", list(probs)).alias("q"))
         return sketch.select("series", "n", *[F.col("q")[i].alias(q) for i, q in
                                               enumerate(names)])
-    wanted, ready, large = [], [], []
-    for number, n, low, high, distinct in _bounds(tables, series):
-        cuts = [(math.floor(p * (n - 1)), math.ceil(p * (n - 1)), p * (n - 1)) for p in probs]
-        wanted.append((str(number), n, [c[0] for c in cuts], [c[1] for c in cuts],
-                       [c[2] - c[0] for c in cuts]))
-        box = _Box(number, low, high, 0, n, sorted({r for c in cuts for r in c[:2]}))
-        # the estimate may be off by a few percent, hence the margin
-        (ready if min(n, 1.2 * distinct) <= max_sorted_values else large).append(box)
-    first = True
-    while large:
-        narrowed = _narrow(tables, series, large, first)
-        first, large = False, []
-        for box in narrowed:
-            done = box.rows <= max_sorted_values or box.low == box.high
-            (ready if done else large).append(box)
+    sizes, large = _first_boxes(tables, series, probs)
+    ready: list[_Box] = []
+    while True:
+        ready += [b for b in large if b.rows <= max_sorted_values or b.low == b.high]
+        large = [b for b in large if b.rows > max_sorted_values and b.low != b.high]
+        if not large:
+            break
+        large = _narrow(tables, series, large)
     spark = next(iter(tables.values())).sparkSession
-    if not ready:
-        return spark.createDataFrame([], "series string, n bigint, " + ", ".join(
-            f"{q} double" for q in names))
-    plan = small_relation(spark, wanted, "series string, n bigint, lo array<bigint>, "
-                                         "hi array<bigint>, frac array<double>")
+    plan = small_relation(spark, [(str(i), n) for i, n in sorted(sizes.items())],
+                          "series string, n bigint")
     # at most two ranks per probability: the map stays tiny
     found = _rank_values(tables, series, ready).groupBy("series").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
 
-    def at(i: int) -> Column:
-        low, high = F.col("at")[F.col("lo")[i]], F.col("at")[F.col("hi")[i]]
-        return low + (high - low) * F.col("frac")[i]
+    def at(p: float) -> str:
+        place = f"{literal(float(p))} * (n - 1)"
+        low, high = f"at[bigint(floor({place}))]", f"at[bigint(ceil({place}))]"
+        return f"{low} + ({high} - {low}) * ({place} - floor({place}))"
 
-    return found.join(F.broadcast(plan), "series").select(
-        "series", "n", *[at(i).alias(q) for i, q in enumerate(names)])
+    return found.join(F.broadcast(plan), "series").selectExpr(
+        "series", "n", *[f"{at(p)} AS {q}" for p, q in zip(probs, names)])
 
 
 def numeric_series(tables: Tables, columns: Sequence[str] | None = None) -> list[Series]:
