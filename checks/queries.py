@@ -728,11 +728,17 @@ def _(s):
     return s.fks()
 
 
+_MEASURED = [*CATALOG, sql.fk_stats_cte([*DECLARED, BY_NAME], name="cardstats"),
+             """edgecard AS (SELECT f.*, CASE WHEN child_rows = 0 OR parent_rows = 0 THEN
+  'one-to-many' WHEN child_distinct = child_rows AND child_max_freq = 1 THEN 'one-to-one'
+  WHEN parent_distinct < parent_rows AND child_max_freq > 1 THEN 'many-to-many'
+  ELSE 'one-to-many' END AS cardinality FROM fks f JOIN cardstats c
+  USING (child_table, child_column, parent_table, parent_column))"""]
+
+
 @query("relationships", sql.with_views(
     """SELECT child_table AS from_table, child_column AS from_column, parent_table AS to_table,
-    parent_column AS to_column, inferred, CASE WHEN child_table = 'labels' THEN 'one-to-one' ELSE
-    'one-to-many' END AS cardinality FROM fks WHERE (SELECT count(*) = count(DISTINCT doc_id)
-    FROM labels)""", *CATALOG))
+    parent_column AS to_column, inferred, cardinality FROM edgecard""", *_MEASURED))
 def _(s):
     measured = rel.cardinality(rel.relationship_stats(s.tables(), [*DECLARED, BY_NAME]))
     return cat.relationships(s.fks(), measured)
@@ -896,10 +902,11 @@ def _(s):
 
 @query("er_edges", sql.with_views(
     """SELECT child_table AS from_node, parent_table AS to_node, min(child_column) AS from_column,
-    CASE child_table WHEN 'labels' THEN '||--||' ELSE '||--o{' END AS symbol,
+    CASE arg_min(cardinality, child_column) WHEN 'one-to-one' THEN '||--||'
+      WHEN 'many-to-many' THEN '}o--o{' ELSE '||--o{' END AS symbol,
     array_to_string(list_transform(string_split(replace(replace(min(child_column), '_id', ''),
       '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label
-    FROM fks GROUP BY child_table, parent_table""", *CATALOG))
+    FROM edgecard GROUP BY child_table, parent_table""", *_MEASURED))
 def _(s):
     measured = rel.cardinality(rel.relationship_stats(s.tables(), [*DECLARED, BY_NAME]))
     return cat.er_edges(cat.relationships(s.fks(), measured))
