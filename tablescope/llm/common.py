@@ -7,15 +7,23 @@ re-read, never a recomputation from the start.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablescope.session import scratch_path
 
 #: Rows that a side may have to be broadcast. Rows of such sides are a few numbers wide.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a scale folder. Python workers are told where this package lies, which
+    serves while driver and executors share its path; else ship it with `--py-files`."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, home]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

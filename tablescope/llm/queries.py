@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.session import scratch_path
 
-from . import exact_dedup, mixing, packing, warc
+from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, warc
 from .common import ascii_lower, table
 
 
@@ -21,6 +21,10 @@ def token_ranks() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -38,13 +42,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), carry={
         "text_sha256": F.sha2(ascii_lower(text), 256)})
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op7_warc, op8_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_mixing, op7_warc, op8_packing, op9_jaccard_join, op10_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
