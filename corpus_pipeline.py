@@ -1,3 +1,71 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""From raw documents to packed sequences, in stages.
+
+Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps, with the
+columns of the table; the last gives pieces of sequences. Every stage is written as
+Parquet before the next one reads it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tablescope.llm import jaccard_join, language, line_dedup, mixing, packing
+from tablescope.llm.common import materialise, share_code, table
+from tablescope.llm.queries import token_ranks
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without any letter go. The model learns from
+    this stage's own labelled documents."""
+    share_code(spark)
+    model = language.learn(docs.filter(~language.held_out()))
+    found = language.identify(docs, model)
+    return found.filter(f"lang_pred <> '{language.UNKNOWN}'").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that they repeat from earlier documents. One that had
+    lines and lost all of them has nothing of its own and goes."""
+    share_code(spark)
+    found = line_dedup.dedup_lines(docs)
+    return found.filter("n_removed < n_lines or n_lines = 0").select(*docs.columns)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the least id."""
+    share_code(spark)
+    return jaccard_join.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.repeated(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens."""
+    share_code(spark)
+    return packing.pack(docs, token_ranks())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("jaccard_join", join_near_copies),
+    ("source_mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Language models, MinHash, token ids and the order of packing are not SQL; the tests
+#: hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the whole documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

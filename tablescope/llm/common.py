@@ -17,13 +17,17 @@ from tablescope.session import scratch_path
 BROADCAST_ROWS = 500_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a scale folder. Python workers are told where this package lies, which
-    serves while driver and executors share its path; else ship it with `--py-files`."""
+def share_code(spark: SparkSession) -> None:
+    """Tell Python workers where this package lies. It serves while driver and executors
+    see the package at the same path; elsewhere ship it with `--py-files`."""
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if home not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, home]))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -86,24 +86,9 @@ def _boundary(cells: DataFrame, cell: str, want: str) -> DataFrame:
             .filter(F.col("_under") <= F.col(want)).filter(F.col("_upto") > F.col(want)))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
-        seed: str = "", id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
-    """One row per row of `docs`: id, size, source_size, target, repeats, extra, taken, `carry`.
-
-    Sources in order of code point, null last, weigh `weights` in turn and share all
-    words by water-filling. A source is taken whole `repeats` times; the words still
-    lacking come from documents in the order of a hash of `seed` and id. Those before the
-    boundary are taken once more. The boundary is found by two rounds of at most 4096
-    counted cells per source, so no source is ever sorted or gathered; the documents of
-    the last cell, one or few, give the fraction still lacking (`extra` words each,
-    rounded down). So a source's words miss the target by less than its last cell's
-    number of documents, and no document is taken more than `max_epochs` times.
-
-    A null text has size 0; null sources form a source of their own; rows with the same
-    id take part alike; sources without words take nothing. Extra columns do no harm. An
-    empty table gives an empty result. Nothing depends on the partitioning.
-    """
+def _plan(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: str, id_col: str,
+          text_col: str, source_col: str, carry: Sequence[str]) -> DataFrame:
+    """Every row's id, numbers and, under names of their own, the columns of `carry`."""
     text = F.col(f"`{text_col}`")
     digits = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
     place = F.conv(F.substring(digits, 1, 6), 16, 10).cast("long")
@@ -142,23 +127,47 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
     once = (F.col("_place") < F.col("_edge")).cast("long")
     part = F.when(F.col("_place") == F.col("_edge"), F.expr(
         "cast(_size as decimal(38,0)) * cast(_part as decimal(38,0)) div cast(_of as decimal(38,0))"))
-    repeats = F.col("repeats") + F.coalesce(once, F.lit(0).cast("long"))
-    return joined.select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target",
-        repeats.alias("repeats"), F.coalesce(part, F.lit(0).cast("long")).alias("extra"),
-        (repeats * F.col("_size") + F.coalesce(part, F.lit(0).cast("long"))).alias("taken"),
-        *[F.col(f"_carry_{c}").alias(c) for c in carry])
+    return (joined.withColumn("repeats", F.col("repeats") + F.coalesce(once, F.lit(0).cast("long")))
+            .withColumn("extra", F.coalesce(part, F.lit(0).cast("long"))))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
+        seed: str = "", id_col: str = "doc_id", text_col: str = "text",
+        source_col: str = "source") -> DataFrame:
+    """One row per row of `docs`: id, size, source_size, target, repeats, extra, taken.
+
+    Sources in order of code point, null last, weigh `weights` in turn and share all
+    words by water-filling. A source is taken whole `repeats` times; the words still
+    lacking come from documents in the order of a hash of `seed` and id. Those before the
+    boundary are taken once more. The boundary is found by two rounds of at most 4096
+    counted cells per source, so no source is ever sorted or gathered; the documents of
+    the last cell, one or few, give the fraction still lacking (`extra` words each,
+    rounded down). So a source's words miss the target by less than its last cell's
+    number of documents, and no document is taken more than `max_epochs` times.
+
+    A null text has size 0; null sources form a source of their own; rows with the same
+    id take part alike; sources without words take nothing. Extra columns do no harm. An
+    empty table gives an empty result. Nothing depends on the partitioning.
+    """
+    plan = _plan(docs, weights, max_epochs, seed, id_col, text_col, source_col, ())
+    return plan.select(
+        F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "repeats",
+        "extra", (F.col("repeats") * F.col("_size") + F.col("extra")).alias("taken"))
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
+def repeated(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
+             seed: str = "", id_col: str = "doc_id", text_col: str = "text",
+             source_col: str = "source") -> DataFrame:
     """The mix itself: each row of `docs` as often as it is taken, with the columns of
     `docs`; a part of a repetition holds the document's first words. A document that is
     taken zero times goes."""
-    text_col = options.get("text_col", "text")
-    plan = mix(docs, carry=docs.columns, **options)
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), 1),
+    plan = _plan(docs, weights, max_epochs, seed, id_col, text_col, source_col, docs.columns)
+    text = F.col(f"_carry_{text_col}")
+    words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1),
                                  1, F.col("extra").cast("int")), " ")
     whole = plan.filter("repeats > 0").withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
-    part = plan.filter("extra > 0").withColumn(text_col, words)
-    return whole.select(*docs.columns).unionAll(part.select(*docs.columns))
+    part = plan.filter("extra > 0")
+    out = [F.col(f"_carry_{c}").alias(c) for c in docs.columns]
+    cut = [words.alias(c) if c == text_col else F.col(f"_carry_{c}").alias(c) for c in docs.columns]
+    return whole.select(*out).unionAll(part.select(*cut))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.session import scratch_path
 
-from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, warc
+from . import (exact_dedup, html_text, jaccard_join, language, line_dedup, mixing, neighbours,
+               packing, quality, warc)
 from .common import ascii_lower, table
 
 
@@ -30,6 +31,27 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.filter(~language.held_out()))
+    found = language.identify(docs.select("doc_id", "text", language.held_out().alias("held_out")),
+                              model, columns=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "lang_set", "lang_shares")
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive(spark, table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return records.select(F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest",
@@ -53,7 +75,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_mixing, op7_warc, op8_packing, op9_jaccard_join, op10_exact_dedup)}
+    op1_line_dedup, op2_mixing, op3_quality, op4_language, op5_neighbours, op6_html_text, op7_warc,
+    op8_packing, op9_jaccard_join, op10_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
