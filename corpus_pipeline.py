@@ -9,13 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.llm import jaccard_join, language, line_dedup, mixing, packing
 from tablescope.llm.common import materialise, share_code, table
 from tablescope.llm.queries import token_ranks
 
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    """Documents whose text a stage cut, with their lengths brought up to date."""
+    if "n_chars" not in docs.columns:
+        return docs
+    n = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return docs.withColumn("n_chars", n)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without any letter go. The model learns from
     this stage's own labelled documents."""
@@ -30,7 +38,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lines and lost all of them has nothing of its own and goes."""
     share_code(spark)
     found = line_dedup.dedup_lines(docs)
-    return found.filter("n_removed < n_lines or n_lines = 0").select(*docs.columns)
+    return _recounted(found.filter("n_removed < n_lines or n_lines = 0").select(*docs.columns))
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +49,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.repeated(docs)
+    return _recounted(mixing.repeated(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
