@@ -8,65 +8,110 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .arrays import mix
 from .common import connected, materialise
 
 #: Rounds with one centre per bucket before what is left is compared pair by pair.
-CENTRE_ROUNDS = 3
+CENTRE_ROUNDS = 2
+#: 64-bit words of a sketch. It tells well up to some 100 elements in a word.
+SKETCH = 16
 
 
 def open_buckets(postings: DataFrame) -> DataFrame:
     """Postings (key, id) of the keys with two ids or more, written to the shared folder.
 
     Of keys with the same members one is kept (compared by number, least member, xor
-    and sum of their hashes). The postings are shuffled once for both uses.
+    and sum of their hashes). The postings are shuffled once, for counting and joining.
     """
     dealt = postings.repartition("key")
     keys = (dealt.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("least"),
         F.bit_xor(F.xxhash64("id")).alias("x"),
         F.try_sum(F.shiftrightunsigned(F.xxhash64(F.lit(7), "id"), 28)).alias("y"))
-        .filter("n > 1"))
-    keys = materialise(keys, "bucket-keys").groupBy("n", "least", "x", "y").agg(
-        F.min("key").alias("key")).select("key")
-    return materialise(dealt.join(materialise(keys, "bucket-kept"), "key"), "buckets")
+        .filter("n > 1").select("key", F.struct("n", "least", "x", "y").alias("members")))
+    shared = materialise(dealt.join(keys, "key"), "shared-keys")
+    one = shared.groupBy("members").agg(F.min("key").alias("key")).select("key")
+    return materialise(shared.select("key", "id").join(one, "key", "left_semi"), "buckets")
 
 
-def similar_links(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
-                  prune: str = "true") -> DataFrame:
-    """Union-find roots (node, root) over the verified links of `postings` (key, id, size).
+def sketches(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of SKETCH 64-bit words per set: the parity of the number of its elements in
+    each of 64 * SKETCH cells. An element that only one of two sets has flips one cell,
+    so the sketches of two sets differ in no more cells than the sets do in elements."""
+    n, cells = len(bounds) - 1, 64 * SKETCH
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    at = (mix(sets, 77) % np.uint64(cells)).astype(np.int64)
+    odd = (np.bincount(owner * cells + at, minlength=n * cells) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, cells), axis=1).view(np.int64)
+
+
+#: What `sketched` returns of each item.
+SKETCH_FIELDS = "id long, size long, " + ", ".join(f"s{i} long" for i in range(SKETCH))
+
+
+def sketch_batch(ids: pa.Array, sets: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    """Rows of SKETCH_FIELDS for sets that lie one after the other."""
+    words = sketches(sets, bounds)
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(np.diff(bounds), pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in words.T]],
+        names=["id", "size", *[f"s{i}" for i in range(SKETCH)]])
+
+
+def _may_link() -> Column:
+    """No pair (size_a, a0, ..., size_b, b0, ...) with a Jaccard similarity of 0.8 or more
+    fails this: sets of n and m elements then differ in at most (n + m) / 9, and so do
+    their sketches."""
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH)), F.lit(0))
+    n, m = F.col("size_a"), F.col("size_b")
+    return (4 * F.greatest(n, m) <= 5 * F.least(n, m)) & (9 * differ <= n + m)
+
+
+def _named(sketched: DataFrame, side: str) -> DataFrame:
+    """Sketches with the names of one side of a pair; the item is called `side`."""
+    return sketched.select(*_renamed(side))
+
+
+def similar_links(postings: DataFrame, sketched: DataFrame,
+                  verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Union-find roots (node, root) over the links, by a Jaccard similarity of 0.8, of
+    members of a bucket: `postings` (key, id) as `open_buckets` gives them, `sketched` of
+    SKETCH_FIELDS, `verify` from pairs (a, b) to the linked ones.
 
     Rounds: one member of each bucket is its centre and is compared with the others, so
-    the pairs are as many as the postings. Linked members join; a bucket whose members
-    are all in one component has nothing left to find and goes, as does the centre of
-    every other, having met all. What is left after CENTRE_ROUNDS, members of different
-    components in one bucket that no centre linked, is compared pair by pair. No link
-    between members of a bucket is lost: a pair is skipped only if it is linked already
-    by others, was compared, or fails `prune`, a condition over size_a and size_b that no
-    similar pair fails.
+    the pairs are as many as the postings. Linked members join, and a bucket whose members
+    are all in one component has nothing left to find. What is left after CENTRE_ROUNDS,
+    members of different components in one bucket, is compared pair by pair, by sketches
+    laid beside the postings; only pairs whose sketches allow a link leave the join.
+    No link between members of a bucket is lost: a pair is skipped only if it is joined
+    already by other links, was compared, or its sketches rule it out.
     """
-    buckets = postings
-    roots = None
-    tested = None
+    roots, tested = None, None
+    now = postings.select("key", "id", F.col("id").alias("comp"))
     for turn in range(CENTRE_ROUNDS + 1):
+        if roots is not None:
+            named = postings.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
+                "key", "id", F.coalesce("root", "id").alias("comp"))
+            left = (named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                    .filter("lo <> hi").select("key"))
+            now = materialise(named.join(left, "key"), "open")
+            if not now.limit(1).count():
+                break
         if turn < CENTRE_ROUNDS:
-            order = F.struct(F.xxhash64(F.lit(turn), F.col("id")), "id", "size")
-            if not turn:
-                order = F.struct(F.col("id").alias("col1"), "id", "size")
-            centre = buckets.groupBy("key").agg(F.min(order).alias("c"))
-            pairs = (buckets.join(centre, "key").filter("id <> c.id")
-                     .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"),
-                             F.when(F.col("id") < F.col("c.id"), F.col("size")).otherwise(F.col("c.size")).alias("size_a"),
-                             F.when(F.col("id") < F.col("c.id"), F.col("c.size")).otherwise(F.col("size")).alias("size_b")))
+            order = F.col("id") if not turn else F.xxhash64(F.lit(turn), F.col("id"))
+            centre = now.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("c"))
+            pairs = now.join(centre, "key").filter("comp <> c.comp").select(
+                F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+            pairs = pairs.join(_named(sketched, "b"), "b").join(_named(sketched, "a"), "a").filter(_may_link())
         else:
-            left = buckets.select("key", F.col("id").alias("a"), F.col("size").alias("size_a"),
-                                  F.col("comp").alias("comp_a"))
-            right = buckets.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"),
-                                   F.col("comp").alias("comp_b"))
-            pairs = (left.join(right, "key").filter("a < b and comp_a <> comp_b")
-                     .select("a", "b", "size_a", "size_b"))
-        pairs = pairs.filter(prune).select("a", "b").distinct()
+            beside = now.join(sketched, "id")
+            pairs = (beside.select("key", F.col("comp").alias("comp_a"), *_renamed("a"))
+                     .join(beside.select("key", F.col("comp").alias("comp_b"), *_renamed("b")), "key")
+                     .filter("a < b and comp_a <> comp_b").filter(_may_link()))
+        pairs = pairs.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
@@ -75,16 +120,9 @@ def similar_links(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
         if roots is not None:
             links = links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = connected(links, "links")
-        if turn == CENTRE_ROUNDS:
-            break
-        named = buckets.drop("comp").join(roots.withColumnRenamed("node", "id"), "id", "left").select(
-            "key", "id", "size", F.coalesce("root", "id").alias("comp"))
-        # the centre has met all; buckets of one component are done
-        named = named.join(centre, "key").filter("id <> c.id").select("key", "id", "size", "comp")
-        named = materialise(named, "open")
-        more = (named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                .filter("lo <> hi").select("key"))
-        buckets = materialise(named.join(more, "key"), "still-open")
-        if not buckets.limit(1).count():
-            break
     return roots
+
+
+def _renamed(side: str) -> list[Column]:
+    return [F.col("id").alias(side), F.col("size").alias(f"size_{side}"),
+            *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(SKETCH)]]

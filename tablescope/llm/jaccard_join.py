@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import block_sets, blocks, mix, word_sets
-from .candidates import open_buckets, similar_links
+from .candidates import SKETCH_FIELDS, open_buckets, similar_links, sketch_batch
 from .common import bounded, materialise
 
 SHINGLE = 5
@@ -148,17 +148,28 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _keys(texts: DataFrame, k: int, light: int) -> DataFrame:
-    """(id, size, key) of texts (id, text)."""
+    """(id, key) of texts (id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, bounds in blocks(batch.column("text")):
                 sets, at = block_sets(data, bounds, k)
                 rows, keys = keys_of(sets, at, light)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, last - first).take(pa.array(rows)),
-                     pa.array(np.diff(at)[rows]), _signed(keys)], names=["id", "size", "key"])
+                    [batch.column("id").slice(first, last - first).take(pa.array(rows)), _signed(keys)],
+                    names=["id", "key"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, size long, key long")
+    return texts.select("id", "text").mapInArrow(run, "id long, key long")
+
+
+def _sketched(texts: DataFrame, k: int) -> DataFrame:
+    """Sketches of texts (id, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, bounds in blocks(batch.column("text")):
+                yield sketch_batch(batch.column("id").slice(first, last - first),
+                                   *block_sets(data, bounds, k))
+
+    return texts.select("id", "text").mapInArrow(run, SKETCH_FIELDS)
 
 
 def _verified(pairs: DataFrame, k: int) -> DataFrame:
@@ -189,8 +200,8 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id",
     2. Light sets, of few shingles, enumerate their subsets of the sizes that an overlap
        with a similar set can have. Heavy sets are entered into inverted lists. The
        boundary is the size at which the postings are fewest, by the counted sizes.
-    3. Lists are read by `candidates.similar_links`; candidates are compared on their
-       whole texts.
+    3. Lists are read by `candidates.similar_links`; candidates that pass the sketches of
+       their sets are compared on their whole texts.
 
     The lists are not kept per shingle but per segment: the shingles that a hash deals to
     one of so many segments that similar sets must agree in one. A passage found in
@@ -230,8 +241,7 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id",
         b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         return materialise(_verified(pairs.join(b, "b").join(a, "a"), k), "join-links")
 
-    roots = similar_links(buckets, verify,
-                          f"{NUM} * greatest(size_a, size_b) <= {DEN} * least(size_a, size_b)")
+    roots = similar_links(buckets, materialise(_sketched(texts, k), "join-sketches"), verify)
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
         "n", "hi", "lo", "least", F.coalesce("root", "id").alias("comp"))
     linked = materialise(named, "join-named")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import mix
-from .candidates import open_buckets, similar_links
+from .candidates import SKETCH_FIELDS, open_buckets, similar_links, sketch_batch
 from .common import bounded, materialise
 
 #: Characters of a shingle. At 9, unrelated lines of a language share next to none.
@@ -93,8 +93,8 @@ def bands(lines: list[str]) -> np.ndarray:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, text_key, pos, line_key, size, bands) of each line that is not blank."""
-    names = ["doc", "text_key", "pos", "line_key", "size", "bands"]
+    """(doc, text_key, pos, line_key, bands) of each line that is not blank."""
+    names = ["doc", "text_key", "pos", "line_key", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,13 +119,30 @@ def _lines(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [docs_.take(owner), keys.take(owner), pa.array(pos, pa.int32()),
              pa.array([md5(x.encode()).digest() for x in held], pa.binary()),
-             pa.array([max(1, len(x) - SHINGLE + 1) for x in held], pa.int64()),
              pa.ListArray.from_arrays(ends, pa.array(bands(held).ravel().view(np.int64)))],
             names=names)
 
     return docs.select("doc", "text_key", "text").mapInArrow(
         run, f"doc {docs.schema['doc'].dataType.simpleString()}, text_key long, pos int, "
-             "line_key binary, size long, bands array<long>")
+             "line_key binary, bands array<long>")
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """Sketches of lines (id, line), by hashes of their distinct runs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                sets = [_line_set(x.as_py()) for x in part.column("line")]
+                yield sketch_batch(part.column("id"), np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+
+    return texts.select("id", "line").mapInArrow(run, SKETCH_FIELDS)
+
+
+def _line_set(line: str) -> np.ndarray:
+    """Hashes of the distinct runs of a line."""
+    chars = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.unique(_run_hashes(chars, min(SHINGLE, len(chars))))
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -170,11 +187,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = materialise(_lines(rows), "lines")
     first = F.struct("doc", "text_key", "pos")
     kinds = lines.groupBy("line_key").agg(
-        F.min(first).alias("first"), F.max(first).alias("last"), F.first("size").alias("size"),
-        F.first("bands").alias("bands"))
+        F.min(first).alias("first"), F.max(first).alias("last"), F.first("bands").alias("bands"))
     kinds = materialise(kinds.withColumn("id", F.monotonically_increasing_id()), "line-kinds")
 
-    buckets = open_buckets(kinds.select("id", "size", F.explode("bands").alias("key")))
+    buckets = open_buckets(kinds.select("id", F.explode("bands").alias("key")))
     members = buckets.select("id").distinct()
     wanted = materialise(kinds.join(members, "id").select("id", "line_key"), "line-wanted")
     every = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).withColumn(
@@ -187,8 +203,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         b = texts.select(F.col("id").alias("b"), F.col("line").alias("text_b"))
         return materialise(_verified(pairs.join(b, "b").join(a, "a")), "line-links")
 
-    # a set of distinct runs may be smaller than the line is long: lengths exclude nothing
-    roots = similar_links(buckets, verify)
+    roots = similar_links(buckets, materialise(_sketched(texts), "line-sketches"), verify)
     named = kinds.select("id", "line_key", "first", "last").join(
         roots.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "comp", F.coalesce("root", "id"))
