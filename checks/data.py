@@ -146,7 +146,9 @@ POLICY = QualityPolicy(enum_rules=(EnumRule("o_orderstatus", ("F", "O", "P")),),
                        sequence_rules=(SequenceRule("o_orderdate", "l_shipdate"),))
 ORDER_KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"],
               "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
-              "events": ["event_id"], "labels": ["doc_id"],
+              "events": ["event_id"], "labels": ["doc_id"], "documents": ["doc_id"],
+              "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"],
+              "conversations": ["conv_id", "turn"],
               "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                            "l_extendedprice"]}
 

@@ -494,6 +494,33 @@ def _(s):
     return rel.fk_integrity(s.card_tables(), CARD_FKS)
 
 
+@query("fk_integrity_decimal", """WITH c AS (SELECT o_custkey::decimal(20,2) AS a,
+    o_custkey::decimal(25,4) + 0.5 * (o_orderkey % 2) AS b FROM orders),
+    p AS (SELECT c_custkey AS k, c_custkey::decimal(12,1) AS d FROM customer)
+    SELECT 'a' AS child_column, 'k' AS parent_column, count(*) AS total_fk_values,
+      count_if(a NOT IN (SELECT k FROM p)) AS orphaned_count FROM c
+    UNION ALL SELECT 'b', 'd', count(*), count_if(b NOT IN (SELECT d FROM p)) FROM c""")
+def _(s):
+    tables = {"c": s.t("orders").selectExpr(
+        "cast(o_custkey AS decimal(20,2)) AS a",
+        "cast(cast(o_custkey AS decimal(20,4)) + 0.5 * (o_orderkey % 2) AS decimal(25,4)) AS b"),
+        "p": s.t("customer").selectExpr("c_custkey AS k", "cast(c_custkey AS decimal(12,1)) AS d")}
+    fks = [rel.ForeignKey("c", "a", "p", "k"), rel.ForeignKey("c", "b", "p", "d")]
+    return rel.fk_integrity(tables, fks).select("child_column", "parent_column", "total_fk_values", "orphaned_count")
+
+
+@query("fk_integrity_large_keys", """SELECT count(*) AS total_fk_values,
+    count_if(o_custkey % 2 = 1) AS orphaned_count FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
+def _(s):
+    # children around 2^53 + 1 are neighbours of the doubles that the parents hold
+    known = s.t("orders").join(s.t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    tables = {"c": known.selectExpr("9007199254740992L + o_custkey AS k"),
+              "p": s.t("customer").where("c_custkey % 2 = 0").selectExpr(
+                  "cast(9007199254740992L + c_custkey AS double) AS k")}
+    return rel.fk_integrity(tables, [rel.ForeignKey("c", "k", "p", "k")]).select(
+        "total_fk_values", "orphaned_count")
+
+
 @query("fk_integrity_by_table", sql.with_views(
     'SELECT "table", coalesce(avg(integrity_pct), 100.0) AS fk_integrity FROM (SELECT DISTINCT '
     '"table" FROM nulls) n LEFT JOIN fkstats f ON f.child_table = n."table" GROUP BY "table"',
@@ -912,19 +939,17 @@ def _(s):
     return cat.er_edges(cat.relationships(s.fks(), measured))
 
 
-def _first_rows(t: str) -> str:
-    return f"(SELECT * FROM {t} ORDER BY {', '.join(ORDER_KEYS[t])} LIMIT 5)"
-
-
 def _samples() -> str:
     rows = []
     for t in ORDER_KEYS:
         order = ", ".join(ORDER_KEYS[t])
-        for c, _ in SCHEMA[t]:
+        for c, ty in SCHEMA[t]:
+            if ty.startswith("array"):  # floats are written differently by the two engines
+                continue
             rows.append(
                 f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", string_agg(v, ' | ' ORDER BY rn) "
                 f"AS samples FROM (SELECT left(cast({c} AS varchar), 50) AS v, row_number() OVER "
-                f"(ORDER BY {order}) AS rn FROM {_first_rows(t)} WHERE {c} IS NOT NULL) "
+                f"(ORDER BY {order}) AS rn FROM {t} WHERE {c} IS NOT NULL) "
                 "WHERE rn <= 3")
     return sql.union(rows)
 
@@ -940,7 +965,26 @@ def _(s):
     wanted = s.tables(list(ORDER_KEYS))
     return cat.column_dictionary(
         cat.Catalog(catalog.tables.where(F.col("table").isin(*ORDER_KEYS)), catalog.columns,
-                    catalog.fks), wanted, ORDER_KEYS)
+                    catalog.fks), wanted, ORDER_KEYS).where("type not like 'array%'")
+
+
+@query("column_dictionary_defects", """WITH h AS (SELECT o_orderkey,
+    CASE WHEN o_orderkey > 40 AND o_orderkey % 3 = 0 THEN o_orderpriority END AS late,
+    CASE WHEN o_orderkey % 997 = 5 THEN o_orderstatus END AS rare FROM orders)
+    SELECT 'late' AS "column", string_agg(v, ' | ' ORDER BY k) AS samples FROM
+      (SELECT o_orderkey AS k, late AS v FROM h WHERE late IS NOT NULL ORDER BY k LIMIT 3)
+    UNION ALL SELECT 'rare', string_agg(v, ' | ' ORDER BY k) FROM
+      (SELECT o_orderkey AS k, rare AS v FROM h WHERE rare IS NOT NULL ORDER BY k LIMIT 3)
+    UNION ALL SELECT 'o_orderkey', string_agg(v, ' | ' ORDER BY k) FROM
+      (SELECT o_orderkey AS k, cast(o_orderkey AS varchar) AS v FROM h ORDER BY k LIMIT 3)""")
+def _(s):
+    holes = s.t("orders").selectExpr(
+        "o_orderkey", "CASE WHEN o_orderkey > 40 AND o_orderkey % 3 = 0 THEN o_orderpriority END AS late",
+        "CASE WHEN o_orderkey % 997 = 5 THEN o_orderstatus END AS rare")
+    tables = {"holes": holes}
+    catalog = cat.Catalog(cat.extract_tables(tables), cat.extract_columns(tables),
+                          rel.fk_relation(s.spark, []))
+    return cat.column_dictionary(catalog, tables, {"holes": ["o_orderkey"]}).select("column", "samples")
 
 
 @query("sample_rows_orders", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5", ["o_totalprice"])
@@ -1442,6 +1486,27 @@ def _(s):
     return readers.document_fields(s.t("events"), "props")
 
 
+@query("csv_malformed", """SELECT 'nation' AS "table", count(*) AS rows,
+    count_if(n_nationkey % 5 = 0 OR n_nationkey % 7 = 1) AS malformed_rows FROM nation""")
+def _(s):
+    path = f"{scratch_path(s.spark, 'csv')}/nation.csv"
+    lines = s.t("nation").orderBy("n_nationkey").selectExpr(
+        "concat_ws(',', n_nationkey, n_name, if(n_nationkey % 7 = 1, NULL, n_regionkey), "
+        "if(n_nationkey % 5 = 0, if(n_nationkey % 7 = 1, 'x,y', 'x'), NULL)) AS line")
+    head = s.spark.sql("SELECT 'n_nationkey,n_name,n_regionkey' AS line")
+    # one file, header first: text files have no header of their own
+    head.unionAll(lines).coalesce(1).write.text(path)
+    return readers.csv_malformed(s.spark, [path])
+
+
+@query("document_fields_malformed", """SELECT count(*) AS documents,
+    count_if(event_id % 10 = 3 OR event_id % 10 = 7) AS unreadable FROM events""")
+def _(s):
+    spoiled = s.t("events").selectExpr("""CASE WHEN event_id % 10 = 3 THEN 'no json'
+        WHEN event_id % 10 = 7 THEN '[1, 2]' ELSE props END AS document""")
+    return readers.unreadable_documents(spoiled, "document")
+
+
 @query("document_fields_nested", sql.union([
     f"SELECT '{c}' AS field, count(*) AS documents, 'object' AS type, false AS primary_key "
     "FROM orders" for c, _ in SCHEMA["orders"]]))

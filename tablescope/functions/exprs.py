@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import wraps
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -93,8 +94,54 @@ def present(field: T.StructField) -> str:
 
 
 def cast(expr: str, kind: str) -> str:
-    """SQL text of an expression in the value type of a family."""
-    return f"cast({expr} AS {FAMILY_SQL_TYPE[kind]})"
+    """SQL text of an expression in the value type of a family, or in a given SQL type."""
+    return f"cast({expr} AS {FAMILY_SQL_TYPE.get(kind, kind)})"
+
+
+def digest(expr: str) -> str:
+    """SQL text of 32 bytes that stand for a text of any length where values are only
+    counted or compared, so that text bodies never travel."""
+    return f"unhex(sha2({expr}, 256))"
+
+
+def exact_type(types: Iterable[T.DataType]) -> str | None:
+    """The SQL type that holds all values of integral and decimal types exactly: `bigint`
+    if no decimal is among them, None if 38 digits are too few."""
+    digits, scale, decimals = 19, 0, False
+    for one in types:
+        if isinstance(one, T.DecimalType):
+            decimals = True
+            digits, scale = max(digits, one.precision - one.scale), max(scale, one.scale)
+    if not decimals:
+        return "bigint"
+    return f"decimal({digits + scale},{scale})" if digits + scale <= 38 else None
+
+
+def any_table(kind: str):
+    """For operators on the columns of one kind: a table without such columns gives an
+    empty relation of the usual schema, taken from an empty table with a column of SQL
+    type `kind`."""
+    def wrap(operator):
+        @wraps(operator)
+        def run(df: DataFrame, *args, **options):
+            try:
+                return operator(df, *args, **options)
+            except NoColumns:
+                if "key" in options or args and isinstance(args[0], str):
+                    key = options.get("key", args[0] if args else None)
+                    bare = df.select(col(key)).where("false").selectExpr(
+                        quoted(key), f"cast(NULL AS {kind}) AS `__none`")
+                else:
+                    bare = df.sparkSession.sql(f"SELECT cast(NULL AS {kind}) AS `__none` WHERE false")
+                plain = {k: v for k, v in options.items() if k != "columns"}
+                fixed = args[:1] if args and isinstance(args[0], str) else ()
+                return operator(bare, *fixed, **plain).where(F.lit(False))
+        return run
+    return wrap
+
+
+class NoColumns(ValueError):
+    """There is no column of the wanted kind."""
 
 
 def number(field: T.StructField) -> str:
@@ -167,6 +214,8 @@ def long_rows(wide: DataFrame, rows: Sequence[Mapping[str, str]]) -> DataFrame:
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    if not frames:
+        raise NoColumns("no column of the wanted kind")
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame)

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import col, small_relation, union_all
 from ..policy import AMBIGUOUS_NAMES
@@ -353,25 +353,37 @@ def sample_row_json(tables: Tables, order_by: Mapping[str, Sequence[str]], n: in
     return union_all(parts)
 
 
+def _sample_text(field, chars: int) -> Column:
+    """The sample text of a value."""
+    nested = field.dataType.typeName() in ("array", "map", "struct", "variant")
+    text = F.to_json(col(field.name)) if nested else col(field.name).cast("string")
+    return F.substring(text, 1, chars)
+
+
 def column_dictionary(cat: Catalog, tables: Tables, order_by: Mapping[str, Sequence[str]],
                       sample: int = 5, k: int = 3, chars: int = 50) -> DataFrame:
     """Per column: type, nullability, key marks, target, and up to k sample values.
 
-    Samples are the non-null values among the first `sample` rows, shortened.
+    Samples are the first k non-null values of the whole table in key order, shortened.
+    The first `sample` rows give them for most columns; only for a column with fewer than
+    k values there is the table read again, for that column alone. Every task keeps a few
+    rows.
     """
     parts = []
     for name, df in tables.items():
-        first = sample_rows(df, sample, order_by[name])
-        rn = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(
-            *[col(c) for c in order_by[name]])).alias("__rn")
-        texts = [F.substring(col(f.name).cast("string"), 1, chars).alias(f.name)
-                 if f.dataType.typeName() not in ("array", "map", "struct", "binary", "variant")
-                 else F.substring(F.to_json(col(f.name)), 1, chars).alias(f.name)
-                 for f in df.schema.fields if f.dataType.typeName() != "binary"]
-        names = [f.name for f in df.schema.fields if f.dataType.typeName() != "binary"]
-        parts.append(first.select(rn, *texts).unpivot(
-            [F.col("__rn")], [col(c) for c in names], "column", "value")
-            .withColumn("table", F.lit(name)))
+        fields = [f for f in df.schema.fields if f.dataType.typeName() != "binary"]
+        keys = [col(c) for c in order_by[name]]
+        rn = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*keys)).alias("__rn")
+        first = sample_rows(df, max(sample, k), order_by[name])
+        known = first.agg(*[F.count(col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)]).first()
+        full = [f for i, f in enumerate(fields) if known[i] >= k]
+        sources = [(first, full)] if full else []
+        sources += [(df.where(col(f.name).isNotNull()).orderBy(*keys).limit(k), [f])
+                    for f in fields if f not in full]
+        for rows, mine in sources:
+            parts.append(rows.select(rn, *[_sample_text(f, chars).alias(f.name) for f in mine]).unpivot(
+                [F.col("__rn")], [col(f.name) for f in mine], "column", "value")
+                .withColumn("table", F.lit(name)))
     order = Window.partitionBy("table", "column").orderBy("__rn")
     picked = (union_all(parts).where(F.col("value").isNotNull())
               .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.exprs import (cast, chunks, col, family, literal, long_rows, measure, melt,
+from ..functions.exprs import (digest, exact_type, cast, chunks, col, family, literal, long_rows, measure, melt,
                                present, scalar_fields, union_all)
 
 Tables = Mapping[str, DataFrame]
@@ -51,13 +51,18 @@ def composite_keys(tables: Tables, pairs: Mapping[str, Sequence[tuple[str, str]]
 
 
 def _members(tables: Tables) -> dict[str, list[tuple[str, str]]]:
-    """Comparable columns by type family; floating-point values are no keys."""
+    """Comparable columns by type; floating-point values are no keys. Integers and
+    decimals meet in one exact type, where 38 digits hold them."""
     found: dict[str, list[tuple[str, str]]] = {}
-    for name, df in tables.items():
-        for field in scalar_fields(df):
-            kind = family(field.dataType)
-            if kind != "fractional":
-                found.setdefault(kind, []).append((name, field.name))
+    fields = [(name, f) for name, df in tables.items() for f in scalar_fields(df)]
+    numbers = [f.dataType for _, f in fields if isinstance(f.dataType, (T.IntegralType, T.DecimalType))]
+    exact = exact_type(numbers)
+    for name, field in fields:
+        kind = family(field.dataType)
+        if exact and exact != "bigint" and isinstance(field.dataType, (T.IntegralType, T.DecimalType)):
+            kind = exact
+        if kind != "fractional":
+            found.setdefault(kind, []).append((name, field.name))
     return found
 
 
@@ -78,7 +83,8 @@ def _value_masks(tables: Tables, members: Sequence[tuple[str, str]], kind: str)
         if not mine:
             continue
         fields = {f.name: f for f in df.schema.fields}
-        long = melt(df, {str(i): cast(present(fields[c]), kind) for i, c in mine})
+        value = {str(i): cast(present(fields[c]), kind) for i, c in mine}
+        long = melt(df, {i: digest(v) for i, v in value.items()} if kind == "text" else value)
         melted.append(long.where("value IS NOT NULL").selectExpr("value", *[
             f"if(int(column) DIV {WORD_BITS} = {w}, shiftleft(1L, int(column) - "
             f"{w * WORD_BITS}), 0L) AS w{w}" for w in range(words)]))

@@ -10,7 +10,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.exprs import (chunks, literal, long_rows, measure, melt, quoted, small_relation,
+from ..functions.exprs import (NoColumns, any_table, chunks, literal, long_rows, measure, melt, quoted, small_relation,
                                text_fields, union_all)
 
 # --- fixed values: patterns and shares -------------------------------------------
@@ -85,6 +85,7 @@ def _verdict(mode: str) -> str:
             f"WHEN {share('date', 'moment')} OR {share('slash')} THEN 'DATETIME' ELSE 'TEXT' END")
 
 
+@any_table("string")
 def infer_types(df: DataFrame, mode: str = "strict") -> DataFrame:
     """(column, ordinal, inferred_type) for the text columns of `df`.
 
@@ -98,6 +99,8 @@ def infer_types(df: DataFrame, mode: str = "strict") -> DataFrame:
         raise ValueError(f"mode must be one of {MODES}")
     order = {f.name: i for i, f in enumerate(df.schema.fields, start=1)}
     fields = text_fields(df)
+    if not fields:
+        raise NoColumns("no text column")
     counts = (melt(df, {f.name: _value(f.name) for f in fields}).where("value IS NOT NULL")
               .selectExpr("column", f"{_kind(mode)} AS kind")
               .groupBy("column", "kind").agg(F.count(F.lit(1)).alias("n")))

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import (Series, cast, chunks, col, family, ladder, literal, long_rows,
+from ..functions.exprs import (digest, Series, cast, chunks, col, family, ladder, literal, long_rows,
                                measure, melt_series, named, ntz, numeric_fields, present, quoted,
                                small_relation, temporal_fields, text_fields, union_all, whole_days)
 from ..policy import (BASELINE_DIMENSION, COLOR_CUTS, DEFAULT_POLICY, GRADE_CUTS, LADDER_APP,
@@ -58,6 +58,10 @@ def key_violations(tables: Tables, keys: Mapping[str, Sequence[str]],
     The whole tuple is tested; `per_column` tests each key column on its own. Keys of one
     column are counted together, one shuffle per type family for all tables.
     """
+    if not any(keys.values()):
+        spark = next(iter(tables.values())).sparkSession
+        return small_relation(spark, [], "table string, key string, duplicate_groups bigint, "
+                                         "surplus_rows bigint, severity string")
     wanted = [(t, c) for t, key in keys.items()
               for c in ([[k] for k in key] if per_column else [list(key)])]
     fields = {t: {f.name: f for f in tables[t].schema.fields} for t, _ in wanted}
@@ -70,7 +74,9 @@ def key_violations(tables: Tables, keys: Mapping[str, Sequence[str]],
             raise ValueError(f"{one.table}.{one.field.name}: nested columns cannot be keys")
         by_family.setdefault(kind, {})[number] = one
     for kind, members in by_family.items():
-        repeated = (melt_series(tables, members, lambda f: cast(present(f), kind))
+        value = lambda f: digest(cast(present(f), "text")) if family(
+            f.dataType) == "text" else cast(present(f), family(f.dataType))
+        repeated = (melt_series(tables, members, value)
                     .groupBy("series", "value").agg(F.count(F.lit(1)).alias("n"))
                     .where(F.col("n") > 1))
         table, column = named(single)

@@ -11,9 +11,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.exprs import (FAMILY_SQL_TYPE, col, family, melt, pct, present, small_relation,
+from ..functions.exprs import (FAMILY_SQL_TYPE, exact_type, family, melt, pct, present, small_relation,
                                union_all)
 from ..policy import FK_BREACH_PCT
 
@@ -53,15 +53,37 @@ def _field(df: DataFrame, name: str):
     return next(f for f in df.schema.fields if f.name == name)
 
 
+#: Integers against doubles: both as the text of the integer. A double that is none
+#: keeps its own text, which no integer has; casting the integer would merge neighbours
+#: beyond 2^53.
+WHOLE = "whole"
+
+
+def key_value(field: T.StructField, key_type: str) -> str:
+    """SQL text of a key's value in the type in which it is compared."""
+    value = present(field)
+    if key_type != WHOLE:
+        return f"cast({value} AS {key_type})"
+    if isinstance(field.dataType, T.IntegralType):
+        return f"cast({value} AS string)"
+    return (f"if({value} = floor({value}) AND abs({value}) < 9.2e18, "
+            f"cast(cast({value} AS bigint) AS string), cast({value} AS string))")
+
+
 def _key_type(tables: Tables, fk: ForeignKey) -> str:
     """SQL type in which child and parent values are compared."""
     child = family(_field(tables[fk.child_table], fk.child_column).dataType)
     parent = family(_field(tables[fk.parent_table], fk.parent_column).dataType)
     if child is None or parent is None:
         raise ValueError(f"{fk.label}: nested columns cannot be keys")
+    types = [_field(tables[t], c).dataType for t, c in (fk[:2], fk[2:4])]
+    if all(isinstance(x, (T.IntegralType, T.DecimalType)) for x in types):
+        return exact_type(types) or "string"
     if child == parent:
         return FAMILY_SQL_TYPE[child]
     if {child, parent} == {"integral", "fractional"}:
+        return WHOLE
+    if "fractional" in (child, parent) and any(isinstance(x, T.DecimalType) for x in types):
         return "double"
     if {child, parent} == {"date", "timestamp"}:
         return "timestamp_ntz"
@@ -78,8 +100,7 @@ def _counted(tables: Tables, fks: Mapping[str, ForeignKey], key_type: str, side:
     for number, fk in fks.items():
         table, column = ((fk.child_table, fk.child_column) if side == "child"
                          else (fk.parent_table, fk.parent_column))
-        value = f"cast({present(_field(tables[table], column))} AS {key_type})"
-        by_table.setdefault(table, {})[number] = value
+        by_table.setdefault(table, {})[number] = key_value(_field(tables[table], column), key_type)
     return union_all([melt(tables[table], exprs) for table, exprs in by_table.items()]).groupBy(
         F.col("column").alias("fk"), "value").agg(F.count(F.lit(1)).alias(f"{side}_n"))
 
@@ -100,7 +121,11 @@ def key_matches(tables: Tables, fks: Sequence[ForeignKey]) -> DataFrame:
 
 
 def relationship_stats(tables: Tables, fks: Sequence[ForeignKey]) -> DataFrame:
-    """All measures of each foreign key, one row per key."""
+    """All measures of each foreign key, one row per key; none for no keys."""
+    if not fks:
+        spark = next(iter(tables.values())).sparkSession
+        bare = {"t": spark.sql("SELECT cast(NULL AS bigint) AS k WHERE false")}
+        return relationship_stats(bare, [ForeignKey("t", "k", "t", "k")]).where(F.lit(False))
     real = ~F.col("is_null")
     has_child, has_parent = F.col("child_n").isNotNull(), F.col("parent_n").isNotNull()
     measured = key_matches(tables, fks).groupBy("fk").agg(
@@ -129,9 +154,12 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
 
     An anti join, not NOT IN: a NULL among the parents hides nothing.
     """
-    keys = parent.select(col(parent_column).alias("__key")).where(F.col("__key").isNotNull())
-    return child.where(col(column).isNotNull()).join(
-        keys, col(column) == F.col("__key"), "left_anti")
+    fk = ForeignKey("child", column, "parent", parent_column)
+    key_type = _key_type({"child": child, "parent": parent}, fk)
+    keys = parent.selectExpr(f"{key_value(_field(parent, parent_column), key_type)} AS __key").where(
+        F.col("__key").isNotNull())
+    value = F.expr(key_value(_field(child, column), key_type))
+    return child.where(value.isNotNull()).join(keys, value == F.col("__key"), "left_anti")
 
 
 def orphan_count(child: DataFrame, column: str, parent: DataFrame,

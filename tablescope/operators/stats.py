@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.exprs import (cast, chunks, literal, long_rows, measure, melt, named, number,
+from ..functions.exprs import (NoColumns, any_table, cast, chunks, literal, long_rows, measure, melt, named, number,
                                numeric_fields, pct, quoted, temporal_fields, text_fields,
                                union_all, whole_days)
 from .profile import least_frequent, most_frequent, typed_frequencies
@@ -18,6 +18,7 @@ PAIRS_PER_AGGREGATE = 8
 MOMENT_COLUMNS_PER_AGGREGATE = 3
 
 
+@any_table("double")
 def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, var, min, max, range, skew and kurtosis in one scan.
 
@@ -42,6 +43,7 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return union_all(parts)
 
 
+@any_table("double")
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None,
                   approx: bool = False) -> DataFrame:
     """Full statistics of numeric columns: moments, quartiles and mode.
@@ -57,6 +59,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None,
     return moments(df, names).join(middle, "column").join(modes, "column")
 
 
+@any_table("double")
 def basic_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """min, max and average (4 places) of numeric columns."""
     parts = []
@@ -78,12 +81,15 @@ def typed_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for i, c in enumerate(columns)])
 
 
+@any_table("timestamp")
 def date_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Earliest, latest, range in days, most common year and month.
 
     One scan groups by (column, year, month); the rest works on those few rows.
     """
     fields = temporal_fields(df, columns)
+    if not fields:
+        raise NoColumns("no date column")
     months = (melt(df, {f.name: cast(quoted(f.name), "timestamp") for f in fields})
               .where(F.col("value").isNotNull())
               .groupBy("column", F.year("value").alias("year"), F.month("value").alias("month"))
@@ -103,9 +109,12 @@ def date_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
         "common_year", "common_month")
 
 
+@any_table("string")
 def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Most and least frequent value, distinct count, and lengths in characters."""
     fields = text_fields(df, columns)
+    if not fields:
+        raise NoColumns("no text column")
     names = [f.name for f in fields]
     ranks = (typed_frequencies(df, names)["text"].where(F.col("value").isNotNull())
              .groupBy("column").agg(most_frequent().alias("most_frequent"),
@@ -121,6 +130,7 @@ def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     return ranks.join(union_all(parts), "column")
 
 
+@any_table("double")
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
     """Equal-width bins from minimum to maximum, empty bins included.
 
@@ -180,12 +190,14 @@ def outlier_counts(tables: Mapping[str, DataFrame], columns: Sequence[str] | Non
         "warning", F.col("outlier_pct") > warning_pct)
 
 
+@any_table("double")
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5,
                  warning_pct: float = 5.0, approx: bool = False) -> DataFrame:
     """Values beyond the fences per numeric column of one table."""
     return outlier_counts({"": df}, columns, multiplier, warning_pct, approx).drop("table")
 
 
+@any_table("double")
 def outlier_points(df: DataFrame, key: str, columns: Sequence[str] | None = None,
                    multiplier: float = 1.5, approx: bool = False,
                    only_outliers: bool = True) -> DataFrame:
@@ -200,6 +212,7 @@ def outlier_points(df: DataFrame, key: str, columns: Sequence[str] | None = None
     return points.where("is_outlier") if only_outliers else points
 
 
+@any_table("double")
 def box_plot(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5,
              approx: bool = False) -> DataFrame:
     """Minimum, quartiles, maximum, fences and number of outlying points."""
@@ -211,6 +224,7 @@ def box_plot(df: DataFrame, columns: Sequence[str] | None = None, multiplier: fl
                  F.count_if(outside).alias("outlier_count")))
 
 
+@any_table("double")
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every numeric pair, over rows where both are present.
 

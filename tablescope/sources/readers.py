@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.exprs import col
 
@@ -21,16 +22,40 @@ def table_name(path: str) -> str:
     return f"t_{name}" if re.match(r"\d", name) else name
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True,
+             malformed: str | None = None) -> DataFrame:
     """One CSV as text columns: header row, doubled quotes, empty cells as NULL.
 
     Types are inferred afterwards on all values. `multi_line` allows line breaks inside
     quoted fields at the price that a file is not split; switch it off for large plain
-    files.
+    files. Rows with more or fewer cells than the header lose or lack cells; `malformed`
+    names a further column that holds the whole text of such rows (NULL in others).
     """
-    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", multi_line).option("nullValue", "").option("emptyValue", "")
-            .option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
+    reader = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+              .option("multiLine", multi_line).option("nullValue", "").option("emptyValue", "")
+              .option("inferSchema", False).option("mode", "PERMISSIVE"))
+    if malformed is None:
+        return reader.csv(path)
+    names = reader.csv(path).columns
+    if malformed in names:
+        raise ValueError(f"the file has a column {malformed!r}")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, malformed]])
+    # all cells of a row must be parsed to know whether it is malformed
+    return (reader.option("columnNameOfCorruptRecord", malformed).option("columnPruning", False)
+            .schema(schema).csv(path))
+
+
+def csv_malformed(spark: SparkSession, paths: Sequence[str], multi_line: bool = True) -> DataFrame:
+    """(table, rows, malformed_rows) of CSV files: rows whose number of cells differs from
+    the header's are counted, not passed over."""
+    mark, parts = "__malformed", []
+    for path in paths:
+        df = read_csv(spark, path, multi_line, mark)
+        cell = col(df.columns[0])  # the mark alone is not to be had without a cell
+        parts.append(df.agg((F.count(cell) + F.count_if(cell.isNull())).alias("rows"),
+                            F.count(col(mark)).alias("malformed_rows"))
+                     .select(F.lit(table_name(path)).alias("table"), "rows", "malformed_rows"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_csvs(spark: SparkSession, paths: Sequence[str], multi_line: bool = True
@@ -55,13 +80,22 @@ def document_fields(df: DataFrame, json_column: str) -> DataFrame:
         (F.col("field") == "_id").alias("primary_key"))
 
 
-def read_any(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Choose the reader by extension; the path may be on any Hadoop file system."""
+def unreadable_documents(df: DataFrame, json_column: str) -> DataFrame:
+    """(documents, unreadable): documents that do not parse or are no object have no
+    fields in `document_fields`; here they are counted."""
+    text = col(json_column)
+    return df.agg(F.count(text).alias("documents"), F.count_if(
+        text.isNotNull() & F.json_object_keys(text).isNull()).alias("unreadable"))
+
+
+def read_any(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
+    """Choose the reader by extension; the path may be on any Hadoop file system.
+    `multi_line=False` lets large CSV files be split."""
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
     if suffix not in FORMATS:
         raise ValueError(f"no reader for {suffix or path!r}; known: {sorted(FORMATS)}")
     if suffix == ".csv":
-        return read_csvs(spark, [path])
+        return read_csvs(spark, [path], multi_line)
     return {table_name(path): spark.read.format(FORMATS[suffix]).load(path)}
 
 
