@@ -1490,12 +1490,12 @@ def _(s):
     count_if(n_nationkey % 5 = 0 OR n_nationkey % 7 = 1) AS malformed_rows FROM nation""")
 def _(s):
     path = f"{scratch_path(s.spark, 'csv')}/nation.csv"
-    lines = s.t("nation").orderBy("n_nationkey").selectExpr(
-        "concat_ws(',', n_nationkey, n_name, if(n_nationkey % 7 = 1, NULL, n_regionkey), "
-        "if(n_nationkey % 5 = 0, if(n_nationkey % 7 = 1, 'x,y', 'x'), NULL)) AS line")
-    head = s.spark.sql("SELECT 'n_nationkey,n_name,n_regionkey' AS line")
+    lines = s.t("nation").selectExpr(
+        "n_nationkey AS k", "concat_ws(',', n_nationkey, n_name, if(n_nationkey % 7 = 1, NULL, "
+        "n_regionkey), if(n_nationkey % 5 = 0, if(n_nationkey % 7 = 1, 'x,y', 'x'), NULL)) AS line")
+    head = s.spark.sql("SELECT -1 AS k, 'n_nationkey,n_name,n_regionkey' AS line")
     # one file, header first: text files have no header of their own
-    head.unionAll(lines).coalesce(1).write.text(path)
+    head.unionAll(lines).repartition(1).sortWithinPartitions("k").select("line").write.text(path)
     return readers.csv_malformed(s.spark, [path])
 
 
