@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .arrays import mix
 from .common import connected, materialise
 
-#: Rounds with one centre per bucket before what is left is compared pair by pair.
-CENTRE_ROUNDS = 2
+#: Rounds with one centre per bucket, at most, before what is left is compared pair by
+#: pair. They end earlier when no centre links anything more.
+CENTRE_ROUNDS = 5
 #: 64-bit words of a sketch. It tells well up to some 100 elements in a word.
 SKETCH = 16
 
@@ -83,13 +84,14 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
 
     Rounds: one member of each bucket is its centre and is compared with the others, so
     the pairs are as many as the postings. Linked members join, and a bucket whose members
-    are all in one component has nothing left to find. What is left after CENTRE_ROUNDS,
-    members of different components in one bucket, is compared pair by pair, by sketches
+    are all in one component has nothing left to find. When centres link nothing more, or
+    after CENTRE_ROUNDS, members of different components in one bucket are compared pair by
+    pair, by sketches
     laid beside the postings; only pairs whose sketches allow a link leave the join.
     No link between members of a bucket is lost: a pair is skipped only if it is joined
     already by other links, was compared, or its sketches rule it out.
     """
-    roots, tested = None, None
+    roots, tested, last = None, None, False
     now = postings.select("key", "id", F.col("id").alias("comp"))
     for turn in range(CENTRE_ROUNDS + 1):
         if roots is not None:
@@ -100,7 +102,8 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
             now = materialise(named.join(left, "key"), "open")
             if not now.limit(1).count():
                 break
-        if turn < CENTRE_ROUNDS:
+        last = last or turn == CENTRE_ROUNDS
+        if not last:
             order = F.col("id") if not turn else F.xxhash64(F.lit(turn), F.col("id"))
             centre = now.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("c"))
             pairs = now.join(centre, "key").filter("comp <> c.comp").select(
@@ -117,9 +120,14 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
         pairs = materialise(pairs, "pairs")
         tested = pairs if tested is None else tested.unionAll(pairs)
         links = verify(pairs)
+        if last and roots is not None and not links.limit(1).count():
+            break
+        done, last = last, not links.limit(1).count()
         if roots is not None:
             links = links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = connected(links, "links")
+        if done:
+            break
     return roots
 
 
