@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrays import mix
-from .common import connected, materialise
+from .common import connected, materialise, shortened
 
 #: Rounds with one centre per bucket, at most, before what is left is compared pair by
 #: pair. They end earlier when no centre links anything more.
-CENTRE_ROUNDS = 5
+CENTRE_ROUNDS = 8
 #: 64-bit words of a sketch. It tells well up to some 100 elements in a word.
 SKETCH = 16
 
@@ -84,25 +84,30 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
 
     Rounds: one member of each bucket is its centre and is compared with the others, so
     the pairs are as many as the postings. Linked members join, and a bucket whose members
-    are all in one component has nothing left to find. When centres link nothing more, or
-    after CENTRE_ROUNDS, members of different components in one bucket are compared pair by
-    pair, by sketches
-    laid beside the postings; only pairs whose sketches allow a link leave the join.
-    No link between members of a bucket is lost: a pair is skipped only if it is joined
-    already by other links, was compared, or its sketches rule it out.
+    are all in one component has nothing left to find and leaves the rounds. Between them
+    the links are only shortened, so two members may be joined without yet being known to
+    be, which costs a comparison; the roots are found before the last step and at the end. When centres link
+    nothing more, or after CENTRE_ROUNDS, members of different components in one bucket are
+    compared pair by pair, by sketches laid beside the postings; only pairs whose sketches
+    allow a link leave the join. No link between members of a bucket is lost: a pair is
+    skipped only if it is joined already by other links, was compared, or its sketches rule
+    it out.
     """
-    roots, tested, last = None, None, False
+    edges, tested, last = None, None, False
     now = postings.select("key", "id", F.col("id").alias("comp"))
-    for turn in range(CENTRE_ROUNDS + 1):
-        if roots is not None:
-            named = postings.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
-                "key", "id", F.coalesce("root", "id").alias("comp"))
+    for turn in range(CENTRE_ROUNDS + 2):
+        last = last or turn >= CENTRE_ROUNDS
+        if edges is not None:
+            if last:
+                edges = connected(edges, "links").toDF("a", "b")
+            labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"))
+            named = now.select("key", "id").join(labels, "id", "left").select(
+                "key", "id", F.coalesce("least", "id").alias("comp"))
             left = (named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                     .filter("lo <> hi").select("key"))
             now = materialise(named.join(left, "key"), "open")
             if not now.limit(1).count():
                 break
-        last = last or turn == CENTRE_ROUNDS
         if not last:
             order = F.col("id") if not turn else F.xxhash64(F.lit(turn), F.col("id"))
             centre = now.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("c"))
@@ -120,15 +125,13 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
         pairs = materialise(pairs, "pairs")
         tested = pairs if tested is None else tested.unionAll(pairs)
         links = verify(pairs)
-        if last and roots is not None and not links.limit(1).count():
+        if last:
+            edges = links if edges is None else links.unionAll(edges)
             break
-        done, last = last, not links.limit(1).count()
-        if roots is not None:
-            links = links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = connected(links, "links")
-        if done:
-            break
-    return roots
+        last = not links.limit(1).count()
+        if not last or edges is None:
+            edges = shortened(links if edges is None else links.unionAll(edges), "links")
+    return connected(edges, "links")
 
 
 def _renamed(side: str) -> list[Column]:

@@ -54,6 +54,31 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, upper, upper.lower()))
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with a > b, each once."""
+    return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"),
+                                         F.least("a", "b").alias("b")).distinct()
+
+
+def star_round(now: DataFrame, label: str) -> DataFrame:
+    """One large-star and one small-star step over edges (a, b) with a > b. The edges it
+    gives connect the same nodes, by shorter ways to the least of them."""
+    both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    large = (both.filter("b > a").join(least, "a")
+             .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+    large = materialise(large, label)
+    roots = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = (large.join(roots, "a").filter("b <> m").select(F.col("b").alias("a"), "m")
+             .unionAll(roots))
+    return materialise(small.select("a", F.col("m").alias("b")).distinct(), label)
+
+
+def shortened(edges: DataFrame, label: str) -> DataFrame:
+    """`edges` (a, b: long) after one round: not yet the roots, but fewer steps from them."""
+    return star_round(materialise(_ordered(edges), label), label)
+
+
 def connected(edges: DataFrame, label: str) -> DataFrame:
     """Union-find over `edges` (a, b: long): rows (node, root), roots left out.
 
@@ -61,23 +86,11 @@ def connected(edges: DataFrame, label: str) -> DataFrame:
     in MapReduce and Beyond"). Every round is joins and minima, with its edges written to
     the shared folder; the driver sees a count and two checksums of them.
     """
-    def ordered(df: DataFrame) -> DataFrame:
-        return df.filter("a <> b").select(F.greatest("a", "b").alias("a"),
-                                          F.least("a", "b").alias("b")).distinct()
-
-    now, before = materialise(ordered(edges), label), None
+    now, before = materialise(_ordered(edges), label), None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")),
                        F.bit_xor(F.xxhash64("b", "a"))).first()
         if mark == before or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = mark
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = (both.filter("b > a").join(least, "a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
-        large = materialise(large, label)
-        roots = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(roots, "a").filter("b <> m").select(F.col("b").alias("a"), "m")
-                 .unionAll(roots))
-        now = materialise(small.select("a", F.col("m").alias("b")).distinct(), label)
+        now = star_round(now, label)
