@@ -16,8 +16,9 @@ from .arrays import mix
 from .common import connected, materialise, shortened
 
 #: Rounds with one centre per bucket, at most, before what is left is compared pair by
-#: pair. They end earlier when no centre links anything more.
+#: pair. They end earlier when one links less than this part of what the first linked.
 CENTRE_ROUNDS = 8
+WORTHWHILE = 0.01
 #: 64-bit words of a sketch. It tells well up to some 100 elements in a word.
 SKETCH = 16
 
@@ -77,23 +78,25 @@ def _named(sketched: DataFrame, side: str) -> DataFrame:
 
 
 def similar_links(postings: DataFrame, sketched: DataFrame,
-                  verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+                  verify: Callable[[DataFrame], DataFrame], few_keys: bool = False) -> DataFrame:
     """Union-find roots (node, root) over the links, by a Jaccard similarity of 0.8, of
     members of a bucket: `postings` (key, id) as `open_buckets` gives them, `sketched` of
-    SKETCH_FIELDS, `verify` from pairs (a, b) to the linked ones.
+    SKETCH_FIELDS, `verify` from pairs (a, b) to the linked ones. With `few_keys`, for
+    items of a small, fixed number of keys, a pair leaves the last step in the least of
+    its common buckets alone.
 
     Rounds: one member of each bucket is its centre and is compared with the others, so
     the pairs are as many as the postings. Linked members join, and a bucket whose members
     are all in one component has nothing left to find and leaves the rounds. Between them
     the links are only shortened, so two members may be joined without yet being known to
-    be, which costs a comparison; the roots are found before the last step and at the end. When centres link
-    nothing more, or after CENTRE_ROUNDS, members of different components in one bucket are
-    compared pair by pair, by sketches laid beside the postings; only pairs whose sketches
-    allow a link leave the join. No link between members of a bucket is lost: a pair is
-    skipped only if it is joined already by other links, was compared, or its sketches rule
-    it out.
+    be, which costs a comparison; the roots are found before the last step and at the end.
+    When centres link little more, or after CENTRE_ROUNDS, members of different components
+    in one bucket are compared pair by pair, by sketches laid beside the postings; only
+    pairs whose sketches allow a link leave the join. No link between members of a bucket
+    is lost: a pair is skipped only if it is joined already by other links, was compared,
+    or its sketches rule it out.
     """
-    edges, tested, last = None, None, False
+    edges, tested, last, most = None, None, False, 0
     now = postings.select("key", "id", F.col("id").alias("comp"))
     for turn in range(CENTRE_ROUNDS + 2):
         last = last or turn >= CENTRE_ROUNDS
@@ -116,9 +119,16 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
             pairs = pairs.join(_named(sketched, "b"), "b").join(_named(sketched, "a"), "a").filter(_may_link())
         else:
             beside = now.join(sketched, "id")
-            pairs = (beside.select("key", F.col("comp").alias("comp_a"), *_renamed("a"))
-                     .join(beside.select("key", F.col("comp").alias("comp_b"), *_renamed("b")), "key")
-                     .filter("a < b and comp_a <> comp_b").filter(_may_link()))
+            if few_keys:
+                beside = beside.join(now.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+
+            def side(name: str) -> DataFrame:
+                more = [F.col(c).alias(f"{c}_{name}") for c in ("comp", "keys") if c in beside.columns]
+                return beside.select("key", *more, *_renamed(name))
+
+            pairs = side("a").join(side("b"), "key").filter("a < b and comp_a <> comp_b").filter(_may_link())
+            if few_keys:
+                pairs = pairs.filter("key = array_min(array_intersect(keys_a, keys_b))")
         pairs = pairs.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -128,8 +138,10 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
         if last:
             edges = links if edges is None else links.unionAll(edges)
             break
-        last = not links.limit(1).count()
-        if not last or edges is None:
+        n = links.count()
+        most = most or n
+        last = n <= most * WORTHWHILE
+        if n or edges is None:
             edges = shortened(links if edges is None else links.unionAll(edges), "links")
     return connected(edges, "links")
 

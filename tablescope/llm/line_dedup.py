@@ -203,7 +203,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         b = texts.select(F.col("id").alias("b"), F.col("line").alias("text_b"))
         return materialise(_verified(pairs.join(b, "b").join(a, "a")), "line-links")
 
-    roots = similar_links(buckets, materialise(_sketched(texts), "line-sketches"), verify)
+    roots = similar_links(buckets, materialise(_sketched(texts), "line-sketches"), verify, few_keys=True)
     named = kinds.select("id", "line_key", "first", "last").join(
         roots.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "comp", F.coalesce("root", "id"))
