@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablescope.operators import (catalog as cat, discovery as disc, graph, infer, issues,
                                   profile as prof, quality as q, relationships as rel, stats)
@@ -252,11 +252,27 @@ def _(s):
     return prof.top_values(s.t("events"), ["event_type", "user_id", "props"])
 
 
+def _with_rank(df: DataFrame) -> DataFrame:
+    """The order of a small sorted relation as a column."""
+    return df.withColumn("rank", F.row_number().over(
+        Window.orderBy(F.monotonically_increasing_id())))
+
+
 @query("columns_by_null_rate", sql.with_views(
-    'SELECT "table", "column", null_pct FROM nulls', sql.nulls_cte(_orders)), ["null_pct"])
+    'SELECT "table", "column", null_pct, (row_number() OVER (ORDER BY null_pct DESC, "table", '
+    '"column"))::integer AS rank FROM nulls', sql.nulls_cte(_orders)), ["null_pct"])
+def _(s):
+    return _with_rank(prof.sort_columns(prof.null_profile(s.tables(_orders)))).select(
+        "table", "column", "null_pct", "rank")
+
+
+@query("tables_by_score", sql.with_views(
+    'SELECT "table", completeness, (row_number() OVER (ORDER BY completeness, "table"))::integer '
+    'AS rank FROM (SELECT "table", 100.0 - avg(null_pct) AS completeness FROM nulls GROUP BY 1)',
+    sql.nulls_cte(sql.same(SCHEMA))), ["completeness"])
 def _(s):
-    return prof.sort_columns(prof.null_profile(s.tables(_orders))).select("table", "column",
-                                                                         "null_pct")
+    return _with_rank(prof.sort_columns(prof.completeness_score(prof.null_profile(s.tables())),
+                                        "completeness", descending=False))
 
 
 @query("null_matrix_orders", sql.with_views(
@@ -401,6 +417,30 @@ def _(s):
     return stats.histogram(s.t("d_orders"), ["o_totalprice"], bins=30)
 
 
+_INFINITE = ("CASE WHEN event_id % 97 = 0 THEN cast('Infinity' AS double) WHEN event_id % 89 = 0 "
+             "THEN cast('-Infinity' AS double) ELSE value END")
+
+
+@query("histogram_infinite", sql.with_views(
+    _histogram("finite", ["value"], 10) + "".join(
+        f"\nUNION ALL SELECT 'value', {bin_no}, {edge}, {edge}, count(*) FROM mixed "
+        f"WHERE value = {edge} HAVING count(*) > 0"
+        for bin_no, edge in ((0, "'-infinity'::double"), (11, "'infinity'::double"))),
+    f"mixed AS (SELECT {_INFINITE} AS value FROM events)",
+    "finite AS (SELECT value FROM mixed WHERE abs(value) < 'infinity'::double)"),
+    ["bin_low", "bin_high"])
+def _(s):
+    return stats.histogram(s.t("events").selectExpr(f"{_INFINITE} AS value"))
+
+
+@query("range_large_integers", sql.with_views(
+    "SELECT 'k' AS \"column\", count(k) AS \"count\", (max(k) - min(k))::double AS \"range\" "
+    "FROM (SELECT 9007199254740993 + o_orderkey % 10 AS k FROM orders)"), ["range"])
+def _(s):
+    return stats.moments(s.t("orders").selectExpr("9007199254740993 + o_orderkey % 10 AS k")).select(
+        "column", "count", "range")
+
+
 _OUT = ["q1", "q3", "lower_fence", "upper_fence", "outlier_pct"]
 
 for _view in ("d_lineitem", "d_orders", "events", "d_customer"):
@@ -436,6 +476,21 @@ def _correlation(view: str) -> str:
         " LIMIT 1" if False else "") + " HAVING count(*) > 0" for a in names for b in names])
 
 
+_WIDE = {f"c{i}": f"cast(l_quantity * {i % 4} + l_tax * {i * 100} + l_extendedprice * {i % 3} "
+         "/ 1000 AS double)" for i in range(1, 13)}
+
+
+@query("correlation_wide", sql.with_views(
+    sql.union([f"SELECT '{a}' AS column_a, '{b}' AS column_b, "
+               + ("1.0" if a == b else f"corr({a}, {b})") + " AS correlation FROM wide"
+               for a in _WIDE for b in _WIDE]).replace(" FROM wide", " FROM wide HAVING count(*) > 0"),
+    "wide AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _WIDE.items()) + " FROM lineitem)"),
+    ["correlation"])
+def _(s):
+    return stats.correlation_matrix(s.t("lineitem").selectExpr(
+        *[f"{e} AS {c}" for c, e in _WIDE.items()]))
+
+
 for _view in ("d_lineitem", "d_orders"):
     @query(f"correlation_{_view.removeprefix('d_')}", sql.with_views(_correlation(_view)),
            ["correlation"])

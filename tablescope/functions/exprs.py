@@ -216,10 +216,11 @@ def long_rows(wide: DataFrame, rows: Sequence[Mapping[str, str]]) -> DataFrame:
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     if not frames:
         raise NoColumns("no column of the wanted kind")
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    # in halves, so that no frame is analysed again once per frame behind it
+    if len(frames) == 1:
+        return frames[0]
+    half = len(frames) // 2
+    return union_all(frames[:half]).unionByName(union_all(frames[half:]))
 
 
 def pct(part: Column, whole: Column, empty: float | None = None) -> Column:

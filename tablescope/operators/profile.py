@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import (Series, cast, chunks, col, family, literal, long_rows, measure,
+from ..functions.exprs import (Series, cast, chunks, col, digest, family, literal, long_rows, measure,
                                melt_series, named, pct, present, quoted, scalar_fields,
                                series_of, small_relation, union_all)
 from ..policy import DEFAULT_POLICY, QualityPolicy
@@ -102,6 +102,7 @@ def frequency_summary(tables: Tables, approx: bool = False) -> DataFrame:
     """(table, column, row_count, null_count, distinct_count) of every column.
 
     All columns of a type family, over all tables, are counted by value in one shuffle.
+    Texts are counted by a digest, so no text body is shuffled whatever its length.
     Nested columns have no distinct count. `approx` swaps the value shuffle for a
     fixed-size sketch per column, at about 5 % relative error.
     """
@@ -113,6 +114,8 @@ def frequency_summary(tables: Tables, approx: bool = False) -> DataFrame:
     def value(kind: str | None):
         if kind is None:
             return lambda f: f"if({quoted(f.name)} IS NULL, NULL, true)"
+        if kind == "text":
+            return lambda f: digest(cast(present(f), kind))
         return lambda f: cast(present(f), kind)
 
     parts = []
@@ -222,6 +225,10 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5,
 
 
 def sort_columns(profile: DataFrame, by: str = "null_pct", descending: bool = True) -> DataFrame:
-    """Columns ordered by a measure, missing measures as 0."""
+    """Rows ordered by a measure, missing measures as 0, ties by table and column.
+
+    Takes any relation with one of those, so also scores of tables.
+    """
     key = F.coalesce(col(by), F.lit(0))
-    return profile.orderBy(key.desc() if descending else key.asc(), "table", "column")
+    ties = [c for c in ("table", "column") if c in profile.columns]
+    return profile.orderBy(key.desc() if descending else key.asc(), *ties)

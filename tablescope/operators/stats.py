@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.exprs import (NoColumns, any_table, cast, chunks, literal, long_rows, measure, melt, named, number,
+from ..functions.exprs import (NoColumns, any_table, cast, chunks, family, literal, long_rows, measure, melt, named, number,
                                numeric_fields, pct, quoted, temporal_fields, text_fields,
                                union_all, whole_days)
 from .profile import least_frequent, most_frequent, typed_frequencies
@@ -15,27 +15,36 @@ from .quantiles import fences, numeric_series, quartiles, series_fences, values
 
 # wider aggregates exceed what the JVM compiles to machine code
 PAIRS_PER_AGGREGATE = 8
+# up to so many scans, aggregates over columns are faster than one over (pair, row)
+CORRELATION_SCANS = 8
 MOMENT_COLUMNS_PER_AGGREGATE = 3
 
 
+def wide_type(field: T.StructField, value: str) -> str:
+    """SQL text of a value in a type in which differences of integers don't overflow."""
+    return cast(value, "decimal(20,0)") if family(field.dataType) == "integral" else value
+
+
 @any_table("double")
 def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, var, min, max, range, skew and kurtosis in one scan.
 
-    Skewness and excess kurtosis are corrected from the population to the sample form.
+    The range is subtracted in the column's own type where that is exact. Skewness and excess kurtosis are corrected from the population to the sample form.
     """
     parts = []
     for chunk in chunks(numeric_fields(df, columns), MOMENT_COLUMNS_PER_AGGREGATE):
         aggs, rows = {}, []
         for i, f in enumerate(chunk):
             v, n = number(f), f"double(n{i})"
-            aggs |= {f"n{i}": f"count({v})", f"mean{i}": f"avg({v})", f"var{i}": f"var_samp({v})",
+            own = v if family(f.dataType) == "fractional" else quoted(f.name)
+            aggs |= {f"range{i}": f"double(max({wide_type(f, own)}) - min({wide_type(f, own)}))",
+                     f"n{i}": f"count({v})", f"mean{i}": f"avg({v})", f"var{i}": f"var_samp({v})",
                      f"min{i}": f"min({v})", f"max{i}": f"max({v})", f"skew{i}": f"skewness({v})",
                      f"kurt{i}": f"kurtosis({v})"}
             rows.append({
                 "column": literal(f.name), "count": f"n{i}", "mean": f"mean{i}",
                 "std": f"sqrt(var{i})", "var": f"var{i}", "min": f"min{i}", "max": f"max{i}",
-                "range": f"max{i} - min{i}",
+                "range": f"range{i}",
                 "skew": f"if(n{i} >= 3, skew{i} * sqrt({n} * ({n} - 1)) / ({n} - 2), NULL)",
                 "kurtosis": f"if(n{i} >= 4, ({n} - 1) / (({n} - 2) * ({n} - 3)) * "
                             f"(({n} + 1) * kurt{i} + 6), NULL)"})
@@ -134,35 +143,44 @@ def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
     """Equal-width bins from minimum to maximum, empty bins included.
 
-    The last bin is closed, so the maximum is counted. Two scans whatever the number
-    of bins: one for the bounds, one that adds into at most columns x bins counters.
+    The last bin is closed, so the maximum is counted. Bins span the finite values;
+    where there are infinite ones, bin 0 counts the negative and bin `bins` + 1 the
+    positive. Two scans whatever the number of bins: one for the bounds, one that adds
+    into at most columns x (bins + 2) counters.
     """
     fields = numeric_fields(df, columns)
-    parts = []
+    parts, finite = [], "abs({}) < double('Infinity')"
     for chunk in chunks(fields):
-        aggs = {f"{fn}{i}": f"{fn}({number(f)})" for i, f in enumerate(chunk)
+        aggs = {f"{fn}{i}": f"{fn}(if({finite.format(number(f))}, {number(f)}, NULL))" for i, f in enumerate(chunk)
                 for fn in ("min", "max")}
         parts.append(long_rows(measure(df, aggs), [{
             "column": literal(f.name), "lo": f"min{i}", "hi": f"max{i}"}
             for i, f in enumerate(chunk)]))
-    bounds = union_all(parts).where(F.col("lo").isNotNull())
+    bounds = union_all(parts)
     # one row per column of the table: a broadcast bounded by the schema
     points = (melt(df, {f.name: number(f) for f in fields})
               .where(F.col("value").isNotNull()).join(F.broadcast(bounds), "column"))
     share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    bin_no = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(
-        F.least(F.floor(share * bins) + 1, F.lit(bins))).cast("int")
+    infinite = F.lit(float("inf"))
+    bin_no = (F.when(F.col("value") == infinite, F.lit(bins + 1))
+              .when(F.col("value") == -infinite, F.lit(0))
+              .when(F.col("hi") == F.col("lo"), F.lit(1))
+              .otherwise(F.least(F.floor(share * bins) + 1, F.lit(bins))).cast("int"))
     counted = points.withColumn("bin", bin_no).groupBy("column", "bin").agg(
         F.count(F.lit(1)).alias("n"))
     step = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise(
         (F.col("hi") - F.col("lo")) / bins)
-    grid = bounds.select("column", "lo", step.alias("step"),
+    grid = bounds.where(F.col("lo").isNotNull()).select("column", "lo", step.alias("step"),
                          F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    beyond = counted.where((F.col("bin") == 0) | (F.col("bin") == bins + 1))
+    edge = F.when(F.col("bin") == 0, -infinite).otherwise(infinite)
     return (grid.join(counted, ["column", "bin"], "left")
             .select("column", "bin",
                     (F.col("lo") + (F.col("bin") - 1) * F.col("step")).alias("bin_low"),
                     (F.col("lo") + F.col("bin") * F.col("step")).alias("bin_high"),
-                    F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+                    F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+            .unionByName(beyond.select("column", "bin", edge.alias("bin_low"),
+                                       edge.alias("bin_high"), "n")))
 
 
 def _against_fences(df: DataFrame, limits: DataFrame, columns: Sequence[str] | None) -> DataFrame:
@@ -224,15 +242,36 @@ def box_plot(df: DataFrame, columns: Sequence[str] | None = None, multiplier: fl
                  F.count_if(outside).alias("outlier_count")))
 
 
+def _correlations_by_pair(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """Correlations from one scan: each row gives its values pair by pair into one
+    aggregate of as many groups as pairs, combined before the shuffle."""
+    names = literal([f.name for f in fields])
+    sums = (df.selectExpr(f"array({', '.join(number(f) for f in fields)}) AS v")
+            .selectExpr("v", f"explode(sequence(0, {len(fields) - 1})) AS a")
+            .selectExpr("v", "a", f"explode(sequence(a, {len(fields) - 1})) AS b")
+            .selectExpr("a", "b", "get(v, a) AS x", "get(v, b) AS y")
+            .groupBy("a", "b").agg(F.expr("regr_r2(x, y) AS r"), F.expr("covar_pop(x, y) AS s")))
+    # `corr` fails on a constant column; r squared with the sign of the covariance does not
+    known = sums.selectExpr("a", "b", "CASE WHEN a = b THEN if(s > 0, double(1), NULL) "
+                            "WHEN s = 0 AND r = 1 THEN NULL ELSE signum(s) * sqrt(r) END AS c")
+    one, other = (f"named_struct('column_a', get({names}, {x}), 'column_b', get({names}, {y}), "
+                  "'correlation', c)" for x, y in ("ab", "ba"))
+    return known.selectExpr(f"inline(if(a = b, array({one}), array({one}, {other})))")
+
+
 @any_table("double")
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every numeric pair, over rows where both are present.
 
-    Long form with both orders of a pair and the diagonal.
+    Long form with both orders of a pair and the diagonal; the result grows with the
+    square of the columns. Few columns take a scan per PAIRS_PER_AGGREGATE pairs, more
+    than CORRELATION_SCANS of those one scan in all.
     """
     fields = numeric_fields(df, columns)
     pairs = list(combinations(range(len(fields)), 2))
     value = [number(f) for f in fields]
+    if len(pairs) > PAIRS_PER_AGGREGATE * CORRELATION_SCANS:
+        return _correlations_by_pair(df, fields)
     parts = []
     for chunk in chunks(pairs, PAIRS_PER_AGGREGATE):
         # `corr` fails on a constant column; r squared with the sign of the covariance does not

@@ -89,3 +89,50 @@ def test_unreadable_documents_are_counted(spark):
 
     df = spark.createDataFrame([('{"a": 1}',), ("nope",), ("[1]",), (None,)], "d string")
     assert tuple(readers.unreadable_documents(df, "d").first()) == (3, 2)
+
+
+def test_wide_correlations_take_one_scan(spark, tmp_path):
+    from tablescope.operators import stats
+
+    exprs = [f"sin(id * {i + 1}) + id * {i % 3} AS c{i}" for i in range(60)]
+    spark.range(50).selectExpr(*exprs, "1.0D AS k").write.parquet(str(tmp_path / "w"))
+    df = spark.read.parquet(str(tmp_path / "w"))
+    wide = stats.correlation_matrix(df)
+    assert wide._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    found = {tuple(r)[:2]: r[2] for r in wide.collect()}
+    assert len(found) == 61 * 61
+    for a, b, r in stats.correlation_matrix(df, ["c1", "c2", "c7", "k"]).collect():
+        assert (r is None) == (found[a, b] is None) and abs((r or 0) - (found[a, b] or 0)) < 1e-9
+
+
+def test_histogram_counts_infinite_values_apart(spark):
+    from tablescope.operators import stats
+
+    df = spark.sql("SELECT * FROM VALUES (double('Infinity')), (double('-Infinity')), (1D), (2D), "
+                   "(double('NaN')), (NULL) AS t(v)")
+    rows = [tuple(r)[1:] for r in stats.histogram(df, bins=2).orderBy("bin").collect()]
+    inf = float("inf")
+    assert rows == [(0, -inf, -inf, 1), (1, 1.0, 1.5, 1), (2, 1.5, 2.0, 1), (3, inf, inf, 1)]
+
+
+def test_ranges_of_large_integers_are_exact(spark):
+    from tablescope.operators import stats
+
+    df = spark.sql("SELECT * FROM VALUES (9007199254740993), (9007199254740995) AS t(v)")
+    assert stats.moments(df).first()["range"] == 2.0
+
+
+def test_profile_shuffles_digests_of_texts(spark):
+    from tablescope.operators import profile
+
+    df = spark.range(3).selectExpr("if(id < 2, concat('a long text ', id DIV 2), NULL) AS t")
+    row = profile.frequency_summary({"x": df}).first()
+    assert (row["row_count"], row["null_count"], row["distinct_count"]) == (3, 1, 1)
+    assert "sha2" in profile.frequency_summary({"x": df})._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_sort_like_columns(spark):
+    from tablescope.operators import profile
+
+    df = spark.sql("SELECT * FROM VALUES ('b', 3), ('a', 3), ('c', NULL) AS t(table, score)")
+    assert [r[0] for r in profile.sort_columns(df, "score").collect()] == ["a", "b", "c"]
