@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded, materialise
 
-#: A node of the style tree goes if its importance is below this ...
-IMPORTANCE = 0.35
-#: ... and it stands on so many different pages of the site, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.01
+#: A node of the style tree goes if its importance is below this; the tree is heard on
+#: nodes that stand on so many different pages of the site.
+IMPORTANCE, LEAST_PAGES = 0.35, 3
+#: What a node is taken for before the tree is heard, by its place: in an article or main
+#: element, on a page without such an element, beside one. Worth so many pages.
+IN_MAIN, PLAIN, BESIDE, PRIOR_PAGES = 0.75, 0.5, 0.2, 2
+#: Of an inner node's importance, what a level of its branch leaves to the leaves.
+DECAY = 0.9
 
 # The vocabulary of HTML that decides without statistics
 RAW = {"script", "style", "template", "noscript", "textarea", "svg", "math", "iframe", "object", "select",
@@ -72,18 +76,29 @@ def _is_boiler(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
     return bool(BOILER_NAMES.intersection(names))
 
 
-def parse(html: str) -> list[tuple[str, str, int]]:
+def parse(html: str, nodes: list[tuple[str, str, list[str]]] | None = None) -> list[tuple[str, str, int]]:
     """Blocks of a page in order: (path of block elements with their classes, text, kind).
 
     An open element stack that forgives missing ends: a paragraph ends the one before, an
     end tag closes down to its start and is ignored without one. Inline elements belong to
-    the block around them.
+    the block around them. `nodes` takes the path of each block element, the path above it
+    and the names of its children.
     """
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, str, int]] = [("", "", UNKNOWN)]
+    under: list[list[str]] = [[]]
     text: list[str] = []
     at = 0
 
+    def push(tag: str, name: str, kind: int) -> None:
+        del under[len(stack):]
+        under[-1].append(name)
+        under.append([])
+        path = f"{stack[-1][1]}/{name}"
+        if nodes is not None:
+            nodes.append((path, stack[-1][1], under[-1]))
+        stack.append((tag, path, kind))
+
     def flush() -> None:
         words = " ".join(unescape("".join(text)).split())
         text.clear()
@@ -112,7 +127,7 @@ def parse(html: str) -> list[tuple[str, str, int]]:
             if not end and _is_boiler(tag, attrs, stack[-1][2] == CONTENT):
                 # an inline branch that is boilerplate by name is a block of its own
                 flush()
-                stack.append((tag, stack[-1][1] + "/" + tag, BOILER))
+                push(tag, tag, BOILER)
             elif end and stack[-1][0] == tag:
                 flush()
                 stack.pop()
@@ -138,7 +153,7 @@ def parse(html: str) -> list[tuple[str, str, int]]:
                 kind = CONTENT
         name = tag + "".join("." + c for c in sorted(attrs.get("class", "").split()))
         if not raw.rstrip().endswith("/"):
-            stack.append((tag, f"{stack[-1][1]}/{name}", kind))
+            push(tag, name, kind)
     text.append(html[at:])
     flush()
     return out
@@ -156,75 +171,142 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-BLOCKS = "array<struct<path: long, feature: long, kind: int, words: string>>"
+BLOCKS = "array<struct<path: long, above: array<long>, feature: long, kind: int, words: string>>"
+INNER = "array<struct<path: long, layout: long>>"
+
+
+def _layout(children: list[str]) -> int:
+    """A hash of the children's names in order; equal neighbours count once."""
+    return _hash("|".join(c for i, c in enumerate(children) if not i or c != children[i - 1]))
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """(id, url, host, body, has_main, blocks) of each page; body is a hash of its blocks."""
-    kind = pa.list_(pa.struct([("path", pa.int64()), ("feature", pa.int64()), ("kind", pa.int32()),
-                               ("words", pa.string())]))
+    """(id, url, host, body, has_main, blocks, inner) of each page: body is a hash of its
+    blocks, `above` the nodes over a block from the nearest on, `inner` the layouts of the
+    children of its inner nodes."""
+    kind = pa.list_(pa.struct([("path", pa.int64()), ("above", pa.list_(pa.int64())), ("feature", pa.int64()),
+                               ("kind", pa.int32()), ("words", pa.string())]))
+    layouts = pa.list_(pa.struct([("path", pa.int64()), ("layout", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {"": [_hash("")]}
         for batch in batches:
             rows, size, first = [], 0, 0
             for i, (url, html) in enumerate(zip(batch.column("url"), batch.column("html"), strict=True)):
-                found = parse(html.as_py() or "")
-                blocks = [{"path": _hash(p), "feature": _hash(w), "kind": k, "words": w}
+                if len(known) > 20_000:
+                    known = {"": known[""]}
+                nodes: list[tuple[str, str, list[str]]] = []
+                found = parse(html.as_py() or "", nodes)
+                for path, above, _ in nodes:  # a node comes after the one above it
+                    if path not in known:
+                        if above not in known:  # a part of the page was known before
+                            known[above] = [_hash(above)]
+                        known[path] = [_hash(path), *known[above]]
+                blocks = [{"path": known[p][0], "above": known[p][1:], "feature": _hash(w), "kind": k, "words": w}
                           for p, w, k in found]
+                inner = {(known[path][0], _layout(children)) for path, _, children in nodes if children}
                 body = _hash(" ".join(str(b["path"] ^ b["feature"]) for b in blocks))
-                rows.append((host_of(url.as_py()), body, any(k == CONTENT for _, _, k in found), blocks))
+                rows.append((host_of(url.as_py()), body, any(k == CONTENT for _, _, k in found), blocks,
+                             [{"path": path, "layout": layout} for path, layout in inner]))
                 size += len(html.as_py() or "")
                 if size > 4 << 20 or i == len(batch) - 1:
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("id").slice(first, len(rows)), batch.column("url").slice(first, len(rows)),
                          *[pa.array(c, t) for c, t in zip(zip(*rows), (
-                             pa.string(), pa.int64(), pa.bool_(), kind), strict=True)]],
-                        names=["id", "url", "host", "body", "has_main", "blocks"])
+                             pa.string(), pa.int64(), pa.bool_(), kind, layouts), strict=True)]],
+                        names=["id", "url", "host", "body", "has_main", "blocks", "inner"])
                     first, rows, size = i + 1, [], 0
 
-    return pages.mapInArrow(run, f"id {pages.schema['id'].dataType.simpleString()}, url string, "
-                                 f"host string, body long, has_main boolean, blocks {BLOCKS}")
+    return pages.mapInArrow(run, f"id {pages.schema['id'].dataType.simpleString()}, url string, host string, "
+                                 f"body long, has_main boolean, blocks {BLOCKS}, inner {INNER}")
 
 
 def node_importance(parsed: DataFrame) -> DataFrame:
-    """(host, path, pages, site_pages, importance): the leaves of each site's style tree.
+    """(host, path, pages, beside, importance, branch, branch_pages): the leaves of each
+    site's style tree with the importance of the node above them.
 
     A leaf is a place of the merged trees: the chain of block elements and classes from
     the root. Over the m different pages of the site that have it, its importance is one
     minus the mean entropy of its contents, each content's share per page being even:
     log(pages with the content) / log m. A content that stands on one page only has
     entropy 0, one that stands on all has 1. Equal pages count once.
+
+    An inner node's importance is made of two parts: the entropy of the layouts that its
+    children have on different pages (its presentation; 0 if all pages lay it out alike),
+    and the mean importance of the leaves below it, by pages. The deeper they lie, the
+    less they weigh. `beside` tells if a page has the leaf beside a main element.
     """
-    one = parsed.select("host", "body", F.explode("blocks").alias("b")).select(
-        "host", "body", "b.path", "b.feature")
-    once = one.distinct()
-    site = parsed.groupBy("host", "body").count().groupBy("host").agg(
-        F.count(F.lit(1)).alias("site_pages"))
+    one = parsed.select("host", "body", "has_main", F.explode("blocks").alias("b")).select(
+        "host", "body", "b.path", "b.above", "b.feature",
+        (F.col("has_main") & (F.col("b.kind") == UNKNOWN)).alias("beside"))
+    place = one.groupBy("host", "path").agg(F.first("above").alias("above"), F.max("beside").alias("beside"))
+    once = one.select("host", "body", "path", "feature").distinct()
     where = once.select("host", "path", "body").distinct().groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("pages"))
     shared = once.groupBy("host", "path", "feature").agg(F.count(F.lit(1)).alias("n"))
     content = shared.groupBy("host", "path").agg(
         (F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("spread"))
-    return (where.join(content, ["host", "path"]).join(bounded(materialise(site, "site-pages")), "host")
-            .withColumn("importance", 1 - F.when(F.col("pages") > 1, F.col("spread") / F.log("pages"))
-                        .otherwise(0.0)))
+    leaves = materialise(where.join(content, ["host", "path"]).join(place, ["host", "path"]).withColumn(
+        "importance", 1 - F.when(F.col("pages") > 1, F.col("spread") / F.log("pages")).otherwise(0.0)), "page-leaves")
+
+    laid = parsed.select("host", "body", F.explode("inner").alias("i")).select(
+        "host", "body", "i.path", "i.layout").distinct().groupBy("host", "path", "layout").agg(
+        F.count(F.lit(1)).alias("n"))
+    n = F.sum("n")
+    looks = laid.groupBy("host", "path").agg(F.when(n > 1, 1 - F.sum(F.col("n") * F.log("n")) / n / F.log(n))
+                                             .otherwise(0.0).alias("looks"))
+    # a leaf on one page tells nothing about what repeats
+    weight = F.col("pages") - 1
+    below = leaves.filter("pages > 1").select("host", "pages", "importance", F.posexplode("above").alias("level", "node"))
+    below = below.groupBy("host", F.col("node").alias("path")).agg(
+        (F.sum(weight * F.col("importance")) / F.sum(weight)).alias("mean"),
+        (F.sum(weight * (F.col("level") + 1)) / F.sum(weight)).alias("levels"), F.max("pages").alias("branch_pages"))
+    left = F.pow(F.lit(DECAY), F.col("levels"))
+    branches = below.join(looks, ["host", "path"], "left").select(
+        "host", F.col("path").alias("node"), "branch_pages",
+        (left * F.col("mean") + (1 - left) * F.coalesce("looks", F.lit(0.0))).alias("branch"))
+    near = leaves.select("host", "path", "pages", "beside", "importance", F.get("above", F.lit(0)).alias("node"))
+    return near.join(branches, ["host", "node"], "left").select(
+        "host", "path", "pages", "beside", "importance", F.coalesce("branch", F.lit(0.0)).alias("branch"),
+        F.coalesce("branch_pages", F.lit(1)).alias("branch_pages"))
+
+
+def _verdicts(parsed: DataFrame) -> DataFrame:
+    """`parsed` with three lists of paths: `void` goes anywhere, `weak` outside main
+    elements, `strong` stays beside them.
+
+    A node's importance is that of its place in the tree, weighed by the pages it stands
+    on besides one, with its branch for up to PRIOR_PAGES more, and with what its name
+    says for PRIOR_PAGES; `need` is the least a name must say for it to stay.
+    """
+    pages = F.col("pages") - 1
+    branch = F.least(F.col("branch_pages") - 1, F.lit(PRIOR_PAGES))
+    need = (IMPORTANCE * (pages + branch + PRIOR_PAGES) - pages * F.col("importance")
+            - branch * F.col("branch")) / PRIOR_PAGES
+    told = node_importance(parsed).filter(F.col("pages") >= LEAST_PAGES).select("host", "path", "beside", need.alias("need"))
+    told = materialise(told.filter((F.col("need") > PLAIN) | F.col("beside") & (F.col("need") <= BESIDE)), "page-verdicts")
+    lists = [F.collect_set(F.when(test, F.col("path"))).alias(name) for name, test in (
+        ("void", F.col("need") > IN_MAIN), ("weak", F.col("need") > PLAIN), ("strong", F.col("need") <= BESIDE))]
+    lists = materialise(told.groupBy("host").agg(*lists), "page-lists")
+    return parsed.join(bounded(lists, 20_000), "host", "left")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
               html_col: str = "html") -> DataFrame:
     """One row per row of `pages`: id, url, text (never null).
 
-    The trees of a host's pages are merged into a site style tree. Its presentation nodes
-    decide first: navigation, footers, forms, adverts and the like are known by element,
-    role or name and have no importance, what lies in an article or main element has it
-    all. For the other nodes, on pages without such an element, the tree decides: a
-    branch goes if its contents repeat over the site's pages (importance below
-    IMPORTANCE) and it stands on at least LEAST_PAGES of them and LEAST_SHARE of all.
-    A page with an article or main element keeps only what lies in it.
+    The trees of a host's pages are merged into a site style tree (`node_importance`). A
+    block goes if its importance there, weighed with that of the branch around it and with
+    what names say of it, is below IMPORTANCE (`_verdicts`). Names say: what lies in an
+    article or main element is content, what lies beside one is not, both until the tree
+    knows better. So a notice that repeats in the articles of a site goes, and text beside
+    articles that differs from page to page stays. Navigation, footers, forms, adverts and
+    the like, by element, role or name, go whatever the tree says: their words differ from
+    page to page, too. A page whose main elements would lose every block keeps them.
 
     Counts are combined before they are shuffled, so a host with a third of all pages is
-    a few thousand rows per task; page texts only move if the removal lists, at most
-    1 / LEAST_SHARE times the nodes of a page for each host, don't fit a broadcast.
+    a few thousand rows per task; page texts move only if the verdicts of the nodes do not
+    fit a broadcast.
 
     A null html is empty and so is its text; pages without host form a site of their own;
     rows that repeat an id are treated each on its own, extra columns are ignored, and an
@@ -232,13 +314,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     parsed = materialise(_parsed(rows), "pages-parsed")
-    low = node_importance(parsed).filter(
-        (F.col("importance") < IMPORTANCE) & (F.col("pages") >= LEAST_PAGES)
-        & (F.col("pages") >= F.col("site_pages") * LEAST_SHARE))
-    removed = materialise(low.groupBy("host").agg(F.collect_set("path").alias("gone")), "pages-removed")
-    joined = parsed.join(bounded(removed, 20_000), "host", "left")
-    gone = F.coalesce("gone", F.array().cast("array<long>"))
-    kept = F.filter("blocks", lambda b: F.when(F.col("has_main"), b["kind"] == CONTENT).otherwise(
-        (b["kind"] == UNKNOWN) & ~F.array_contains(gone, b["path"])))
+    joined = _verdicts(parsed)
+    void, weak, strong = (F.coalesce(c, F.array().cast("array<long>")) for c in ("void", "weak", "strong"))
+    main = F.filter("blocks", lambda b: b["kind"] == CONTENT)
+    kept = F.filter("blocks", lambda b: F.when(b["kind"] == CONTENT, ~F.array_contains(void, b["path"])).otherwise(
+        (b["kind"] == UNKNOWN) & F.when(F.col("has_main"), F.array_contains(strong, b["path"])).otherwise(
+            ~F.array_contains(weak, b["path"]))))
+    kept = F.when(F.col("has_main") & (F.size(kept) == 0), main).otherwise(kept)
     return joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join(
         F.transform(kept, lambda b: b["words"]), " ").alias("text"))

@@ -42,6 +42,27 @@ def test_site_tree_removes_what_repeats(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_site_tree_acts_beside_and_inside_articles(spark):
+    rows = [(i, f"http://n.org/{i}", f"<body><article><h1>Title {i}</h1><p>Own {i} text<div><p>Notice to all</div>"
+             f"<p>More of {i}</article></body>") for i in range(12)]
+    rows += [(i, f"http://c.org/{i}", f"<body><div class=t><p>Long text {i}</div><div class=u>Same</div>"
+              "<article class=card>Teaser</article></body>") for i in range(20, 32)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert all(found[i] == f"Title {i} Own {i} text More of {i}" for i in range(12))
+    assert all(found[i] == f"Long text {i}" for i in range(20, 32))
+
+
+def test_inner_nodes_have_an_importance(spark):
+    rows = [(i, f"http://i.org/{i}", f"<body><div class=a><p>Same</p></div><div class=b>{'<p>x' * (i % 2)}<h2>y</h2>"
+             f"<p>Own {i}</p></div></body>") for i in range(8)]
+    df = spark.createDataFrame(rows, "id long, url string, html string")
+    found = html_text.node_importance(html_text._parsed(df)).toPandas().set_index("path")["branch"]
+    same, own = (found[html_text._hash(f"/body/div.{c}/p")] for c in "ab")
+    # leaves 0 (heading) and 7/9 (paragraphs), seven pages each; two layouts on four pages of eight each
+    assert same == 0 and own == pytest.approx(0.9 * 7 / 18 + 0.1 / 3)
+
+
 def test_html_on_the_table(spark):
     found = queries.op6_html_text(spark, "/root/testdata/sf0.001").collect()
     assert all(r["text"] and r["n_chars"] == len(r["text"]) for r in found)
