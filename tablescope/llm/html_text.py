@@ -11,7 +11,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, materialise
+from .common import materialise
 
 #: A node of the style tree goes if its importance is below this; the tree is heard on
 #: nodes that stand on so many different pages of the site.
@@ -21,6 +21,9 @@ IMPORTANCE, LEAST_PAGES = 0.35, 3
 IN_MAIN, PLAIN, BESIDE, PRIOR_PAGES = 0.75, 0.5, 0.2, 2
 #: Of an inner node's importance, what a level of its branch leaves to the leaves.
 DECAY = 0.9
+#: Nodes of a host, and of all, that go to the pages as lists by a broadcast; more are
+#: joined by a shuffle, each node dealt to SALTS tasks.
+LIST_ROWS, ALL_ROWS, SALTS = 2_000, 100_000, 16
 
 # The vocabulary of HTML that decides without statistics
 RAW = {"script", "style", "template", "noscript", "textarea", "svg", "math", "iframe", "object", "select",
@@ -287,8 +290,15 @@ def _verdicts(parsed: DataFrame) -> DataFrame:
     told = materialise(told.filter((F.col("need") > PLAIN) | F.col("beside") & (F.col("need") <= BESIDE)), "page-verdicts")
     lists = [F.collect_set(F.when(test, F.col("path"))).alias(name) for name, test in (
         ("void", F.col("need") > IN_MAIN), ("weak", F.col("need") > PLAIN), ("strong", F.col("need") <= BESIDE))]
-    lists = materialise(told.groupBy("host").agg(*lists), "page-lists")
-    return parsed.join(bounded(lists, 20_000), "host", "left")
+    n, most = told.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if (n or 0) <= ALL_ROWS and (most or 0) <= LIST_ROWS:
+        return parsed.join(F.broadcast(materialise(told.groupBy("host").agg(*lists), "page-lists")), "host", "left")
+    # a path of the hot host stands on each of its pages: its row meets them in SALTS tasks
+    spots = parsed.select("row", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["path"])))
+                          .alias("path")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    dealt = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_page = spots.join(dealt, ["host", "path", "salt"]).groupBy("row").agg(*lists)
+    return parsed.join(by_page, "row", "left")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -313,7 +323,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    parsed = materialise(_parsed(rows), "pages-parsed")
+    parsed = materialise(_parsed(rows).withColumn("row", F.monotonically_increasing_id()), "pages-parsed")
     joined = _verdicts(parsed)
     void, weak, strong = (F.coalesce(c, F.array().cast("array<long>")) for c in ("void", "weak", "strong"))
     main = F.filter("blocks", lambda b: b["kind"] == CONTENT)

@@ -42,7 +42,9 @@ def test_site_tree_removes_what_repeats(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
-def test_site_tree_acts_beside_and_inside_articles(spark):
+@pytest.mark.parametrize("lists", [2_000, 0])
+def test_site_tree_acts_beside_and_inside_articles(spark, monkeypatch, lists):
+    monkeypatch.setattr(html_text, "LIST_ROWS", lists)  # 0: verdicts join by shuffle
     rows = [(i, f"http://n.org/{i}", f"<body><article><h1>Title {i}</h1><p>Own {i} text<div><p>Notice to all</div>"
              f"<p>More of {i}</article></body>") for i in range(12)]
     rows += [(i, f"http://c.org/{i}", f"<body><div class=t><p>Long text {i}</div><div class=u>Same</div>"
@@ -63,6 +65,17 @@ def test_inner_nodes_have_an_importance(spark):
     assert same == 0 and own == pytest.approx(0.9 * 7 / 18 + 0.1 / 3)
 
 
+def test_site_size_does_not_decide(spark):
+    def page(i):
+        return f"<body>{'<div class=q>Section</div>' * (i < 10)}<div>Own {i}</div></body>"
+
+    rows = [(i, "http://big.org/", page(i)) for i in range(1500)]
+    rows += [(i, "http://few.org/", f"<body><div class=q>All alike</div><div>Own {i}</div></body>") for i in range(2000, 2004)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert all(text == f"Own {i}" for i, text in found.items())
+
+
 def test_html_on_the_table(spark):
     found = queries.op6_html_text(spark, "/root/testdata/sf0.001").collect()
     assert all(r["text"] and r["n_chars"] == len(r["text"]) for r in found)
