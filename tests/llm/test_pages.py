@@ -127,6 +127,34 @@ def test_neighbours_recall(spark):
     assert np.mean([len(set(got[q]) & set(t)) / 20 for q, t in truth.items()]) >= 0.9
 
 
+def recall(spark, v, asks):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, asks).toPandas().sort_values("rank").groupby("query_id")["vec_id"].apply(list)
+    truth = exact(v, np.arange(len(v)), [q for q in got.index], 20)
+    return np.mean([len(set(got[q]) & set(t)) / len(t) for q, t in truth.items()]), got
+
+
+@pytest.mark.parametrize("lengths", ["outlier", "lognormal"])
+def test_neighbours_of_unequal_lengths(spark, lengths):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    v = np.array(table["embedding"].tolist(), dtype=float)
+    if lengths == "outlier":
+        v[7] *= 10
+    else:
+        v *= np.random.default_rng(1).lognormal(0, 0.5, len(v))[:, None]
+    found, got = recall(spark, v, F.col("vec_id") % 20 == 0)
+    assert found >= 0.9 and all(len(x) == 20 for x in got)
+
+
+def test_neighbours_are_all_there_is(spark, monkeypatch):
+    v = np.random.default_rng(3).normal(size=(15, 64))
+    found, got = recall(spark, v, F.lit(True))
+    assert found == 1 and len(got) == 15 and all(len(x) == 14 for x in got)
+    monkeypatch.setattr(neighbours, "SCANNED", 0)  # by buckets, then all others
+    found, got = recall(spark, v, F.lit(True))
+    assert found == 1 and len(got) == 15 and all(len(x) == 14 for x in got)
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(0, 60)] + [
