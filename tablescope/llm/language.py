@@ -91,16 +91,41 @@ def _mixtures(likely: np.ndarray, weight: np.ndarray, bounds: np.ndarray, allowe
         resp *= (weight / resp.sum(axis=1))[:, None]
         share = np.add.reduceat(resp, bounds[:-1], axis=0) / total
     top = (likely * share[owner]).sum(axis=1)
-    return share, np.add.reduceat(weight * np.log(top), bounds[:-1])
+    return share, np.add.reduceat(weight * np.log(top), bounds[:-1], dtype=np.float64)
+
+
+def _additions(likely: np.ndarray, weight: np.ndarray, bounds: np.ndarray, mixed: np.ndarray,
+               share: np.ndarray, rounds: int) -> np.ndarray:
+    """What each language adds to the log-likelihood of each document if it joins the
+    present mixture `mixed` (likelihoods of the n-grams), each alone: EM for its share."""
+    sizes = np.diff(bounds)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    weight = weight[:, None]
+    total = np.add.reduceat(weight, bounds[:-1])
+    ratio = likely / np.maximum(mixed, np.float32(1e-30))[:, None]
+    share = np.clip(share, 1e-3, 0.5)
+    for _ in range(rounds):
+        part = share[owner] * ratio
+        share = np.add.reduceat(weight * part / (1 - share[owner] + part), bounds[:-1], axis=0) / total
+    gain = weight * np.log1p(share[owner] * (ratio - 1))
+    return np.add.reduceat(gain, bounds[:-1], axis=0, dtype=np.float64)
+
+
+def _rows_of(bounds: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the given documents one after the other, and their bounds."""
+    return (np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in docs]),
+            np.concatenate([[0], np.cumsum(np.diff(bounds)[docs])]))
 
 
 def infer(logs: np.ndarray, found: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the languages per document, of the language set that the penalised
     likelihood selects, and the number of languages in that set.
 
-    EM over all languages orders them by share. The set starts with the likeliest single
-    language and takes on the next by share while the refitted log-likelihood gains more
-    than the penalty.
+    EM over all languages gives the shares to start from. The set starts with the likeliest
+    single language. It takes on the language that adds most beside the present mixture,
+    if the refitted log-likelihood gains more than the penalty; else the next one is tried,
+    until no language outside the set is left. How small a share may be follows from the
+    penalty alone.
     """
     n_docs, n_langs = len(upto) - 1, len(logs)
     grams, weights, sizes = [], [], []
@@ -119,7 +144,7 @@ def infer(logs: np.ndarray, found: np.ndarray, upto: np.ndarray) -> tuple[np.nda
     log = logs[:, np.concatenate([grams[i] for i in some])].T
     best = log.max(axis=1)
     likely = np.exp(log - best[:, None])
-    alone = np.add.reduceat((log - best[:, None]) * weight[:, None], bounds[:-1], axis=0)
+    alone = np.add.reduceat((log - best[:, None]) * weight[:, None], bounds[:-1], axis=0, dtype=np.float64)
     every = np.ones((len(some), n_langs), bool)
     full, _ = _mixtures(likely, weight, bounds, every, every.astype(np.float32), EM_ROUNDS)
     rows = np.arange(len(some))
@@ -128,23 +153,29 @@ def infer(logs: np.ndarray, found: np.ndarray, upto: np.ndarray) -> tuple[np.nda
     allowed[rows, first] = True
     now, value = allowed.astype(np.float32), alone[rows, first]
     penalty = PENALTY * 0.5 * np.log(np.maximum(2, np.add.reduceat(weight, bounds[:-1])))
-    live = rows
-    for _ in range(n_langs - 1):
-        rest = np.where(allowed[live], -1, full[live])
-        after = rest.argmax(axis=1)
-        go = rest[np.arange(len(live)), after] > 0.02  # a share too small to pay its penalty
+    gains = np.full(every.shape, -np.inf)
+    live = fresh = rows
+    while len(live):
+        if len(fresh):
+            parts, ends = _rows_of(bounds, fresh)
+            mixed = (likely[parts] * now[fresh][np.repeat(np.arange(len(fresh)), np.diff(ends))]).sum(axis=1)
+            gains[fresh] = _additions(likely[parts], weight[parts], ends, mixed, full[fresh], EM_ROUNDS)
+            gains[allowed] = -np.inf
+        after = gains[live].argmax(axis=1)
+        # beside a single language the gain is that of the refit; beside more it is less
+        go = np.where(allowed[live].sum(axis=1) == 1, gains[live, after] > penalty[live], gains[live, after] > -np.inf)
         live, after = live[go], after[go]
         if not len(live):
             break
         trial = allowed[live]
         trial[np.arange(len(live)), after] = True
-        parts = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in live])
-        ends = np.concatenate([[0], np.cumsum(np.diff(bounds)[live])])
+        parts, ends = _rows_of(bounds, live)
         share, got = _mixtures(likely[parts], weight[parts], ends, trial,
                                np.maximum(full[live], 1e-3), REFIT_ROUNDS)
+        gains[live, after] = -np.inf
         better = got - value[live] > penalty[live]
-        live = live[better]
-        allowed[live], now[live], value[live] = trial[better], share[better], got[better]
+        fresh = live[better]
+        allowed[fresh], now[fresh], value[fresh] = trial[better], share[better], got[better]
     shares[some], langs_in[some] = now, allowed.sum(axis=1)
     return shares, langs_in
 

@@ -217,6 +217,17 @@ def test_language_finds_a_mixture(spark, documents):
     assert found["lang_set"] == ["en", "de"] and 0.5 < found["score"] < 0.75
 
 
+def test_language_finds_small_shares_of_long_texts():
+    rng = np.random.default_rng(8)
+    probs = rng.dirichlet(np.full(3000, 0.05), 4).astype(np.float64) + 1e-6
+    probs /= probs.sum(axis=1, keepdims=True)
+    n = [118_200, 0, 1_800, 0]
+    grams = np.concatenate([rng.choice(3000, size, p=p) for size, p in zip(n, probs)])
+    shares, size = language.infer(np.log(probs).astype(np.float32), grams, np.array([0, len(grams)]))
+    assert size.tolist() == [2] and np.flatnonzero(shares[0]).tolist() == [0, 2]
+    assert shares[0, 2] == pytest.approx(0.015, abs=0.004)
+
+
 def test_language_odd_rows(odd, nothing, documents):
     model = language.learn(documents)
     by_id = {r["doc_id"]: r for r in language.identify(odd, model).collect()}
