@@ -26,9 +26,12 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without any letter go. The model learns from
-    this stage's own labelled documents."""
+    this stage's own labelled documents; if it knows no language, all texts with a letter
+    stay."""
     share_code(spark)
     model = language.learn(docs.filter(~language.held_out()))
+    if not model[0]:
+        return docs.filter(language.has_letter())
     found = language.identify(docs, model)
     return found.filter(f"lang_pred <> '{language.UNKNOWN}'").select(*docs.columns)
 

@@ -180,6 +180,11 @@ def infer(logs: np.ndarray, found: np.ndarray, upto: np.ndarray) -> tuple[np.nda
     return shares, langs_in
 
 
+def has_letter(text_col: str = "text"):
+    """False for a null text, too."""
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text",
              columns: list[str] | None = None) -> DataFrame:
     """The rows and columns (or the given ones) of `docs` with lang_pred, score, lang_set and lang_shares.
@@ -194,8 +199,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(logs)
     new = ["lang_pred", "score", "lang_set", "lang_shares"]
     own = [c for c in (docs.columns if columns is None else columns) if c not in new]
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*dict.fromkeys([*own, text_col]), letter.alias("_letter"))
+    rows = docs.select(*dict.fromkeys([*own, text_col]), has_letter(text_col).alias("_letter"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -350,6 +350,13 @@ def test_pipeline_stages_match_brute_force(spark, documents):
     assert set(r["doc_id"] for r in kept["packing"].collect()) == set(mixed)
 
 
+def test_pipeline_keeps_texts_without_a_language(spark, odd):
+    unnamed = odd.withColumn("lang", F.lit(None).cast("string"))
+    found = corpus_pipeline.identify_language(spark, unnamed, SF)
+    assert found.columns == odd.columns
+    assert sorted(r["doc_id"] or 0 for r in found.collect()) == [0, 1, 2, 7, 8, 9, 9, 10, 11, 12]
+
+
 def test_pipeline_takes_odd_rows(spark, odd, nothing):
     for docs in (odd, nothing):
         for _, stage in corpus_pipeline.STAGES:
