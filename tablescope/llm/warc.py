@@ -6,6 +6,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from math import ceil
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from .common import bounded, materialise
 #: Bytes of records in a frame before it is closed, and of frames in a bundle.
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 512 << 20
+#: Packed bytes that a task reads back.
+READ_BYTES = 8 << 20
 DATE = "1970-01-01T00:00:00Z"
 
 # Fixed values of the seekable Zstandard format and of WARC
@@ -217,18 +220,43 @@ def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_bundles(index: DataFrame, folder: str) -> DataFrame:
-    """All records of the bundles that `index` names, frame by frame by their seek tables."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All records of the bundles that `index` names, frame by frame by their seek tables.
+
+    The frames are dealt to as many tasks as their bytes ask for. The number is explicit,
+    as adaptive execution would merge rows that are so short into one task.
+    """
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_fs(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with store.open_input_file(f"{root}/{name}") as file:
-                    for offset, packed, plain in seek_table(file):
-                        file.seek(offset)
-                        data = zstandard.ZstdDecompressor().decompress(file.read(packed), plain)
-                        yield _record_batch(list(parse_records(data)))
+                    rows = [(name, *row[:3]) for row in seek_table(file)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in rows], t) for i, t in enumerate(
+                        (pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+                    names=["bundle", "at", "packed", "plain"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_fs(folder)
+        file, opened = None, None
+        for batch in batches:
+            for name, offset, packed, plain in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if name != opened:
+                    if file is not None:
+                        file.close()
+                    file, opened = store.open_input_file(f"{root}/{name}"), name
+                file.seek(offset)
+                data = zstandard.ZstdDecompressor().decompress(file.read(packed), plain)
+                yield _record_batch(list(parse_records(data)))
+        if file is not None:
+            file.close()
 
-    return index.select("bundle").distinct().mapInArrow(run, RECORD_SCHEMA)
+    known = index.select("bundle", "frame_offset", "frame_bytes").distinct().agg(F.sum("frame_bytes")).first()[0]
+    tasks = max(1, ceil((known or 0) / READ_BYTES))
+    dealt = index.select("bundle").distinct().repartition(tasks, "bundle").mapInArrow(
+        frames, "bundle string, at long, packed long, plain long")
+    return (dealt.repartition(tasks, "bundle", "at").sortWithinPartitions("bundle", "at")
+            .mapInArrow(run, RECORD_SCHEMA))
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:

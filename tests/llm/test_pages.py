@@ -108,6 +108,16 @@ def test_warc_round_trip(spark):
     assert warc.archive(spark, df.limit(0), scratch_path(spark, "warc-none")).count() == 0
 
 
+def test_bundles_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 2_000)
+    rng = np.random.default_rng(2)
+    rows = [(i, f"http://a/{i}", rng.bytes(400).hex()) for i in range(200)]
+    folder = scratch_path(spark, "warc-many")
+    index = warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, frame_bytes=1000)
+    found = warc.read_bundles(index, folder).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["record_key"] for r in found) == list(range(200)) and len({r["task"] for r in found}) > 5
+
+
 def exact(v, ids, queries_, k):
     scores = np.einsum("qd,nd->qn", v[queries_], v)
     out = {}
