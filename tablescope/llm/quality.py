@@ -113,7 +113,8 @@ def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     """One row per row of `docs`: id, evidence, host_posterior, path_posterior, score, keep.
 
     1. Evidence: the probability that a document is good by a logistic classifier on
-       FEATURES of its whole text, fitted on at most FIT_ROWS labelled rows.
+       FEATURES of its whole text, fitted on at most FIT_ROWS labelled rows,
+       one text per id and label.
     2. Host posterior: the mean evidence of a host's documents, shrunk to the mean of all
        as if that were worth a number of documents, which the method of moments estimates
        from the spread between hosts against that within. Sparse hosts stay close to it.
@@ -138,7 +139,9 @@ def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     chosen = marks.join(rows.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id", "y").limit(FIT_ROWS)
     chosen = bounded(materialise(chosen, "quality-marks"))
     styled = materialise(_styled(rows, ["id", "host", "path"], "text"), "quality-features")
-    known = styled.join(chosen, "id").select("features", "y").toPandas()
+    # one row per chosen id and label, as an id may be repeated without bound
+    known = styled.join(chosen.distinct(), "id").groupBy("id", "y").agg(
+        F.min_by("features", F.xxhash64("features")).alias("features")).select("features", "y").toPandas()
     x = np.array(known["features"].tolist()).reshape(-1, len(FEATURES))
     weights = fit(x, known["y"].to_numpy())
 

@@ -248,6 +248,15 @@ def test_quality_separates_and_shrinks(spark, odd, nothing):
     assert quality.rate(nothing, no_labels).count() == 0
 
 
+def test_quality_fits_one_row_per_labelled_id(spark, monkeypatch):
+    sizes, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: sizes.append(len(y)) or fit(x, y))
+    docs = spark.createDataFrame([(1, f"Repeated id {i}.", "s", "en") for i in range(50)] + [(2, "bad bad", "s", "en")],
+                                 "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.rate(docs, labels).count() == 51 and sizes == [2]
+
+
 def test_sparse_hosts_are_shrunk(spark):
     rows = ([(f"big{h}", 1.0, 40.0, 36.0 - 8 * h) for h in range(4)] + [("tiny", 1.0, 1.0, 0.0)])
     groups = spark.createDataFrame([(h, n, t, 0.75, n * 0.1) for h, _, n, t in rows],
