@@ -2,123 +2,22 @@
 
 from __future__ import annotations
 
-import base64
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
-from .arrays import BLOCK_BYTES, blocks, span_hashes
+from .tokens import encode, words_of
 
 WINDOW = 1024
 END_ID = 0
 #: Windows that may be partly filled at a time in one task; beyond that they are merged.
 MAX_OPEN = 4096
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 1_000_000
 ROWS_OUT = 2_000
 
 
-class Words(dict):
-    """Ids, as native unsigned 32-bit bytes, of a run of bytes."""
-
-    def __init__(self, encoding):
-        super().__init__()
-        self.encoding = encoding
-        self.feed = encoding.encode_ordinary("\n")[0]
-
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = ids = array("I", self.encoding.encode_ordinary(word.decode())).tobytes()
-        return ids
-
-    def all(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece. New ones are encoded together, with line feeds between."""
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        new = [p for p in pieces if p not in self and b"\n" not in p and len(p) < 64]
-        if new:
-            ids = np.array(self.encoding.encode_ordinary(b"\n".join(new).decode()), dtype=np.uint32)
-            at = np.flatnonzero(ids == self.feed)
-            if len(at) == len(new) - 1:
-                raw = ids.tobytes()
-                starts, ends = [0, *(at * 4 + 4).tolist()], [*(at * 4).tolist(), len(raw)]
-                self.update((p, raw[a:b]) for p, a, b in zip(new, starts, ends))
-        return [self[p] for p in pieces]
-
-
-_WORDS: dict[str, Words] = {}
-
-
-def _words(ranks_path: str) -> Words:
-    if ranks_path not in _WORDS:
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
-        _WORDS[ranks_path] = Words(tiktoken.Encoding(
-            "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
-    return _WORDS[ranks_path]
-
-
-def _wide_space(data: np.ndarray) -> np.ndarray:
-    """Places of white space outside ASCII: its first and its last byte."""
-    at = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
-    last = lambda k: data[np.minimum(at + k, len(data) - 1)]
-    a, b, c = data[at], last(1), last(2)
-    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
-    three = (((a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)))
-             | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
-             | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)))
-    return np.concatenate([at[two | three], at[two] + 1, at[three] + 2])
-
-
-def encode(column: pa.Array, words: Words) -> Iterator[np.ndarray]:
-    """Token ids of each row of a string column.
-
-    A token always starts at a blank between two characters that are no white space, at
-    a sign after an ASCII letter, and at and after a single line feed. Texts are cut
-    there, each distinct piece of a block is looked up once, and the ids are put together
-    by number. Texts with white space next to a blank are encoded whole.
-    """
-    for first, last, data, bounds in blocks(column, 4 * BLOCK_BYTES):
-        blank = data == 32
-        space = blank | ((data >= 9) & (data <= 13))
-        space[_wide_space(data)] = True
-        run = np.flatnonzero((space[1:] & blank[:-1]) | (blank[1:] & space[:-1]))
-        slow = np.unique(np.searchsorted(bounds, run, "right") - 1)
-        letter = ((data | 32) >= 97) & ((data | 32) <= 122)
-        sign = (data > 32) & (data < 127) & ~letter & ~((data >= 48) & (data <= 57))
-        cut = blank.copy()
-        cut[1:] |= sign[1:] & letter[:-1]
-        feed = np.flatnonzero(data[1:-1] == 10) + 1
-        feed = feed[~(space[feed - 1] | space[feed + 1])]
-        cut[feed] = cut[feed + 1] = True
-        cut[bounds[:-1][bounds[:-1] < len(data)]] = True
-        start = np.flatnonzero(cut)
-        end = np.append(start[1:], len(data))
-        codes, kinds = pd.factorize(span_hashes(data, start, end))
-        sample = np.zeros(len(kinds), dtype=np.int64)
-        sample[codes[::-1]] = np.arange(len(codes))[::-1]
-        raw = data.tobytes()
-        found = words.all([raw[a:b] for a, b in zip(start[sample].tolist(), end[sample].tolist())])
-        lengths = np.array([len(x) // 4 for x in found], dtype=np.int64)
-        pool = np.frombuffer(b"".join(found), dtype=np.uint32)
-        n = lengths[codes]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        places = (np.cumsum(lengths) - lengths)[codes]
-        ids = pool[np.repeat(places - upto[:-1], n) + np.arange(upto[-1])]
-        rows = upto[np.searchsorted(start, bounds)]
-        whole = {int(r): np.array(words.encoding.encode_ordinary(
-            raw[bounds[r]:bounds[r + 1]].decode()), dtype=np.uint32) for r in slow}
-        for row in range(last - first):
-            yield whole[row] if row in whole else ids[rows[row]:rows[row + 1]]
-
-
 class SumOfSquares:
     """Level array of partly filled windows (Csirik et al., "On the Sum-of-Squares
     Algorithm for Bin Packing"): an item goes to the level, or to a new window, after which
@@ -182,7 +81,7 @@ def _recut(pieces: list[tuple], window: int) -> Iterator[tuple[list[tuple], bool
         yield now, False
 
 
-def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text",
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
          window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece: id, start, length, ids (binary, little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset.
@@ -196,7 +95,8 @@ def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
     into sequences of a power of two, which need no padding. So there is no padding, and
     a document is cut inside a window only there.
 
-    `ranks_path` is the vocabulary as ranks. Rows that repeat an id are packed each on its
+    `tokenizer_path` is a tokenizer file; strings of its added tokens in a text become those
+    tokens. Rows that repeat an id are packed each on its
     own; null ids are carried along; extra columns are ignored; an empty table gives an
     empty result.
     """
@@ -208,7 +108,7 @@ def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
         T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = _words(ranks_path), SumOfSquares(window)
+        words, packer = words_of(tokenizer_path), SumOfSquares(window)
         end = np.array([end_id], dtype="<u4").tobytes()
         next_id = TaskContext.get().partitionId() << 33
         out: list[tuple] = []

@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.session import scratch_path
 
-from . import (exact_dedup, html_text, jaccard_join, language, line_dedup, mixing, neighbours,
-               packing, quality, warc)
-from .common import ascii_lower, table
+from . import (exact_dedup, html_text, id_planes, jaccard_join, language, line_dedup, mixing, neighbours,
+               packing, prefix_trie, quality, warc, whitening)
+from .common import ascii_lower, materialise, table
 
 
-def token_ranks() -> str:
-    """The byte-level vocabulary as ranks; the same ids as its json form."""
+def tokenizer_file() -> str:
+    """The public byte-level tokenizer that the queries encode with."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), token_ranks())
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset")
 
@@ -74,9 +74,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text_sha256": F.sha2(ascii_lower(text), 256)})
 
 
+def op11_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "ids")
+    index = id_planes.write_ids(table(spark, sf_dir, "documents"), folder, tokenizer_file())
+    found = id_planes.read_documents(index, folder)
+    return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    convs = materialise(convs, "conversations")
+    rebuilt = prefix_trie.with_shared_heads(convs, c - c % 20, F.crc32(c.cast("string")) % 4)
+    return prefix_trie.prefix_nodes(rebuilt).drop("turn_key").withColumn("depth", F.col("depth").cast("long"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn(
+        "deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_mixing, op3_quality, op4_language, op5_neighbours, op6_html_text, op7_warc,
-    op8_packing, op9_jaccard_join, op10_exact_dedup)}
+    op8_packing, op9_jaccard_join, op10_exact_dedup, op11_id_planes, op12_prefix_trie, op13_whitening)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

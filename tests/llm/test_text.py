@@ -272,7 +272,6 @@ def check_packing(texts, pieces):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tokenizer.encode_special_tokens = True
     keys = list(texts)
     encoded = tokenizer.encode_batch([texts[k] or "" for k in keys], add_special_tokens=False)
     expected = {k: [*e.ids, 0] for k, e in zip(keys, encoded)}
@@ -297,7 +296,7 @@ def check_packing(texts, pieces):
 
 def test_packing_is_a_round_trip(documents):
     rows = documents.select("doc_id", "text").collect()
-    check_packing(dict(map(tuple, rows)), packing.pack(documents, queries.token_ranks()).collect())
+    check_packing(dict(map(tuple, rows)), packing.pack(documents, queries.tokenizer_file()).collect())
 
 
 def test_packing_odd_texts(spark, odd, nothing):
@@ -306,9 +305,9 @@ def test_packing_odd_texts(spark, odd, nothing):
     texts = {i: "".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for i in range(300)}
     texts |= {900: None, 901: "", 902: "word " * 5000}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    check_packing(texts, packing.pack(df, queries.token_ranks()).collect())
-    assert packing.pack(odd, queries.token_ranks()).filter("doc_id is null").count() >= 1
-    assert packing.pack(nothing, queries.token_ranks()).count() == 0
+    check_packing(texts, packing.pack(df, queries.tokenizer_file()).collect())
+    assert packing.pack(odd, queries.tokenizer_file()).filter("doc_id is null").count() >= 1
+    assert packing.pack(nothing, queries.tokenizer_file()).count() == 0
 
 
 def test_sum_of_squares_picks_the_least_sum():
@@ -377,5 +376,5 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in names
