@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablescope.llm import jaccard_join, language, line_dedup, mixing, packing
 from tablescope.llm.common import materialise, share_code, table
-from tablescope.llm.queries import token_ranks
+from tablescope.llm.queries import tokenizer_file
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
     share_code(spark)
-    return packing.pack(docs, token_ranks())
+    return packing.pack(docs, tokenizer_file())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
