@@ -14,6 +14,8 @@ from .arrays import BLOCK_BYTES, blocks, span_hashes
 
 #: Words whose ids a worker remembers.
 CACHED_WORDS = 1_000_000
+#: New words that are given to the tokenizer as one text.
+WORDS_A_TEXT = 64
 
 
 class Words(dict):
@@ -36,18 +38,26 @@ class Words(dict):
         return ids
 
     def all(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece. New ones are encoded together, with line feeds between."""
-        if len(self) >= CACHED_WORDS:
+        """Ids of each piece. New ones are encoded together, with line feeds between, a few
+        to a text, which the tokenizer takes faster than one long text."""
+        found = list(map(self.get, pieces))
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        new = [p for p in (pieces[i] for i in lacking) if b"\n" not in p and len(p) < 64]
+        if len(self) + len(new) > CACHED_WORDS:
             self.clear()
-        new = [p for p in pieces if p not in self and b"\n" not in p and len(p) < 64]
         if new:
-            ids = np.array(self.whole(b"\n".join(new).decode()), dtype=np.uint32)
-            at = np.flatnonzero(ids == self.feed)
-            if len(at) == len(new) - 1:
-                raw = ids.tobytes()
-                starts, ends = [0, *(at * 4 + 4).tolist()], [*(at * 4).tolist(), len(raw)]
-                self.update((p, raw[a:b]) for p, a, b in zip(new, starts, ends))
-        return [self[p] for p in pieces]
+            texts = [b"\n".join(new[i:i + WORDS_A_TEXT]).decode() for i in range(0, len(new), WORDS_A_TEXT)]
+            ids = array("I")
+            for text in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                ids.extend(text.ids)
+                ids.append(self.feed)
+            at = np.flatnonzero(np.frombuffer(ids, dtype=np.uint32) == self.feed)
+            if len(at) == len(new):
+                raw, ends = ids.tobytes(), (at * 4).tolist()
+                self.update((p, raw[a:b]) for p, a, b in zip(new, [0, *[e + 4 for e in ends]], ends))
+        for i in lacking:
+            found[i] = self[pieces[i]]
+        return found
 
 
 _WORDS: dict[str, Words] = {}
@@ -108,11 +118,12 @@ def encode(column: pa.Array, words: Words) -> Iterator[np.ndarray]:
             cut[bounds[row] + 1:bounds[row + 1]] = False
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        apart = np.isin(start, bounds[slow])  # a row may only look slow by its neighbour
         codes, kinds = pd.factorize(span_hashes(data, start, end))
         sample = np.zeros(len(kinds), dtype=np.int64)
         sample[codes[::-1]] = np.arange(len(codes))[::-1]
-        wanted = np.unique(codes[~apart])
+        wanted = np.arange(len(kinds))
+        if len(slow):  # a row may only look slow by its neighbour, so its text may be wanted elsewhere
+            wanted = np.unique(codes[~np.isin(start, bounds[slow])])
         found = [b""] * len(kinds)
         for k, ids in zip(wanted.tolist(), words.all([raw[a:b] for a, b in zip(
                 start[sample[wanted]].tolist(), end[sample[wanted]].tolist())])):
