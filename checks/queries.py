@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from tablescope.functions.exprs import union_all
 from tablescope.operators import (catalog as cat, discovery as disc, graph, infer, issues,
                                   profile as prof, quality as q, relationships as rel, stats)
 from tablescope.plans import scorecard as cards
@@ -252,6 +253,32 @@ def _(s):
     return prof.top_values(s.t("events"), ["event_type", "user_id", "props"])
 
 
+def _scalar(view: str) -> list[str]:
+    return [c for c, ty in data.view_columns(view) if not ty.startswith("array")]
+
+
+def _over_all(s: Source, operator) -> DataFrame:
+    """One operator on each of the tables, with the table's name."""
+    return union_all([operator(df).select(F.lit(t).alias("table"), "*") for t, df in s.tables().items()])
+
+
+def _named(t: str, rows: str) -> str:
+    return f"SELECT '{t}' AS \"table\", * FROM ({rows})"
+
+
+@query("column_modes_all", sql.union([_named(t, sql.union([
+    f"(SELECT '{c}' AS \"column\", cast({c} AS varchar) AS mode, count(*) AS n FROM {t} "
+    f"GROUP BY {c} ORDER BY count(*) DESC, {c} ASC NULLS FIRST LIMIT 1)" for c in _scalar(t)]))
+    for t in SCHEMA]))
+def _(s):
+    return _over_all(s, prof.column_modes)
+
+
+@query("top_values_all", sql.union([_named(t, _top(t, _scalar(t))) for t in SCHEMA]))
+def _(s):
+    return _over_all(s, prof.top_values)
+
+
 def _with_rank(df: DataFrame) -> DataFrame:
     """The order of a small sorted relation as a column."""
     return df.withColumn("rank", F.row_number().over(
@@ -387,6 +414,14 @@ for _view in ("d_orders", "d_customer", "documents", "events"):
         return stats.text_stats(s.t(view))
 
 
+_TEXT_TABLES = [t for t, columns in SCHEMA.items() if any(ty == "string" for _, ty in columns)]
+
+
+@query("text_stats_all", sql.union([_named(t, _text_stats(t)) for t in _TEXT_TABLES]), ["avg_len"])
+def _(s):
+    return _over_all(s, stats.text_stats)
+
+
 def _histogram(view: str, columns, bins: int) -> str:
     return sql.union([
         f"SELECT '{c}' AS \"column\", bin::integer AS bin, lo + (bin - 1) * step AS bin_low, "
@@ -759,7 +794,7 @@ def _(s):
 
 @query("catalog_columns", sql.with_views(
     'SELECT "table", ordinal, "column", type, nullable, primary_key, "unique", '
-    "cast(NULL AS varchar) AS default_value FROM cols", *CATALOG))
+    "cast(NULL AS varchar) AS default_value FROM cols", *CATALOG[:6]))
 def _(s):
     return s.catalog().columns
 
@@ -1595,7 +1630,7 @@ def _target(dialect: str, type_: str = "type", key: str = "primary_key") -> str:
 
 @query("type_mapping", sql.with_views(
     'SELECT "table", "column", type, primary_key, ' + ", ".join(
-        f"{_target(d)} AS {d}" for d in sqltext.DIALECTS) + " FROM cols", *CATALOG))
+        f"{_target(d)} AS {d}" for d in sqltext.DIALECTS) + " FROM cols", *CATALOG[:6]))
 def _(s):
     return sqltext.type_mapping(s.catalog().columns)
 

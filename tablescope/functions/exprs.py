@@ -98,10 +98,16 @@ def cast(expr: str, kind: str) -> str:
     return f"cast({expr} AS {FAMILY_SQL_TYPE.get(kind, kind)})"
 
 
+#: Bytes of a digest; a shorter text stands for itself.
+DIGEST_BYTES = 32
+
+
 def digest(expr: str) -> str:
-    """SQL text of 32 bytes that stand for a text of any length where values are only
-    counted or compared, so that text bodies never travel."""
-    return f"unhex(sha2({expr}, 256))"
+    """SQL text of at most 32 bytes that stand for a text of any length where values are
+    only counted or compared, so that text bodies never travel: the bytes of a text of
+    less than 32, else a hash of 32."""
+    return (f"if(octet_length({expr}) < {DIGEST_BYTES}, cast({expr} AS binary), "
+            f"unhex(sha2({expr}, 256)))")
 
 
 def exact_type(types: Iterable[T.DataType]) -> str | None:

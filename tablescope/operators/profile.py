@@ -2,9 +2,10 @@
 
 Two shapes of work cover everything here. Algebraic measures (counts, null
 counts) are one wide aggregate per table. Measures that depend on equal values
-(distinct, mode, rarest) come from `typed_frequencies`: one shuffle keyed by
-(column, value) after map-side combining, so a value holding a third of the rows
-reaches the shuffle as one row per task.
+(distinct, mode, rarest) come from one shuffle keyed by (column, value) after map-side
+combining, so a value holding a third of the rows reaches the shuffle as one row per
+task. Texts are counted by digest (`text_counts`); only the bodies of the few winners are
+fetched, in a second scan (`text_winners`).
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import (Series, cast, chunks, col, digest, family, literal, long_rows, measure,
-                               melt_series, named, pct, present, quoted, scalar_fields,
-                               series_of, small_relation, union_all)
+from ..functions.exprs import (DIGEST_BYTES, Series, cast, chunks, col, digest, family, literal,
+                               long_rows, measure, melt, melt_series, named, pct, present, quoted,
+                               scalar_fields, series_of, small_relation, union_all)
 from ..policy import DEFAULT_POLICY, QualityPolicy
+from ..session import cut_lineage
 
 Tables = Mapping[str, DataFrame]
 
@@ -83,7 +85,8 @@ def typed_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> di
 
 
 def value_freq(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, value, n) over all scalar columns, value as text."""
+    """(column, value, n) over all scalar columns, value as text. Every value is part of the
+    result, so bodies of texts travel; `text_counts` and `text_winners` do without."""
     return union_all([freq.withColumn("value", F.col("value").cast("string"))
                       for freq in typed_frequencies(df, columns).values()])
 
@@ -93,11 +96,6 @@ def most_frequent(value: str = "value", n: str = "n") -> Column:
     return F.min(F.struct((-F.col(n)).alias("rank"), F.col(value).alias("value")))["value"]
 
 
-def least_frequent(value: str = "value", n: str = "n") -> Column:
-    """Aggregate: the value with the lowest count, smallest value among ties."""
-    return F.min(F.struct(F.col(n).alias("rank"), F.col(value).alias("value")))["value"]
-
-
 def frequency_summary(tables: Tables, approx: bool = False) -> DataFrame:
     """(table, column, row_count, null_count, distinct_count) of every column.
 
@@ -193,14 +191,104 @@ def all_null_columns(profile: DataFrame) -> DataFrame:
                          ).select("table", "column", "row_count")
 
 
+#: First bytes of a text that travel beside its digest, to order ties by value.
+HEAD_BYTES = 16
+#: Winning digests that are taken to the driver; more than that are joined by a shuffle.
+COLLECTED_WINNERS = 10_000
+WINNER_SCHEMA = "which string, column string, head binary, digest binary, n bigint"
+
+
+def text_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, head, digest, n): how often each text occurs, texts by their first bytes
+    and a digest, at most 48 bytes in all. NULL is a value of its own."""
+    fields = {f.name: f for f in scalar_fields(df, columns)}
+    text = {c: cast(present(f), "text") for c, f in fields.items()}
+    short = melt(df, {c: f"named_struct('head', substring(cast({e} AS binary), 1, {HEAD_BYTES}), "
+                         f"'digest', {digest(e)})" for c, e in text.items()})
+    return short.groupBy("column", "value.head", "value.digest").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fetched(df: DataFrame, columns: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """(column, digest, text) of the wanted (column, digest): a scan that keeps the rows
+    with one of these digests and one text of each per task."""
+    fields = scalar_fields(df, columns)
+    long = melt(df, {f.name: cast(present(f), "text") for f in fields}).where(
+        f"octet_length(value) >= {DIGEST_BYTES}").withColumn("digest", F.expr(digest("value")))
+    # a set of one element: a buffer that hash aggregation takes, other than that of first()
+    return long.join(wanted, ["column", "digest"]).groupBy("column", "digest").agg(
+        F.collect_set("value")[0].alias("text"))
+
+
+def text_winners(df: DataFrame, columns: Sequence[str], k: int = 1, which: Sequence[str] = ("most",),
+                 include_null: bool = True, distinct: bool = False) -> DataFrame:
+    """(which, column, rank, value, n): the k most (`most`) or least (`least`) frequent
+    texts of each column, ties to the smaller text; with `distinct` also a row `distinct`
+    whose n is the number of texts.
+
+    The first phase counts digests and keeps, per column, those of rank k or better by
+    count and first bytes, with all that tie there. They are few (k a column but for texts
+    that agree in count and first bytes) and come to the driver; beyond
+    COLLECTED_WINNERS they stay a relation and the second phase joins them by a shuffle.
+    The second phase fetches the bodies of winners that are longer than a digest.
+    Runs its first phase while being called.
+    """
+    counts = text_counts(df, columns)
+    if not include_null:
+        counts = counts.where("digest IS NOT NULL")
+    order = {"most": F.col("n").desc(), "least": F.col("n").asc()}
+    parts = []
+    for name in which:
+        rank = F.rank().over(Window.partitionBy("column").orderBy(
+            order[name], F.col("head").asc_nulls_first()))
+        parts.append(counts.withColumn("rank", rank).where(F.col("rank") <= k).select(
+            F.lit(name).alias("which"), "column", "head", "digest", "n"))
+    if distinct:
+        none = F.lit(None).cast("binary")
+        parts.append(counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit("distinct").alias("which"), "column", none.alias("head"), none.alias("digest"), "n"))
+    winners = union_all(parts)
+    spark = df.sparkSession
+    known = winners.limit(COLLECTED_WINNERS + 1).collect()
+    few = len(known) <= COLLECTED_WINNERS
+    winners = spark.createDataFrame(known, WINNER_SCHEMA) if few else cut_lineage(winners)
+    if few:
+        wanted = {(r["column"], bytes(r["digest"])) for r in known
+                  if r["digest"] is not None and len(r["digest"]) == DIGEST_BYTES}
+        bodies = _fetched(df, sorted({c for c, _ in wanted}), F.broadcast(spark.createDataFrame(
+            sorted(wanted), "column string, digest binary"))) if wanted else None
+    else:
+        bodies = _fetched(df, columns, winners.where(F.octet_length("digest") == DIGEST_BYTES)
+                          .select("column", "digest").distinct())
+    value = F.when(F.octet_length("digest") < DIGEST_BYTES, F.col("digest").cast("string"))
+    if bodies is not None:
+        winners = winners.join(bodies, ["column", "digest"], "left")
+        value = F.coalesce(value, F.col("text"))
+    nth = Window.partitionBy("which", "column").orderBy(
+        F.when(F.col("which") == "least", F.col("n")).otherwise(-F.col("n")),
+        F.col("value").asc_nulls_first())
+    return (winners.withColumn("value", value).withColumn("rank", F.row_number().over(nth))
+            .where(F.col("rank") <= k).select("which", "column", "rank", "value", "n"))
+
+
+def _by_family(df: DataFrame, columns: Sequence[str] | None) -> tuple[list[str], list[str]]:
+    """Names of the columns that are compared as text, and of the other scalar ones."""
+    fields = scalar_fields(df, columns)
+    text = [f.name for f in fields if family(f.dataType) == "text"]
+    return text, [f.name for f in fields if f.name not in text]
+
+
 def column_modes(df: DataFrame, columns: Sequence[str] | None = None,
                  include_null: bool = True) -> DataFrame:
     """Most frequent value of each column as text, with its count.
 
-    With `include_null` a missing value competes like any other.
+    With `include_null` a missing value competes like any other. Texts are won by digest.
     """
+    texts, others = _by_family(df, columns)
     parts = []
-    for freq in typed_frequencies(df, columns).values():
+    if texts:
+        parts.append(text_winners(df, texts, include_null=include_null).select(
+            "column", F.col("value").alias("mode"), "n"))
+    for freq in typed_frequencies(df, others).values():
         if not include_null:
             freq = freq.where(F.col("value").isNotNull())
         best = F.min(F.struct((-F.col("n")).alias("rank"), F.col("value").alias("value")))
@@ -214,14 +302,20 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5,
                label_chars: int = 10) -> DataFrame:
     """The k most frequent values per column with a shortened label.
 
-    The rank filter lets Spark keep k rows per column before the shuffle.
+    The rank filter lets Spark keep k rows per column before the shuffle. Texts are won by
+    digest, and only the winners' bodies are read.
     """
+    texts, others = _by_family(df, columns)
     order = Window.partitionBy("column").orderBy(F.col("n").desc(),
                                                  F.col("value").asc_nulls_first())
-    return (value_freq(df, columns)
-            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("column", "rank", "value",
-                    F.substring("value", 1, label_chars).alias("label"), "n"))
+    parts = []
+    if texts:
+        parts.append(text_winners(df, texts, k).select("column", "rank", "value", "n"))
+    if others:
+        parts.append(value_freq(df, others).withColumn("rank", F.row_number().over(order))
+                     .where(F.col("rank") <= k).select("column", "rank", "value", "n"))
+    return union_all(parts).select("column", "rank", "value",
+                                   F.substring("value", 1, label_chars).alias("label"), "n")
 
 
 def sort_columns(profile: DataFrame, by: str = "null_pct", descending: bool = True) -> DataFrame:

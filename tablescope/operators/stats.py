@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import combinations
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..functions.exprs import (NoColumns, any_table, cast, chunks, family, literal, long_rows, measure, melt, named, number,
+from ..functions.exprs import (NoColumns, any_table, cast, chunks, family, literal, long_rows, measure, melt, number,
                                numeric_fields, pct, quoted, temporal_fields, text_fields,
                                union_all, whole_days)
-from .profile import least_frequent, most_frequent, typed_frequencies
-from .quantiles import fences, numeric_series, quartiles, series_fences, values
+from .profile import most_frequent, text_winners, typed_frequencies
+from .quantiles import fences, numeric_series, quartiles, series_fences
 
 # wider aggregates exceed what the JVM compiles to machine code
-PAIRS_PER_AGGREGATE = 8
-# up to so many scans, aggregates over columns are faster than one over (pair, row)
-CORRELATION_SCANS = 8
 MOMENT_COLUMNS_PER_AGGREGATE = 3
+# columns on a side of a tile of the correlation matrix; a task holds a few numbers per cell
+CORRELATION_TILE = 256
+FENCES = ("q1", "q3", "lower_fence", "upper_fence")
+OUTLIER_SCHEMA = ("table string, column string, q1 double, q3 double, lower_fence double, "
+                  "upper_fence double, row_count bigint, outlier_count bigint")
+BOX_PLOT_SCHEMA = ("column string, q1 double, median double, q3 double, lower_fence double, "
+                   "upper_fence double, min double, max double, outlier_count bigint")
+POINT_COLUMNS = (("column", "string"), ("value", "double"), ("lower_fence", "double"),
+                 ("upper_fence", "double"), ("is_outlier", "boolean"))
 
 
 def wide_type(field: T.StructField, value: str) -> str:
@@ -120,15 +127,19 @@ def date_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 
 @any_table("string")
 def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Most and least frequent value, distinct count, and lengths in characters."""
+    """Most and least frequent value, distinct count, and lengths in characters.
+
+    Values are counted by digest; two bodies a column are read.
+    """
     fields = text_fields(df, columns)
     if not fields:
         raise NoColumns("no text column")
     names = [f.name for f in fields]
-    ranks = (typed_frequencies(df, names)["text"].where(F.col("value").isNotNull())
-             .groupBy("column").agg(most_frequent().alias("most_frequent"),
-                                    least_frequent().alias("least_frequent"),
-                                    F.count(F.lit(1)).alias("distinct_count")))
+    winners = text_winners(df, names, which=("most", "least"), include_null=False, distinct=True)
+    ranks = winners.groupBy("column").agg(
+        F.max(F.when(F.col("which") == "most", F.col("value"))).alias("most_frequent"),
+        F.max(F.when(F.col("which") == "least", F.col("value"))).alias("least_frequent"),
+        F.max(F.when(F.col("which") == "distinct", F.col("n"))).alias("distinct_count"))
     parts = []
     for chunk in chunks(fields):
         aggs = {f"{fn}{i}": f"{fn}(char_length({quoted(f.name)}))" for i, f in enumerate(chunk)
@@ -183,28 +194,51 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 1
                                        edge.alias("bin_high"), "n")))
 
 
-def _against_fences(df: DataFrame, limits: DataFrame, columns: Sequence[str] | None) -> DataFrame:
-    """(column, value, fences) for each value; `limits` has one row per column."""
-    fields = numeric_fields(df, columns)
-    return melt(df, {f.name: number(f) for f in fields}).join(
-        F.broadcast(limits), "column")
+def fence_limits(tables: Mapping[str, DataFrame], columns: Sequence[str] | None = None,
+                 multiplier: float = 1.5, approx: bool = False
+                 ) -> dict[tuple[str, str], dict[str, float]]:
+    """Quartiles and fences by (table, column), for columns that hold values.
+
+    A few numbers per column of the schema, which go into the next aggregate as literals:
+    counting against them needs neither a join nor a row per cell.
+    """
+    series = numeric_series(tables, columns)
+    if not series:
+        return {}
+    found = series_fences(tables, dict(enumerate(series)), multiplier, approx).collect()
+    return {(series[int(r["series"])].table, series[int(r["series"])].field.name): r.asDict()
+            for r in found}
+
+
+def outside(field: T.StructField, limits: Mapping[str, float]) -> str:
+    """SQL text of the test whether a value lies beyond its fences."""
+    v = number(field)
+    return (f"({v} < {literal(limits['lower_fence'])} OR {v} > {literal(limits['upper_fence'])})")
 
 
 def outlier_counts(tables: Mapping[str, DataFrame], columns: Sequence[str] | None = None,
                    multiplier: float = 1.5, warning_pct: float = 5.0, approx: bool = False
                    ) -> DataFrame:
-    """Values beyond the fences per numeric column of several tables, as a share of all rows."""
-    series = numeric_series(tables, columns)
-    numbered = dict(enumerate(series))
-    outside = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
-    # one row per column: a broadcast bounded by the schema
-    limits = F.broadcast(series_fences(tables, numbered, multiplier, approx))
-    counted = values(tables, numbered).join(limits, "series").groupBy(
-        "series", "q1", "q3", "lower_fence", "upper_fence").agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_if(outside).alias("outlier_count"))
-    return counted.select(
-        *named(series), "q1", "q3", "lower_fence", "upper_fence", "row_count", "outlier_count",
-        pct(F.col("outlier_count"), F.col("row_count"), 0.0).alias("outlier_pct")).withColumn(
+    """Values beyond the fences per numeric column of several tables, as a share of all rows.
+
+    One wide aggregate per table against the fences as literals.
+    """
+    limits = fence_limits(tables, columns, multiplier, approx)
+    parts = []
+    for name, df in tables.items():
+        fields = numeric_fields(df, columns)
+        for chunk in chunks([f for f in fields if (name, f.name) in limits]):
+            wide = measure(df, {"n": "count(1)", **{
+                f"c{i}": f"count_if({outside(f, limits[name, f.name])})" for i, f in enumerate(chunk)}})
+            parts.append(long_rows(wide, [{
+                "table": literal(name), "column": literal(f.name),
+                **{c: literal(limits[name, f.name][c]) for c in FENCES},
+                "row_count": "n", "outlier_count": f"c{i}"} for i, f in enumerate(chunk)]))
+    if not parts and any(numeric_fields(df, columns) for df in tables.values()):
+        spark = next(iter(tables.values())).sparkSession
+        parts = [spark.createDataFrame([], OUTLIER_SCHEMA)]
+    return union_all(parts).withColumn(
+        "outlier_pct", pct(F.col("outlier_count"), F.col("row_count"), 0.0)).withColumn(
         "warning", F.col("outlier_pct") > warning_pct)
 
 
@@ -219,44 +253,90 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, multiplier
 def outlier_points(df: DataFrame, key: str, columns: Sequence[str] | None = None,
                    multiplier: float = 1.5, approx: bool = False,
                    only_outliers: bool = True) -> DataFrame:
-    """Values with their fence lines and a flag; by default the outliers alone."""
+    """Values with their fence lines and a flag; by default the outliers alone.
+
+    The points of a row are picked from its cells before they become rows of their own.
+    """
     fields = numeric_fields(df, columns)
-    limits = fences(df, columns, multiplier, approx).select(
-        "column", "lower_fence", "upper_fence")
-    points = (melt(df, {f.name: number(f) for f in fields}, keep=[key])
-              .join(F.broadcast(limits), "column")
-              .withColumn("is_outlier", (F.col("value") < F.col("lower_fence"))
-                          | (F.col("value") > F.col("upper_fence"))))
-    return points.where("is_outlier") if only_outliers else points
+    if not fields:
+        raise NoColumns("no numeric column")
+    limits = fence_limits({"": df}, columns, multiplier, approx)
+    known = [f for f in fields if ("", f.name) in limits]
+    cells = ", ".join(
+        f"named_struct('column', {literal(f.name)}, 'value', {number(f)}, "
+        f"'lower_fence', {literal(limits['', f.name]['lower_fence'])}, "
+        f"'upper_fence', {literal(limits['', f.name]['upper_fence'])}, "
+        f"'is_outlier', {outside(f, limits['', f.name])})" for f in known)
+    if not known:
+        return df.selectExpr(quoted(key), *[f"cast(NULL AS {t}) AS `{c}`" for c, t in POINT_COLUMNS]).where("false")
+    points = f"array({cells})"
+    if only_outliers:
+        points = f"filter({points}, p -> p.is_outlier)"
+    return df.selectExpr(quoted(key), f"inline({points})")
 
 
 @any_table("double")
 def box_plot(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5,
              approx: bool = False) -> DataFrame:
     """Minimum, quartiles, maximum, fences and number of outlying points."""
-    limits = fences(df, columns, multiplier, approx).drop("n", "iqr")
-    outside = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
-    return (_against_fences(df, limits, columns).where(F.col("value").isNotNull())
-            .groupBy("column", "q1", "median", "q3", "lower_fence", "upper_fence")
-            .agg(F.min("value").alias("min"), F.max("value").alias("max"),
-                 F.count_if(outside).alias("outlier_count")))
-
-
-def _correlations_by_pair(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """Correlations from one scan: each row gives its values pair by pair into one
-    aggregate of as many groups as pairs, combined before the shuffle."""
-    names = literal([f.name for f in fields])
-    sums = (df.selectExpr(f"array({', '.join(number(f) for f in fields)}) AS v")
-            .selectExpr("v", f"explode(sequence(0, {len(fields) - 1})) AS a")
-            .selectExpr("v", "a", f"explode(sequence(a, {len(fields) - 1})) AS b")
-            .selectExpr("a", "b", "get(v, a) AS x", "get(v, b) AS y")
-            .groupBy("a", "b").agg(F.expr("regr_r2(x, y) AS r"), F.expr("covar_pop(x, y) AS s")))
-    # `corr` fails on a constant column; r squared with the sign of the covariance does not
-    known = sums.selectExpr("a", "b", "CASE WHEN a = b THEN if(s > 0, double(1), NULL) "
-                            "WHEN s = 0 AND r = 1 THEN NULL ELSE signum(s) * sqrt(r) END AS c")
-    one, other = (f"named_struct('column_a', get({names}, {x}), 'column_b', get({names}, {y}), "
-                  "'correlation', c)" for x, y in ("ab", "ba"))
-    return known.selectExpr(f"inline(if(a = b, array({one}), array({one}, {other})))")
+    fields = numeric_fields(df, columns)
+    if not fields:
+        raise NoColumns("no numeric column")
+    limits = {r["column"]: r for r in fences(df, columns, multiplier, approx).collect()}
+    parts = []
+    for chunk in chunks([f for f in fields if f.name in limits]):
+        wide = measure(df, {name: e for i, f in enumerate(chunk) for name, e in (
+            (f"lo{i}", f"min({number(f)})"), (f"hi{i}", f"max({number(f)})"),
+            (f"c{i}", f"count_if({outside(f, limits[f.name])})"))})
+        parts.append(long_rows(wide, [{
+            "column": literal(f.name),
+            **{c: literal(limits[f.name][c]) for c in ("q1", "median", "q3", "lower_fence", "upper_fence")},
+            "min": f"lo{i}", "max": f"hi{i}", "outlier_count": f"c{i}"} for i, f in enumerate(chunk)]))
+    return union_all(parts) if parts else df.sparkSession.createDataFrame([], BOX_PLOT_SCHEMA)
+
+
+def _co_moments(df: DataFrame, left: Sequence[T.StructField], right: Sequence[T.StructField]) -> DataFrame:
+    """(a, b, n, mean_a, mean_b, m_a, m_b, c): per task and pair of a left and a right
+    column, over the rows where both are present, their number, means, sums of squares
+    about the means and sum of products. Four products of a matrix of masks and of values
+    per batch of rows; a task passes on a row per pair, not per row and pair."""
+    names = [f.name for f in left] + [f.name for f in right if f not in left]
+    fields = {f.name: f for f in [*left, *right]}
+    at = {c: i for i, c in enumerate(names)}
+    rows_, cols = [at[f.name] for f in left], [at[f.name] for f in right]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, sums = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            mask = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            if centre is None:  # any value near the mean serves: sums are moved to the means below
+                with np.errstate(invalid="ignore"):
+                    centre = x.sum(axis=0) / np.maximum(mask.sum(axis=0), 1)
+                    centre = np.where(np.isfinite(centre), centre, 0.0)
+                sums = np.zeros((6, len(rows_), len(cols)))
+            with np.errstate(invalid="ignore"):
+                z = np.where(mask, x - centre, 0.0)
+                m = mask.astype(np.float64)
+                za, zb, ma, mb = z[:, rows_], z[:, cols], m[:, rows_], m[:, cols]
+                sums += [ma.T @ mb, za.T @ mb, ma.T @ zb, np.square(za).T @ mb, ma.T @ np.square(zb), za.T @ zb]
+        if centre is None:
+            return
+        n, sa, sb, qa, qb, ab = sums
+        with np.errstate(invalid="ignore"):
+            some = np.maximum(n, 1)
+            found = [n, sa / some + centre[rows_][:, None], sb / some + centre[cols][None, :],
+                     qa - sa * sa / some, qb - sb * sb / some, ab - sa * sb / some]
+        a, b = np.meshgrid(np.arange(len(rows_)), np.arange(len(cols)), indexing="ij")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a.ravel(), pa.int32()), pa.array(b.ravel(), pa.int32()),
+             pa.array(found[0].ravel().astype(np.int64)), *[pa.array(v.ravel()) for v in found[1:]]],
+            names=["a", "b", "n", "mean_a", "mean_b", "m_a", "m_b", "c"])
+
+    values = df.selectExpr(*[f"{number(fields[c])} AS {quoted(f'v{i}')}" for i, c in enumerate(names)])
+    return values.mapInArrow(run, "a int, b int, n long, mean_a double, mean_b double, m_a double, m_b double, c double")
 
 
 @any_table("double")
@@ -264,33 +344,48 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """Pearson correlation of every numeric pair, over rows where both are present.
 
     Long form with both orders of a pair and the diagonal; the result grows with the
-    square of the columns. Few columns take a scan per PAIRS_PER_AGGREGATE pairs, more
-    than CORRELATION_SCANS of those one scan in all.
+    square of the columns. Each task reduces its rows to co-moments of square tiles of
+    columns (one scan up to CORRELATION_TILE columns); those of all tasks are merged about
+    the common mean, so large values with a small spread lose no digits.
     """
     fields = numeric_fields(df, columns)
-    pairs = list(combinations(range(len(fields)), 2))
-    value = [number(f) for f in fields]
-    if len(pairs) > PAIRS_PER_AGGREGATE * CORRELATION_SCANS:
-        return _correlations_by_pair(df, fields)
+    tiles = list(chunks(fields, CORRELATION_TILE))
     parts = []
-    for chunk in chunks(pairs, PAIRS_PER_AGGREGATE):
-        # `corr` fails on a constant column; r squared with the sign of the covariance does not
-        wide = measure(df, {
-            name: f"{fn}({value[a]}, {value[b]})" for a, b in chunk
-            for name, fn in ((f"r{a}_{b}", "regr_r2"), (f"s{a}_{b}", "covar_pop"))})
-        parts.append(long_rows(wide, [{
-            "column_a": literal(fields[x].name), "column_b": literal(fields[y].name),
-            "correlation": f"if(s{a}_{b} = 0 AND r{a}_{b} = 1, NULL, "
-                           f"signum(s{a}_{b}) * sqrt(r{a}_{b}))"}
-            for a, b in chunk for x, y in ((a, b), (b, a))]))
-    for chunk in chunks(list(range(len(fields)))):
-        wide = measure(df, {f"v{i}": f"var_samp({value[i]})" for i in chunk})
-        parts.append(long_rows(wide, [{
-            "column_a": literal(fields[i].name), "column_b": literal(fields[i].name),
-            "correlation": f"if(v{i} > 0, double(1), NULL)"} for i in chunk]))
+    for i, left in enumerate(tiles):
+        for right in tiles[i:]:
+            moments_ = _co_moments(df, left, right)
+            pair = Window.partitionBy("a", "b")
+            n = F.sum("n").over(pair)
+            merged = (moments_.where("n > 0")
+                      .withColumn("off_a", F.col("mean_a") - F.sum(F.col("n") * F.col("mean_a")).over(pair) / n)
+                      .withColumn("off_b", F.col("mean_b") - F.sum(F.col("n") * F.col("mean_b")).over(pair) / n)
+                      .groupBy("a", "b").agg(
+                          F.sum(F.expr("m_a + n * off_a * off_a")).alias("m_a"),
+                          F.sum(F.expr("m_b + n * off_b * off_b")).alias("m_b"),
+                          F.sum(F.expr("c + n * off_a * off_b")).alias("c"), F.sum("n").alias("n")))
+            names = [literal([f.name for f in side]) for side in (left, right)]
+            same = F.lit(left == right)
+            r = F.when(same & (F.col("a") == F.col("b")), F.when(F.col("m_a") > 0, 1.0)).when(
+                (F.col("m_a") > 0) & (F.col("m_b") > 0),
+                F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c") / F.sqrt("m_a") / F.sqrt("m_b"))))
+            grid = _pairs(df, names, len(left), len(right)).join(F.broadcast(
+                merged.select("a", "b", r.alias("correlation"))), ["a", "b"], "left")
+            known = grid.select("column_a", "column_b", "correlation")
+            parts.append(known)
+            if left != right:
+                parts.append(known.select(F.col("column_b").alias("column_a"),
+                                          F.col("column_a").alias("column_b"), "correlation"))
     return union_all(parts)
 
 
+def _pairs(df: DataFrame, names: Sequence[str], n_left: int, n_right: int) -> DataFrame:
+    """(a, b, column_a, column_b) of a tile: pairs without common rows have no moments."""
+    return df.sparkSession.sql(
+        f"SELECT a, b, get({names[0]}, a) AS column_a, get({names[1]}, b) AS column_b FROM "
+        f"(SELECT explode(sequence(0, {n_left - 1})) AS a) CROSS JOIN "
+        f"(SELECT explode(sequence(0, {n_right - 1})) AS b)")
+
+
 def cardinality_bars(profile: DataFrame, line_pct: float = 5.0) -> DataFrame:
     """Cardinality share per column beside the enumeration line."""
     return profile.where(F.col("distinct_count").isNotNull()).select(

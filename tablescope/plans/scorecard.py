@@ -10,6 +10,7 @@ from ..functions.exprs import (cast, chunks, literal, measure, present, quoted,
                                union_all, whole_days)
 from ..operators import profile as prof, quality as q
 from ..operators.relationships import ForeignKey, fk_integrity, table_integrity
+from ..operators.stats import fence_limits, outside
 from ..policy import DEFAULT_POLICY, QualityPolicy
 
 Tables = Mapping[str, DataFrame]
@@ -29,13 +30,15 @@ def _integrity(counts: DataFrame, report: DataFrame | None) -> DataFrame:
         "table", "fk_integrity", F.coalesce("fk_breaches", F.lit(0)).alias("fk_breaches"))
 
 
-def table_measures(tables: Tables, as_of: q.AsOf, policy: QualityPolicy = DEFAULT_POLICY
-                   ) -> DataFrame:
+def table_measures(tables: Tables, as_of: q.AsOf, policy: QualityPolicy = DEFAULT_POLICY,
+                   limits: Mapping[tuple[str, str], Mapping[str, float]] | None = None) -> DataFrame:
     """Everything a scorecard needs that one aggregate over the table can give.
 
     One scan per table yields (table, row_count, completeness, freshness,
-    domain_violations, consistency_violations).
+    domain_violations, consistency_violations, outlier_violations). `limits` are the
+    fences of `stats.fence_limits`; without them no outlier is counted.
     """
+    limits = limits or {}
     parts = []
     for name, df in tables.items():
         dates = {f.name for f in temporal_fields(df)}
@@ -53,7 +56,9 @@ def table_measures(tables: Tables, as_of: q.AsOf, policy: QualityPolicy = DEFAUL
                      if c in mine}
             checks = {f"k{i}": f"count_if({test})" for i, (c, _, test) in enumerate(logic)
                       if c in mine}
-            wide = measure(df, {**aggs, **ages, **rules, **checks})
+            beyond = {f"o{i}": f"count_if({outside(f, limits[name, f.name])})"
+                      for i, f in enumerate(chunk) if (name, f.name) in limits}
+            wide = measure(df, {**aggs, **ages, **rules, **checks, **beyond})
             score = [q.linear_decay(whole_days(d, q.as_of_for(as_of, name)), policy)
                      for d in ages]
             rows.append(wide.selectExpr(
@@ -63,7 +68,9 @@ def table_measures(tables: Tables, as_of: q.AsOf, policy: QualityPolicy = DEFAUL
                 _plus(f"coalesce({e}, double(0))" for e in score) + " AS fresh",
                 _plus(f"int({d} IS NOT NULL)" for d in ages) + " AS dated",
                 _plus(f"int({r} > 0)" for r in rules) + " AS domain_violations",
-                _plus(f"int({k} > 0)" for k in checks) + " AS consistency_violations"))
+                _plus(f"int({k} > 0)" for k in checks) + " AS consistency_violations",
+                _plus(f"int(n > 0 AND double({o}) * 100 / n > {literal(float(policy.outlier_warning_pct))})"
+                      for o in beyond) + " AS outlier_violations"))
         one = union_all(rows)
         if len(rows) > 1:
             one = one.groupBy().agg(F.max("row_count").alias("row_count"), *[
@@ -73,7 +80,8 @@ def table_measures(tables: Tables, as_of: q.AsOf, policy: QualityPolicy = DEFAUL
             f"if(row_count > 0, 100 - null_pct / {len(df.columns)}, double(0)) AS completeness",
             "if(dated > 0, fresh / dated, double(100)) AS freshness",
             "bigint(domain_violations) AS domain_violations",
-            "bigint(consistency_violations) AS consistency_violations"))
+            "bigint(consistency_violations) AS consistency_violations",
+            "bigint(outlier_violations) AS outlier_violations"))
     return union_all(parts)
 
 
@@ -89,10 +97,8 @@ def scorecard6(tables: Tables, keys: Mapping[str, Sequence[str]], fks: Sequence[
     `keys` names each table's primary key (a tuple is tested as a whole). `approx` swaps
     the exact quartiles behind the outlier test for sketches.
     """
-    card = table_measures(tables, as_of, policy)
-    outliers = q.outlier_violations(tables, policy, approx).groupBy("table").agg(
-        F.count(F.lit(1)).alias("outlier_violations"))
-    card = card.join(outliers, "table", "left")
+    card = table_measures(tables, as_of, policy, fence_limits(
+        tables, None, policy.iqr_multiplier, approx))
     if keys:
         broken = q.key_violations(tables, keys).groupBy("table").agg(
             F.count(F.lit(1)).alias("broken_keys"))
@@ -117,7 +123,7 @@ def scorecard6(tables: Tables, keys: Mapping[str, Sequence[str]], fks: Sequence[
         "if(row_count = 0 OR broken_keys > 0, double(0), double(100)) AS uniqueness",
         "coalesce(integrity, double(100)) AS fk_integrity",
         "coalesce(breaches, 0) AS fk_breaches",
-        "domain_violations + coalesce(outlier_violations, 0) AS validity_violations",
+        "domain_violations + outlier_violations AS validity_violations",
         "consistency_violations")
         .withColumns({
             "validity": F.expr(penalty("validity_violations", policy.validity_penalty)),
