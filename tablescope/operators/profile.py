@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.exprs import (DIGEST_BYTES, Series, cast, chunks, col, digest, family, literal,
                                long_rows, measure, melt, melt_series, named, pct, present, quoted,
@@ -196,6 +198,7 @@ HEAD_BYTES = 16
 #: Winning digests that are taken to the driver; more than that are joined by a shuffle.
 COLLECTED_WINNERS = 10_000
 WINNER_SCHEMA = "which string, column string, head binary, digest binary, n bigint"
+RANKED_SCHEMA = "which string, column string, rank int, value string, n bigint"
 
 
 def text_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -219,6 +222,26 @@ def _fetched(df: DataFrame, columns: Sequence[str], wanted: DataFrame) -> DataFr
         F.collect_set("value")[0].alias("text"))
 
 
+def _local(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A relation of rows that the driver holds."""
+    fields = to_arrow_schema(T._parse_datatype_string(schema))
+    columns = list(zip(*rows)) or [[] for _ in fields]
+    return spark.createDataFrame(pa.Table.from_arrays(
+        [pa.array(list(c), f.type) for c, f in zip(columns, fields)], schema=fields))
+
+
+def _first_ranks(winners: Sequence, k: int) -> list[tuple]:
+    """Rows of RANKED_SCHEMA from winners whose digests are their values."""
+    groups: dict[tuple[str, str], list] = {}
+    for r in winners:
+        digest_ = None if r["digest"] is None else bytes(r["digest"])
+        groups.setdefault((r["which"], r["column"]), []).append(
+            (r["n"] if r["which"] == "least" else -r["n"], digest_ is not None, digest_ or b"", r["n"]))
+    return [(which, column, rank, value.decode() if some else None, n)
+            for (which, column), found in groups.items()
+            for rank, (_, some, value, n) in enumerate(sorted(found)[:k], start=1)]
+
+
 def text_winners(df: DataFrame, columns: Sequence[str], k: int = 1, which: Sequence[str] = ("most",),
                  include_null: bool = True, distinct: bool = False) -> DataFrame:
     """(which, column, rank, value, n): the k most (`most`) or least (`least`) frequent
@@ -244,25 +267,26 @@ def text_winners(df: DataFrame, columns: Sequence[str], k: int = 1, which: Seque
             F.lit(name).alias("which"), "column", "head", "digest", "n"))
     if distinct:
         none = F.lit(None).cast("binary")
-        parts.append(counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).select(
+        # asks for n, so that all parts read one exchange
+        parts.append(counts.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("n")).select(
             F.lit("distinct").alias("which"), "column", none.alias("head"), none.alias("digest"), "n"))
     winners = union_all(parts)
-    spark = df.sparkSession
     known = winners.limit(COLLECTED_WINNERS + 1).collect()
-    few = len(known) <= COLLECTED_WINNERS
-    winners = spark.createDataFrame(known, WINNER_SCHEMA) if few else cut_lineage(winners)
-    if few:
-        wanted = {(r["column"], bytes(r["digest"])) for r in known
-                  if r["digest"] is not None and len(r["digest"]) == DIGEST_BYTES}
-        bodies = _fetched(df, sorted({c for c, _ in wanted}), F.broadcast(spark.createDataFrame(
-            sorted(wanted), "column string, digest binary"))) if wanted else None
-    else:
+    if len(known) > COLLECTED_WINNERS:
+        winners = cut_lineage(winners)
         bodies = _fetched(df, columns, winners.where(F.octet_length("digest") == DIGEST_BYTES)
                           .select("column", "digest").distinct())
-    value = F.when(F.octet_length("digest") < DIGEST_BYTES, F.col("digest").cast("string"))
-    if bodies is not None:
-        winners = winners.join(bodies, ["column", "digest"], "left")
-        value = F.coalesce(value, F.col("text"))
+    else:
+        long = sorted({(r["column"], bytes(r["digest"])) for r in known
+                       if r["digest"] is not None and len(r["digest"]) == DIGEST_BYTES})
+        if not long:
+            return _local(df.sparkSession, _first_ranks(known, k), RANKED_SCHEMA)
+        winners = _local(df.sparkSession, known, WINNER_SCHEMA)
+        bodies = _fetched(df, sorted({c for c, _ in long}), F.broadcast(
+            _local(df.sparkSession, long, "column string, digest binary")))
+    winners = winners.join(bodies, ["column", "digest"], "left")
+    value = F.coalesce(F.when(F.octet_length("digest") < DIGEST_BYTES, F.col("digest").cast("string")),
+                       F.col("text"))
     nth = Window.partitionBy("which", "column").orderBy(
         F.when(F.col("which") == "least", F.col("n")).otherwise(-F.col("n")),
         F.col("value").asc_nulls_first())
