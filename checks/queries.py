@@ -611,6 +611,24 @@ def _(s):
         "total_fk_values", "orphaned_count")
 
 
+@query("fk_integrity_decimal38", """WITH c AS (SELECT o_custkey + 0.5 * (o_orderkey % 3) AS a, o_custkey AS b FROM orders)
+    SELECT 'a' AS child_column, 'wide' AS parent_column, count(*) AS total_fk_values,
+      count_if(a NOT IN (SELECT c_custkey FROM customer)) AS orphaned_count FROM c
+    UNION ALL SELECT 'b', 'wide', count(*), count_if(b NOT IN (SELECT c_custkey FROM customer)) FROM c
+    UNION ALL SELECT 'b', 'fine', count(*), count_if(b NOT IN (SELECT c_custkey FROM customer)) FROM c
+    UNION ALL SELECT 'a', 'd', count(*), count_if(a NOT IN (SELECT c_custkey FROM customer)) FROM c""")
+def _(s):
+    """Types that no decimal of 38 digits holds together, and decimals against doubles."""
+    tables = {"c": s.t("orders").selectExpr(
+        "cast(o_custkey + cast(0.5 AS decimal(2,1)) * (o_orderkey % 3) AS decimal(38,10)) AS a",
+        "cast(o_custkey AS decimal(38,0)) AS b"),
+        "p": s.t("customer").selectExpr(
+            "cast(c_custkey AS decimal(38,0)) AS wide", "cast(c_custkey AS decimal(38,30)) AS fine",
+            "cast(c_custkey AS double) AS d")}
+    fks = [rel.ForeignKey("c", a, "p", b) for a, b in (("a", "wide"), ("b", "wide"), ("b", "fine"), ("a", "d"))]
+    return rel.fk_integrity(tables, fks).select("child_column", "parent_column", "total_fk_values", "orphaned_count")
+
+
 @query("fk_integrity_by_table", sql.with_views(
     'SELECT "table", coalesce(avg(integrity_pct), 100.0) AS fk_integrity FROM (SELECT DISTINCT '
     '"table" FROM nulls) n LEFT JOIN fkstats f ON f.child_table = n."table" GROUP BY "table"',
@@ -639,7 +657,7 @@ def _(s):
 
 
 @query("validate_fks_failed", sql.with_views(
-    f"SELECT {KEYS4}, 'Orphaned rows found: ' || orphaned_count AS error FROM fkstats "
+    f"SELECT {KEYS4}, orphaned_count || ' rows without a parent' AS error FROM fkstats "
     "WHERE total_fk_values > 0 AND orphaned_count > 0", _proposed_stats))
 def _(s):
     return rel.failed_fks(rel.check_fks(rel.relationship_stats(s.tables(), _PROPOSED)))
@@ -696,7 +714,32 @@ _sim = ("1.0 - levenshtein(lower(child_column), lower(parent_column))::double /
     ["similarity", "coverage_pct"])
 def _(s):
     tables = s.tables()
-    return disc.discover_fks(tables, disc.candidate_keys(prof.column_profile(tables)))
+    return disc.discover_fks(tables)
+
+
+_MIXED = {"a": "SELECT DISTINCT o_custkey::varchar AS v FROM orders WHERE o_custkey IS NOT NULL",
+          "b": "SELECT DISTINCT c_custkey::varchar AS v FROM customer",
+          "w": "SELECT DISTINCT l_orderkey::varchar || repeat('0', 20) AS v FROM lineitem",
+          "f": "SELECT DISTINCT rtrim(rtrim(l_tax::decimal(38,18)::varchar, '0'), '.') AS v FROM lineitem",
+          "h": "SELECT DISTINCT rtrim(rtrim((c_custkey::decimal(18,4) / 2)::decimal(20,6)::varchar, '0'), '.') AS v FROM customer"}
+
+
+@query("discover_fks_mixed_types", "WITH " + ", ".join(f"{t} AS ({e})" for t, e in _MIXED.items())
+       + ", pairs AS (" + sql.union([
+           f"SELECT '{x}' AS child_table, '{y}' AS parent_table, (SELECT count(*) FROM {x}) AS child_distinct, "
+           f"(SELECT count(*) FROM {x} WHERE v IN (SELECT v FROM {y})) AS common"
+           for x in _MIXED for y in ("b", "h") if x != y])
+       + ") SELECT child_table, 'k' AS child_column, parent_table, 'k' AS parent_column, child_distinct "
+         "FROM pairs WHERE common = child_distinct")
+def _(s):
+    """Keys of several exact types; w and f need more than 38 digits between them."""
+    lines, customers = s.t("lineitem"), s.t("customer")
+    tables = {"a": s.t("orders").selectExpr("cast(o_custkey AS decimal(12,2)) AS k"),
+              "b": customers.selectExpr("c_custkey AS k"),
+              "w": lines.selectExpr("cast(concat(l_orderkey, repeat('0', 20)) AS decimal(38,0)) AS k"),
+              "f": lines.selectExpr("cast(l_tax AS decimal(38,18)) AS k"),
+              "h": customers.selectExpr("cast(cast(c_custkey AS decimal(18,4)) / 2 AS decimal(20,6)) AS k")}
+    return disc.discover_fks(tables).select(*rel.FK_COLUMNS, "child_distinct")
 
 
 @query("candidate_keys", sql.with_views(

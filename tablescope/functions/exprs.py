@@ -123,6 +123,26 @@ def exact_type(types: Iterable[T.DataType]) -> str | None:
     return f"decimal({digits + scale},{scale})" if digits + scale <= 38 else None
 
 
+def plain_number(field: T.StructField) -> str:
+    """SQL text of the normal form of an integral or decimal value: its sign and digits,
+    without an exponent and without zeros at the end of the fraction, so that equal values
+    of any two such types have equal text."""
+    value = quoted(field.name)
+    if not isinstance(field.dataType, T.DecimalType) or field.dataType.scale <= 0:
+        return f"cast({value} AS string)"
+    scale = field.dataType.scale
+    return f"trim(TRAILING '.' FROM trim(TRAILING '0' FROM replace(format_number({value}, {scale}), ',', '')))"
+
+
+#: Whole numbers within this are exact as bigint.
+WHOLE_LIMIT = "9.2e18"
+
+
+def is_whole(value: str) -> str:
+    """SQL text of the test whether a number has no fraction and fits bigint."""
+    return f"({value} = floor({value}) AND abs({value}) < {WHOLE_LIMIT})"
+
+
 def any_table(kind: str):
     """For operators on the columns of one kind: a table without such columns gives an
     empty relation of the usual schema, taken from an empty table with a column of SQL

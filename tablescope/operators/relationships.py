@@ -13,8 +13,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.exprs import (FAMILY_SQL_TYPE, exact_type, family, melt, pct, present, small_relation,
-                               union_all)
+from ..functions.exprs import (FAMILY_SQL_TYPE, exact_type, family, is_whole, melt, pct, plain_number, present,
+                               small_relation, union_all)
 from ..policy import FK_BREACH_PCT
 
 Tables = Mapping[str, DataFrame]
@@ -53,21 +53,24 @@ def _field(df: DataFrame, name: str):
     return next(f for f in df.schema.fields if f.name == name)
 
 
-#: Integers against doubles: both as the text of the integer. A double that is none
-#: keeps its own text, which no integer has; casting the integer would merge neighbours
-#: beyond 2^53.
+#: Integers and decimals against doubles: whole numbers as the text of the integer, so
+#: neighbours beyond 2^53 stay apart; fractions, and what no bigint holds, as doubles.
 WHOLE = "whole"
+#: Integers and decimals that no type of 38 digits holds together: by their normal form.
+EXACT = "exact"
 
 
 def key_value(field: T.StructField, key_type: str) -> str:
     """SQL text of a key's value in the type in which it is compared."""
     value = present(field)
+    if key_type == EXACT:
+        return plain_number(field)
     if key_type != WHOLE:
         return f"cast({value} AS {key_type})"
     if isinstance(field.dataType, T.IntegralType):
         return f"cast({value} AS string)"
-    return (f"if({value} = floor({value}) AND abs({value}) < 9.2e18, "
-            f"cast(cast({value} AS bigint) AS string), cast({value} AS string))")
+    return (f"if({is_whole(value)}, cast(cast({value} AS bigint) AS string), "
+            f"cast(cast({value} AS double) AS string))")
 
 
 def _key_type(tables: Tables, fk: ForeignKey) -> str:
@@ -78,13 +81,12 @@ def _key_type(tables: Tables, fk: ForeignKey) -> str:
         raise ValueError(f"{fk.label}: nested columns cannot be keys")
     types = [_field(tables[t], c).dataType for t, c in (fk[:2], fk[2:4])]
     if all(isinstance(x, (T.IntegralType, T.DecimalType)) for x in types):
-        return exact_type(types) or "string"
+        return exact_type(types) or EXACT
     if child == parent:
         return FAMILY_SQL_TYPE[child]
-    if {child, parent} == {"integral", "fractional"}:
+    if "fractional" in (child, parent) and any(
+            isinstance(x, (T.IntegralType, T.DecimalType)) for x in types):
         return WHOLE
-    if "fractional" in (child, parent) and any(isinstance(x, T.DecimalType) for x in types):
-        return "double"
     if {child, parent} == {"date", "timestamp"}:
         return "timestamp_ntz"
     return "string"
@@ -246,5 +248,5 @@ def valid_fks(checked: DataFrame) -> DataFrame:
 def failed_fks(checked: DataFrame) -> DataFrame:
     """The refuted proposals with the reason."""
     return checked.where(~F.col("valid")).select(
-        *FK_COLUMNS, F.concat(F.lit("Orphaned rows found: "),
-                              F.col("orphaned_count").cast("string")).alias("error"))
+        *FK_COLUMNS, F.concat(F.col("orphaned_count").cast("string"),
+                              F.lit(" rows without a parent")).alias("error"))

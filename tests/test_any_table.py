@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescope import ForeignKey
+from tablescope.functions import exprs
 from tablescope.operators import discovery, infer, quality, relationships as rel, stats
 
 KINDS = {"numbers": "SELECT 1 AS a, 2.5D AS b", "texts": "SELECT 'x' AS t",
@@ -35,7 +36,9 @@ def test_no_keys(spark):
 
 @pytest.mark.parametrize("child, parent, orphans", [
     ("decimal(20,2)", "bigint", 0), ("bigint", "decimal(20,2)", 0), ("decimal(10,3)", "decimal(30,1)", 0),
-    ("decimal(20,2)", "double", 0), ("int", "double", 0), ("double", "bigint", 0)])
+    ("decimal(20,2)", "double", 0), ("int", "double", 0), ("double", "bigint", 0),
+    ("decimal(38,0)", "decimal(38,10)", 0), ("decimal(38,18)", "bigint", 0), ("decimal(38,36)", "decimal(38,0)", 0),
+    ("double", "decimal(38,18)", 0)])
 def test_exact_keys_meet(spark, child, parent, orphans):
     tables = {"c": spark.range(5).selectExpr(f"cast(id AS {child}) AS k"),
               "p": spark.range(5).selectExpr(f"cast(id AS {parent}) AS k")}
@@ -49,6 +52,39 @@ def test_large_integers_stay_apart(spark):
     assert rel.fk_integrity(tables, [ForeignKey("c", "k", "p", "k")]).first()["orphaned_count"] == 1
 
 
+def test_large_decimals_stay_apart_from_doubles(spark):
+    tables = {"c": spark.sql("SELECT 9007199254740993BD AS k UNION ALL SELECT 0.1BD"),
+              "p": spark.sql("SELECT 9007199254740992D AS k UNION ALL SELECT 0.1D")}
+    assert rel.fk_integrity(tables, [ForeignKey("c", "k", "p", "k")]).first()["orphaned_count"] == 1
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_normal_form_of_exact_numbers(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.sql("SELECT cast(x AS decimal(38,18)) AS d FROM VALUES ('0'), ('-0.5'), ('1e-18'), ('1200'), "
+                       "('-12345678901234567890.10'), ('99999999999999999999.999999999999999999') AS v(x)")
+        text = [r[0] for r in df.selectExpr(exprs.plain_number(df.schema[0])).collect()]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert text == ["0", "-0.5", "0.000000000000000001", "1200", "-12345678901234567890.1",
+                    "99999999999999999999.999999999999999999"]
+
+
+def test_an_unrelated_column_changes_no_inclusion(spark):
+    tables = {"c": spark.range(5).selectExpr("cast(id AS decimal(10,0)) AS k"),
+              "p": spark.range(9).selectExpr("id AS k"),
+              "q": spark.range(0, 18, 2).selectExpr("cast(id / 2 AS decimal(20,4)) AS k")}
+    pairs = lambda t: {(r["child_table"], r["parent_table"]) for r in discovery.inclusions(t).collect()}
+    alone = pairs(tables)
+    assert alone == {("c", "p"), ("c", "q"), ("p", "q"), ("q", "p")}
+    wide = spark.sql("SELECT 7BD * cast(1e30 AS decimal(38,0)) AS a, cast(0.25 AS decimal(38,18)) AS b")
+    assert pairs({**tables, "w": wide}) == alone
+    found = {(r["child_table"], r["parent_table"]) for r in discovery.discover_fks({**tables, "w": wide}).collect()}
+    assert found == alone
+
+
 def test_inclusions_across_exact_types(spark):
     tables = {"c": spark.range(5).selectExpr("cast(id AS decimal(20,2)) AS k"),
               "p": spark.range(9).selectExpr("id AS k")}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablescope.operators import profile as prof, stats
+from tablescope.operators import discovery as disc, profile as prof, stats
 from tablescope.plans import scorecard as cards
 
 from .conftest import rows
@@ -128,3 +128,14 @@ def test_correlation_of_tiles_and_spread_around_large_values(spark, monkeypatch)
     assert len(found) == 36 and found["a", "b"] == pytest.approx(1.0, abs=1e-9) == found["b", "a"]
     assert found["flat", "flat"] is None and found["flat", "a"] is None and found["even", "odd"] is None
     assert found["once", "once"] is None and found["odd", "odd"] == 1.0
+
+
+def test_discovery_shuffles_values_once(spark):
+    tables = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("lineitem", "orders", "part")}
+    found = disc.discover_fks(tables)
+    found.collect()
+    scans = [n for n in str(found._jdf.queryExecution().executedPlan().toString()).split("== Initial Plan ==")[0].split("\n")
+             if "FileScan parquet" in n and "lineitem.parquet" in n]
+    # one for each of integers, texts and dates, one for the counts
+    assert 1 <= len(scans) <= 5
+    assert rows(found) == rows(disc.discover_fks(tables, disc.candidate_keys(prof.column_profile(tables))))
