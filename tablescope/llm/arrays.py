@@ -43,7 +43,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of them."""
     if len(_powers.get("up", ())) < n:
-        n = max(n, 2 * BLOCK_BYTES)
+        n = max(2 * n, 1 << 16)
         inverse = pow(int(_BASE), -1, 1 << 64)
         for name, base in (("up", int(_BASE)), ("down", inverse)):
             steps = np.full(n, base, dtype=np.uint64)
@@ -115,9 +115,9 @@ def block_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
     return np.concatenate(sets) if sets else words[:0], np.cumsum(sizes)
 
 
-def word_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+def word_sets(column: pa.Array, k: int, size: int = BLOCK_BYTES) -> Iterator[np.ndarray]:
     """The sorted set of word-shingle hashes of each row of a string column."""
-    for _, _, data, bounds in blocks(column):
+    for _, _, data, bounds in blocks(column, size):
         sets, at = block_sets(data, bounds, k)
         for low, high in zip(at[:-1], at[1:]):
             yield sets[low:high]

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .arrays import mix
 from .common import connected, materialise, shortened
@@ -26,17 +26,16 @@ SKETCH = 16
 def open_buckets(postings: DataFrame) -> DataFrame:
     """Postings (key, id) of the keys with two ids or more, written to the shared folder.
 
-    Of keys with the same members one is kept (compared by number, least member, xor
-    and sum of their hashes). The postings are shuffled once, for counting and joining.
+    The postings are shuffled and sorted once, and one pass counts each key beside its
+    postings; only those of shared keys, a small part, go on. Of keys with the same
+    members one is kept (compared by number, least member, xor and sum of their hashes).
     """
-    dealt = postings.repartition("key")
-    keys = (dealt.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("least"),
-        F.bit_xor(F.xxhash64("id")).alias("x"),
+    dealt = postings.repartition("key").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    shared = materialise(dealt.filter("n > 1"), "shared-keys")
+    one = (shared.groupBy("key", "n").agg(
+        F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"),
         F.try_sum(F.shiftrightunsigned(F.xxhash64(F.lit(7), "id"), 28)).alias("y"))
-        .filter("n > 1").select("key", F.struct("n", "least", "x", "y").alias("members")))
-    shared = materialise(dealt.join(keys, "key"), "shared-keys")
-    one = shared.groupBy("members").agg(F.min("key").alias("key")).select("key")
+        .groupBy("n", "least", "x", "y").agg(F.min("key").alias("key")).select("key"))
     return materialise(shared.select("key", "id").join(one, "key", "left_semi"), "buckets")
 
 

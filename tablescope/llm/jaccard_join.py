@@ -15,6 +15,8 @@ from .candidates import SKETCH_FIELDS, open_buckets, similar_links, sketch_batch
 from .common import bounded, materialise
 
 SHINGLE = 5
+#: Bytes of texts whose shingles are hashed at a time; the arrays of a block are 60 times that.
+TEXT_BYTES = 1 << 18
 #: Similarity as a fraction: intersection * DEN >= NUM * union.
 NUM, DEN = 4, 5
 #: Sets up to this size may be light; the cost decides.
@@ -131,7 +133,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     """(doc, text_key, n, hi, lo): size and 128-bit checksum of each row's shingle set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, bounds in blocks(batch.column("text")):
+            for first, last, data, bounds in blocks(batch.column("text"), TEXT_BYTES):
                 sets, at = block_sets(data, bounds, k)
                 sums = []
                 for seed in (11, 12):
@@ -151,7 +153,7 @@ def _keys(texts: DataFrame, k: int, light: int) -> DataFrame:
     """(id, key) of texts (id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, bounds in blocks(batch.column("text")):
+            for first, last, data, bounds in blocks(batch.column("text"), TEXT_BYTES):
                 sets, at = block_sets(data, bounds, k)
                 rows, keys = keys_of(sets, at, light)
                 yield pa.RecordBatch.from_arrays(
@@ -165,7 +167,7 @@ def _sketched(texts: DataFrame, k: int) -> DataFrame:
     """Sketches of texts (id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, bounds in blocks(batch.column("text")):
+            for first, last, data, bounds in blocks(batch.column("text"), TEXT_BYTES):
                 yield sketch_batch(batch.column("id").slice(first, last - first),
                                    *block_sets(data, bounds, k))
 
@@ -177,8 +179,8 @@ def _verified(pairs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for x, y in zip(word_sets(batch.column("text_a"), k),
-                            word_sets(batch.column("text_b"), k), strict=True):
+            for x, y in zip(word_sets(batch.column("text_a"), k, TEXT_BYTES),
+                            word_sets(batch.column("text_b"), k, TEXT_BYTES), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 kept.append(both * DEN >= NUM * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import mix
@@ -20,8 +20,16 @@ SHINGLE = 9
 NUM, DEN = 4, 5
 BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
-BLOCK_CHARS = 1 << 19
+#: Characters of lines that are hashed at a time.
+BLOCK_CHARS = 1 << 16
 EMPTY = np.uint32(0xFFFFFFFF)
+BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
+#: Lines that a task remembers so as not to hash their shingles again.
+SEEN_LINES = 1 << 17
+# What Spark's xxhash64 starts from, for one column and for a 7 before it.
+SEED_A, SEED_B = 42, 15582532517514291953
+#: White space as Python's isspace knows it, for a character class.
+SPACE = (r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def shingles(line: str, k: int = SHINGLE) -> set[str]:
@@ -51,9 +59,8 @@ def _run_hashes(chars: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def signatures(lines: list[str], k: int = SHINGLE) -> np.ndarray:
-    """A row of BINS values per line: one-permutation MinHash, empty bins filled from
-    full ones picked by hash (Shrivastava, "Optimal Densification")."""
+def _shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every run of k characters of every line, repeats included."""
     sizes = np.array([len(x) for x in lines], dtype=np.int64)
     pad = "\n" * (k - 1)
     chars = np.frombuffer(pad.join([*lines, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -63,7 +70,26 @@ def signatures(lines: list[str], k: int = SHINGLE) -> np.ndarray:
     n = np.maximum(1, sizes - k + 1)
     row = np.repeat(np.arange(len(lines)), n)
     at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
-    h = h[np.minimum(at, len(h) - 1)]
+    return row, h[np.minimum(at, len(h) - 1)]
+
+
+def _line_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted hashes of the distinct runs of each line."""
+    row, h = _shingle_hashes(lines)
+    ends = np.cumsum(np.bincount(row, minlength=len(lines))).tolist()
+    sets = []
+    for start, end in zip([0, *ends], ends):  # many short sorts are faster than one by two keys
+        one = np.sort(h[start:end])
+        new = np.ones(len(one), dtype=bool)
+        np.not_equal(one[1:], one[:-1], out=new[1:])
+        sets.append(one[new])
+    return sets
+
+
+def signatures(lines: list[str], k: int = SHINGLE) -> np.ndarray:
+    """A row of BINS values per line: one-permutation MinHash, empty bins filled from
+    full ones picked by hash (Shrivastava, "Optimal Densification")."""
+    row, h = _shingle_hashes(lines, k)
     out = np.full(len(lines) * BINS, EMPTY, dtype=np.uint32)
     bins = ((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
     np.minimum.at(out, row * BINS + bins.astype(np.int64), (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
@@ -92,11 +118,22 @@ def bands(lines: list[str]) -> np.ndarray:
     return h
 
 
+def _signed(hashes: list[int]) -> pa.Array:
+    return pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))
+
+
+def line_keys(line) -> tuple:
+    """The two 64-bit hashes of a line that stand for it, as `_lines` computes them."""
+    return F.xxhash64(line).alias("ka"), F.xxhash64(F.lit(7).cast("long"), line).alias("kb")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, text_key, pos, line_key, bands) of each line that is not blank."""
-    names = ["doc", "text_key", "pos", "line_key", "bands"]
+    """(doc, text_key, pos, ka, kb, b0, b1, ...) of each line that is not blank. Bands are
+    given the first time that a task meets a line, else null."""
+    names = ["doc", "text_key", "pos", "ka", "kb", *BAND_COLUMNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             docs_, keys, texts = batch.column("doc"), batch.column("text_key"), batch.column("text")
             held, owner, pos, chars = [], [], [], 0
@@ -108,23 +145,34 @@ def _lines(docs: DataFrame) -> DataFrame:
                         pos.append(j)
                         chars += len(line)
                     if chars >= BLOCK_CHARS:
-                        yield rows(docs_, keys, held, owner, pos)
+                        yield rows(docs_, keys, held, owner, pos, seen)
                         held, owner, pos, chars = [], [], [], 0
             if held:
-                yield rows(docs_, keys, held, owner, pos)
-
-    def rows(docs_, keys, held, owner, pos) -> pa.RecordBatch:
-        owner = pa.array(owner)
-        ends = pa.array(np.arange(0, len(held) * BANDS + 1, BANDS), pa.int32())
+                yield rows(docs_, keys, held, owner, pos, seen)
+
+    def rows(docs_, keys, held, owner, pos, seen) -> pa.RecordBatch:
+        owner, raw = pa.array(owner), [x.encode() for x in held]
+        ka = [xxhash.xxh64_intdigest(x, SEED_A) for x in raw]
+        kb = [xxhash.xxh64_intdigest(x, SEED_B) for x in raw]
+        fresh = []
+        for i, key in enumerate(zip(ka, kb)):
+            if key not in seen:
+                seen.add(key)
+                fresh.append(i)
+        if len(seen) > SEEN_LINES:
+            seen.clear()
+        # the number of the fresh line that a row is, null for the others
+        nth = np.full(len(held), -1)
+        nth[fresh] = np.arange(len(fresh))
+        nth = pa.array(nth, mask=nth < 0)
+        found = bands([held[i] for i in fresh]).view(np.int64) if fresh else np.zeros((0, BANDS), np.int64)
         return pa.RecordBatch.from_arrays(
-            [docs_.take(owner), keys.take(owner), pa.array(pos, pa.int32()),
-             pa.array([md5(x.encode()).digest() for x in held], pa.binary()),
-             pa.ListArray.from_arrays(ends, pa.array(bands(held).ravel().view(np.int64)))],
-            names=names)
+            [docs_.take(owner), keys.take(owner), pa.array(pos, pa.int32()), _signed(ka), _signed(kb),
+             *[pa.array(np.ascontiguousarray(c)).take(nth) for c in found.T]], names=names)
 
     return docs.select("doc", "text_key", "text").mapInArrow(
-        run, f"doc {docs.schema['doc'].dataType.simpleString()}, text_key long, pos int, "
-             "line_key binary, bands array<long>")
+        run, f"doc {docs.schema['doc'].dataType.simpleString()}, text_key long, pos int, ka long, kb long, "
+             + ", ".join(f"{c} long" for c in BAND_COLUMNS))
 
 
 def _sketched(texts: DataFrame) -> DataFrame:
@@ -133,27 +181,30 @@ def _sketched(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
-                sets = [_line_set(x.as_py()) for x in part.column("line")]
+                sets = _line_sets(part.column("line").to_pylist())
                 yield sketch_batch(part.column("id"), np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
 
     return texts.select("id", "line").mapInArrow(run, SKETCH_FIELDS)
 
 
-def _line_set(line: str) -> np.ndarray:
-    """Hashes of the distinct runs of a line."""
-    chars = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.unique(_run_hashes(chars, min(SHINGLE, len(chars))))
+def similar(left: list[str], right: list[str]) -> list[bool]:
+    """Whether the lines of each pair have similar enough sets of runs, compared by the
+    64-bit hashes of all their runs."""
+    kept = []
+    for x, y in zip(_line_sets(left), _line_sets(right), strict=True):
+        every = np.sort(np.concatenate([x, y]))
+        both = int(np.count_nonzero(every[1:] == every[:-1]))
+        kept.append(both * DEN >= NUM * (len(every) - both))
+    return kept
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                x, y = shingles(x.as_py()), shingles(y.as_py())
-                both = len(x & y)
-                kept.append(both * DEN >= NUM * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                kept = similar(part.column("text_a").to_pylist(), part.column("text_b").to_pylist())
+                yield part.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -169,13 +220,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ones at the threshold, 99 % share a band, more above it; what shares a band is compared
     on the lines themselves.
 
-    1. Each task emits per line an MD5 and the band keys; text stays where it is.
+    1. Each task emits per line two hashes and, once per line, the band keys; text stays
+       where it is.
     2. Equal lines are combined before they are shuffled, so a line that a third of all
        documents hold is one row per task.
     3. `candidates.similar_links` compares members of a bucket with a centre, then only
-       what no centre linked.
-    4. The places to remove join the documents, by id and a hash of the text.
+       what no centre linked. Lines are compared by 64-bit hashes of all their runs.
+    4. Of the lines that occur more than once, alone or by their component, the places to
+       remove join the documents, by id and a hash of the text.
 
+    n_lines counts lines with a character that is no white space (Unicode's).
     A null text stays null and has no lines. Rows that repeat id and text are one
     document: they keep the same lines. Null ids come first. Extra columns pass through,
     unless they are named n_lines or n_removed, which are replaced. An empty table gives
@@ -185,17 +239,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     lines = materialise(_lines(rows), "lines")
-    first = F.struct("doc", "text_key", "pos")
-    kinds = lines.groupBy("line_key").agg(
-        F.min(first).alias("first"), F.max(first).alias("last"), F.first("bands").alias("bands"))
+    kinds = lines.groupBy("ka", "kb").agg(
+        F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in BAND_COLUMNS])
     kinds = materialise(kinds.withColumn("id", F.monotonically_increasing_id()), "line-kinds")
 
-    buckets = open_buckets(kinds.select("id", F.explode("bands").alias("key")))
+    buckets = open_buckets(kinds.select("id", F.explode(F.array(*BAND_COLUMNS)).alias("key")))
     members = buckets.select("id").distinct()
-    wanted = materialise(kinds.join(members, "id").select("id", "line_key"), "line-wanted")
-    every = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).withColumn(
-        "line_key", F.unhex(F.md5("line")))
-    texts = materialise(every.join(bounded(wanted), "line_key").groupBy("id").agg(
+    wanted = materialise(kinds.join(members, "id").select("id", "ka", "kb"), "line-wanted")
+    line = F.col("line")
+    every = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).select("line", *line_keys(line))
+    texts = materialise(every.join(bounded(wanted), ["ka", "kb"]).groupBy("id").agg(
         F.first("line").alias("line")), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -204,16 +257,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return materialise(_verified(pairs.join(b, "b").join(a, "a")), "line-links")
 
     roots = similar_links(buckets, materialise(_sketched(texts), "line-sketches"), verify, few_keys=True)
-    named = kinds.select("id", "line_key", "first", "last").join(
-        roots.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "comp", F.coalesce("root", "id"))
-    named = materialise(named.select("line_key", "first", "last", "comp"), "line-named")
-    linked = named.groupBy("comp").agg(F.min("first").alias("keep"), F.max("last").alias("last"))
-    # kinds with more than one place in their component: all but the kept place go
-    found = materialise(named.select("line_key", "comp").join(
-        linked.filter("keep <> last"), "comp").select("line_key", "keep"), "line-found")
-    removed = (lines.select("doc", "text_key", "pos", "line_key").join(bounded(found), "line_key")
-               .filter(~F.struct("doc", "text_key", "pos").eqNullSafe(F.col("keep"))))
+    # a kind alone in its component matters only if it has several places itself
+    linked = kinds.select("id", "ka", "kb", "n").join(
+        roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id"))
+    roots_ = roots.select(F.col("root").alias("id"), F.lit(True).alias("leads")).distinct()
+    found = materialise(linked.join(roots_, "id", "left").filter("n > 1 OR root IS NOT NULL OR leads").select(
+        "ka", "kb", "comp"), "line-found")
+    places = materialise(lines.select("doc", "text_key", "pos", "ka", "kb").join(
+        bounded(found), ["ka", "kb"]).select("comp", "doc", "text_key", "pos"), "line-occurrences")
+    first = places.groupBy("comp").agg(F.min(F.struct("doc", "text_key", "pos")).alias("keep"))
+    removed = places.join(bounded(materialise(first, "line-kept")), "comp").filter(
+        ~F.struct("doc", "text_key", "pos").eqNullSafe(F.col("keep")))
     places = materialise(removed.groupBy("doc", "text_key").agg(
         F.collect_set("pos").alias("places")), "line-places")
 
@@ -222,10 +276,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                            F.col("places").alias("_places"))
     split = F.split(F.col(text_col), "\n")
     kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("_places"), i))
-    n_lines = F.coalesce(F.size(F.filter(split, lambda line: F.length(F.trim(line)) > 0)), F.lit(0))
+    # one match per line that holds anything: from its first sign to its end
+    n_lines = F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}][^\\n]*")), F.lit(0))
     joined = docs.join(places, F.col(id_col).eqNullSafe(F.col("_doc")) & (x == F.col("_key")), "left")
     out = [F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
            .alias(c) if c == text_col else F.col(c) for c in own]
     return joined.select(
-        *out, F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"),
+        *out, n_lines.cast("long").alias("n_lines"),
         F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("n_removed"))

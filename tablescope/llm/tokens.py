@@ -10,8 +10,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from .arrays import BLOCK_BYTES, blocks, span_hashes
+from .arrays import blocks, span_hashes
 
+#: Bytes of text whose distinct pieces are looked up at a time.
+BLOCK_BYTES = 1 << 22
 #: Words whose ids a worker remembers.
 CACHED_WORDS = 1_000_000
 #: New words that are given to the tokenizer as one text.
@@ -98,7 +100,7 @@ def encode(column: pa.Array, words: Words) -> Iterator[np.ndarray]:
     by number. Texts with white space next to a blank, and texts that hold an added token
     of the tokenizer, which it finds before any cut, are encoded whole.
     """
-    for first, last, data, bounds in blocks(column, 4 * BLOCK_BYTES):
+    for first, last, data, bounds in blocks(column, BLOCK_BYTES):
         raw = data.tobytes()
         blank = data == 32
         space = blank | ((data >= 9) & (data <= 13))

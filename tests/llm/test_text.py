@@ -117,6 +117,43 @@ def by_lines(rows):
         x for i, x in enumerate(t.split("\n")) if (k, i) not in gone) for k, t in rows}
 
 
+def test_line_keys_agree_with_spark(spark):
+    texts = ["", "a", "é\r", "x" * 70, " 1 2"]
+    df = spark.createDataFrame([(t,) for t in texts], "line string").select("line", *line_dedup.line_keys(F.col("line")))
+    for r in df.collect():
+        raw = r["line"].encode()
+        assert [r["ka"] & (1 << 64) - 1, r["kb"] & (1 << 64) - 1] == [
+            line_dedup.xxhash.xxh64_intdigest(raw, line_dedup.SEED_A), line_dedup.xxhash.xxh64_intdigest(raw, line_dedup.SEED_B)]
+
+
+def test_pairs_of_lines_are_compared_as_sets():
+    rng = random.Random(9)
+    left, right = [], []
+    for _ in range(600):
+        line = "".join(rng.choice("abcü ") for _ in range(rng.randint(1, 120)))
+        other = list(line)
+        for _ in range(rng.randint(0, 2)):
+            other[rng.randrange(len(other))] = "z"
+        left.append(line)
+        right.append("".join(other))
+    exact = []
+    for a, b in zip(left, right):
+        a, b = line_dedup.shingles(a), line_dedup.shingles(b)
+        exact.append(5 * len(a & b) >= 4 * len(a | b))
+    assert line_dedup.similar(left, right) == exact and 100 < sum(exact) < 500
+
+
+def test_lines_of_any_white_space(spark):
+    """Blank lines are judged alike by the count and by the removal."""
+    blank = ["\r", "\t\r", "\u3000", "\x85\x1f", " "]
+    one = "\r\n".join(["A line of some words.", "", "Another line, too."]) + "\r\n" + "\n".join(blank)
+    df = spark.createDataFrame([(1, one), (2, one), (3, "\r\n"), (4, "\n".join(blank))], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert [(found[i]["n_lines"], found[i]["n_removed"]) for i in (1, 2, 3, 4)] == [(2, 0), (2, 2), (0, 0), (0, 0)]
+    kept = corpus_pipeline.dedup_lines(spark, df, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
 def test_line_dedup_matches_brute_force(documents):
     expected = by_lines([tuple(r) for r in documents.select("doc_id", "text").collect()])
     found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents).collect()}
