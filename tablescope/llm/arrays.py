@@ -43,7 +43,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of them."""
     if len(_powers.get("up", ())) < n:
-        n = max(2 * n, 1 << 16)
+        n = max(n + n // 8, 1 << 16)
         inverse = pow(int(_BASE), -1, 1 << 64)
         for name, base in (("up", int(_BASE)), ("down", inverse)):
             steps = np.full(n, base, dtype=np.uint64)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
-from .tokens import encode, words_of
+from .tokens import BLOCK_BYTES, encode, words_of
 
 WINDOW = 1024
 END_ID = 0
@@ -82,7 +82,8 @@ def _recut(pieces: list[tuple], window: int) -> Iterator[tuple[list[tuple], bool
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-         window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+         window: int = WINDOW, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES,
+         keep_words: bool = True) -> DataFrame:
     """One row per piece: id, start, length, ids (binary, little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset.
 
@@ -95,6 +96,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     into sequences of a power of two, which need no padding. So there is no padding, and
     a document is cut inside a window only there.
 
+    Memory of a worker: 60 times `block_bytes`, and the words that it remembers for its
+    next task unless `keep_words` is false; less of either costs time.
+
     `tokenizer_path` is a tokenizer file; strings of its added tokens in a text become those
     tokens. Rows that repeat an id are packed each on its
     own; null ids are carried along; extra columns are ignored; an empty table gives an
@@ -144,7 +148,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             arrow = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(),
                      pa.int64(), pa.int64()]
-            for key, ids in zip(batch.column(0), encode(batch.column(1), words), strict=True):
+            for key, ids in zip(batch.column(0), encode(batch.column(1), words, block_bytes), strict=True):
                 ids = ids.astype("<u4").tobytes() + end
                 key, total = key.as_py(), len(ids) // 4
                 whole = total // window * window
@@ -160,5 +164,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         merge(last=True)
         if out:
             yield rows()
+        if not keep_words:
+            words.clear()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from .arrays import blocks, span_hashes
 
-#: Bytes of text whose distinct pieces are looked up at a time.
+#: Bytes of text whose distinct pieces are looked up at a time; arrays take 60 times that.
 BLOCK_BYTES = 1 << 22
 #: Words whose ids a worker remembers.
 CACHED_WORDS = 1_000_000
@@ -91,7 +91,7 @@ def _found(raw: bytes, word: bytes) -> Iterator[int]:
         at = raw.find(word, at + 1)
 
 
-def encode(column: pa.Array, words: Words) -> Iterator[np.ndarray]:
+def encode(column: pa.Array, words: Words, block_bytes: int = BLOCK_BYTES) -> Iterator[np.ndarray]:
     """Token ids of each row of a string column; none for null.
 
     A token always starts at a blank between two characters that are no white space, at
@@ -100,7 +100,7 @@ def encode(column: pa.Array, words: Words) -> Iterator[np.ndarray]:
     by number. Texts with white space next to a blank, and texts that hold an added token
     of the tokenizer, which it finds before any cut, are encoded whole.
     """
-    for first, last, data, bounds in blocks(column, BLOCK_BYTES):
+    for first, last, data, bounds in blocks(column, block_bytes):
         raw = data.tobytes()
         blank = data == 32
         space = blank | ((data >= 9) & (data <= 13))
