@@ -56,9 +56,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
+    """Pieces of sequences of 1024 tokens. Workers of earlier stages are still there, so
+    they are given little memory."""
     share_code(spark)
-    return packing.pack(docs, tokenizer_file())
+    return packing.pack(docs, tokenizer_file(), block_bytes=1 << 20, keep_words=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
