@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -82,7 +83,7 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _hashed(items: DataFrame, dim: int, scales: dict[int, float], groups: int, queries: bool) -> DataFrame:
-    """Rows (part, item, buckets, vec) of each table: with the bucket of an item, or with
+    """Rows (part, item, buckets, vec, first) of each table: with the bucket of an item, or with
     the buckets that a query visits in each part.
 
     Inner products become distances: an item is scaled by the longest length of its band
@@ -129,12 +130,13 @@ def _hashed(items: DataFrame, dim: int, scales: dict[int, float], groups: int, q
                 which, part = np.asarray(which), np.asarray(part, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(t * groups + part, pa.int64()), batch.column("item").take(pa.array(which)),
-                     _lists(buckets, pa.int64()), batch.column("vec").take(pa.array(which))],
-                    names=["part", "item", "buckets", "vec"])
+                     _lists(buckets, pa.int64()), batch.column("vec").take(pa.array(which)),
+                     batch.column("first").take(pa.array(which))],
+                    names=["part", "item", "buckets", "vec", "first"])
 
-    kind = items.schema["vec"].dataType.simpleString()
-    return items.select("item", "vec", "band").mapInArrow(
-        run, f"part long, item long, buckets array<long>, vec {kind}")
+    kind, key = (items.schema[c].dataType.simpleString() for c in ("vec", "first"))
+    return items.select("item", "vec", "band", "first").mapInArrow(
+        run, f"part long, item long, buckets array<long>, vec {kind}, first {key}")
 
 
 def _length(vec: Column) -> Column:
@@ -155,13 +157,14 @@ def _banded(items: DataFrame, longest: float) -> tuple[DataFrame, dict[int, floa
 
 def _best(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     """For each query (right) the k best items (left) of the buckets that it visits; of all
-    if it names none."""
+    if it names none. Ties go to the item with the smaller first id."""
     out: list[tuple[np.ndarray, ...]] = []
     if left.num_rows and right.num_rows:
         bucket = left.column("buckets").combine_chunks().flatten().to_numpy()
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         item = left.column("item").to_numpy()[order]
+        place = pd.factorize(left.column("first").to_pandas(), sort=True)[0][order]
         vec = _matrix(left.column("vec"))[order]
         query, ask = right.column("item").to_numpy(), _matrix(right.column("vec"))
         visits = right.column("buckets").combine_chunks()
@@ -170,19 +173,18 @@ def _best(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
         for at in range(0, len(query), 128):
             rows = range(at, min(at + 128, len(query)))
             score = ask[rows.start:rows.stop] @ vec.T
-            masked = np.full(score.shape, -np.inf)
             for i, r in enumerate(rows):
-                if ends[r] == ends[r + 1]:
-                    masked[i] = score[i]
-                for j in range(ends[r], ends[r + 1]):
-                    masked[i, low[j]:high[j]] = score[i, low[j]:high[j]]
-            some = min(k, masked.shape[1])
-            top = np.argpartition(-masked, some - 1, axis=1)[:, :some]
-            i, j = np.repeat(np.arange(len(rows)), some), top.ravel()
-            good = np.isfinite(masked[i, j])
-            i, j = i[good], j[good]
-            exact = np.einsum("ij,ij->i", ask[rows.start + i], vec[j])
-            out.append((query[rows.start + i], item[j], exact))
+                seen_ = np.arange(len(vec)) if ends[r] == ends[r + 1] else np.concatenate(
+                    [np.arange(low[j], high[j]) for j in range(ends[r], ends[r + 1])])
+                if not len(seen_):
+                    continue
+                near = score[i, seen_]
+                if len(near) > k:  # with all that may tie with the last, whatever the rounding
+                    near_ = near >= np.partition(near, -k)[-k] - 1e-9 * np.abs(near).max()
+                    seen_ = seen_[near_]
+                exact = np.einsum("ij,j->i", vec[seen_], ask[r])
+                best = np.lexsort((place[seen_], -exact))[:k]
+                out.append((np.full(len(best), query[r]), item[seen_[best]], exact[best]))
     columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
     return pa.table({"query": pa.array(columns[0], pa.int64()), "item": pa.array(columns[1], pa.int64()),
                      "score": pa.array(columns[2], pa.float64())})
@@ -199,7 +201,7 @@ def _ranked(placed: DataFrame, asked: DataFrame, pieces: DataFrame, k: int) -> D
     placed = placed.join(shares, "part").withColumn(
         "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     key, columns = ["part", "piece", "share"], ["part", "piece", "share", "item", "buckets", "vec"]
-    return placed.select(*columns).groupBy(*key).cogroup(asked.select(*columns).groupBy(*key)).applyInArrow(
+    return placed.select(*columns, "first").groupBy(*key).cogroup(asked.select(*columns).groupBy(*key)).applyInArrow(
         lambda left, right: _best(left, right, k), "query long, item long, score double")
 
 
@@ -239,7 +241,8 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id",
     least = Window.partitionBy("x", "y").orderBy("id")
     members = rows.withColumn("place", F.row_number().over(least)).filter(F.col("place") <= k + 1)
     items = members.groupBy("x", "y").agg(
-        F.first("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids"))
+        F.first("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids"),
+        F.min("id").alias("first"))
     items = materialise(items.withColumn("item", F.monotonically_increasing_id()).withColumn(
         "length", _length(F.col("vec"))), "vector-items")
     size = items.agg(F.count(F.lit(1)), F.max("length")).first()
@@ -271,7 +274,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id",
 
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "first")
     best = (found.groupBy("query", "item").agg(F.max("score").alias("score"))
-            .join(items.select("item", "ids", F.col("ids")[0].alias("first")), "item")
+            .join(items.select("item", "ids", "first"), "item")
             .withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= k + 1))
     best = materialise(best.select("query", "score", "ids"), "vector-best")
     each = (askers.withColumnRenamed("id", "query_id").join(best, F.col("item") == F.col("query"))

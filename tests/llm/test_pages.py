@@ -165,6 +165,20 @@ def test_neighbours_are_all_there_is(spark, monkeypatch):
     assert found == 1 and len(got) == 15 and all(len(x) == 14 for x in got)
 
 
+@pytest.mark.parametrize("scanned", [256, 0])
+def test_neighbours_tie_to_the_smaller_id(spark, monkeypatch, scanned):
+    """Unequal vectors of equal score: all others score 0, so the smallest ids win."""
+    monkeypatch.setattr(neighbours, "SCANNED", scanned)
+    rows = [(i, [float(i == j) for j in range(64)]) for i in range(64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = neighbours.nearest(df, F.col("vec_id") % 20 == 0).toPandas().sort_values("rank")
+    if not scanned:  # buckets decide who is a candidate; among those ids ascend
+        assert all(g.vec_id.tolist() == sorted(g.vec_id) and len(g) == 20 for _, g in found.groupby("query_id"))
+        return
+    for q, g in found.groupby("query_id"):
+        assert g.vec_id.tolist() == [i for i in range(64) if i != q][:20]
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(0, 60)] + [
