@@ -476,6 +476,19 @@ def _(s):
         "column", "count", "range")
 
 
+_LARGE = {"k": "9007199254740993 + o_orderkey % 10", "d": "-9223372036854775807 + o_custkey",
+          "c": "o_custkey"}
+
+
+@query("numeric_stats_large_integers", sql.with_views(sql.union([
+    f"SELECT '{c}' AS \"column\", count(v) AS \"count\", min(v) AS \"min\", max(v) AS \"max\", "
+    "(max(v)::hugeint - min(v))::decimal(38,0) AS \"range\", "
+    f"(SELECT {e} FROM orders GROUP BY {e} ORDER BY count(*) DESC, {e} LIMIT 1) AS mode "
+    f"FROM (SELECT {e} AS v FROM orders)" for c, e in _LARGE.items()])))
+def _(s):
+    return stats.integer_stats(s.t("orders").selectExpr(*[f"{e} AS {c}" for c, e in _LARGE.items()]))
+
+
 _OUT = ["q1", "q3", "lower_fence", "upper_fence", "outlier_pct"]
 
 for _view in ("d_lineitem", "d_orders", "events", "d_customer"):
@@ -1101,6 +1114,25 @@ def _(s):
                     catalog.fks), wanted, ORDER_KEYS).where("type not like 'array%'")
 
 
+@query("dictionary_csv_roundtrip", sql.with_views(
+    """SELECT c."table", ordinal, c."column", type, nullable, primary_key,
+    f.parent_table || '.' || f.parent_column AS fk_target, nullif(s.samples, '') AS samples
+    FROM cols c JOIN smp s USING ("table", "column")
+    LEFT JOIN fks f ON f.child_table = c."table" AND f.child_column = c."column" """,
+    *CATALOG, f"smp AS ({_samples()})"))
+def _(s):
+    """The dictionary written as a file and read back; empty cells are NULL there."""
+    catalog = s.catalog()
+    dictionary = cat.column_dictionary(
+        cat.Catalog(catalog.tables.where(F.col("table").isin(*ORDER_KEYS)), catalog.columns, catalog.fks),
+        s.tables(list(ORDER_KEYS)), ORDER_KEYS).where("type not like 'array%'")
+    path = f"{scratch_path(s.spark, 'csv')}/dictionary.csv"
+    writers.write_dictionary_csv(dictionary, path)
+    text = readers.read_any(s.spark, path)["dictionary"]
+    return text.withColumns({"ordinal": F.col("ordinal").cast("int"), "nullable": F.col("nullable").cast("boolean"),
+                             "primary_key": F.col("primary_key").cast("boolean")})
+
+
 @query("column_dictionary_defects", """WITH h AS (SELECT o_orderkey,
     CASE WHEN o_orderkey > 40 AND o_orderkey % 3 = 0 THEN o_orderpriority END AS late,
     CASE WHEN o_orderkey % 997 = 5 THEN o_orderstatus END AS rare FROM orders)
@@ -1632,6 +1664,22 @@ def _(s):
     return readers.csv_malformed(s.spark, [path])
 
 
+@query("read_any_malformed", """SELECT count(*) AS rows, count_if(n_nationkey % 5 = 0) AS malformed_rows,
+    string_agg(n_nationkey || ',' || n_name || ',' || n_regionkey || ',x', '|' ORDER BY n_nationkey)
+      FILTER (WHERE n_nationkey % 5 = 0) AS kept FROM nation""")
+def _(s):
+    path = f"{scratch_path(s.spark, 'csv')}/nation.csv"
+    lines = s.t("nation").selectExpr("n_nationkey AS k", "concat_ws(',', n_nationkey, n_name, n_regionkey, "
+                                     "if(n_nationkey % 5 = 0, 'x', NULL)) AS line")
+    head = s.spark.sql("SELECT -1 AS k, 'n_nationkey,n_name,n_regionkey' AS line")
+    head.unionAll(lines).repartition(1).sortWithinPartitions("k").select("line").write.text(path)
+    rows = readers.read_any(s.spark, path, malformed="whole")["nation"]
+    whole = F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").cast("int").alias("k"), "whole")))
+    bad = F.filter(whole, lambda r: r["whole"].isNotNull())
+    return rows.agg(F.count("n_nationkey").alias("rows"), F.count("whole").alias("malformed_rows"),
+                    F.array_join(F.transform(bad, lambda r: r["whole"]), "|").alias("kept"))
+
+
 @query("document_fields_malformed", """SELECT count(*) AS documents,
     count_if(event_id % 10 = 3 OR event_id % 10 = 7) AS unreadable FROM events""")
 def _(s):

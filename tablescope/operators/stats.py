@@ -75,6 +75,28 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None,
     return moments(df, names).join(middle, "column").join(modes, "column")
 
 
+@any_table("bigint")
+def integer_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """count, min, max, range and mode of integral columns, exact at any size.
+
+    `numeric_stats` gives them as doubles beside the other measures, which are whole only
+    up to 2^53. The range may need one digit more than its column, so it is a decimal.
+    """
+    fields = [f for f in numeric_fields(df, columns) if family(f.dataType) == "integral"]
+    if not fields:
+        raise NoColumns("no integral column")
+    parts = []
+    for chunk in chunks(fields):
+        aggs = {f"{fn}{i}": f"{fn}({cast(quoted(f.name), 'integral')})" for i, f in enumerate(chunk)
+                for fn in ("count", "min", "max")}
+        parts.append(long_rows(measure(df, aggs), [{
+            "column": literal(f.name), "count": f"count{i}", "min": f"min{i}", "max": f"max{i}",
+            "range": f"{wide_type(f, f'max{i}')} - {wide_type(f, f'min{i}')}"} for i, f in enumerate(chunk)]))
+    modes = typed_frequencies(df, [f.name for f in fields])["integral"].where(
+        F.col("value").isNotNull()).groupBy("column").agg(most_frequent().alias("mode"))
+    return union_all(parts).join(modes, "column")
+
+
 @any_table("double")
 def basic_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """min, max and average (4 places) of numeric columns."""

@@ -58,10 +58,10 @@ def csv_malformed(spark: SparkSession, paths: Sequence[str], multi_line: bool =
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_csvs(spark: SparkSession, paths: Sequence[str], multi_line: bool = True
-              ) -> dict[str, DataFrame]:
-    """One table per CSV path, named after the file."""
-    return {table_name(p): read_csv(spark, p, multi_line) for p in paths}
+def read_csvs(spark: SparkSession, paths: Sequence[str], multi_line: bool = True,
+              malformed: str | None = None) -> dict[str, DataFrame]:
+    """One table per CSV path, named after the file; `malformed` as in `read_csv`."""
+    return {table_name(p): read_csv(spark, p, multi_line, malformed) for p in paths}
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -88,14 +88,16 @@ def unreadable_documents(df: DataFrame, json_column: str) -> DataFrame:
         text.isNotNull() & F.json_object_keys(text).isNull()).alias("unreadable"))
 
 
-def read_any(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
+def read_any(spark: SparkSession, path: str, multi_line: bool = True, malformed: str | None = None
+             ) -> dict[str, DataFrame]:
     """Choose the reader by extension; the path may be on any Hadoop file system.
-    `multi_line=False` lets large CSV files be split."""
+    `multi_line=False` lets large CSV files be split; `malformed` names the column that
+    holds CSV rows with too many or too few cells."""
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
     if suffix not in FORMATS:
         raise ValueError(f"no reader for {suffix or path!r}; known: {sorted(FORMATS)}")
     if suffix == ".csv":
-        return read_csvs(spark, [path], multi_line)
+        return read_csvs(spark, [path], multi_line, malformed)
     return {table_name(path): spark.read.format(FORMATS[suffix]).load(path)}
 
 
