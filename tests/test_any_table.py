@@ -9,7 +9,7 @@ from tablescope.operators import discovery, infer, quality, relationships as rel
 
 KINDS = {"numbers": "SELECT 1 AS a, 2.5D AS b", "texts": "SELECT 'x' AS t",
          "dates": "SELECT timestamp'2024-01-01 00:00:00' AS d", "nothing": "SELECT array(1) AS n"}
-OPERATORS = [stats.numeric_stats, stats.basic_stats, stats.date_stats, stats.text_stats, stats.histogram,
+OPERATORS = [stats.numeric_stats, stats.integer_stats, stats.basic_stats, stats.date_stats, stats.text_stats, stats.histogram,
              stats.iqr_outliers, stats.box_plot, stats.correlation_matrix, infer.infer_types]
 
 
