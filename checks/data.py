@@ -55,6 +55,26 @@ DEFECTS = {
                            "else l_extendedprice end"}),
 }
 
+# orders with dates held as text, in several notations: (column, type, Spark SQL, DuckDB SQL)
+DATED = [
+    ("o_orderkey", "bigint", "o_orderkey", "o_orderkey"),
+    ("o_totalprice", "double", "o_totalprice", "o_totalprice"),
+    ("order_date", "string", "case when o_orderkey % 17 = 0 then 'unknown' when o_orderkey % 23 = 0 "
+     "then '' else date_format(o_orderdate, 'MM/dd/yyyy') end",
+     "case when o_orderkey % 17 = 0 then 'unknown' when o_orderkey % 23 = 0 then '' "
+     "else strftime(o_orderdate, '%m/%d/%Y') end"),
+    ("ship_time", "string", "case when o_orderkey % 31 = 0 then null else date_format(o_orderdate + "
+     "case when o_orderkey % 19 = 0 then interval '-3' day else interval '10' day end, "
+     "'dd.MM.yyyy HH:mm') end",
+     "case when o_orderkey % 31 = 0 then null else strftime(o_orderdate + case when o_orderkey % 19 = 0 "
+     "then interval '-3' day else interval '10' day end, '%d.%m.%Y %H:%M') end"),
+    ("paid", "string", "date_format(o_orderdate + interval '400' day, 'yyyy-MM-dd HH:mm:ss')",
+     "strftime(o_orderdate + interval '400' day, '%Y-%m-%d %H:%M:%S')"),
+    ("update_text", "string", "case when o_orderkey % 2 = 0 then '2001-13-45' else o_orderpriority end",
+     "case when o_orderkey % 2 = 0 then '2001-13-45' else o_orderpriority end"),
+    ("stamp", "timestamp_ntz", "o_orderdate", "o_orderdate"),
+]
+
 
 def _select_list(base: str, changed: dict[str, str]) -> list[str]:
     names = [c for c, _ in SCHEMA[base]]
@@ -78,6 +98,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return table(spark, sf_dir, "orders").where("false")
     if name == "d_text":
         return table(spark, sf_dir, "orders").selectExpr(*TEXT_COLUMNS_SPARK)
+    if name == "d_dated":
+        return table(spark, sf_dir, "orders").selectExpr(*[f"{e} as {c}" for c, _, e, _ in DATED])
     # a given schema saves a job that reads the file footers
     schema = ", ".join(f"`{c}` {ty}" for c, ty in SCHEMA[name])
     return spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
@@ -112,6 +134,7 @@ def views_sql() -> str:
                  f"SELECT cast(null AS bigint), {rest} FROM customer WHERE c_custkey = 1)")
     parts.append("d_empty AS (SELECT * FROM orders WHERE false)")
     parts.append(f"d_text AS (SELECT {', '.join(TEXT_COLUMNS_SQL)} FROM orders)")
+    parts.append("d_dated AS (SELECT " + ", ".join(f"{e} AS {c}" for c, _, _, e in DATED) + " FROM orders)")
     return ",\n".join(parts)
 
 
@@ -163,4 +186,6 @@ def view_columns(name: str) -> list[tuple[str, str]]:
         return SCHEMA["customer"]
     if name == "d_empty":
         return SCHEMA["orders"]
+    if name == "d_dated":
+        return [(c, ty) for c, ty, _, _ in DATED]
     return SCHEMA[name]

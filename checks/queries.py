@@ -12,10 +12,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablescope.functions.exprs import union_all
-from tablescope.operators import (catalog as cat, discovery as disc, graph, infer, issues,
+from tablescope.operators import (catalog as cat, dates, discovery as disc, graph, infer, issues,
                                   profile as prof, quality as q, relationships as rel, stats)
 from tablescope.plans import scorecard as cards
-from tablescope.policy import EnumRule, SequenceRule, WEIGHTS6
+from tablescope.policy import EnumRule, QualityPolicy, SequenceRule, WEIGHTS6
 from tablescope.session import scratch_path
 from tablescope.sources import readers, sqltext, writers
 
@@ -378,7 +378,7 @@ def _(s):
     return stats.typed_mean(s.t("d_text"), ["o_custkey", "o_totalprice", "o_orderstatus"])
 
 
-def _date_stats(view: str) -> str:
+def _date_stats(view: str, columns=None) -> str:
     def common(part, c):
         return (f"(SELECT cast({part}({c}) AS integer) FROM {view} WHERE {c} IS NOT NULL GROUP BY "
                 f"{part}({c}) ORDER BY count(*) DESC, {part}({c}) LIMIT 1)")
@@ -386,7 +386,7 @@ def _date_stats(view: str) -> str:
         f"SELECT '{c}' AS \"column\", min({c}) AS earliest, max({c}) AS latest, "
         f"cast(floor(epoch(max({c}) - min({c})) / 86400) AS integer) AS range_days, "
         f"{common('year', c)} AS common_year, {common('month', c)} AS common_month FROM {view}"
-        for c, ty in data.view_columns(view) if ty == "timestamp_ntz"])
+        for c in columns or [c for c, ty in data.view_columns(view) if ty == "timestamp_ntz"]])
 
 
 for _view in ("d_orders", "lineitem", "events"):
@@ -1331,6 +1331,110 @@ def _(s):
     return q.freshness_ladder_module(q.newest_dates(s.card_tables()), AS_OF)
 
 
+# --- dates held as text: order_date month first, ship_time day first, paid ISO --------
+
+_DATED = {"dated": "d_dated", "empty": "d_empty", "nation": "nation"}
+_READ_DATES = {
+    "ISO": "CASE WHEN regexp_matches({c}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast({c} AS timestamp) END",
+    "MM/dd/yyyy[ HH:mm[:ss]]": "try_strptime({c}, ['%m/%d/%Y', '%m/%d/%Y %H:%M', '%m/%d/%Y %H:%M:%S'])",
+    "dd/MM/yyyy[ HH:mm[:ss]]": "try_strptime({c}, ['%d/%m/%Y', '%d/%m/%Y %H:%M', '%d/%m/%Y %H:%M:%S'])",
+    "yyyy/MM/dd[ HH:mm[:ss]]": "try_strptime({c}, ['%Y/%m/%d', '%Y/%m/%d %H:%M', '%Y/%m/%d %H:%M:%S'])",
+    "dd.MM.yyyy[ HH:mm[:ss]]": "try_strptime({c}, ['%d.%m.%Y', '%d.%m.%Y %H:%M', '%d.%m.%Y %H:%M:%S'])",
+}
+
+
+def _text_date_reads(views) -> str:
+    return sql.union([
+        f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {i} AS place, '{one}' AS notation, "
+        f"count(nullif({c}, '')) AS cells, count({read.format(c=c)}) AS readable, "
+        f"count(*) FILTER (WHERE regexp_matches({c}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}')) AS dated FROM {v}"
+        for t, v in views.items() for c, ty in data.view_columns(v) if ty == "string"
+        for i, (one, read) in enumerate(_READ_DATES.items())])
+
+
+@query("text_dates", sql.with_views(
+    f"""SELECT "table", "column", notation, cells, readable FROM (SELECT *, row_number() OVER (PARTITION BY
+    "table", "column" ORDER BY readable DESC, place) AS nth FROM ({_text_date_reads(_DATED)})
+    WHERE readable > 0 AND (contains("column", 'date') OR contains("column", 'time') OR dated = cells))
+    WHERE nth = 1"""))
+def _(s):
+    return dates.text_dates(s.tables(_DATED))
+
+
+_DATED_MOMENTS = {"order_date": "MM/dd/yyyy[ HH:mm[:ss]]", "ship_time": "dd.MM.yyyy[ HH:mm[:ss]]",
+                  "paid": "ISO"}
+_moments = "dm AS (SELECT o_orderkey, o_totalprice, stamp, " + ", ".join(
+    f"{_READ_DATES[n].format(c=c)} AS {c}" for c, n in _DATED_MOMENTS.items()) + " FROM d_dated)"
+_dated_newest = "newest AS (" + sql.union([
+    f"SELECT 'dated' AS \"table\", '{c}' AS \"column\", max({c}) AS newest, "
+    f"cast(floor(epoch({sql.as_of('dated')} - max({c})) / 86400) AS integer) AS days_ago, "
+    f"epoch({sql.as_of('dated')} - max({c})) / 86400.0 AS age FROM dm"
+    for c in (*_DATED_MOMENTS, "stamp")]) + ")"
+
+
+def _notations(tables):
+    return dates.notations_of(dates.text_dates(tables))
+
+
+@query("freshness_text_dates", sql.with_views("SELECT * FROM linear", _moments, _dated_newest, _LINEAR),
+       ["score"])
+def _(s):
+    tables = s.tables({"dated": "d_dated"})
+    return q.freshness_linear(q.newest_dates(tables, _notations(tables)), AS_OF)
+
+
+@query("freshness_ladder_app_text_dates", sql.with_views(
+    "SELECT * FROM ladder_app", sql.nulls_cte({"dated": "d_dated"}), _counts_cte, _moments, _dated_newest,
+    _LADDER_APP), ["freshness"])
+def _(s):
+    tables = s.tables({"dated": "d_dated"})
+    return q.freshness_ladder_app(prof.row_counts(tables), q.newest_dates(tables, _notations(tables)), AS_OF)
+
+
+@query("freshness_ladder_module_text_dates", sql.with_views(
+    "SELECT * FROM ladder_module", _moments, _dated_newest, _LADDER_MODULE), ["score"])
+def _(s):
+    tables = s.tables({"dated": "d_dated"})
+    return q.freshness_ladder_module(q.newest_dates(tables, _notations(tables)), AS_OF)
+
+
+@query("date_stats_text", sql.with_views(_date_stats("dm", (*_DATED_MOMENTS, "stamp")), _moments))
+def _(s):
+    dated = s.t("d_dated")
+    return stats.date_stats(dated, notations=_notations({"dated": dated})["dated"])
+
+
+# goods shipped before they were ordered: the rule fires where both texts can be read
+_DATED_POLICY = QualityPolicy(sequence_rules=(SequenceRule("order_date", "ship_time"),))
+
+
+@query("date_sequence_text_dates", sql.with_views(
+    """SELECT 'dated' AS "table", 'ship_time' AS "column", 'DATE_SEQUENCE_VIOLATION' AS code, count(*) AS n
+    FROM dm WHERE ship_time < order_date HAVING count(*) > 0""", _moments))
+def _(s):
+    tables = s.tables({"dated": "d_dated"})
+    return q.sequence_rule(tables, _DATED_POLICY.sequence_rules, _notations(tables))
+
+
+@query("scorecard6_text_dates", sql.with_views(
+    """SELECT *, .25 * completeness + .2 * uniqueness + .2 * fk_integrity + .15 * freshness
+  + .1 * validity + .1 * consistency AS score FROM (SELECT 'dated' AS "table", n.row_count,
+  100 - n.null_pct AS completeness, l.score AS freshness, 0::bigint AS uniqueness_violations,
+  100.0 AS uniqueness, 100.0 AS fk_integrity, 0::bigint AS fk_breaches, o.n AS validity_violations,
+  greatest(0.0, 100.0 - 10 * o.n) AS validity, x.n AS consistency_violations,
+  greatest(0.0, 100.0 - 20 * x.n) AS consistency
+  FROM (SELECT max(row_count) AS row_count, avg(null_pct) AS null_pct FROM nulls) n,
+  (SELECT avg(score) AS score FROM linear) l,
+  (SELECT count(*) AS n FROM outl WHERE outlier_pct > 5) o,
+  (SELECT cast(count(*) > 0 AS bigint) AS n FROM dm WHERE ship_time < order_date) x)""",
+    sql.nulls_cte({"dated": "d_dated"}), _moments, _dated_newest, _LINEAR,
+    sql.outliers_cte({"dated": "d_dated"})), [*WEIGHTS6, "score"])
+def _(s):
+    tables = s.tables({"dated": "d_dated"})
+    return cards.scorecard6(tables, {"dated": ["o_orderkey"]}, [], AS_OF, _DATED_POLICY,
+                            text_dates=_notations(tables))
+
+
 _rule_rows = [("part", "d_part", "p_retailprice", "INVALID_PRICE", "p_retailprice = 0"),
               ("orders", "d_orders", "o_totalprice", "INVALID_PRICE", "o_totalprice = 0"),
               ("lineitem", "d_lineitem", "l_extendedprice", "INVALID_PRICE", "l_extendedprice = 0"),

@@ -13,11 +13,9 @@ from ..functions.exprs import (digest, Series, cast, chunks, col, family, ladder
 from ..policy import (BASELINE_DIMENSION, COLOR_CUTS, DEFAULT_POLICY, GRADE_CUTS, LADDER_APP,
                       LADDER_MODULE, OVERALL_COLOR_CUTS, WEIGHTS4, EnumRule, NameRule,
                       QualityPolicy, SequenceRule)
+from .dates import DATE_START, Notations, date_moments
 from .stats import outlier_counts
 
-# fixed value: how text starts that holds a date
-DATE_START = r"^\d{4}-\d{2}-\d{2}"
-
 Tables = Mapping[str, DataFrame]
 Moment = datetime | str
 AsOf = Moment | Mapping[str, Moment]
@@ -116,17 +114,20 @@ def date_columns(tables: Tables) -> DataFrame:
     return union_all(parts)
 
 
-def newest_dates(tables: Tables, text_dates: Mapping[str, Sequence[str]] | None = None
-                 ) -> DataFrame:
+def newest_dates(tables: Tables,
+                 text_dates: Mapping[str, Notations | Sequence[str]] | None = None) -> DataFrame:
     """(table, column, newest): the latest moment of each date column, one scan per table.
 
-    Text columns named in `text_dates` are parsed before they are compared.
+    Text columns named in `text_dates` are parsed before they are compared: in the notation
+    given there (see `dates.notations_of`), or as Spark reads moments where only names are given.
     """
     parts = []
     for name, df in tables.items():
-        exprs = {f.name: cast(quoted(f.name), "timestamp") for f in temporal_fields(df)}
-        for c in (text_dates or {}).get(name, ()):
-            exprs[c] = _text_moment(c)
+        chosen = (text_dates or {}).get(name, ())
+        if isinstance(chosen, Mapping):
+            exprs = date_moments(df, chosen)
+        else:
+            exprs = date_moments(df) | {c: _text_moment(c) for c in chosen}
         for chunk in chunks(list(exprs.items())):
             wide = measure(df, {f"c{i}": f"max({e})" for i, (_, e) in enumerate(chunk)})
             parts.append(long_rows(wide, [{
@@ -211,7 +212,9 @@ def _text_moment(name: str) -> str:
     return f"cast(try_to_timestamp({quoted(name)}) AS timestamp_ntz)"
 
 
-def _moment_of(df: DataFrame, name: str) -> str:
+def _moment_of(df: DataFrame, name: str, notations: Notations | None = None) -> str:
+    if name in (notations or {}):
+        return date_moments(df, notations)[name]
     if any(f.name == name for f in text_fields(df)):
         return _text_moment(name)
     return cast(quoted(name), "timestamp")
@@ -225,9 +228,11 @@ def name_rule_counters(df: DataFrame, rules: Sequence[NameRule]) -> list[tuple[s
             if any(token in f.name.lower() for token in rule.tokens)]
 
 
-def sequence_counters(df: DataFrame, rules: Sequence[SequenceRule]) -> list[tuple[str, str, str]]:
+def sequence_counters(df: DataFrame, rules: Sequence[SequenceRule],
+                      notations: Notations | None = None) -> list[tuple[str, str, str]]:
     names = set(df.columns)
-    return [(r.later, r.code, f"{_moment_of(df, r.later)} < {_moment_of(df, r.earlier)}")
+    return [(r.later, r.code,
+             f"{_moment_of(df, r.later, notations)} < {_moment_of(df, r.earlier, notations)}")
             for r in rules if {r.earlier, r.later} <= names]
 
 
@@ -254,7 +259,7 @@ VIOLATION_SCHEMA = "table string, column string, code string, n bigint"
 
 def _violations(tables: Tables, make) -> DataFrame:
     parts = [p for name, df in tables.items()
-             for p in [_count_rules(name, df, make(df))] if p is not None]
+             for p in [_count_rules(name, df, make(name, df))] if p is not None]
     if not parts:
         spark = next(iter(tables.values())).sparkSession
         return spark.createDataFrame([], VIOLATION_SCHEMA)
@@ -263,23 +268,25 @@ def _violations(tables: Tables, make) -> DataFrame:
 
 def domain_rules(tables: Tables, policy: QualityPolicy = DEFAULT_POLICY) -> DataFrame:
     """Rows breaking a rule that a column's name calls for (price of 0, discount over 1)."""
-    return _violations(tables, lambda df: name_rule_counters(df, policy.name_rules))
+    return _violations(tables, lambda _, df: name_rule_counters(df, policy.name_rules))
 
 
-def sequence_rule(tables: Tables, rules: Sequence[SequenceRule]) -> DataFrame:
-    """Rows whose later date comes before the earlier one."""
-    return _violations(tables, lambda df: sequence_counters(df, rules))
+def sequence_rule(tables: Tables, rules: Sequence[SequenceRule],
+                  text_dates: Mapping[str, Notations] | None = None) -> DataFrame:
+    """Rows whose later date comes before the earlier one; `text_dates` as in `newest_dates`."""
+    return _violations(tables, lambda name, df: sequence_counters(
+        df, rules, (text_dates or {}).get(name)))
 
 
 def enum_rule(tables: Tables, rules: Sequence[EnumRule]) -> DataFrame:
     """Rows with a value outside the allowed set; NULL counts unless the rule says not."""
-    return _violations(tables, lambda df: enum_counters(df, rules))
+    return _violations(tables, lambda _, df: enum_counters(df, rules))
 
 
 def consistency_violations(tables: Tables, policy: QualityPolicy = DEFAULT_POLICY) -> DataFrame:
     """Sequence and enumeration rules of a table, counted in one scan."""
-    return _violations(tables, lambda df: [*sequence_counters(df, policy.sequence_rules),
-                                           *enum_counters(df, policy.enum_rules)])
+    return _violations(tables, lambda _, df: [*sequence_counters(df, policy.sequence_rules),
+                                              *enum_counters(df, policy.enum_rules)])
 
 
 def sequence_violations_across(child: DataFrame, later: str, key: str, parent: DataFrame,

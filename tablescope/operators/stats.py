@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.exprs import (NoColumns, any_table, cast, chunks, family, literal, long_rows, measure, melt, number,
-                               numeric_fields, pct, quoted, temporal_fields, text_fields,
+                               numeric_fields, pct, quoted, text_fields,
                                union_all, whole_days)
+from .dates import Notations, date_moments
 from .profile import most_frequent, text_winners, typed_frequencies
 from .quantiles import fences, numeric_series, quartiles, series_fences
 
@@ -120,15 +121,17 @@ def typed_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 @any_table("timestamp")
-def date_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def date_stats(df: DataFrame, columns: Sequence[str] | None = None,
+               notations: Notations | None = None) -> DataFrame:
     """Earliest, latest, range in days, most common year and month.
 
-    One scan groups by (column, year, month); the rest works on those few rows.
+    One scan groups by (column, year, month); the rest works on those few rows. Text
+    columns in `notations` (see `dates.notations_of`) are read as dates, too.
     """
-    fields = temporal_fields(df, columns)
-    if not fields:
+    dated = date_moments(df, notations, columns)
+    if not dated:
         raise NoColumns("no date column")
-    months = (melt(df, {f.name: cast(quoted(f.name), "timestamp") for f in fields})
+    months = (melt(df, dated)
               .where(F.col("value").isNotNull())
               .groupBy("column", F.year("value").alias("year"), F.month("value").alias("month"))
               .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first"),

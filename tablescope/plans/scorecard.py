@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.exprs import (cast, chunks, literal, measure, present, quoted, temporal_fields,
-                               union_all, whole_days)
+from ..functions.exprs import chunks, literal, measure, present, union_all, whole_days
 from ..operators import profile as prof, quality as q
+from ..operators.dates import Notations, date_moments
 from ..operators.relationships import ForeignKey, fk_integrity, table_integrity
 from ..operators.stats import fence_limits, outside
 from ..policy import DEFAULT_POLICY, QualityPolicy
@@ -31,26 +31,29 @@ def _integrity(counts: DataFrame, report: DataFrame | None) -> DataFrame:
 
 
 def table_measures(tables: Tables, as_of: q.AsOf, policy: QualityPolicy = DEFAULT_POLICY,
-                   limits: Mapping[tuple[str, str], Mapping[str, float]] | None = None) -> DataFrame:
+                   limits: Mapping[tuple[str, str], Mapping[str, float]] | None = None,
+                   text_dates: Mapping[str, Notations] | None = None) -> DataFrame:
     """Everything a scorecard needs that one aggregate over the table can give.
 
     One scan per table yields (table, row_count, completeness, freshness,
     domain_violations, consistency_violations, outlier_violations). `limits` are the
-    fences of `stats.fence_limits`; without them no outlier is counted.
+    fences of `stats.fence_limits`; without them no outlier is counted. Text columns in
+    `text_dates` count as dates.
     """
     limits = limits or {}
     parts = []
     for name, df in tables.items():
-        dates = {f.name for f in temporal_fields(df)}
+        notations = (text_dates or {}).get(name, {})
+        dates = date_moments(df, notations)
         domain = q.name_rule_counters(df, policy.name_rules)
-        logic = [*q.sequence_counters(df, policy.sequence_rules),
+        logic = [*q.sequence_counters(df, policy.sequence_rules, notations),
                  *q.enum_counters(df, policy.enum_rules)]
         rows = []
         for chunk in chunks(df.schema.fields):
             mine = {f.name for f in chunk}
             aggs = {"n": "count(1)"}
             aggs |= {f"c{i}": f"count({present(f)})" for i, f in enumerate(chunk)}
-            ages = {f"d{i}": f"max({cast(quoted(f.name), 'timestamp')})"
+            ages = {f"d{i}": f"max({dates[f.name]})"
                     for i, f in enumerate(chunk) if f.name in dates}
             rules = {f"r{i}": f"count_if({test})" for i, (c, _, test) in enumerate(domain)
                      if c in mine}
@@ -91,14 +94,15 @@ def _plus(terms) -> str:
 
 def scorecard6(tables: Tables, keys: Mapping[str, Sequence[str]], fks: Sequence[ForeignKey],
                as_of: q.AsOf, policy: QualityPolicy = DEFAULT_POLICY,
-               approx: bool = False) -> DataFrame:
+               approx: bool = False, text_dates: Mapping[str, Notations] | None = None) -> DataFrame:
     """Six weighted dimensions, violation counts and the score; one row per table.
 
     `keys` names each table's primary key (a tuple is tested as a whole). `approx` swaps
-    the exact quartiles behind the outlier test for sketches.
+    the exact quartiles behind the outlier test for sketches. `text_dates` names the text
+    columns that hold dates, as `dates.notations_of` gives them.
     """
     card = table_measures(tables, as_of, policy, fence_limits(
-        tables, None, policy.iqr_multiplier, approx))
+        tables, None, policy.iqr_multiplier, approx), text_dates)
     if keys:
         broken = q.key_violations(tables, keys).groupBy("table").agg(
             F.count(F.lit(1)).alias("broken_keys"))
@@ -135,11 +139,12 @@ def scorecard6(tables: Tables, keys: Mapping[str, Sequence[str]], fks: Sequence[
 
 
 def scorecard4(tables: Tables, fks: Sequence[ForeignKey], as_of: q.AsOf,
-               ladder: str = "app", policy: QualityPolicy = DEFAULT_POLICY) -> DataFrame:
+               ladder: str = "app", policy: QualityPolicy = DEFAULT_POLICY,
+               text_dates: Mapping[str, Notations] | None = None) -> DataFrame:
     """Completeness, integrity and step freshness plus the fixed baseline term."""
     nulls = prof.null_profile(tables)
     counts = nulls.groupBy("table").agg(F.max("row_count").alias("row_count"))
-    newest = q.newest_dates(tables)
+    newest = q.newest_dates(tables, text_dates)
     if ladder == "app":
         freshness = q.freshness_ladder_app(counts, newest, as_of).drop("newest")
     else:
