@@ -980,6 +980,49 @@ def _(s):
     return cat.anomalies(*_anomaly_catalog(s))
 
 
+# customers beside the account they were copied from: names that repeat exactly and in case
+_TWIN_NAMES = ["c_custkey", "c_nationkey", "C_CUSTKEY", "c_acctbal", "c_nationkey", "gone"]
+_TWINS_SQL = """t AS (SELECT c_custkey AS x1, c_nationkey AS x2, c_custkey % 7 AS x3, c_acctbal AS x4,
+    CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS x5, cast(NULL AS varchar) AS x6 FROM customer)"""
+
+
+def _twins(s: Source):
+    return s.t("customer").selectExpr("c_custkey", "c_nationkey", "c_custkey % 7 AS b", "c_acctbal",
+                                      "CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS d",
+                                      "cast(NULL AS string) AS gone").toDF(*_TWIN_NAMES)
+
+
+@query("column_profile_duplicate_columns", f"WITH {_TWINS_SQL} " + sql.union([
+    f"SELECT {i} AS ordinal, '{c}' AS \"column\", count(*) AS row_count, count(*) - count(x{i}) AS null_count, "
+    f"count(DISTINCT x{i}) AS distinct_count FROM t" for i, c in enumerate(_TWIN_NAMES, start=1)]))
+def _(s):
+    return prof.column_profile({"twins": _twins(s)}).select(
+        "ordinal", "column", "row_count", "null_count", "distinct_count")
+
+
+@query("null_profile_duplicate_columns", f"WITH {_TWINS_SQL} " + sql.union([
+    f"SELECT {i} AS ordinal, '{c}' AS \"column\", count(*) AS row_count, count(*) - count(x{i}) AS null_count "
+    "FROM t" for i, c in enumerate(_TWIN_NAMES, start=1)]))
+def _(s):
+    return prof.null_profile({"twins": _twins(s)}).select("ordinal", "column", "row_count", "null_count")
+
+
+@query("anomalies_duplicate_columns", f"""WITH {_TWINS_SQL}
+    SELECT 'error' AS severity, 'DUPLICATE_COLUMN' AS code, 'twins' AS "table", c AS "column",
+      'duplicate column ' || c || ' in twins' AS message FROM (VALUES ('C_CUSTKEY'), ('c_nationkey')) v(c)
+    UNION ALL SELECT 'warning', 'ALL_NULL_COLUMN', 'twins', 'gone', 'column gone in twins is entirely NULL'
+      FROM t HAVING count(*) > 0 AND count(x6) = 0
+    UNION ALL SELECT 'error', 'NO_PRIMARY_KEY', 'twins', NULL, 'table twins has no primary key'
+      FROM t HAVING count(*) <> count(DISTINCT x1)""")
+def _(s):
+    tables = {"twins": _twins(s)}
+    profile = prof.column_profile(tables)
+    keys = disc.candidate_keys(profile)
+    catalog = cat.extract_catalog(tables, disc.propose_primary_keys(keys), rel.fk_relation(s.spark, []), keys,
+                                  profile)
+    return cat.anomalies(catalog, profile)
+
+
 @query("schema_stats", sql.with_views(
     """SELECT (SELECT count(*) FROM pk) AS total_pks, 8::bigint AS total_fks,
     1::bigint AS total_inferred_fks, (SELECT count(*) FROM found) AS total_anomalies,
@@ -1152,6 +1195,25 @@ def _(s):
     return cat.column_dictionary(catalog, tables, {"holes": ["o_orderkey"]}).select("column", "samples")
 
 
+# many sparse columns: samples lie anywhere in the table, and all come from one scan
+_SPARSE = {f"s{i:02d}": f"CASE WHEN l_orderkey % {211 + 7 * i} = {i} THEN l_extendedprice END" for i in range(24)}
+
+
+@query("column_dictionary_sparse", f"WITH h AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+       f"l_extendedprice, {', '.join(f'cast(cast({e} AS decimal(18, 2)) AS varchar) AS {c}' for c, e in _SPARSE.items())} "
+       "FROM lineitem) " + sql.union([
+           f"SELECT '{c}' AS \"column\", coalesce(string_agg(v, ' | ' ORDER BY rn), '') AS samples FROM (SELECT {c} AS v, "
+           "row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn "
+           f"FROM h WHERE {c} IS NOT NULL) WHERE rn <= 3" for c in _SPARSE]))
+def _(s):
+    sparse = s.t("lineitem").selectExpr(*ORDER_KEYS["lineitem"], *[
+        f"cast(cast({e} AS decimal(18, 2)) AS string) AS {c}" for c, e in _SPARSE.items()])
+    tables = {"sparse": sparse}
+    catalog = cat.Catalog(cat.extract_tables(tables), cat.extract_columns(tables), rel.fk_relation(s.spark, []))
+    return cat.column_dictionary(catalog, tables, {"sparse": ORDER_KEYS["lineitem"]}).where(
+        F.col("column").startswith("s")).select("column", "samples")
+
+
 @query("sample_rows_orders", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5", ["o_totalprice"])
 def _(s):
     return cat.sample_rows(s.t("orders"), 5, ["o_orderkey"])

@@ -18,6 +18,20 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """The same rows with columns named by place, `c1` first, so that columns whose names
+    are equal, or differ in case alone, can be told apart."""
+    return df.toDF(*[f"c{i}" for i in range(1, len(df.columns) + 1)])
+
+
+def place_of(df: DataFrame, name: str) -> str:
+    """The name by place of a column: the one of exactly that name, else ignoring case."""
+    names = df.columns
+    if name not in names:
+        names, name = [c.lower() for c in names], name.lower()
+    return f"c{names.index(name) + 1}"
+
+
 def chunks(items: Sequence, size: int = COLUMNS_PER_AGGREGATE) -> Iterable[Sequence]:
     for start in range(0, len(items), size):
         yield items[start:start + size]

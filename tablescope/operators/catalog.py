@@ -12,7 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import col, small_relation, union_all
+from ..functions.exprs import by_place, col, place_of, small_relation, union_all
 from ..policy import AMBIGUOUS_NAMES
 from .profile import row_counts
 
@@ -66,8 +66,8 @@ def mark_keys(columns: DataFrame, primary: DataFrame, unique: DataFrame | None =
 
 def observed_nullability(columns: DataFrame, profile: DataFrame) -> DataFrame:
     """Replace the declared nullability by what the data shows."""
-    seen = profile.select("table", "column", (F.col("null_count") > 0).alias("has_null"))
-    return columns.join(seen, list(KEY_COLUMNS), "left").withColumn(
+    seen = profile.select("table", "ordinal", (F.col("null_count") > 0).alias("has_null"))
+    return columns.join(seen, ["table", "ordinal"], "left").withColumn(
         "nullable", F.coalesce("has_null", "nullable")).drop("has_null").select(*columns.columns)
 
 
@@ -360,38 +360,48 @@ def _sample_text(field, chars: int) -> Column:
     return F.substring(text, 1, chars)
 
 
+def _first_values(rows: DataFrame, keys: Sequence[str], texts: Mapping[int, Column], k: int) -> DataFrame:
+    """(ordinal, nth, value): the k first values of each column by the keys.
+
+    The rank is bounded, so Spark ranks within the tasks before it shuffles: k values of a
+    column leave a task, however many there are.
+    """
+    held = [f"k{i}" for i in range(len(keys))]
+    wide = rows.select(*[col(c).alias(h) for c, h in zip(keys, held)],
+                       *[text.alias(str(i)) for i, text in texts.items()])
+    first = Window.partitionBy("ordinal").orderBy(*held)
+    return (wide.unpivot(held, [col(str(i)) for i in texts], "ordinal", "value")
+            .where(F.col("value").isNotNull())
+            .withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k)
+            .select(F.col("ordinal").cast("int").alias("ordinal"), "nth", "value"))
+
+
 def column_dictionary(cat: Catalog, tables: Tables, order_by: Mapping[str, Sequence[str]],
                       sample: int = 5, k: int = 3, chars: int = 50) -> DataFrame:
     """Per column: type, nullability, key marks, target, and up to k sample values.
 
     Samples are the first k non-null values of the whole table in key order, shortened.
-    The first `sample` rows give them for most columns; only for a column with fewer than
-    k values there is the table read again, for that column alone. Every task keeps a few
-    rows.
+    The first `sample` rows give them for most columns. The columns with fewer than k
+    values there are read again, all in one scan, where every task keeps the k first
+    values of a column. Columns are read by place, as the catalog numbers them, so names
+    may repeat.
     """
     parts = []
     for name, df in tables.items():
-        fields = [f for f in df.schema.fields if f.dataType.typeName() != "binary"]
-        keys = [col(c) for c in order_by[name]]
-        rn = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*keys)).alias("__rn")
-        first = sample_rows(df, max(sample, k), order_by[name])
-        known = first.agg(*[F.count(col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)]).first()
-        full = [f for i, f in enumerate(fields) if known[i] >= k]
-        sources = [(first, full)] if full else []
-        sources += [(df.where(col(f.name).isNotNull()).orderBy(*keys).limit(k), [f])
-                    for f in fields if f not in full]
-        for rows, mine in sources:
-            parts.append(rows.select(rn, *[_sample_text(f, chars).alias(f.name) for f in mine]).unpivot(
-                [F.col("__rn")], [col(f.name) for f in mine], "column", "value")
-                .withColumn("table", F.lit(name)))
-    order = Window.partitionBy("table", "column").orderBy("__rn")
-    picked = (union_all(parts).where(F.col("value").isNotNull())
-              .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
-              .groupBy("table", "column").agg(F.array_join(F.transform(F.array_sort(
-                  F.collect_list(F.struct("nth", "value"))), lambda s: s["value"]), " | ").alias(
-                  "samples")))
+        placed = by_place(df)
+        fields = {i: f for i, f in enumerate(placed.schema.fields, start=1)
+                  if f.dataType.typeName() != "binary"}
+        keys = [place_of(df, c) for c in order_by[name]]
+        first = sample_rows(placed, max(sample, k), keys)
+        known = first.agg(*[F.count(col(f.name)).alias(f.name) for f in fields.values()]).first()
+        full = [i for i, f in fields.items() if known[f.name] >= k]
+        sparse = [i for i in fields if i not in full]
+        parts += [_first_values(rows, keys, {i: _sample_text(fields[i], chars) for i in mine}, k)
+                  .withColumn("table", F.lit(name)) for rows, mine in ((first, full), (placed, sparse)) if mine]
+    picked = union_all(parts).groupBy("table", "ordinal").agg(F.array_join(F.transform(F.array_sort(
+        F.collect_list(F.struct("nth", "value"))), lambda s: s["value"]), " | ").alias("samples"))
     listed = columns_with_fk(cat)
     names = listed.join(cat.tables.select("table"), "table", "left_semi")
-    return names.join(picked, list(KEY_COLUMNS), "left").select(
+    return names.join(picked, ["table", "ordinal"], "left").select(
         "table", "ordinal", "column", "type", "nullable", "primary_key", "fk_target",
         F.coalesce("samples", F.lit("")).alias("samples"))

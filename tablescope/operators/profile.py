@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.exprs import (DIGEST_BYTES, Series, cast, chunks, col, digest, family, literal,
+from ..functions.exprs import (DIGEST_BYTES, Series, by_place, cast, chunks, col, digest, family, literal,
                                long_rows, measure, melt, melt_series, named, pct, present, quoted,
                                scalar_fields, series_of, small_relation, union_all)
 from ..policy import DEFAULT_POLICY, QualityPolicy
@@ -35,14 +35,15 @@ def row_counts(tables: Tables) -> DataFrame:
 def null_profile(tables: Tables) -> DataFrame:
     """Row and null count of every column; one scan per table.
 
-    NaN counts as missing.
+    NaN counts as missing. Columns are read by place, so names may repeat.
     """
     parts = []
     for name, df in tables.items():
+        placed = by_place(df)
         fields = list(enumerate(df.schema.fields, start=1))
         for chunk in chunks(fields):
-            wide = measure(df, {"n": "count(1)",
-                                **{f"c{i}": f"count({present(f)})" for i, f in chunk}})
+            wide = measure(placed, {"n": "count(1)", **{
+                f"c{i}": f"count({present(placed.schema[i - 1])})" for i, _ in chunk}})
             parts.append(long_rows(wide, [{
                 "table": literal(name), "ordinal": str(i), "column": literal(f.name),
                 "type": literal(f.dataType.simpleString()), "row_count": "n",
@@ -99,14 +100,18 @@ def most_frequent(value: str = "value", n: str = "n") -> Column:
 
 
 def frequency_summary(tables: Tables, approx: bool = False) -> DataFrame:
-    """(table, column, row_count, null_count, distinct_count) of every column.
+    """(table, ordinal, column, row_count, null_count, distinct_count) of every column.
 
     All columns of a type family, over all tables, are counted by value in one shuffle.
     Texts are counted by a digest, so no text body is shuffled whatever its length.
     Nested columns have no distinct count. `approx` swaps the value shuffle for a
-    fixed-size sketch per column, at about 5 % relative error.
+    fixed-size sketch per column, at about 5 % relative error. Columns are read by place,
+    so names may repeat.
     """
-    series = series_of(tables, lambda df: df.schema.fields)
+    placed = {name: by_place(df) for name, df in tables.items()}
+    series = series_of(placed, lambda df: df.schema.fields)
+    names = series_of(tables, lambda df: df.schema.fields)
+    ordinals = [i for df in tables.values() for i in range(1, len(df.columns) + 1)]
     by_family: dict[str | None, dict[int, Series]] = {}
     for number, one in enumerate(series):
         by_family.setdefault(family(one.field.dataType), {})[number] = one
@@ -120,7 +125,7 @@ def frequency_summary(tables: Tables, approx: bool = False) -> DataFrame:
 
     parts = []
     for kind, members in by_family.items():
-        melted = melt_series(tables, members, value(kind))
+        melted = melt_series(placed, members, value(kind))
         if approx or kind is None:
             distinct = F.approx_count_distinct("value") if kind else F.lit(None).cast("bigint")
             parts.append(melted.groupBy("series").agg(
@@ -133,7 +138,8 @@ def frequency_summary(tables: Tables, approx: bool = False) -> DataFrame:
             F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias(
                 "filled"), F.count("value").alias("distinct_count")))
     return union_all(parts).select(
-        *named(series), "row_count", (F.col("row_count") - F.col("filled")).alias("null_count"),
+        *named(names), F.expr(f"{literal(ordinals)}[cast(series AS int)]").alias("ordinal"),
+        "row_count", (F.col("row_count") - F.col("filled")).alias("null_count"),
         "distinct_count")
 
 
@@ -159,7 +165,7 @@ def column_profile(tables: Tables, approx: bool = False,
     """
     zero = F.lit(0).cast("bigint")
     profile = (schema_relation(tables).join(frequency_summary(tables, approx),
-                                            ["table", "column"], "left")
+                                            ["table", "ordinal", "column"], "left")
                # an empty table has no frequency rows: its scalar columns hold 0 values
                .select("table", "ordinal", "column", "type",
                        F.coalesce("row_count", zero).alias("row_count"),

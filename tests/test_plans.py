@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablescope.operators import discovery as disc, profile as prof, stats
+from tablescope.operators import catalog as cat, discovery as disc, profile as prof, relationships as rel, stats
 from tablescope.plans import scorecard as cards
 
 from .conftest import rows
@@ -130,6 +130,23 @@ def test_correlation_of_tiles_and_spread_around_large_values(spark, monkeypatch)
     assert found["once", "once"] is None and found["odd", "odd"] == 1.0
 
 
+def test_samples_of_sparse_columns_come_from_one_scan(spark, tmp_path):
+    path = str(tmp_path / "sparse")
+    spark.range(0, 4000, 1, 4).selectExpr("id", *[
+        f"if(id % {307 + i} = {i + 20}, concat('v', id), NULL) AS c{i}" for i in range(200)]).write.parquet(path)
+    tables = {"t": spark.read.parquet(path)}
+    catalog = cat.Catalog(cat.extract_tables(tables), cat.extract_columns(tables), rel.fk_relation(spark, []))
+    picked = cat.column_dictionary(catalog, tables, {"t": ["id"]})
+    names = [name for _, name, _ in plan_nodes(picked)]
+    # two for the samples, one that counts rows for the list of tables
+    assert sum(n.startswith("Scan parquet") for n in names) <= 3
+    assert names.count("WindowGroupLimit") >= 2
+    found = {r["column"]: r["samples"] for r in picked.collect()}
+    for i in (0, 3, 101, 199):
+        hits = [x for x in range(4000) if x % (307 + i) == i + 20][:3]
+        assert found[f"c{i}"] == " | ".join(f"v{x}" for x in hits)
+
+
 def test_discovery_shuffles_values_once(spark):
     tables = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("lineitem", "orders", "part")}
     found = disc.discover_fks(tables)

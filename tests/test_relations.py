@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablescope.operators import catalog as cat, discovery as disc, graph, profile as prof
+from tablescope.operators import (catalog as cat, discovery as disc, graph, profile as prof,
+                                  relationships as rel)
 from tablescope.operators.relationships import (ForeignKey, cardinality, check_fks, failed_fks,
                                                 fk_integrity, join_coverage, orphans,
                                                 relationship_stats, table_integrity)
@@ -245,6 +246,32 @@ def test_duplicate_names_ignore_case(spark):
     assert rows(found.select("code", "column")) == [("DUPLICATE_COLUMN", "a")]
 
 
+@pytest.mark.parametrize("approx", [False, True])
+def test_profiles_of_columns_with_equal_names(spark, approx):
+    df = spark.createDataFrame([(1, "x", None, 2.0, [1]), (2, "x", "y", float("nan"), None)],
+                               "p int, q string, r string, s double, t array<int>").toDF("a", "A", "a", "b.`c", "a")
+    tables = {"t": df, "u": df.where("false")}
+    want = [("t", 1, "a", 2, 0), ("t", 2, "A", 2, 0), ("t", 3, "a", 2, 1), ("t", 4, "b.`c", 2, 1), ("t", 5, "a", 2, 1)]
+    want += [("u", i, c, 0, 0) for _, i, c, _, _ in want]
+    names = ["table", "ordinal", "column", "row_count", "null_count"]
+    assert rows(prof.null_profile(tables).select(*names)) == sorted(want, key=repr)
+    profile = prof.column_profile(tables, approx)
+    assert rows(profile.select(*names)) == sorted(want, key=repr)
+    assert rows(profile.where("table = 't'").select("ordinal", "distinct_count")) == [
+        (1, 2), (2, 1), (3, 1), (4, 1), (5, None)]
+    keys = disc.candidate_keys(profile)
+    fks = rel.fk_relation(spark, [])
+    catalog = cat.extract_catalog(tables, disc.propose_primary_keys(keys), fks, keys, profile)
+    assert catalog.columns.count() == 10
+    assert rows(catalog.columns.where("table = 't'").select("ordinal", "nullable")) == [
+        (1, False), (2, False), (3, True), (4, True), (5, True)]
+    found = cat.anomalies(catalog, profile).where("code = 'DUPLICATE_COLUMN'")
+    assert rows(found.select("table", "column")) == [(t, c) for t in "tu" for c in ("A", "a", "a")]
+    samples = cat.column_dictionary(catalog, tables, {"t": ["b.`c"], "u": ["B.`C"]})
+    assert rows(samples.where("table = 't'").select("ordinal", "samples")) == [
+        (1, "1 | 2"), (2, "x | x"), (3, "y"), (4, "2.0 | NaN"), (5, "[1]")]
+
+
 def test_er_edges_labels(spark):
     _, catalog = small_catalog(spark)
     edges = cat.er_edges(cat.relationships(catalog.fks))
