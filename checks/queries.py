@@ -17,7 +17,7 @@ from tablescope.operators import (catalog as cat, dates, discovery as disc, grap
 from tablescope.plans import scorecard as cards
 from tablescope.policy import EnumRule, QualityPolicy, SequenceRule, WEIGHTS6
 from tablescope.session import scratch_path
-from tablescope.sources import readers, sqltext, writers
+from tablescope.sources import readers, sqltext, store, writers
 
 from . import data, sql
 from .data import (AS_OF, BY_NAME, CARD_FKS, CARD_KEYS, CARD_TABLES, DECLARED, ORDER_KEYS, POLICY,
@@ -855,6 +855,55 @@ def _(s):
     return s.catalog().columns
 
 
+def _stored(s: Source) -> store.StoredCatalog:
+    """The catalog measured, saved, and read back."""
+    def build():
+        tables = s.tables()
+        profile = prof.column_profile(tables)
+        keys = disc.candidate_keys(profile)
+        return cat.extract_catalog(tables, disc.propose_primary_keys(keys), s.fks(), keys, profile), profile
+
+    return store.stored_catalog(s.spark, scratch_path(s.spark, "catalog"), s.sf_dir, build)
+
+
+@query("stored_catalog_columns", sql.with_views(
+    'SELECT "table", ordinal, "column", type, nullable, primary_key, "unique", '
+    "cast(NULL AS varchar) AS default_value FROM cols", *CATALOG[:6]))
+def _(s):
+    return _stored(s).catalog.columns
+
+
+@query("stored_catalog_profile", sql.with_views(
+    """SELECT p."table", p.ordinal, p."column", p.type, p.row_count, p.null_count, p.distinct_count, p.status,
+    c.primary_key FROM prof p JOIN cols c USING ("table", "column")""", *CATALOG[:6]))
+def _(s):
+    found = _stored(s)
+    return found.profile.join(found.catalog.columns.select("table", "ordinal", "primary_key"), [
+        "table", "ordinal"]).select("table", "ordinal", "column", "type", "row_count", "null_count",
+                                    "distinct_count", "status", "primary_key")
+
+
+# three loads of two tables, profiled one by one; distinct counts within 2.5 % of the exact ones
+_LOADS = {"orders": ("d_orders", "o_orderkey"), "lineitem": ("d_lineitem", "l_orderkey")}
+
+
+@query("profile_by_parts", sql.with_views(sql.union([
+    f"SELECT '{t}' AS \"table\", {i} AS ordinal, '{c}' AS \"column\", count(*) AS row_count, "
+    f"count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_exact, true AS near FROM {v}"
+    for t, (v, _) in _LOADS.items() for i, (c, _) in enumerate(data.view_columns(v), start=1)])))
+def _(s):
+    path = scratch_path(s.spark, "profile")
+    for part in range(3):
+        store.write_profile_part({t: s.t(v).where(f"{k} % 3 = {part}") for t, (v, k) in _LOADS.items()},
+                                 path, f"load{part}")
+    exact = prof.distinct_counts({t: s.t(v) for t, (v, _) in _LOADS.items()}).withColumnRenamed(
+        "distinct_count", "distinct_exact")
+    off = F.abs(F.col("distinct_count") - F.col("distinct_exact"))
+    return store.read_profile(s.spark, path).join(exact, ["table", "column"]).select(
+        "table", "ordinal", "column", "row_count", "null_count", "distinct_exact",
+        (off <= F.col("distinct_exact") * 0.025).alias("near"))
+
+
 @query("catalog_tables", sql.with_views(
     'SELECT "table", position, row_count, column_count FROM tabs', *CATALOG))
 def _(s):

@@ -171,7 +171,14 @@ def column_profile(tables: Tables, approx: bool = False,
                        F.coalesce("row_count", zero).alias("row_count"),
                        F.coalesce("null_count", zero).alias("null_count"),
                        F.coalesce("distinct_count", F.when(F.col("scalar"), zero)).alias(
-                           "distinct_count"))
+                           "distinct_count")))
+    return finish_profile(profile, policy)
+
+
+def finish_profile(counted: DataFrame, policy: QualityPolicy = DEFAULT_POLICY) -> DataFrame:
+    """Shares, status and enum flag of (table, ordinal, column, type, row_count, null_count,
+    distinct_count)."""
+    profile = (counted
                .withColumn("null_pct", pct(F.col("null_count"), F.col("row_count"), empty=0.0))
                .withColumn("completeness", F.lit(100.0) - F.col("null_pct"))
                .withColumn("uniqueness", pct(F.col("distinct_count"), F.col("row_count"), 0.0)))
