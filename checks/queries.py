@@ -1300,19 +1300,25 @@ def _re(pattern: str) -> str:
     return f"regexp_matches(v, '{pattern}')"
 
 
-_STRICT = (f"CASE WHEN count(v) = 0 THEN 'TEXT' WHEN bool_and({_re(infer.NUMBER)}) AND "
+# what the rules are expected to accept, stated apart from the library
+_IS_NUMBER = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_IS_ISO, _IS_SLASH = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}"
+_IS_ISO_MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}"
+_IS_WHOLE, _IS_PLAIN, _IS_RECENT = r"^-?[0-9]+$", r"^-?[0-9]+[.]?[0-9]*$", r"^20[0-9]{2}-[0-9]{2}"
+
+
+_STRICT = (f"CASE WHEN count(v) = 0 THEN 'TEXT' WHEN bool_and({_re(_IS_NUMBER)}) AND "
            f"bool_and(try_cast(v AS double) = floor(try_cast(v AS double))) THEN 'INTEGER' "
-           f"WHEN bool_and({_re(infer.NUMBER)}) THEN 'REAL' WHEN greatest("
-           + ", ".join(f"avg({_re(p)}::integer)" for p in (infer.ISO_DATE, infer.SLASH_DATE,
-                                                           infer.ISO_MOMENT))
+           f"WHEN bool_and({_re(_IS_NUMBER)}) THEN 'REAL' WHEN greatest("
+           + ", ".join(f"avg({_re(p)}::integer)" for p in (_IS_ISO, _IS_SLASH, _IS_ISO_MOMENT))
            + ") > 0.8 THEN 'DATETIME' ELSE 'TEXT' END")
-_REGEX = (f"CASE WHEN count(v) = 0 THEN 'TEXT' WHEN bool_and({_re(infer.PLAIN_INTEGER)}) THEN "
-          f"'INTEGER' WHEN bool_and({_re(infer.PLAIN_DECIMAL)}) THEN 'REAL' WHEN "
-          f"avg({_re(infer.ISO_DATE)}::integer) > 0.8 THEN 'DATETIME' ELSE 'TEXT' END")
+_REGEX = (f"CASE WHEN count(v) = 0 THEN 'TEXT' WHEN bool_and({_re(_IS_WHOLE)}) THEN "
+          f"'INTEGER' WHEN bool_and({_re(_IS_PLAIN)}) THEN 'REAL' WHEN "
+          f"avg({_re(_IS_ISO)}::integer) > 0.8 THEN 'DATETIME' ELSE 'TEXT' END")
 _BOOL = ("CASE WHEN count(v) = 0 THEN 'VARCHAR(255)' WHEN bool_and(lower(v) IN ('0', '1', 'true', "
-         f"'false')) THEN 'BOOLEAN' WHEN bool_and({_re(infer.RECENT_MONTH)} AND try_cast(v AS "
-         f"timestamp) IS NOT NULL) THEN 'DATETIME' WHEN bool_and({_re(infer.NUMBER)} AND NOT "
-         f"contains(v, '.')) THEN 'INTEGER' WHEN bool_and({_re(infer.NUMBER)}) THEN 'REAL' "
+         f"'false')) THEN 'BOOLEAN' WHEN bool_and({_re(_IS_RECENT)} AND try_cast(v AS "
+         f"timestamp) IS NOT NULL) THEN 'DATETIME' WHEN bool_and({_re(_IS_NUMBER)} AND NOT "
+         f"contains(v, '.')) THEN 'INTEGER' WHEN bool_and({_re(_IS_NUMBER)}) THEN 'REAL' "
          "ELSE 'VARCHAR(255)' END")
 _line_names = [c for c, _ in SCHEMA["lineitem"]]
 
@@ -1326,8 +1332,8 @@ for _mode, _key, _rule in (("strict", "strict", _STRICT), ("sample5", "bool", _B
             infer.infer_types(s.t("lineitem").selectExpr(*_LINE_TEXT), mode))
 
 
-_FAIL = {"INTEGER": f"CASE WHEN {_re(infer.NUMBER)} THEN try_cast(v AS bigint) END",
-         "REAL": f"CASE WHEN {_re(infer.NUMBER)} THEN try_cast(v AS double) END",
+_FAIL = {"INTEGER": f"CASE WHEN {_re(_IS_NUMBER)} THEN try_cast(v AS bigint) END",
+         "REAL": f"CASE WHEN {_re(_IS_NUMBER)} THEN try_cast(v AS double) END",
          "DATETIME": "try_cast(v AS timestamp)", "BOOLEAN": "try_cast(v AS boolean)"}
 
 
@@ -1387,7 +1393,7 @@ def _(s):
     *[f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", 'type' AS kind FROM {t} HAVING count(*) > 0"
       for t, cs in SCHEMA.items() for c, ty in cs if ty == "timestamp_ntz"],
     *[f"SELECT 'text' AS \"table\", '{c}' AS \"column\", 'text' AS kind FROM d_text HAVING "
-      f"bool_and(regexp_matches({c}, '{infer.ISO_DATE}'))" for c in _TEXT_COLUMNS]])))
+      f"bool_and(regexp_matches({c}, '{_IS_ISO}'))" for c in _TEXT_COLUMNS]])))
 def _(s):
     return q.date_columns({**s.tables(), "text": s.t("d_text")})
 
@@ -1697,8 +1703,9 @@ def _(s):
 
 @query("remediation", sql.with_views(sql.union([
     f"SELECT \"table\", '{text}' AS suggestion FROM card6 WHERE {test}" for test, text in (
-        ("completeness < 90", issues.HINT_NULLS), ("fk_breaches > 0", issues.HINT_ORPHANS),
-        ("freshness < 50", issues.HINT_STALE))]), *_CARD6))
+        ("completeness < 90", "Consider backfilling NULL values in critical columns."),
+        ("fk_breaches > 0", "Repair orphan records in foreign key relationships."),
+        ("freshness < 50", "Update data source; recent records are missing."))]), *_CARD6))
 def _(s):
     return issues.remediation(card6(s))
 
@@ -1923,15 +1930,22 @@ def _(s):
 _MARK = {"mysql": "`", "postgres": '"', "oracle": '"'}
 
 
+# the expected target of every type that the tables have, by dialect; doubles fall to text,
+# as the rule looks for real and float only
+_TARGETS = {
+    "mysql": {"int": "INT", "bigint": "INT", "double": "LONGTEXT", "string": "LONGTEXT",
+              "timestamp_ntz": "LONGTEXT", "array<float>": "LONGTEXT"},
+    "postgres": {"int": "INTEGER", "bigint": "INTEGER", "double": "TEXT", "string": "TEXT",
+                 "timestamp_ntz": "TEXT", "array<float>": "DOUBLE PRECISION"},
+    "oracle": {"int": "NUMBER(12,0)", "bigint": "NUMBER(12,0)", "double": "CLOB", "string": "CLOB",
+               "timestamp_ntz": "CLOB", "array<float>": "NUMBER"},
+}
+
+
 def _target(dialect: str, type_: str = "type", key: str = "primary_key") -> str:
-    cases = []
-    for parts, target in sqltext.TARGET_TYPES[dialect]:
-        if parts is None:
-            return "CASE " + " ".join(cases) + f" ELSE '{target}' END"
-        test = " OR ".join(f"contains(lower({type_}), '{p}')" for p in parts)
-        if dialect == "postgres" and "int" in parts:
-            cases.append(f"WHEN ({test}) AND {key} THEN 'SERIAL'")
-        cases.append(f"WHEN {test} THEN '{target}'")
+    serial = f"WHEN {key} AND {type_} IN ('int', 'bigint') THEN 'SERIAL' " if dialect == "postgres" else ""
+    return f"CASE {serial}" + " ".join(
+        f"WHEN {type_} = '{one}' THEN '{target}'" for one, target in _TARGETS[dialect].items()) + " END"
 
 
 @query("type_mapping", sql.with_views(
