@@ -20,6 +20,8 @@ merge_fks table_roles anomalies column_dictionary er_edges infer_types_strict in
 infer_types_regex apply_types_failures key_violations freshness_linear freshness_ladder_app
 freshness_ladder_module domain_rules date_sequence enum_rule scorecard6 scorecard4 issues_module
 remediation completeness_buckets csv_roundtrip_text document_fields ddl_mysql insert_sql_orders
+text_dates date_stats_text scorecard6_text_dates anomalies_duplicate_columns column_dictionary_sparse
+stored_catalog_profile profile_by_parts type_mapping
 """.split()
 
 
