@@ -19,6 +19,9 @@ from .common import connected, materialise, shortened
 #: pair. They end earlier when one links less than this part of what the first linked.
 CENTRE_ROUNDS = 8
 WORTHWHILE = 0.01
+#: Pairs to a posting, of items of few keys, that are sooner compared by their sketches in
+#: one join than moved through another round with its shuffles.
+PAIRS_LEFT = 128
 #: 64-bit words of a sketch. It tells well up to some 100 elements in a word.
 SKETCH = 16
 
@@ -88,36 +91,37 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
     the pairs are as many as the postings. Linked members join, and a bucket whose members
     are all in one component has nothing left to find and leaves the rounds. Between them
     the links are only shortened, so two members may be joined without yet being known to
-    be, which costs a comparison; the roots are found before the last step and at the end.
-    When centres link little more, or after CENTRE_ROUNDS, members of different components
+    be, which costs a comparison; the roots are found at the end and, where items have many
+    keys, before the last step.
+    When centres link little more, or after CENTRE_ROUNDS, or, of items of few keys, when
+    PAIRS_LEFT pairs to a posting are left at most, members of different components
     in one bucket are compared pair by pair, by sketches laid beside the postings; only
     pairs whose sketches allow a link leave the join. No link between members of a bucket
-    is lost: a pair is skipped only if it is joined already by other links, was compared,
-    or its sketches rule it out.
+    is lost: a pair is skipped only if it is joined already by other links, was compared
+    (not looked up for items of few keys, as hardly any pair comes twice), or its sketches
+    rule it out.
     """
     edges, tested, last, most = None, None, False, 0
-    now = postings.select("key", "id", F.col("id").alias("comp"))
+    now = _centred(postings.select("key", "id", F.col("id").alias("comp")), 0)
     for turn in range(CENTRE_ROUNDS + 2):
         last = last or turn >= CENTRE_ROUNDS
         if edges is not None:
-            if last:
+            if last and not few_keys:
                 edges = connected(edges, "links").toDF("a", "b")
             labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"))
             named = now.select("key", "id").join(labels, "id", "left").select(
                 "key", "id", F.coalesce("least", "id").alias("comp"))
-            left = (named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                    .filter("lo <> hi").select("key"))
-            now = materialise(named.join(left, "key"), "open")
+            now = materialise(_centred(named, turn), "open")
             if not now.limit(1).count():
                 break
+            last = last or few_keys and _pairs(now) <= PAIRS_LEFT * now.count()
         if not last:
-            order = F.col("id") if not turn else F.xxhash64(F.lit(turn), F.col("id"))
-            centre = now.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("c"))
-            pairs = now.join(centre, "key").filter("comp <> c.comp").select(
-                F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
-            pairs = pairs.join(_named(sketched, "b"), "b").join(_named(sketched, "a"), "a").filter(_may_link())
+            pairs = now.filter("comp <> c_comp").select(
+                F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
+            pairs = pairs.join(_named(sketched, "b"), "b").join(_named(sketched, "a"), "a").filter(
+                _may_link()).select("a", "b")
         else:
-            beside = now.join(sketched, "id")
+            beside = now.select("key", "id", "comp").join(sketched, "id")
             if few_keys:
                 beside = beside.join(now.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
 
@@ -127,9 +131,10 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
 
             pairs = side("a").join(side("b"), "key").filter("a < b and comp_a <> comp_b").filter(_may_link())
             if few_keys:
-                pairs = pairs.filter("key = array_min(array_intersect(keys_a, keys_b))")
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
+                pairs = pairs.filter("key = array_min(array_intersect(keys_a, keys_b))").select("a", "b")
+            else:
+                pairs = pairs.select("a", "b").distinct()
+        if tested is not None and not few_keys:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         tested = pairs if tested is None else tested.unionAll(pairs)
@@ -145,6 +150,24 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
     return connected(edges, "links")
 
 
+def _centred(named: DataFrame, turn: int) -> DataFrame:
+    """The postings (key, id, comp) of keys with several components, with the centre of
+    the key (c_id, c_comp)."""
+    order = F.col("id") if not turn else F.xxhash64(F.lit(turn), F.col("id"))
+    left = named.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("id", order).alias("c_id"),
+        F.min_by("comp", order).alias("c_comp")).filter("lo <> hi").select("key", "c_id", "c_comp")
+    return named.join(left, "key").select("key", "id", "comp", "c_id", "c_comp")
+
+
+def _pairs(now: DataFrame) -> float:
+    """How many pairs of different components the postings hold, key by key."""
+    square = F.col("n").cast("double") * F.col("n")
+    own = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    every = own.groupBy("key").agg(F.sum("n").alias("n"), F.sum(square).alias("own"))
+    return every.agg(F.sum((square - F.col("own")) / 2)).first()[0] or 0.0
+
+
 def _renamed(side: str) -> list[Column]:
     return [F.col("id").alias(side), F.col("size").alias(f"size_{side}"),
             *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(SKETCH)]]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablescope.session import scratch_path
 
@@ -55,42 +55,46 @@ def ascii_lower(text: Column) -> Column:
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with a > b, each once."""
-    return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"),
-                                         F.least("a", "b").alias("b")).distinct()
+    """Edges (a, b) with a > b."""
+    return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def star_round(now: DataFrame, label: str) -> DataFrame:
     """One large-star and one small-star step over edges (a, b) with a > b. The edges it
-    gives connect the same nodes, by shorter ways to the least of them."""
-    both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    large = (both.filter("b > a").join(least, "a")
-             .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
-    large = materialise(large, label)
-    roots = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = (large.join(roots, "a").filter("b <> m").select(F.col("b").alias("a"), "m")
-             .unionAll(roots))
-    return materialise(small.select("a", F.col("m").alias("b")).distinct(), label)
+    gives connect the same nodes, by shorter ways to the least of them; there are no more
+    of them, and an edge may repeat, in both."""
+    least = now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+    large = now.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+    # a node's edge to its least neighbour stays, its other neighbours are tied to that one
+    up = Window.partitionBy("a").orderBy("b")
+    small = large.select("a", "b", F.first("b").over(up).alias("m"), F.lag("b").over(up).alias("before"))
+    return materialise(small.filter("before IS NULL OR before <> b").select(
+        F.when(F.col("before").isNull(), F.col("a")).otherwise(F.col("b")).alias("a"),
+        F.col("m").alias("b")), label)
 
 
 def shortened(edges: DataFrame, label: str) -> DataFrame:
     """`edges` (a, b: long) after one round: not yet the roots, but fewer steps from them."""
-    return star_round(materialise(_ordered(edges), label), label)
+    return star_round(_ordered(edges), label)
+
+
+def _all_stars(now: DataFrame) -> bool:
+    """Whether every node of the edges (a, b), a > b, that has a smaller neighbour has no
+    other."""
+    both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    return not ends.filter("low < a AND low <> high").limit(1).count()
 
 
 def connected(edges: DataFrame, label: str) -> DataFrame:
     """Union-find over `edges` (a, b: long): rows (node, root), roots left out.
 
     Alternating large-star and small-star rounds (Kiveris et al., "Connected Components
-    in MapReduce and Beyond"). Every round is joins and minima, with its edges written to
-    the shared folder; the driver sees a count and two checksums of them.
+    in MapReduce and Beyond") until every component is a star about its least node. Every
+    round is joins and minima, with its edges written to the shared folder; the driver
+    sees a count of at most one.
     """
-    now, before = materialise(_ordered(edges), label), None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")),
-                       F.bit_xor(F.xxhash64("b", "a"))).first()
-        if mark == before or not mark[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = mark
+    now = shortened(edges, label)
+    while not _all_stars(now):
         now = star_round(now, label)
+    return materialise(now.distinct(), label).select(F.col("a").alias("node"), F.col("b").alias("root"))

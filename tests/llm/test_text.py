@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks import compare
-from tablescope.llm import (arrays, exact_dedup, jaccard_join, language, line_dedup, mixing, packing,
+from tablescope.llm import (arrays, candidates, common, exact_dedup, jaccard_join, language, line_dedup, mixing, packing,
                             quality, queries)
 
 SF = "/root/testdata/sf0.001"
@@ -160,6 +160,36 @@ def test_line_dedup_matches_brute_force(documents):
     assert found == expected
 
 
+def test_components_of_repeated_edges(spark):
+    rng = random.Random(11)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)]
+    pairs += [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(50)]
+    pairs += [(3050, 3000 + i) for i in range(50)] + [(7, 7)] + pairs[:40] + [(b, a) for a, b in pairs[20:60]]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    found = [tuple(r) for r in common.connected(spark.createDataFrame(pairs, "a long, b long"), "test").collect()]
+    assert len(found) == len(dict(found))
+    assert dict(found) == {x: r for x, r in root.items() if x != r}
+    assert common.connected(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
+def test_line_links_take_few_rounds(spark, monkeypatch):
+    """Where few pairs are left after the first centres, they are compared at once, and
+    star rounds end with the stars."""
+    base = "This line of text is one of many that are nearly the same as others, number"
+    lines = [f"{base} {i} and {j}" for i in range(6) for j in range(6)] + [f"{i} other {i * 7919} {i * 31}" for i in range(20)]
+    written = []
+    for module in (common, candidates, line_dedup):
+        monkeypatch.setattr(module, "materialise", lambda df, label, write=module.materialise: (
+            written.append(label), write(df, label))[1])
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert found == by_lines(list(enumerate(lines)))
+    assert written.count("pairs") <= 2 and written.count("links") <= 5
+
+
 def test_line_dedup_odd_rows(odd, nothing):
     found = line_dedup.dedup_lines(odd).collect()
     assert len(found) == 14
