@@ -16,9 +16,12 @@ BLOCK_BYTES = 1 << 20
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A well spread 64-bit hash of each 64-bit number (the finaliser of splitmix64)."""
     h = h + np.uint64((_ODD * (seed + 1)) & (1 << 64) - 1)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h ^= h >> np.uint64(30)  # in place: the sum above is a copy
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

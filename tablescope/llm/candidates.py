@@ -74,6 +74,13 @@ def _may_link() -> Column:
     return (4 * F.greatest(n, m) <= 5 * F.least(n, m)) & (9 * differ <= n + m)
 
 
+def _least_common() -> Column:
+    """Whether the row of a pair (key, keys_a, keys_b) is that of the least common key. A
+    function of array elements keeps the join out of generated code, which with arrays of
+    both sides in it is so long that most of the join ran before it was compiled."""
+    return ~F.exists("keys_a", lambda k: (k < F.col("key")) & F.array_contains(F.col("keys_b"), k))
+
+
 def _named(sketched: DataFrame, side: str) -> DataFrame:
     """Sketches with the names of one side of a pair; the item is called `side`."""
     return sketched.select(*_renamed(side))
@@ -131,7 +138,7 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
 
             pairs = side("a").join(side("b"), "key").filter("a < b and comp_a <> comp_b").filter(_may_link())
             if few_keys:
-                pairs = pairs.filter("key = array_min(array_intersect(keys_a, keys_b))").select("a", "b")
+                pairs = pairs.filter(_least_common()).select("a", "b")
             else:
                 pairs = pairs.select("a", "b").distinct()
         if tested is not None and not few_keys:

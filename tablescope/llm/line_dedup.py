@@ -20,8 +20,10 @@ SHINGLE = 9
 NUM, DEN = 4, 5
 BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
-#: Characters of lines that are hashed at a time.
-BLOCK_CHARS = 1 << 16
+#: Characters of lines that a task holds at a time, and places whose runs are hashed at a
+#: time: arrays of that size stay in a core's cache, however long a line is.
+BLOCK_CHARS = 1 << 18
+WINDOW = 1 << 14
 EMPTY = np.uint32(0xFFFFFFFF)
 BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
 #: Lines that a task remembers so as not to hash their shingles again.
@@ -40,45 +42,51 @@ def shingles(line: str, k: int = SHINGLE) -> set[str]:
 def _run_hashes(chars: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k characters from each place on, by doubling the span."""
     base = 0x5851F42D4C957F2D
-    spans = {1: chars.astype(np.uint64) + np.uint64(1)}
-    done, out = 0, None
-    width = 1
-    while width <= k:
-        if width > 1:
-            half = spans[width // 2]
-            spans[width] = half[:-(width // 2)] * np.uint64(pow(base, width // 2, 1 << 64)) + half[width // 2:]
+    spans = {1: chars.astype(np.uint64)}
+    spans[1] += np.uint64(1)
+    done, out, width = 0, None, 1
+    while 2 * width <= k:
+        half = spans[width]
+        span = half[:-width] * np.uint64(pow(base, width, 1 << 64))
+        span += half[width:]
         width *= 2
+        spans[width] = span
     for width, h in sorted(spans.items(), reverse=True):
         if k & width:
             if out is None:
                 out = h
             else:
                 n = len(chars) - done - width + 1
-                out = out[:n] * np.uint64(pow(base, width, 1 << 64)) + h[done:done + n]
+                out = out[:n]
+                out *= np.uint64(pow(base, width, 1 << 64))
+                out += h[done:done + n]
             done += width
     return mix(out)
 
 
-def _shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every run of k characters of every line, repeats included."""
+def _flat_hashes(lines: list[str], k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first place, hashes of the k characters from each place on), WINDOW places at a
+    time, of the lines one after the other, with k - 1 line feeds behind each."""
+    flat = ("\n" * (k - 1)).join([*lines, ""]) + "\n"
+    for at in range(0, len(flat) - k + 1, WINDOW):
+        part = flat[at:at + WINDOW + k - 1].encode("utf-32-le", "surrogatepass")
+        yield at, _run_hashes(np.frombuffer(part, dtype=np.uint32), k)
+
+
+def _run_counts(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of each line, repeats included, and the places from it to the next line. A
+    short line has one run, which reaches into the padding."""
     sizes = np.array([len(x) for x in lines], dtype=np.int64)
-    pad = "\n" * (k - 1)
-    chars = np.frombuffer(pad.join([*lines, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    h = _run_hashes(chars, k) if len(chars) >= k else np.zeros(0, np.uint64)
-    starts = np.concatenate([[0], np.cumsum(sizes + k - 1)[:-1]])
-    # a short line has one shingle, which reaches into the padding
-    n = np.maximum(1, sizes - k + 1)
-    row = np.repeat(np.arange(len(lines)), n)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
-    return row, h[np.minimum(at, len(h) - 1)]
+    return np.maximum(1, sizes - k + 1), sizes + k - 1
 
 
 def _line_sets(lines: list[str]) -> list[np.ndarray]:
     """The sorted hashes of the distinct runs of each line."""
-    row, h = _shingle_hashes(lines)
-    ends = np.cumsum(np.bincount(row, minlength=len(lines))).tolist()
+    n, steps = _run_counts(lines, SHINGLE)
+    h = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in _flat_hashes(lines, SHINGLE))])
+    starts = np.cumsum(steps) - steps
     sets = []
-    for start, end in zip([0, *ends], ends):  # many short sorts are faster than one by two keys
+    for start, end in zip(starts.tolist(), (starts + n).tolist()):  # many short sorts are faster than one by two keys
         one = np.sort(h[start:end])
         new = np.ones(len(one), dtype=bool)
         np.not_equal(one[1:], one[:-1], out=new[1:])
@@ -86,13 +94,31 @@ def _line_sets(lines: list[str]) -> list[np.ndarray]:
     return sets
 
 
+def _minima(lines: list[str], k: int) -> np.ndarray:
+    """The least hash of the runs of each line in each bin, EMPTY for bins without any."""
+    n, steps = _run_counts(lines, k)
+    nowhere = len(lines) * BINS  # for places whose k characters reach behind their line
+    bounds = np.cumsum(np.stack([n, steps - n], axis=1).ravel())
+    bounds[-1:] += 1
+    first = np.full(2 * len(lines), nowhere)
+    first[::2] = np.arange(len(lines)) * BINS
+    out = np.full(nowhere + BINS, EMPTY, dtype=np.uint32)
+    for start, h in _flat_hashes(lines, k):
+        end = start + len(h)
+        low, high = np.searchsorted(bounds, start, "right"), np.searchsorted(bounds, end, "left") + 1
+        at = h >> np.uint64(32)
+        at *= np.uint64(BINS)
+        at >>= np.uint64(32)
+        at = at.view(np.int64)
+        at += np.repeat(first[low:high], np.diff(np.clip(bounds[low:high], start, end), prepend=start))
+        np.minimum.at(out, at, h.astype(np.uint32) & np.uint32(0xFFFFFFFE))
+    return out[:nowhere]
+
+
 def signatures(lines: list[str], k: int = SHINGLE) -> np.ndarray:
     """A row of BINS values per line: one-permutation MinHash, empty bins filled from
     full ones picked by hash (Shrivastava, "Optimal Densification")."""
-    row, h = _shingle_hashes(lines, k)
-    out = np.full(len(lines) * BINS, EMPTY, dtype=np.uint32)
-    bins = ((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
-    np.minimum.at(out, row * BINS + bins.astype(np.int64), (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
+    out = _minima(lines, k)
     full = out != EMPTY
     bad = np.flatnonzero(~full)
     for turn in range(64):
@@ -276,8 +302,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                            F.col("places").alias("_places"))
     split = F.split(F.col(text_col), "\n")
     kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("_places"), i))
-    # one match per line that holds anything: from its first sign to its end
-    n_lines = F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}][^\\n]*")), F.lit(0))
+    n_lines = F.coalesce(F.array_size(F.filter(split, lambda line: line.rlike(f"[^{SPACE}]"))), F.lit(0))
     joined = docs.join(places, F.col(id_col).eqNullSafe(F.col("_doc")) & (x == F.col("_key")), "left")
     out = [F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
            .alias(c) if c == text_col else F.col(c) for c in own]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -99,6 +100,36 @@ def test_line_bands_have_high_recall():
     assert total > 100 and met >= 0.98 * total
 
 
+def test_long_lines_are_hashed_in_little_memory():
+    """The arrays of a line stay small however long it is (round 3: executor memory)."""
+    line = "".join(map(str, range(300_000)))
+    tracemalloc.start()
+    line_dedup.bands([line, "a short one"])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(line) > 1_600_000 and most < 8 * len(line)
+
+
+def test_windows_change_no_hash(monkeypatch):
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abü\U0001F600 ") for _ in range(rng.choice([1, 8, 9, 10, 40, 200]))) for _ in range(60)]
+    whole, sets = line_dedup.bands(lines), line_dedup._line_sets(lines)
+    assert [len(x) for x in sets] == [len(line_dedup.shingles(x)) for x in lines]
+    for window in (1, 5, 64):
+        monkeypatch.setattr(line_dedup, "WINDOW", window)
+        assert (line_dedup.bands(lines) == whole).all()
+        assert all((x == y).all() for x, y in zip(line_dedup._line_sets(lines), sets, strict=True))
+
+
+def test_pairs_leave_in_their_least_common_bucket(spark):
+    rng = random.Random(4)
+    keys = {i: rng.sample(range(-9, 9), rng.randint(1, 6)) for i in range(30)}
+    rows = [(key, a, b, keys[a], keys[b]) for a in keys for b in keys if a < b for key in {*keys[a]} & {*keys[b]}]
+    df = spark.createDataFrame(rows, "key long, a long, b long, keys_a array<long>, keys_b array<long>")
+    found = sorted(tuple(r) for r in df.filter(candidates._least_common()).select("key", "a", "b").collect())
+    assert found == sorted({(min({*keys[a]} & {*keys[b]}), a, b) for _, a, b, _, _ in rows})
+
+
 # --- line dedup ------------------------------------------------------------------------
 
 def by_lines(rows):
