@@ -20,8 +20,9 @@ from .common import connected, materialise, shortened
 CENTRE_ROUNDS = 8
 WORTHWHILE = 0.01
 #: Pairs to a posting, of items of few keys, that are sooner compared by their sketches in
-#: one join than moved through another round with its shuffles.
-PAIRS_LEFT = 128
+#: one join than moved through another round with its shuffles; times the rounds so far,
+#: as the first ones join most.
+PAIRS_LEFT = 64
 #: 64-bit words of a sketch. It tells well up to some 100 elements in a word.
 SKETCH = 16
 
@@ -101,7 +102,7 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
     be, which costs a comparison; the roots are found at the end and, where items have many
     keys, before the last step.
     When centres link little more, or after CENTRE_ROUNDS, or, of items of few keys, when
-    PAIRS_LEFT pairs to a posting are left at most, members of different components
+    PAIRS_LEFT pairs to a posting and round are left at most, members of different components
     in one bucket are compared pair by pair, by sketches laid beside the postings; only
     pairs whose sketches allow a link leave the join. No link between members of a bucket
     is lost: a pair is skipped only if it is joined already by other links, was compared
@@ -121,7 +122,7 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
             now = materialise(_centred(named, turn), "open")
             if not now.limit(1).count():
                 break
-            last = last or few_keys and _pairs(now) <= PAIRS_LEFT * now.count()
+            last = last or few_keys and _pairs(now) <= PAIRS_LEFT * turn * now.count()
         if not last:
             pairs = now.filter("comp <> c_comp").select(
                 F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
