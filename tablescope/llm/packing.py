@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
-from .tokens import BLOCK_BYTES, encode, words_of
+from .tokens import BLOCK_BYTES, CACHED_WORDS, encode, words_of
 
 WINDOW = 1024
 END_ID = 0
@@ -83,7 +83,7 @@ def _recut(pieces: list[tuple], window: int) -> Iterator[tuple[list[tuple], bool
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
          window: int = WINDOW, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES,
-         keep_words: bool = True) -> DataFrame:
+         keep_words: bool = True, most_words: int = CACHED_WORDS) -> DataFrame:
     """One row per piece: id, start, length, ids (binary, little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset.
 
@@ -96,8 +96,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     into sequences of a power of two, which need no padding. So there is no padding, and
     a document is cut inside a window only there.
 
-    Memory of a worker: 60 times `block_bytes`, and the words that it remembers for its
-    next task unless `keep_words` is false; less of either costs time.
+    Memory of a worker: 60 times `block_bytes`, and up to `most_words` words that it
+    remembers, for its next task, too, unless `keep_words` is false; less of any costs time.
 
     `tokenizer_path` is a tokenizer file; strings of its added tokens in a text become those
     tokens. Rows that repeat an id are packed each on its
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = words_of(tokenizer_path), SumOfSquares(window)
+        words, packer = words_of(tokenizer_path, most_words), SumOfSquares(window)
         end = np.array([end_id], dtype="<u4").tobytes()
         next_id = TaskContext.get().partitionId() << 33
         out: list[tuple] = []

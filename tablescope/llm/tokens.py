@@ -21,10 +21,12 @@ WORDS_A_TEXT = 64
 
 
 class Words(dict):
-    """Ids, as native unsigned 32-bit bytes, of a run of bytes, as the tokenizer gives them."""
+    """Ids, as native unsigned 32-bit bytes, of a run of bytes, as the tokenizer gives them.
+    Beyond `most` words it starts anew."""
 
     def __init__(self, path: str):
         super().__init__()
+        self.most = CACHED_WORDS
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has the cores
         from tokenizers import Tokenizer
 
@@ -45,7 +47,7 @@ class Words(dict):
         found = list(map(self.get, pieces))
         lacking = [i for i, ids in enumerate(found) if ids is None]
         new = [p for p in (pieces[i] for i in lacking) if b"\n" not in p and len(p) < 64]
-        if len(self) + len(new) > CACHED_WORDS:
+        if len(self) + len(new) > self.most:
             self.clear()
         if new:
             texts = [b"\n".join(new[i:i + WORDS_A_TEXT]).decode() for i in range(0, len(new), WORDS_A_TEXT)]
@@ -65,10 +67,11 @@ class Words(dict):
 _WORDS: dict[str, Words] = {}
 
 
-def words_of(path: str) -> Words:
-    """The worker's words of a tokenizer file."""
+def words_of(path: str, most: int = CACHED_WORDS) -> Words:
+    """The worker's words of a tokenizer file, of which it remembers `most`."""
     if path not in _WORDS:
         _WORDS[path] = Words(path)
+    _WORDS[path].most = most
     return _WORDS[path]
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from checks import compare
 from tablescope.llm import (arrays, candidates, common, exact_dedup, jaccard_join, language, line_dedup, mixing, packing,
-                            quality, queries)
+                            quality, queries, tokens)
 
 SF = "/root/testdata/sf0.001"
 
@@ -408,6 +408,23 @@ def test_packing_odd_texts(spark, odd, nothing):
     assert packing.pack(nothing, queries.tokenizer_file()).count() == 0
 
 
+def test_remembered_words_are_bounded(spark):
+    text = pa.array([" ".join(f"w{i * 7919 % 5003}x" for i in range(j, j + 300)) for j in range(0, 6000, 300)])
+    words_, seen = tokens.words_of(queries.tokenizer_file(), 700), []
+    try:
+        for row, ids in zip(text.to_pylist(), tokens.encode(text, words_, 1 << 11), strict=True):
+            assert ids.tolist() == words_.whole(row)
+            seen.append(len(words_))
+        assert max(seen) <= 700
+        assert len(tokens.words_of(queries.tokenizer_file())) <= 700 and words_.most == tokens.CACHED_WORDS
+    finally:
+        words_.clear()
+    df = spark.createDataFrame(list(enumerate(text.to_pylist())), "doc_id long, text string").repartition(2)
+    few = packing.pack(df, queries.tokenizer_file(), block_bytes=1 << 11, keep_words=False, most_words=700)
+    every = packing.pack(df, queries.tokenizer_file())
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, every.collect()))
+
+
 def test_sum_of_squares_picks_the_least_sum():
     rng = random.Random(4)
     packer, level_of = packing.SumOfSquares(32), Counter()
@@ -463,6 +480,31 @@ def test_pipeline_keeps_texts_without_a_language(spark, odd):
     assert sorted(r["doc_id"] or 0 for r in found.collect()) == [0, 1, 2, 7, 8, 9, 9, 10, 11, 12]
 
 
+def test_pipeline_gives_workers_small_batches(spark):
+    key, most = corpus_pipeline.ARROW_BATCH[0], int(corpus_pipeline.ARROW_BATCH[1])
+    text = "some words of a text " * 1000
+    docs = spark.createDataFrame([(i, f"{i} {text}", "en", "a") for i in range(500)],
+                                 "doc_id long, text string, lang string, source string").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    spark.conf.unset(key)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs.limit(0), SF)
+            if stage is not corpus_pipeline.mix_sources:  # no Python in it
+                found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+                assert len(found) >= 5 and max(found) <= most + 2 * len(text)
+        spark.conf.set(key, "1234567")
+        corpus_pipeline.pack_sequences(spark, docs, SF)
+        assert spark.conf.get(key) == "1234567"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_pipeline_takes_odd_rows(spark, odd, nothing):
     for docs in (odd, nothing):
         for _, stage in corpus_pipeline.STAGES:
