@@ -7,13 +7,14 @@ items share one. `similar_links` finds links that join all similar items sharing
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .arrays import mix
-from .common import connected, materialise, shortened
+from .common import connected, discard, materialise, shortened
 
 #: Rounds with one centre per bucket, at most, before what is left is compared pair by
 #: pair. They end earlier when one links less than this part of what the first linked.
@@ -27,20 +28,32 @@ PAIRS_LEFT = 64
 SKETCH = 16
 
 
-def open_buckets(postings: DataFrame) -> DataFrame:
-    """Postings (key, id) of the keys with two ids or more, written to the shared folder.
+def open_buckets(*parts: DataFrame) -> DataFrame:
+    """Postings (key, id) of the keys with two ids or more, written to the shared folder. A
+    posting may come several times. The parts share no key; they are taken one after the
+    other, so that the shuffle files of one are gone before the next ones are written.
 
-    The postings are shuffled and sorted once, and one pass counts each key beside its
-    postings; only those of shared keys, a small part, go on. Of keys with the same
-    members one is kept (compared by number, least member, xor and sum of their hashes).
+    The postings are shuffled and sorted once, and one pass looks at the ids of each key
+    beside its postings; only those of shared keys, a small part, go on. Of keys with the
+    same members one is kept (compared by number, least member, xor and sum of their hashes).
     """
-    dealt = postings.repartition("key").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    shared = materialise(dealt.filter("n > 1"), "shared-keys")
-    one = (shared.groupBy("key", "n").agg(
-        F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"),
+    found = [materialise(_shared(postings), "shared-keys") for postings in parts]
+    shared = reduce(DataFrame.unionAll, found)
+    one = (shared.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"),
         F.try_sum(F.shiftrightunsigned(F.xxhash64(F.lit(7), "id"), 28)).alias("y"))
         .groupBy("n", "least", "x", "y").agg(F.min("key").alias("key")).select("key"))
-    return materialise(shared.select("key", "id").join(one, "key", "left_semi"), "buckets")
+    buckets = materialise(shared.join(one, "key", "left_semi"), "buckets")
+    discard(*found)
+    return buckets
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """The distinct postings (key, id) of the keys with two ids or more."""
+    own = Window.partitionBy("key")
+    dealt = postings.select("key", "id").repartition("key").select(
+        "key", "id", F.min("id").over(own).alias("lo"), F.max("id").over(own).alias("hi"))
+    return dealt.filter("lo <> hi").select("key", "id").distinct()
 
 
 def sketches(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -119,7 +132,8 @@ def similar_links(postings: DataFrame, sketched: DataFrame,
             labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"))
             named = now.select("key", "id").join(labels, "id", "left").select(
                 "key", "id", F.coalesce("least", "id").alias("comp"))
-            now = materialise(_centred(named, turn), "open")
+            before, now = now, materialise(_centred(named, turn), "open")
+            discard(before)
             if not now.limit(1).count():
                 break
             last = last or few_keys and _pairs(now) <= PAIRS_LEFT * turn * now.count()

@@ -8,6 +8,9 @@ re-read, never a recomputation from the start.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -15,6 +18,12 @@ from tablescope.session import scratch_path
 
 #: Rows that a side may have to be broadcast. Rows of such sides are a few numbers wide.
 BROADCAST_ROWS = 500_000
+#: Whether shuffle files go as the query that wrote them ends. Without it (Spark before 4.1
+#: does not know it) they stay until the driver happens to collect its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Folders by what `materialise` gave.
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def share_code(spark: SparkSession) -> None:
@@ -32,10 +41,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` to the shared folder and read it back. Its shuffle files go as it is
+    written, unless the session says that they stay."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _folders[made] = path
+    return made
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    if spark.conf.get(DROP_SHUFFLES, None) is not None:
+        yield
+        return
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(DROP_SHUFFLES)
+
+
+def discard(*made: DataFrame) -> None:
+    """Delete the folders of DataFrames that `materialise` gave and nothing reads any more."""
+    for df in made:
+        path = _folders.pop(df, None)
+        if path:
+            spark = df.sparkSession
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

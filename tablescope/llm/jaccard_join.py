@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrays import block_sets, blocks, mix, word_sets
 from .candidates import SKETCH_FIELDS, open_buckets, similar_links, sketch_batch
-from .common import bounded, materialise
+from .common import bounded, discard, materialise
 
 SHINGLE = 5
 #: Bytes of texts whose shingles are hashed at a time; the arrays of a block are 60 times that.
@@ -23,6 +23,13 @@ NUM, DEN = 4, 5
 MOST_LIGHT = 24
 #: Cost of a posting of a segment against one of a subset: a segment is less selective.
 SEGMENT_COST = 1.5
+#: Parts of the keys that are shuffled one after the other, each by a pass over the texts.
+#: All keys together take more disk than the texts.
+PASSES = 3
+#: Seed of the checksum of a set that is its id.
+ID_SEED = 11
+#: Sets that a task remembers so as not to give their keys again.
+SEEN_SETS = 1 << 17
 
 
 def overlap(n: int, m: int) -> int:
@@ -129,17 +136,20 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
+def _checksum(sets: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit checksum of each set: the sum of hashes of its elements."""
+    run = np.zeros(len(sets) + 1, dtype=np.uint64)
+    np.cumsum(mix(sets, seed), out=run[1:])
+    return run[bounds[1:]] - run[bounds[:-1]]
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     """(doc, text_key, n, hi, lo): size and 128-bit checksum of each row's shingle set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, bounds in blocks(batch.column("text"), TEXT_BYTES):
                 sets, at = block_sets(data, bounds, k)
-                sums = []
-                for seed in (11, 12):
-                    run_ = np.zeros(len(sets) + 1, dtype=np.uint64)
-                    np.cumsum(mix(sets, seed), out=run_[1:])
-                    sums.append(run_[at[1:]] - run_[at[:-1]])
+                sums = [_checksum(sets, at, seed) for seed in (ID_SEED, 12)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(first, last - first) for c in ("doc", "text_key")]
                     + [pa.array(np.diff(at)), *map(_signed, sums)],
@@ -149,18 +159,30 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                                 "text_key long, n long, hi long, lo long")
 
 
-def _keys(texts: DataFrame, k: int, light: int) -> DataFrame:
-    """(id, key) of texts (id, text)."""
+def _keys(texts: DataFrame, k: int, light: int, turn: int = 0, passes: int = 1) -> DataFrame:
+    """(id, key) of the sets of all texts, the id being a checksum of the set; of `passes`
+    parts of the keys that of this turn. A task gives the keys of equal sets once, as far
+    as it remembers them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for first, last, data, bounds in blocks(batch.column("text"), TEXT_BYTES):
+            for _, _, data, bounds in blocks(batch.column("text"), TEXT_BYTES):
                 sets, at = block_sets(data, bounds, k)
-                rows, keys = keys_of(sets, at, light)
+                ids, sizes = _checksum(sets, at, ID_SEED), np.diff(at)
+                fresh = np.zeros(len(ids), dtype=bool)
+                for row, one in enumerate(ids.tolist()):
+                    if one not in seen:
+                        seen.add(one)
+                        fresh[row] = True
+                if len(seen) > SEEN_SETS:
+                    seen.clear()
+                rows, keys = keys_of(sets[np.repeat(fresh, sizes)],
+                                     np.concatenate([[0], np.cumsum(sizes[fresh])]), light)
+                due = keys % np.uint64(passes) == turn
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, last - first).take(pa.array(rows)), _signed(keys)],
-                    names=["id", "key"])
+                    [_signed(ids[fresh][rows[due]]), _signed(keys[due])], names=["id", "key"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, key long")
+    return texts.select("text").mapInArrow(run, "id long, key long")
 
 
 def _sketched(texts: DataFrame, k: int) -> DataFrame:
@@ -198,10 +220,12 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id",
     least id that links reach, the row itself included.
 
     1. Equal sets collapse to one row (128-bit checksum), so a text copied a million times
-       is compared once.
+       is compared once. Half of the checksum is the id of the set, so that a pass over the
+       texts knows it and they need not be shuffled.
     2. Light sets, of few shingles, enumerate their subsets of the sizes that an overlap
        with a similar set can have. Heavy sets are entered into inverted lists. The
-       boundary is the size at which the postings are fewest, by the counted sizes.
+       boundary is the size at which the postings are fewest, by the counted sizes. The
+       keys are taken in PASSES parts, by as many passes over `docs`.
     3. Lists are read by `candidates.similar_links`; candidates that pass the sketches of
        their sets are compared on their whole texts.
 
@@ -221,35 +245,35 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id",
     sets = materialise(_sets(rows, k), "join-sets")
     classes = sets.filter("n > 0").groupBy("n", "hi", "lo").agg(
         F.min("doc").alias("least"), F.min(F.struct("doc", "text_key")).alias("one"))
-    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "join-classes")
+    classes = materialise(classes.withColumn("id", F.col("hi")), "join-classes")
 
     few = classes.filter(F.col("n") <= DEN * MOST_LIGHT).groupBy("n").count().collect()
     light = boundary({r["n"]: r["count"] for r in few})
 
-    one = bounded(classes.select("id", F.col("one.doc").alias("d"), F.col("one.text_key").alias("t")))
-
-    def texts_of(ids: DataFrame) -> DataFrame:
-        return (rows.join(ids, (F.col("text_key") == F.col("t")) & F.col("doc").eqNullSafe(F.col("d")))
-                .select("id", "text"))
-
-    buckets = open_buckets(_keys(texts_of(one), k, light))
+    buckets = open_buckets(*(_keys(rows, k, light, turn, PASSES) for turn in range(PASSES)))
     members = buckets.select("id").distinct()
     wanted = materialise(classes.join(members, "id").select(
         "id", F.col("one.doc").alias("d"), F.col("one.text_key").alias("t")), "join-wanted")
-    texts = materialise(texts_of(bounded(wanted)).dropDuplicates(["id"]), "join-texts")
+    own = (F.col("text_key") == F.col("t")) & F.col("doc").eqNullSafe(F.col("d"))
+    texts = materialise(rows.join(bounded(wanted), own).select("id", "text").dropDuplicates(["id"]), "join-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+        # few pairs pick their texts before any are shuffled
+        picked = texts.join(bounded(pairs.select(F.explode(F.array("a", "b")).alias("id"))), "id", "left_semi")
+        a = picked.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+        b = picked.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         return materialise(_verified(pairs.join(b, "b").join(a, "a"), k), "join-links")
 
-    roots = similar_links(buckets, materialise(_sketched(texts, k), "join-sketches"), verify)
+    sketched = materialise(_sketched(texts, k), "join-sketches")
+    roots = similar_links(buckets, sketched, verify)
+    discard(buckets, wanted, texts, sketched)
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
         "n", "hi", "lo", "least", F.coalesce("root", "id").alias("comp"))
     linked = materialise(named, "join-named")
     least = linked.groupBy("comp").agg(F.min("least").alias("component_id"))
     found = materialise(linked.join(least, "comp").select("n", "hi", "lo", "component_id"),
                         "join-components")
+    discard(classes, linked)
     empty = sets.filter("n = 0").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
                                         F.col("doc").alias("component_id"))
     return sets.filter("n > 0").join(bounded(found), ["n", "hi", "lo"]).select(

@@ -2,9 +2,11 @@
 
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,7 @@ import corpus_pipeline
 from checks import compare
 from tablescope.llm import (arrays, candidates, common, exact_dedup, jaccard_join, language, line_dedup, mixing, packing,
                             quality, queries, tokens)
+from tablescope.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -262,6 +265,82 @@ def test_jaccard_join_odd_rows(odd, nothing):
     assert jaccard_join.similar_documents(nothing).count() == 0
 
 
+def left_behind(spark, run):
+    """Labels of the folders that a call leaves in the shared folder, and what it returns."""
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("*-*"))
+    found = run()
+    return Counter(re.sub("-[0-9a-f]{32}$", "", p.name) for p in set(folder.glob("*-*")) - before), found
+
+
+def shuffle_files(spark):
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p for top in local for p in Path(str(top)).rglob("shuffle_*")}
+
+
+def test_written_rows_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    made = common.materialise(spark.range(1000).groupBy(F.col("id") % 7).count(), "counts")
+    for _ in range(50):  # they are removed beside what goes on
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and made.count() == 7
+    assert spark.conf.get(common.DROP_SHUFFLES, None) is None
+
+
+def test_discard_deletes_what_was_written_alone(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    own = spark.read.parquet(str(tmp_path / "own"))
+    labels, made = left_behind(spark, lambda: common.materialise(own, "rows"))
+    assert labels == {"rows": 1} and made.count() == 3
+    folder = Path(made.inputFiles()[0].removeprefix("file:")).parent
+    common.discard(own, made, made)
+    assert not folder.exists() and own.count() == 3
+
+
+def test_jaccard_join_shuffles_keys_in_parts_and_no_texts(spark, documents, monkeypatch):
+    given = []
+    monkeypatch.setattr(jaccard_join, "bounded", lambda df: df)  # as if no side could be broadcast
+    monkeypatch.setattr(jaccard_join, "open_buckets", lambda *parts: given.extend(parts) or candidates.open_buckets(*parts))
+    jaccard_join.similar_documents(documents.limit(200))
+    held = [{tuple(r) for r in part.select("key", "id").collect()} for part in given]
+    assert len(held) == jaccard_join.PASSES > 1
+    assert all("mapinarrow" in (plan := part._jdf.queryExecution().optimizedPlan().toString().lower())
+               and "join" not in plan for part in given)
+    whole = {tuple(r) for r in jaccard_join._keys(documents.limit(200), 5, jaccard_join.boundary(Counter(
+        n for n in (len(word_shingles(r["text"])) for r in documents.limit(200).collect())
+        if 0 < n <= jaccard_join.DEN * jaccard_join.MOST_LIGHT))).select("key", "id").collect()}
+    assert sum(map(len, held)) == len(whole) and set.union(*held) == whole
+    assert max(map(len, held)) < len(whole) / 2
+
+
+def test_a_set_gives_its_keys_once_a_task(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
+    few = jaccard_join._keys(docs.coalesce(1), 5, 4)
+    assert few.count() == few.distinct().count() > 0
+    twice = jaccard_join._keys(docs.repartition(2), 5, 4)
+    assert twice.count() == 2 * few.count()
+    found = jaccard_join.similar_documents(docs.repartition(4)).collect()
+    assert [r["component_id"] for r in found] == [0] * 40
+
+
+def test_repeated_postings_share_no_bucket(spark):
+    rows = [(1, 5), (1, 5), (2, 5), (2, 6), (2, 6), (3, 7), (3, 8), (3, 7)]
+    parts = [spark.createDataFrame([r for r in rows if r[0] % 2 == odd], "key long, id long").repartition(3)
+             for odd in (0, 1)]
+    labels, found = left_behind(spark, lambda: candidates.open_buckets(*parts))
+    assert sorted(tuple(r) for r in found.collect()) == [(2, 5), (2, 6), (3, 7), (3, 8)]
+    assert labels == {"buckets": 1}
+
+
+def test_jaccard_join_keeps_no_texts(spark, documents):
+    labels, found = left_behind(spark, lambda: jaccard_join.similar_documents(documents))
+    assert not labels.keys() & {"join-texts", "join-sketches", "join-classes", "shared-keys", "buckets"}
+    assert labels["open"] <= 1 and found.count() == documents.count()
+
+
 # --- exact dedup, mixing ---------------------------------------------------------------
 
 def test_exact_dedup_odd_rows(odd, nothing):
