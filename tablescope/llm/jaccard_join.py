@@ -28,6 +28,9 @@ SEGMENT_COST = 1.5
 PASSES = 3
 #: Seed of the checksum of a set that is its id.
 ID_SEED = 11
+#: Cells of the marks of a set, at least and at most. Between them they are over twice its
+#: elements, as the sketches of `candidates` tell nothing of sets of many thousands.
+LEAST_CELLS, MOST_CELLS = 1 << 10, 1 << 20
 #: Sets that a task remembers so as not to give their keys again.
 SEEN_SETS = 1 << 17
 
@@ -185,15 +188,60 @@ def _keys(texts: DataFrame, k: int, light: int, turn: int = 0, passes: int = 1)
     return texts.select("text").mapInArrow(run, "id long, key long")
 
 
+def marks(one: np.ndarray) -> bytes:
+    """The parity of the number of a set's elements in each cell, as bits. The cells are a
+    power of two, so that marks of more cells fold to fewer (`marks_differ`)."""
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (2 * len(one)).bit_length()))
+    at = (mix(one, 78) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells) & 1).tobytes()
+
+
+def marks_differ(x: bytes, y: bytes) -> int:
+    """Cells in which the marks of two sets differ: no more than the sets do in elements."""
+    x, y = (np.frombuffer(m, dtype=np.uint64) for m in (x, y))
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sketched(texts: DataFrame, k: int) -> DataFrame:
-    """Sketches of texts (id, text)."""
+    """Sketches and marks of texts (id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, bounds in blocks(batch.column("text"), TEXT_BYTES):
-                yield sketch_batch(batch.column("id").slice(first, last - first),
-                                   *block_sets(data, bounds, k))
+                sets, at = block_sets(data, bounds, k)
+                found = sketch_batch(batch.column("id").slice(first, last - first), sets, at)
+                of = pa.array([marks(sets[i:j]) for i, j in zip(at[:-1], at[1:])], pa.binary())
+                yield found.append_column("marks", of)
+
+    return texts.select("id", "text").mapInArrow(run, SKETCH_FIELDS + ", marks binary")
+
+
+def _alike(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, size_a, marks_a, size_b, marks_b) that their marks don't rule out, as
+    (a, b): similar sets of n and m elements differ in at most (n + m) / 9."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [9 * marks_differ(x.as_py(), y.as_py()) <= n.as_py() + m.as_py() for x, y, n, m in
+                    zip(*(batch.column(c) for c in ("marks_a", "marks_b", "size_a", "size_b")))]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return pairs.select("a", "b", "size_a", "marks_a", "size_b", "marks_b").mapInArrow(run, "a long, b long")
+
+
+def _beside(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the columns of `items` (id, ...) of both, as ..._a and ..._b. Few
+    pairs go to the items, so that only the items of pairs are shuffled."""
+    few = bounded(pairs)
 
-    return texts.select("id", "text").mapInArrow(run, SKETCH_FIELDS)
+    def side(name: str) -> DataFrame:
+        return items.select(F.col("id").alias(name), *(
+            F.col(c).alias(f"{c}_{name}") for c in items.columns if c != "id"))
+
+    return side("b").join(few, "b").join(side("a").join(few.select("a"), "a", "left_semi"), "a")
 
 
 def _verified(pairs: DataFrame, k: int) -> DataFrame:
@@ -227,7 +275,7 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id",
        boundary is the size at which the postings are fewest, by the counted sizes. The
        keys are taken in PASSES parts, by as many passes over `docs`.
     3. Lists are read by `candidates.similar_links`; candidates that pass the sketches of
-       their sets are compared on their whole texts.
+       their sets, then their marks, are compared on their whole texts.
 
     The lists are not kept per shingle but per segment: the shingles that a hash deals to
     one of so many segments that similar sets must agree in one. A passage found in
@@ -257,14 +305,13 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id",
     own = (F.col("text_key") == F.col("t")) & F.col("doc").eqNullSafe(F.col("d"))
     texts = materialise(rows.join(bounded(wanted), own).select("id", "text").dropDuplicates(["id"]), "join-texts")
 
+    sketched = materialise(_sketched(texts, k), "join-sketches")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        # few pairs pick their texts before any are shuffled
-        picked = texts.join(bounded(pairs.select(F.explode(F.array("a", "b")).alias("id"))), "id", "left_semi")
-        a = picked.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        b = picked.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        return materialise(_verified(pairs.join(b, "b").join(a, "a"), k), "join-links")
+        # long texts are many times their marks, and most pairs of them are ruled out
+        near = materialise(_alike(_beside(pairs, sketched.select("id", "size", "marks"))), "join-near")
+        return materialise(_verified(_beside(near, texts), k), "join-links")
 
-    sketched = materialise(_sketched(texts, k), "join-sketches")
     roots = similar_links(buckets, sketched, verify)
     discard(buckets, wanted, texts, sketched)
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(

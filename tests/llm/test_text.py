@@ -335,6 +335,31 @@ def test_repeated_postings_share_no_bucket(spark):
     assert labels == {"buckets": 1}
 
 
+def test_marks_rule_out_no_similar_sets_but_long_unlike_ones():
+    rng = np.random.default_rng(5)
+    for n, m, both in ((5000, 4100, 4100), (9000, 9000, 8000), (4090, 4100, 3650), (30, 27, 26), (3, 3, 3)):
+        every = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+        x, y = every[:n], every[n - both:]
+        assert 5 * both >= 4 * (n + m - both)
+        found = jaccard_join.marks_differ(jaccard_join.marks(x), jaccard_join.marks(y))
+        assert found == jaccard_join.marks_differ(jaccard_join.marks(y), jaccard_join.marks(x))
+        assert found <= n + m - 2 * both and 9 * found <= n + m
+    every = rng.integers(0, 1 << 63, 13_000, dtype=np.uint64)
+    x, y = every[:10_000], every[3000:]  # similarity 0.54
+    assert 9 * jaccard_join.marks_differ(jaccard_join.marks(x), jaccard_join.marks(y)) > 20_000
+
+
+def test_few_texts_of_long_unlike_sets_are_compared(spark, monkeypatch):
+    held, real = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, k: held.append(pairs.count()) or real(pairs, k))
+    words_ = [f"w{i}" for i in range(10_000)]
+    rows = [(i, " ".join(words_ + [f"v{i}x{j}" for j in range(4_000)])) for i in range(8)]  # similarity 0.56
+    rows += [(9, rows[2][1] + " and more")]
+    found = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i for i in range(8)} | {9: 2}
+    assert sum(held) <= 2
+
+
 def test_jaccard_join_keeps_no_texts(spark, documents):
     labels, found = left_behind(spark, lambda: jaccard_join.similar_documents(documents))
     assert not labels.keys() & {"join-texts", "join-sketches", "join-classes", "shared-keys", "buckets"}
