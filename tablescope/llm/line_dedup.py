@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrays import mix
 from .candidates import SKETCH_FIELDS, open_buckets, similar_links, sketch_batch
-from .common import bounded, materialise
+from .common import bounded, discard, materialise
 
 #: Characters of a shingle. At 9, unrelated lines of a language share next to none.
 SHINGLE = 9
@@ -282,20 +282,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         b = texts.select(F.col("id").alias("b"), F.col("line").alias("text_b"))
         return materialise(_verified(pairs.join(b, "b").join(a, "a")), "line-links")
 
-    roots = similar_links(buckets, materialise(_sketched(texts), "line-sketches"), verify, few_keys=True)
+    sketched = materialise(_sketched(texts), "line-sketches")
+    roots = similar_links(buckets, sketched, verify, few_keys=True)
+    discard(buckets, wanted, texts, sketched)
     # a kind alone in its component matters only if it has several places itself
     linked = kinds.select("id", "ka", "kb", "n").join(
         roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id"))
     roots_ = roots.select(F.col("root").alias("id"), F.lit(True).alias("leads")).distinct()
     found = materialise(linked.join(roots_, "id", "left").filter("n > 1 OR root IS NOT NULL OR leads").select(
         "ka", "kb", "comp"), "line-found")
+    discard(kinds)
     places = materialise(lines.select("doc", "text_key", "pos", "ka", "kb").join(
         bounded(found), ["ka", "kb"]).select("comp", "doc", "text_key", "pos"), "line-occurrences")
-    first = places.groupBy("comp").agg(F.min(F.struct("doc", "text_key", "pos")).alias("keep"))
-    removed = places.join(bounded(materialise(first, "line-kept")), "comp").filter(
+    discard(lines, found)
+    first = materialise(places.groupBy("comp").agg(
+        F.min(F.struct("doc", "text_key", "pos")).alias("keep")), "line-kept")
+    removed = places.join(bounded(first), "comp").filter(
         ~F.struct("doc", "text_key", "pos").eqNullSafe(F.col("keep")))
-    places = materialise(removed.groupBy("doc", "text_key").agg(
+    every, places = places, materialise(removed.groupBy("doc", "text_key").agg(
         F.collect_set("pos").alias("places")), "line-places")
+    discard(every, first)
 
     x = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     places = places.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"),

@@ -366,6 +366,13 @@ def test_jaccard_join_keeps_no_texts(spark, documents):
     assert labels["open"] <= 1 and found.count() == documents.count()
 
 
+def test_line_dedup_leaves_little_to_the_next_stage(spark, documents):
+    labels, found = left_behind(spark, lambda: line_dedup.dedup_lines(documents))
+    assert labels["line-places"] == 1 and not any(
+        x.startswith("line-") and x not in ("line-places", "line-links") for x in labels)
+    assert not labels.keys() & {"lines", "shared-keys", "buckets"} and found.count() == documents.count()
+
+
 # --- exact dedup, mixing ---------------------------------------------------------------
 
 def test_exact_dedup_odd_rows(odd, nothing):
